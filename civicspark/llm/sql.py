@@ -23,4 +23,23 @@ SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coales
 FROM w LEFT JOIN kept k ON w.doc_id = k.doc_id
 """
 
-SQL = {"op2_substring_dedup": SUBSTRING_DEDUP}
+NEAR_DEDUP = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(words[i:i + 3], ' ') AS g
+  FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 2, 2))) AS i FROM w WHERE len(words) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+common AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (
+  SELECT x, y FROM common JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * k >= 80 * (a.n + b.n - k)),
+reach(id, root) AS (
+  SELECT doc_id, doc_id FROM w
+  UNION
+  SELECT CASE WHEN l.x = r.id THEN l.y ELSE l.x END, r.root FROM reach r JOIN links l ON r.id = l.x OR r.id = l.y),
+least AS (SELECT id, min(root) AS component_id FROM reach GROUP BY id)
+SELECT w.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, w.doc_id = component_id AS kept
+FROM w JOIN least ON id = w.doc_id LEFT JOIN n ON n.doc_id = w.doc_id
+"""
+
+SQL = {"op8_minhash_near_dedup": NEAR_DEDUP, "op2_substring_dedup": SUBSTRING_DEDUP}
