@@ -39,4 +39,10 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2048), 2048)
 
 
-QUERIES = {"op4_best_fit_packing": op4_best_fit_packing, "op10_token_counts": op10_token_counts, "op8_minhash_near_dedup": op8_minhash_near_dedup, "op2_substring_dedup": op2_substring_dedup}
+def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from civicspark.llm.secrets import digest, find_secrets
+
+    return digest(find_secrets(table(spark, sf_dir, "documents")))
+
+
+QUERIES = {"op1_secret_scans": op1_secret_scans, "op4_best_fit_packing": op4_best_fit_packing, "op10_token_counts": op10_token_counts, "op8_minhash_near_dedup": op8_minhash_near_dedup, "op2_substring_dedup": op2_substring_dedup}

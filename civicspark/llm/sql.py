@@ -42,4 +42,44 @@ SELECT w.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, w.d
 FROM w JOIN least ON id = w.doc_id LEFT JOIN n ON n.doc_id = w.doc_id
 """
 
-SQL = {"op8_minhash_near_dedup": NEAR_DEDUP, "op2_substring_dedup": SUBSTRING_DEDUP}
+_PATTERNS = {
+    "assign": r"""(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""",
+    "access": "AKIA[A-Z0-9]+",
+    "hex": "[0-9a-f]+",
+    "entropy": "[A-Za-z0-9+/_=-]{20,}",
+}
+_KEPT = {
+    "assign": "length(v) >= 6",
+    "access": "length(m) >= 20",
+    "hex": "length(m) >= 24",
+    "entropy": """regexp_matches(m, '[0-9]')
+      AND NOT regexp_matches(m, '^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$')
+      AND NOT regexp_matches(m, 'EXAMPLE|example|XXXXXX|xxxxxx|000000|abcdefgh|ABCDEFGH|01234567')
+      AND NOT regexp_matches(m, '^(/?[a-z]{2,}[0-9]{0,2}){3,}/?$')
+      AND (list_max(list_transform(range(1, length(m) - 18), lambda i: list_aggregate(string_split(substring(m, i, 20), ''), 'entropy'))) >= 3.93
+        OR coalesce(list_max(flatten(list_transform(regexp_extract_all(m, '[0-9A-Fa-f]{20,}'), lambda h:
+          list_transform(range(1, length(h) - 18), lambda i: list_aggregate(string_split(substring(h, i, 20), ''), 'entropy'))))), 0) >= 2.97)""",
+}
+_EACH = "\nUNION ALL\n".join(
+    f"""SELECT doc_id, {i} AS k, '{kind}' AS kind, CAST(s AS BIGINT) AS s, CAST(s + length(m) AS BIGINT) AS e FROM (
+      SELECT doc_id, m, v, sum(length(gap)) OVER w + coalesce(sum(length(m)) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s
+      FROM (SELECT doc_id, unnest(regexp_extract_all(t, '{_PATTERNS[kind]}', 0)) AS m, unnest(regexp_extract_all(t, '{_PATTERNS[kind]}', {int(kind == "assign")})) AS v,
+          unnest(string_split_regex(t, '{_PATTERNS[kind]}')[:len(regexp_extract_all(t, '{_PATTERNS[kind]}', 0))]) AS gap,
+          unnest(range(len(regexp_extract_all(t, '{_PATTERNS[kind]}', 0)))) AS pos FROM d)
+      WINDOW w AS (PARTITION BY doc_id ORDER BY pos)) WHERE {_KEPT[kind]}"""
+    for i, kind in enumerate(_PATTERNS)
+)
+SECRETS = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+spans AS ({_EACH}),
+lists AS (
+  SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+    string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k) FILTER (kind <> 'entropy') AS base,
+    string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k) AS spans
+  FROM spans GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN lists l ON l.doc_id = d.doc_id
+"""
+
+SQL = {"op1_secret_scans": SECRETS, "op8_minhash_near_dedup": NEAR_DEDUP, "op2_substring_dedup": SUBSTRING_DEDUP}
