@@ -45,4 +45,12 @@ def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(find_secrets(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {"op1_secret_scans": op1_secret_scans, "op4_best_fit_packing": op4_best_fit_packing, "op10_token_counts": op10_token_counts, "op8_minhash_near_dedup": op8_minhash_near_dedup, "op2_substring_dedup": op2_substring_dedup}
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from civicspark.llm.features import held_out, learnable
+    from civicspark.llm.quality_classifier import scores
+
+    scored = scores(table(spark, sf_dir, "documents"), learnable(table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+QUERIES = {"op7_quality_classifier": op7_quality_classifier, "op1_secret_scans": op1_secret_scans, "op4_best_fit_packing": op4_best_fit_packing, "op10_token_counts": op10_token_counts, "op8_minhash_near_dedup": op8_minhash_near_dedup, "op2_substring_dedup": op2_substring_dedup}
