@@ -53,4 +53,10 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
-QUERIES = {"op7_quality_classifier": op7_quality_classifier, "op1_secret_scans": op1_secret_scans, "op4_best_fit_packing": op4_best_fit_packing, "op10_token_counts": op10_token_counts, "op8_minhash_near_dedup": op8_minhash_near_dedup, "op2_substring_dedup": op2_substring_dedup}
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from civicspark.llm.toxicity import severity
+
+    return severity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {"op6_toxicity": op6_toxicity, "op7_quality_classifier": op7_quality_classifier, "op1_secret_scans": op1_secret_scans, "op4_best_fit_packing": op4_best_fit_packing, "op10_token_counts": op10_token_counts, "op8_minhash_near_dedup": op8_minhash_near_dedup, "op2_substring_dedup": op2_substring_dedup}
