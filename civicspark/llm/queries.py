@@ -59,4 +59,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return severity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {"op6_toxicity": op6_toxicity, "op7_quality_classifier": op7_quality_classifier, "op1_secret_scans": op1_secret_scans, "op4_best_fit_packing": op4_best_fit_packing, "op10_token_counts": op10_token_counts, "op8_minhash_near_dedup": op8_minhash_near_dedup, "op2_substring_dedup": op2_substring_dedup}
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from civicspark.llm.quality_rules import quality
+
+    return quality(table(spark, sf_dir, "documents")).drop("lang", "source")
+
+
+QUERIES = {"op3_quality_rules": op3_quality_rules, "op6_toxicity": op6_toxicity, "op7_quality_classifier": op7_quality_classifier, "op1_secret_scans": op1_secret_scans, "op4_best_fit_packing": op4_best_fit_packing, "op10_token_counts": op10_token_counts, "op8_minhash_near_dedup": op8_minhash_near_dedup, "op2_substring_dedup": op2_substring_dedup}
