@@ -8,10 +8,11 @@ linked when their sets' Jaccard similarity is at least `percent` / 100.
    a bucket.  A pair at 0.8 shares none with a chance of (1 - 0.8**5)**40, 1.3e-7.
 2. Equal sets are one from here on (the least id stands for them), so a group of
    thousands of copies is one row.
-3. Star rounds: each bucket names a centre, by another order each round, and the
-   members of other components are checked against it.  When a round links
-   nothing, the pairs of one bucket that are still in different components are
-   checked; pairs in one component cannot change it.  No bucket lists all pairs.
+3. Two star rounds: each bucket names a centre, first by one order for all bands,
+   then by another for each, and the members of other components are checked
+   against it.  Then pairs of one bucket that are still in different components
+   are checked, each in its first common band; pairs in one component cannot
+   change it.  No bucket lists all pairs.
 4. A check compares signatures (200 bytes, five standard deviations of slack)
    and then the full shingle sets.
 5. Components: see `components`.
@@ -27,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from civicspark.llm import text as tx
@@ -125,52 +126,50 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     signed = save(docs.mapInArrow(_sign(shingle), _SIGNED))
     usable = signed.where("n > 0 and id is not null")
-    groups = usable.groupBy("a", "b").agg(F.min("id").alias("rep"))
+    groups = save(usable.groupBy("a", "b").agg(F.min("id").alias("rep")))
     copies = save(signed.select("id", "n", "a", "b").join(groups, ["a", "b"], "left").select("id", "n", "rep"))
     reps = usable.join(groups.select("rep"), F.col("id") == F.col("rep"), "left_semi").dropDuplicates(["id"])
     sigs = save(reps.select("id", "n", "sig", "bands"))
     drop(signed)
-    banded = sigs.select("id", "n", F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.count("*").alias("k")).where("k > 1").select("band")
+    banded = sigs.select("id", "n", F.posexplode("bands").alias("k", "band"))
+    shared = save(banded.groupBy("band").agg(F.count("*").alias("many")).where("many > 1").select("band"))
     members = save(banded.join(shared, "band", "left_semi"))
-    some = members.select("id").distinct().withColumnRenamed("id", "own")
+    some = save(members.select(F.col("id").alias("own")).distinct())
     held = save(docs.join(some, F.col("id") == F.col("own"), "left_semi").dropDuplicates(["id"]))
-    sigs_of = sigs.join(some, F.col("id") == F.col("own"), "left_semi").select("id", "sig")
+    sigs = save(sigs.join(some, F.col("id") == F.col("own"), "left_semi"))
     slack = percent / 100 - 5 * (0.25 / (BANDS * ROWS)) ** 0.5
+    sized = f"a.label <> b.label and 100 * least(a.n, b.n) >= {percent} * greatest(a.n, b.n)"
 
     def check(pairs: DataFrame) -> DataFrame:
         pairs = pairs.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct()
-        pairs = pairs.join(sigs_of.select(F.col("id").alias("u"), "sig"), "u").join(sigs_of.select(F.col("id").alias("v"), F.col("sig").alias("other")), "v")
+        pairs = pairs.join(sigs.select(F.col("id").alias("u"), "sig"), "u").join(sigs.select(F.col("id").alias("v"), F.col("sig").alias("other")), "v")
         pairs = pairs.select("u", "v", "sig", "other").mapInArrow(_alike(slack), "u long, v long")
         pairs = pairs.join(held.select(F.col("id").alias("u"), "text"), "u").join(held.select(F.col("id").alias("v"), F.col("text").alias("other")), "v")
         return save(pairs.select("u", "v", "text", "other").mapInArrow(_verified(shingle, percent), "u long, v long"))
 
-    labels, edges = None, None
-    for order in range(1_000):
-        named = members.withColumn("label", F.col("id"))
-        if labels is not None:
-            named = members.join(labels, "id", "left").withColumn("label", F.coalesce("component", "id"))
-        open_ = named.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min(F.struct(F.xxhash64("id", F.lit(order)).alias("o"), "id", "label", "n")).alias("c"))
-        open_ = open_.where("lo < hi").select("band", "c.*")
-        sized = f"100 * least(a.n, b.n) >= {percent} * greatest(a.n, b.n)"
-        star = named.alias("a").join(open_.alias("b"), F.expr(f"a.band = b.band and a.label <> b.label and {sized}"))
-        found = check(star.select(F.col("a.id").alias("x"), F.col("b.id").alias("y")))
-        last = found.isEmpty()
-        if last:  # no star links any more: now the other pairs of components that share a bucket
-            drop(found)
-            rest = named.join(open_.select("band"), "band", "left_semi")
-            rest = rest.alias("a").join(rest.alias("b"), F.expr(f"a.band = b.band and a.label < b.label and {sized}"))
-            found = check(rest.select(F.col("a.id").alias("x"), F.col("b.id").alias("y")))
-            if found.isEmpty():
-                break
-        edges = found if edges is None else edges.unionByName(found)
-        labels = save(components(edges))
-        if last:
-            break
-    out = copies
-    if labels is not None:
-        out = out.join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left")
-    else:
-        out = out.withColumn("component", F.lit(None).cast("long"))
+    def labelled(rows: DataFrame) -> DataFrame:
+        """Members of the buckets that still hold two components."""
+        rows = rows.join(labels, "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
+        open_ = rows.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("band")
+        return save(rows.join(open_, "band", "left_semi"))
+
+    def stars(rows: DataFrame, order: Column) -> DataFrame:
+        """Each member with its bucket's centre, the first by `order`."""
+        centre = rows.groupBy("band").agg(F.min(F.struct(order.alias("o"), "id", "label", "n")).alias("c")).select("band", "c.*")
+        star = rows.alias("a").join(centre.alias("b"), F.expr(f"a.band = b.band and {sized}"))
+        return star.select(F.col("a.id").alias("x"), F.col("b.id").alias("y"))
+
+    edges = check(stars(members.withColumn("label", F.col("id")), F.xxhash64("id")))
+    labels = save(components(edges))
+    members = labelled(members)
+    edges = edges.unionByName(check(stars(members, F.xxhash64("id", "band"))))
+    labels = save(components(edges))
+    members = labelled(members.drop("label"))
+    rest = members.join(sigs.select("id", "bands"), "id")
+    once = "not arrays_overlap(slice(a.bands, 1, a.k), slice(b.bands, 1, a.k))"
+    rest = rest.alias("a").join(rest.alias("b"), F.expr(f"a.band = b.band and a.label < b.label and {sized} and {once}"))
+    edges = edges.unionByName(check(rest.select(F.col("a.id").alias("x"), F.col("b.id").alias("y"))))
+    labels = components(edges)
+    out = copies.join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left")
     component = F.coalesce("component", "rep", "id")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
