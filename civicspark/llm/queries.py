@@ -71,4 +71,10 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {"op5_decontamination": op5_decontamination, "op3_quality_rules": op3_quality_rules, "op6_toxicity": op6_toxicity, "op7_quality_classifier": op7_quality_classifier, "op1_secret_scans": op1_secret_scans, "op4_best_fit_packing": op4_best_fit_packing, "op10_token_counts": op10_token_counts, "op8_minhash_near_dedup": op8_minhash_near_dedup, "op2_substring_dedup": op2_substring_dedup}
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from civicspark.llm.line_dedup import removed_lines
+
+    return removed_lines(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op9_line_dedup": op9_line_dedup, "op5_decontamination": op5_decontamination, "op3_quality_rules": op3_quality_rules, "op6_toxicity": op6_toxicity, "op7_quality_classifier": op7_quality_classifier, "op1_secret_scans": op1_secret_scans, "op4_best_fit_packing": op4_best_fit_packing, "op10_token_counts": op10_token_counts, "op8_minhash_near_dedup": op8_minhash_near_dedup, "op2_substring_dedup": op2_substring_dedup}

@@ -82,4 +82,24 @@ SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_a
 FROM d LEFT JOIN lists l ON l.doc_id = d.doc_id
 """
 
-SQL = {"op1_secret_scans": SECRETS, "op8_minhash_near_dedup": NEAR_DEDUP, "op2_substring_dedup": SUBSTRING_DEDUP}
+LINE_DEDUP = r"""
+WITH l AS (
+  SELECT doc_id, i - 1 AS line, regexp_extract_all(lines[i], '[^\x20\x09-\x0D]+') AS ws
+  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines, unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) AS i FROM documents)),
+big AS (SELECT doc_id, line, list_sort(list_distinct(ws)) AS k FROM l WHERE len(ws) >= 5),
+s AS (SELECT k, min(struct_pack(d := doc_id, l := line)) AS f, len(k) AS n FROM big GROUP BY k),
+t AS (SELECT f, n, unnest(k) AS w FROM s),
+later AS (
+  SELECT DISTINCT f FROM (
+    SELECT x.f AS f, y.f AS g FROM t x JOIN t y ON x.w = y.w AND y.f < x.f AND 100 * least(x.n, y.n) >= 80 * greatest(x.n, y.n)
+    GROUP BY x.f, y.f, x.n, y.n HAVING 100 * count(*) >= 80 * (x.n + y.n - count(*)))),
+stay AS (SELECT f FROM s WHERE f NOT IN (SELECT f FROM later)),
+gone AS (
+  SELECT doc_id, count(*) AS n, string_agg(CAST(line AS VARCHAR), ',' ORDER BY line) AS removed
+  FROM big WHERE struct_pack(d := doc_id, l := line) NOT IN (SELECT f FROM stay) GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN coalesce(text, '') = '' THEN 0 ELSE CAST(len(string_split(text, chr(10))) AS BIGINT) END AS n_lines,
+  coalesce(n, 0) AS n_removed, coalesce(removed, '') AS removed
+FROM documents d LEFT JOIN gone g ON g.doc_id = d.doc_id
+"""
+
+SQL = {"op9_line_dedup": LINE_DEDUP, "op1_secret_scans": SECRETS, "op8_minhash_near_dedup": NEAR_DEDUP, "op2_substring_dedup": SUBSTRING_DEDUP}
