@@ -75,3 +75,22 @@ def scores(docs: DataFrame, labels: DataFrame, each: int = SAMPLE, id_col: str =
     table, bias = train(ft.sample(docs, labels, "quality", each, fold=False, id_col=id_col))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), "text")
     return rows.mapInArrow(_scored(table, bias), "id long, score double").withColumnRenamed("id", id_col)
+
+
+def _kept(table: np.ndarray, bias: float, least: float):
+    score = _scored(table, bias)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text = batch.schema.get_field_index("text")
+            own = pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows, pa.int64()), batch.column(text)], ["id", "text"])
+            good = [x for part in score(iter([own])) for x in (part.column(1).to_numpy() >= least)]
+            yield batch.filter(pa.array(good, pa.bool_()))
+
+    return run
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, least: float, each: int = SAMPLE, id_col: str = "doc_id") -> DataFrame:
+    """The rows of docs, with all their columns, that score at least `least`."""
+    table, bias = train(ft.sample(docs, labels, "quality", each, fold=False, id_col=id_col))
+    return docs.mapInArrow(_kept(table, bias, least), docs.schema)
