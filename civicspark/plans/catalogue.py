@@ -1,4 +1,484 @@
-"""Queries over the provided tables, one per operator, with the SQL they are checked against."""
+"""Queries over the provided tables, one or more per operator, with the SQL they are checked against.
 
-QUERIES = {}
-SQL = {}
+The tables stand for a catalogue: orders and documents for datasets, customers
+and sources for publishers, nations in regions for units in provinces, lineitem
+for attachments, events for usage, pages for files.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from civicspark.functions import text as fx
+from civicspark.operators import catalogue as cat
+from civicspark.operators import crawl, index, linking, metering, retrieval
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+NOW = "1998-08-02 00:00:00"
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _regions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    customer, nation, region = (table(spark, sf_dir, t) for t in ("customer", "nation", "region"))
+    links = customer.select(F.col("c_custkey").alias("dataset"), F.col("c_nationkey").alias("unit"), F.col("c_acctbal").alias("confidence"))
+    return links, nation.select(F.col("n_nationkey").alias("unit"), F.col("n_regionkey").alias("region")), region.select(F.col("r_regionkey").alias("region"), F.col("r_name").alias("name"))
+
+
+_ROLLUP = """SELECT r_regionkey AS region, r_name AS name, count(DISTINCT c_custkey) AS datasets, coalesce(max(c_acctbal), 0.0) AS best
+FROM region LEFT JOIN nation ON n_regionkey = r_regionkey LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1, 2"""
+
+
+@query(_ROLLUP)
+def region_rollup(spark, sf_dir):
+    return cat.rollup_regions(*_regions(spark, sf_dir))
+
+
+@query(f"""WITH r AS ({_ROLLUP}), m AS (SELECT max(datasets) AS top FROM r),
+b AS (SELECT r.*, greatest(ceil(top * 0.1), 1) AS b0, greatest(ceil(top * 0.25), 1) AS b1, greatest(ceil(top * 0.5), 1) AS b2, greatest(ceil(top * 0.75), 1) AS b3 FROM r, m)
+SELECT region, name, datasets, best, CAST(CASE WHEN datasets <= 0 THEN 0 ELSE 1 + (datasets > b0)::INT + (datasets > b1)::INT + (datasets > b2)::INT + (datasets > b3)::INT END AS INTEGER) AS bucket FROM b""")
+def choropleth_bucket(spark, sf_dir):
+    return cat.breakpoints(cat.rollup_regions(*_regions(spark, sf_dir)))
+
+
+@query("""WITH d AS (SELECT c_custkey AS dataset, max(c_acctbal) AS confidence FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 2 GROUP BY 1)
+SELECT dataset, confidence, (SELECT count(*) FROM d) AS total FROM d ORDER BY dataset LIMIT 25 OFFSET 10""")
+def region_detail_page(spark, sf_dir):
+    links, parts, _ = _regions(spark, sf_dir)
+    rows = links.join(parts.where("region = 2"), "unit").groupBy("dataset").agg(F.max("confidence").alias("confidence"))
+    return cat.page(rows, [F.col("dataset")], 25, 10)
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
+def national_bucket(spark, sf_dir):
+    urgent = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))
+    return cat.without_links(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), urgent, "c_custkey")
+
+
+@query("SELECT tag, count(*) AS n FROM (SELECT unnest(string_split(p_type, ' ')) AS tag FROM part) GROUP BY tag")
+def facet_tags(spark, sf_dir):
+    return cat.facet(table(spark, sf_dir, "part"), F.explode(F.split("p_type", " ")), "tag")
+
+
+@query("SELECT n_nationkey AS publisher, count(*) AS n, min(n_name) AS label FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1")
+def facet_publishers(spark, sf_dir):
+    rows = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.expr("c_nationkey = n_nationkey"))
+    return cat.facet(rows, F.col("n_nationkey"), "publisher", F.col("n_name"))
+
+
+@query(f"""SELECT CASE WHEN epoch(TIMESTAMP '{NOW}') - epoch(o_orderdate) > 63072000 THEN 'stale' ELSE 'fresh' END AS freshness, count(*) AS n FROM orders GROUP BY 1""")
+def facet_freshness(spark, sf_dir):
+    stale = fx.is_stale(F.col("o_orderdate").cast("timestamp"), 2 * 365 * 86400, F.lit(NOW).cast("timestamp"))
+    return cat.facet(table(spark, sf_dir, "orders"), F.when(stale, "stale").otherwise("fresh"), "freshness")
+
+
+@query(f"""SELECT o_orderkey, o_custkey, o_orderstatus FROM orders JOIN customer ON o_custkey = c_custkey
+WHERE o_orderstatus IN ('O', 'P') AND o_orderpriority IN ('1-URGENT', '2-HIGH')
+AND c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey IN (1, 3)) AND epoch(TIMESTAMP '{NOW}') - epoch(o_orderdate) <= 63072000""")
+def catalog_filter_and_or(spark, sf_dir):
+    orders, customer, nation = (table(spark, sf_dir, t) for t in ("orders", "customer", "nation"))
+    rows = cat.and_filter(orders, {"o_orderstatus": ["O", "P"], "o_orderpriority": ["1-URGENT", "2-HIGH"]})
+    rows = rows.where(~fx.is_stale(F.col("o_orderdate").cast("timestamp"), 2 * 365 * 86400, F.lit(NOW).cast("timestamp")))
+    chosen = table(spark, sf_dir, "region").where("r_regionkey in (1, 3)").select((F.col("r_regionkey") + 1000).alias("unit"))
+    units = cat.with_children(chosen, nation.withColumn("n_regionkey", F.col("n_regionkey") + 1000), "n_nationkey", "n_regionkey")
+    rows = rows.join(customer, F.expr("o_custkey = c_custkey")).join(units, F.expr("c_nationkey = unit"), "left_semi")
+    return rows.select("o_orderkey", "o_custkey", "o_orderstatus")
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderstatus IN ('P') OR o_orderpriority IN ('5-LOW') OR o_custkey IN (1, 2, 3)")
+def scope_filter_or(spark, sf_dir):
+    return crawl_scope(table(spark, sf_dir, "orders")).select("o_orderkey")
+
+
+def crawl_scope(orders: DataFrame) -> DataFrame:
+    return cat.or_filter(orders, {"o_orderstatus": ["P"], "o_orderpriority": ["5-LOW"], "o_custkey": [1, 2, 3]})
+
+
+@query("""SELECT o_orderkey, c_name AS publisher, n_name AS unit, coalesce(k, 0) AS resources, coalesce(m, 0.0) AS best FROM orders
+LEFT JOIN customer ON c_custkey = o_custkey LEFT JOIN nation ON n_nationkey = c_nationkey
+LEFT JOIN (SELECT l_orderkey, count(*) AS k, max(l_discount) AS m FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey""")
+def lite_projection(spark, sf_dir):
+    orders, customer, nation, lineitem = (table(spark, sf_dir, t) for t in ("orders", "customer", "nation", "lineitem"))
+    parts = lineitem.groupBy("l_orderkey").agg(F.count("*").alias("k"), F.max("l_discount").alias("m"))
+    rows = orders.join(customer, F.expr("o_custkey = c_custkey"), "left").join(nation, F.expr("c_nationkey = n_nationkey"), "left").join(parts, F.expr("o_orderkey = l_orderkey"), "left")
+    return rows.select("o_orderkey", F.col("c_name").alias("publisher"), F.col("n_name").alias("unit"), F.coalesce("k", F.lit(0)).alias("resources"), F.coalesce("m", F.lit(0.0)).alias("best"))
+
+
+@query("""SELECT o_custkey, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS r FROM orders) WHERE r = 1""")
+def first_per_key(spark, sf_dir):
+    rows = cat.first_per(table(spark, sf_dir, "orders"), ["o_custkey"], [F.col("o_orderdate"), F.col("o_orderkey")])
+    return rows.select("o_custkey", "o_orderkey", "o_totalprice")
+
+
+def _attached(spark: SparkSession, sf_dir: str) -> DataFrame:
+    item = table(spark, sf_dir, "lineitem")
+    one = item.select(F.col("l_orderkey").alias("dataset"), F.concat(F.lit("tag:"), F.col("l_partkey")).alias("entity"), F.lit("tag").alias("kind"))
+    return one.unionByName(item.select(F.col("l_orderkey").alias("dataset"), F.concat(F.lit("org:"), F.col("l_suppkey")).alias("entity"), F.lit("organization").alias("kind")))
+
+
+_ATTACHED = """att AS (SELECT DISTINCT l_orderkey AS dataset, 'tag:' || l_partkey AS entity, 'tag' AS kind FROM lineitem
+UNION SELECT DISTINCT l_orderkey, 'org:' || l_suppkey, 'organization' FROM lineitem), deg AS (SELECT entity, count(*) AS k FROM att GROUP BY entity),
+ok AS (SELECT att.* FROM att JOIN deg USING (entity) WHERE k <= 50),
+links AS (SELECT x.dataset AS a, y.dataset AS b, x.entity AS via, CASE x.kind WHEN 'tag' THEN 'shared_tag' ELSE 'shared_publisher' END AS heuristic, CASE x.kind WHEN 'tag' THEN 0.5 ELSE 0.95 END AS confidence
+  FROM ok x JOIN ok y ON x.entity = y.entity AND x.dataset < y.dataset)"""
+
+
+@query(f"WITH {_ATTACHED} SELECT heuristic, count(*) AS links, count(DISTINCT via) AS entities, CAST(max(confidence) AS DOUBLE) AS confidence FROM links GROUP BY heuristic")
+def link_shared_entity(spark, sf_dir):
+    found = linking.links(_attached(spark, sf_dir))
+    return found.groupBy("heuristic").agg(F.count("*").alias("links"), F.countDistinct("via").alias("entities"), F.max("confidence").alias("confidence"))
+
+
+@query(f"WITH {_ATTACHED} SELECT kind, CAST(sum((k > 50)::INT) AS BIGINT) AS hubs, count(*) AS entities FROM (SELECT DISTINCT entity, kind, k FROM att JOIN deg USING (entity)) GROUP BY kind")
+def link_hubs_skipped(spark, sf_dir):
+    each = linking.linkable(_attached(spark, sf_dir)).select("entity", "kind", "hub").distinct()
+    return each.groupBy("kind").agg(F.count_if("hub").alias("hubs"), F.count("*").alias("entities"))
+
+
+@query(f"WITH {_ATTACHED}, e AS (SELECT a AS dataset, b AS other FROM links UNION ALL SELECT b, a FROM links) SELECT dataset, count(*) AS links, count(DISTINCT other) AS neighbours FROM e GROUP BY dataset")
+def link_either_side(spark, sf_dir):
+    return linking.either_side(linking.links(_attached(spark, sf_dir))).groupBy("dataset").agg(F.count("*").alias("links"), F.countDistinct("other").alias("neighbours"))
+
+
+def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    node = lambda df, p, k, key, name: df.select(F.concat(F.lit(p), F.col(key)).alias("id"), F.lit(k).alias("kind"), F.col(name).alias("label"))
+    nodes = node(nation, "n:", "nation", "n_nationkey", "n_name").unionByName(node(region.where("r_regionkey < 4"), "r:", "region", "r_regionkey", "r_name"))
+    parents = nation.select(F.concat(F.lit("n:"), "n_nationkey").alias("child"), F.concat(F.lit("r:"), "n_regionkey").alias("parent"))
+    return nodes, linking.relations(nodes, parents)
+
+
+@query("""SELECT 'n:' || n_nationkey AS subject, 'part_of' AS predicate, 'r:' || n_regionkey AS object, 'nation' AS subject_kind, n_name AS subject_label,
+CASE WHEN r_regionkey IS NULL THEN 'unknown' ELSE 'region' END AS object_kind, coalesce(r_name, 'r:' || n_regionkey) AS object_label
+FROM nation LEFT JOIN region ON r_regionkey = n_regionkey AND r_regionkey < 4""")
+def entity_graph_edges(spark, sf_dir):
+    return cat.entity_graph(*_graph(spark, sf_dir))
+
+
+@query("""SELECT id, CAST(sum(o) AS BIGINT) AS n_out, CAST(sum(i) AS BIGINT) AS n_in FROM (SELECT 'n:' || n_nationkey AS id, 1 AS o, 0 AS i FROM nation UNION ALL SELECT 'r:' || n_regionkey, 0, 1 FROM nation) GROUP BY id""")
+def entity_graph_degree(spark, sf_dir):
+    return cat.degrees(_graph(spark, sf_dir)[1])
+
+
+@query("SELECT user_id, sum(value) AS sum_value, count(*) AS events, max(ts) AS last_at FROM events GROUP BY user_id")
+def usage_totals_by_user(spark, sf_dir):
+    return metering.totals(table(spark, sf_dir, "events"), ["user_id"], ["value"], "ts")
+
+
+@query("SELECT coalesce(sum(value), 0) AS sum_value, count(*) AS events, max(ts) AS last_at FROM events WHERE user_id < 0")
+def usage_totals_of_nothing(spark, sf_dir):
+    return metering.totals(table(spark, sf_dir, "events").where("user_id < 0"), [], ["value"], "ts")
+
+
+@query("""WITH u AS (SELECT user_id, CASE WHEN user_id % 3 = 0 THEN min(ts) + INTERVAL 10 DAY END AS reset_at FROM events GROUP BY user_id UNION ALL SELECT -1, NULL)
+SELECT u.user_id, coalesce(sum(value), 0) AS total, count(e.user_id) AS events, max(ts) AS last_at FROM u LEFT JOIN events e ON e.user_id = u.user_id AND (reset_at IS NULL OR ts >= reset_at) GROUP BY 1""")
+def usage_summary_by_user(spark, sf_dir):
+    events = table(spark, sf_dir, "events")
+    users = events.groupBy("user_id").agg(F.min("ts").alias("first")).select("user_id", F.when(F.col("user_id") % 3 == 0, F.col("first") + F.expr("interval 10 days")).alias("reset_at"))
+    users = users.unionByName(spark.range(1).select(F.lit(-1).cast("long").alias("user_id"), F.lit(None).cast(users.schema["reset_at"].dataType).alias("reset_at")))
+    return metering.totals_since_reset(users, events, "user_id", "ts", "reset_at", "value")
+
+
+@query("""SELECT user_id, count(*) FILTER (event_type = 'click') AS n_click, count(*) FILTER (event_type = 'view') AS n_view, count(*) FILTER (event_type IN ('click', 'view')) AS total FROM events GROUP BY user_id""")
+def usage_by_class_pivot(spark, sf_dir):
+    return metering.class_counts(table(spark, sf_dir, "events"), "user_id", "event_type", ["click", "view"])
+
+
+@query("SELECT count(DISTINCT user_id) AS principals, count(*) AS events FROM events")
+def distinct_principals(spark, sf_dir):
+    return table(spark, sf_dir, "events").agg(F.countDistinct("user_id").alias("principals"), F.count("*").alias("events"))
+
+
+@query("""SELECT event_id, user_id, count(event_id) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 24 HOUR PRECEDING AND CURRENT ROW) AS in_window FROM events""")
+def quota_trailing_24h(spark, sf_dir):
+    return metering.trailing_count(table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")), "user_id", "ts", "event_id").select("event_id", "user_id", "in_window")
+
+
+_BOUNDS = [1.0, 5.0, 10.0, 25.0, 50.0, 100.0]
+
+
+@query("SELECT CAST(row_number() OVER (ORDER BY b) - 1 AS INTEGER) AS place, CASE WHEN isinf(b) THEN '+Inf' ELSE CAST(CAST(b AS INTEGER) AS VARCHAR) END AS le, (SELECT count(*) FROM events WHERE value <= b) AS n FROM (SELECT unnest([1.0::DOUBLE, 5, 10, 25, 50, 100, 'inf'::DOUBLE]) AS b)")
+def latency_histogram_cumulative(spark, sf_dir):
+    return metering.cumulative_histogram(table(spark, sf_dir, "events"), "value", _BOUNDS)
+
+
+@query("""WITH e AS (SELECT user_id, event_type, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events)
+SELECT user_id % 10 AS tenant, round(sum(((k * 10 - least(k, k * 10)) + 0.1 * least(k, k * 10)) * i / 1e6 + k * o / 1e6), 6) AS cost FROM (
+SELECT *, CASE WHEN event_type = 'view' THEN 3.0 WHEN event_type LIKE 'c%' THEN 2.0 ELSE 0.0 END AS i, CASE WHEN event_type = 'view' THEN 15.0 WHEN event_type LIKE 'c%' THEN 8.0 ELSE 0.0 END AS o FROM e) GROUP BY 1""")
+def llm_cost_by_tenant(spark, sf_dir):
+    k = F.get_json_object("props", "$.k").cast("long")
+    paid = metering.cost({"view": (3.0, 15.0), "c": (2.0, 8.0)}, F.col("event_type"), k * 10, k, k)
+    return table(spark, sf_dir, "events").groupBy((F.col("user_id") % 10).alias("tenant")).agg(F.round(F.sum(paid), 6).alias("cost"))
+
+
+@query("""WITH t AS (SELECT user_id, sum(CAST(json_extract(props, '$.k') AS BIGINT)) AS total, CAST(floor(sum(value)) AS BIGINT) AS cached FROM events GROUP BY user_id)
+SELECT user_id, CAST(greatest(0, floor(total - 0.9 * least(cached, total) + 0.5)) AS BIGINT) AS used,
+CASE WHEN user_id % 4 = 0 THEN 0 ELSE 100 END AS lim, CASE WHEN user_id % 4 = 0 THEN NULL ELSE greatest(0, 100 - CAST(greatest(0, floor(total - 0.9 * least(cached, total) + 0.5)) AS BIGINT)) END AS remaining,
+CASE WHEN user_id % 4 = 0 THEN false ELSE greatest(0, floor(total - 0.9 * least(cached, total) + 0.5)) >= 100 END AS exceeded FROM t""")
+def billable_quota_view(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").groupBy("user_id").agg(F.sum(F.get_json_object("props", "$.k").cast("long")).alias("total"), F.floor(F.sum("value")).alias("cached"))
+    used = metering.billable(F.col("total"), F.col("cached"), 0.1)
+    view = metering.quota(used, F.when(F.col("user_id") % 4 == 0, 0).otherwise(100))
+    return rows.select("user_id", view.alias("q")).select("user_id", "q.used", F.col("q.limit").alias("lim"), "q.remaining", "q.exceeded")
+
+
+@query("""WITH w AS (SELECT conv_id, turn, length(text) AS size, CAST(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn DESC ROWS UNBOUNDED PRECEDING) AS BIGINT) AS used, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations)
+SELECT conv_id, turn, used FROM w WHERE used <= 600 OR r = 1""")
+def running_size_budget(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations")
+    return cat.running_budget(rows, ["conv_id"], [F.desc("turn")], F.length("text"), 600).select("conv_id", "turn", "used")
+
+
+@query("""WITH c AS (SELECT user_id % 20 AS run, count(*) AS discovered, count(*) FILTER (event_type = 'purchase') AS captured, count(*) FILTER (event_type = 'view') AS skipped, count(*) FILTER (event_type NOT IN ('purchase', 'view')) AS failed FROM events GROUP BY 1)
+SELECT *, failed / greatest(discovered, 1) AS failure_rate, CASE WHEN failed = 0 THEN 'success' WHEN captured + skipped > 0 THEN 'partial' ELSE 'failed' END AS result FROM c""")
+def run_outcome_rate(spark, sf_dir):
+    outcome = F.when(F.col("event_type") == "purchase", "captured").when(F.col("event_type") == "view", "skipped").otherwise("failed")
+    rows = table(spark, sf_dir, "events").select((F.col("user_id") % 20).alias("run"), outcome.alias("outcome"))
+    return metering.run_outcomes(rows, "run", "outcome")
+
+
+@query("""WITH s AS (SELECT user_id, min(struct_pack(ts := ts, e := event_id)) AS f, count(*) AS n FROM events GROUP BY user_id), k AS (SELECT user_id FROM s ORDER BY f, user_id LIMIT 10)
+SELECT CASE WHEN k.user_id IS NOT NULL THEN CAST(s.user_id AS VARCHAR) ELSE 'other' END AS label, CAST(sum(n) AS BIGINT) AS n FROM s LEFT JOIN k ON k.user_id = s.user_id GROUP BY 1""")
+def bounded_label_counts(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").withColumn("label", F.col("user_id").cast("string"))
+    return metering.bounded_labels(rows.select("label", "ts", "event_id", "user_id"), "label", ["ts", "event_id"], 10)
+
+
+@query("""SELECT event_id, user_id FROM (SELECT *, epoch(ts) - lag(epoch(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS gap FROM (SELECT event_id, user_id, date_trunc('second', ts) AS ts FROM events)) WHERE gap IS NULL OR gap >= 3600""")
+def last_seen_throttle(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select("event_id", "user_id", F.date_trunc("second", "ts").alias("ts"))
+    return metering.throttled(rows, "user_id", "ts", 3600).select("event_id", "user_id")
+
+
+_BM25 = r"""w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS t FROM documents),
+f AS (SELECT doc_id, len(t) AS n, len(list_filter(t, lambda x: x = 'worthless')) AS a, len(list_filter(t, lambda x: x = 'the')) AS b FROM w),
+s AS (SELECT count(*) AS docs, avg(n) AS mean, count(*) FILTER (a > 0) AS da, count(*) FILTER (b > 0) AS db FROM f),
+hits AS (SELECT doc_id, ln((docs - da + 0.5) / (da + 0.5) + 1) * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * n / mean)) + ln((docs - db + 0.5) / (db + 0.5) + 1) * b * 2.2 / (b + 1.2 * (0.25 + 0.75 * n / mean)) AS score FROM f, s WHERE a > 0 AND b > 0),
+words AS (SELECT doc_id, score, row_number() OVER (ORDER BY round(score, 9) DESC, doc_id) AS rank FROM hits QUALIFY rank <= 50)"""
+
+
+@query(f"WITH {_BM25} SELECT doc_id, round(score, 6) AS score, rank FROM words")
+def bm25_top50(spark, sf_dir):
+    top = retrieval.bm25(table(spark, sf_dir, "documents"), "doc_id", "text", "the worthless")
+    return top.select("doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+_COSINE = """q AS (SELECT CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id = 0),
+v AS (SELECT vec_id, label, list_cosine_similarity(CAST(embedding AS DOUBLE[]), q.e) AS score FROM embeddings, q),
+near AS (SELECT vec_id, label, score, row_number() OVER (ORDER BY round(score, 9) DESC, vec_id) AS rank FROM v QUALIFY rank <= 50)"""
+
+
+def _nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return retrieval.nearest(vectors, "vec_id", "embedding", vectors.where("vec_id = 0").select("embedding"))
+
+
+@query(f"WITH {_COSINE} SELECT vec_id, round(score, 6) AS score, rank FROM near")
+def cosine_top50(spark, sf_dir):
+    return _nearest(spark, sf_dir).select("vec_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@query(f"""WITH {_BM25}, {_COSINE} SELECT coalesce(doc_id, vec_id) AS doc_id, round(coalesce(1 / (60 + words.rank), 0) + coalesce(1 / (60 + near.rank), 0), 9) AS score,
+CASE WHEN vec_id IS NULL THEN 'keyword' WHEN doc_id IS NULL THEN 'semantic' ELSE 'hybrid' END AS match_kind FROM words FULL JOIN near ON doc_id = vec_id""")
+def hybrid_rrf(spark, sf_dir):
+    words = retrieval.bm25(table(spark, sf_dir, "documents"), "doc_id", "text", "the worthless")
+    near = _nearest(spark, sf_dir).withColumnRenamed("vec_id", "doc_id")
+    return retrieval.fuse(words, near, "doc_id").select("doc_id", F.round("score", 9).alias("score"), "match_kind")
+
+
+@query(f"""WITH q AS (SELECT vec_id AS query, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id < 20),
+s AS (SELECT query, vec_id, row_number() OVER (PARTITION BY query ORDER BY round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), e), 9) DESC, vec_id) AS rank FROM embeddings, q WHERE vec_id <> query QUALIFY rank <= 5),
+h AS (SELECT q.query, q.label, max((x.label = q.label)::INT) AS hit FROM q JOIN s ON s.query = q.query JOIN embeddings x ON x.vec_id = s.vec_id GROUP BY 1, 2)
+SELECT coalesce(CAST(label AS VARCHAR), 'all') AS label, round(avg(hit), 6) AS recall, count(*) AS queries FROM h GROUP BY ROLLUP (label)""")
+def recall_at_k(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    asked = vectors.where("vec_id < 20").select(F.col("vec_id").alias("query"), F.col("embedding").alias("_q"), F.col("label").cast("string").alias("label"))
+    scored = vectors.join(F.broadcast(asked), F.expr("vec_id <> query")).select("query", "vec_id", F.round(retrieval.cosine(F.col("embedding"), F.col("_q")), 9).alias("score"))
+    hits = cat.first_n(scored, ["query"], [F.desc("score"), F.col("vec_id")], 5)
+    expected = asked.join(vectors.select("vec_id", F.col("label").cast("string").alias("label")), "label").select("query", "vec_id", "label")
+    out = retrieval.recall(hits, expected, "query", "vec_id", 5, "label")
+    return out.select("label", F.round("recall", 6).alias("recall"), "queries")
+
+
+@query("""WITH c AS (SELECT n_nationkey, list_transform(range(0, 8), lambda i: CAST(len(list_filter(string_split(n_name, ''), lambda x: x <> '' AND ascii(x) % 8 = i)) AS DOUBLE)) AS v FROM nation)
+SELECT n_nationkey, i AS dim, round(v[i + 1] / sqrt(list_sum(list_transform(v, lambda x: x * x))), 6) AS x FROM (SELECT *, unnest(range(0, 8)) AS i FROM c)""")
+def hash_embedding(spark, sf_dir):
+    rows = table(spark, sf_dir, "nation").select("n_nationkey", F.posexplode(retrieval.hash_embedding(F.col("n_name"), 8)).alias("dim", "x"))
+    return rows.select("n_nationkey", F.col("dim").cast("long").alias("dim"), F.round("x", 6).alias("x"))
+
+
+@query("""SELECT doc_id, sha256('title=' || coalesce(source, '') || chr(10) || 'text=' || coalesce(text, '') || chr(10) || 'lang=' || coalesce(lang, '') || chr(10)) AS content_fp FROM documents""")
+def content_fingerprint(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", fx.fingerprint(title=F.col("source"), text=F.col("text"), lang=F.col("lang")).alias("content_fp"))
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'insert' WHEN doc_id % 5 = 0 OR doc_id % 11 = 0 THEN 'update' WHEN doc_id % 3 = 0 THEN 'reembed' ELSE 'skip' END AS action FROM documents""")
+def incremental_diff(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    now = docs.select("doc_id", fx.fingerprint(text=F.col("text")).alias("content_fp"), F.sha2("text", 256).alias("embed_fp"))
+    before = F.when(F.col("doc_id") % 5 == 0, "stale").otherwise(F.col("content_fp"))
+    state = now.where("doc_id % 7 <> 0").select("doc_id", before.alias("content_fp"), "embed_fp", F.when(F.col("doc_id") % 3 == 0, "old#32").otherwise("m#32").alias("model_id"))
+    return index.incremental_diff(now, state, now.where("doc_id % 11 <> 0"), "doc_id", "m#32")
+
+
+@query("SELECT DISTINCT id FROM (SELECT vec_id AS id FROM embeddings UNION SELECT doc_id FROM labels UNION SELECT page_id FROM pages UNION SELECT conv_id FROM conversations) WHERE id NOT IN (SELECT doc_id FROM documents WHERE doc_id % 2 = 0)")
+def orphan_purge(spark, sf_dir):
+    stores = [table(spark, sf_dir, t).select(F.col(c).alias("id")) for t, c in (("embeddings", "vec_id"), ("labels", "doc_id"), ("pages", "page_id"), ("conversations", "conv_id"))]
+    return index.orphans(stores, table(spark, sf_dir, "documents").where("doc_id % 2 = 0").select(F.col("doc_id").alias("id")), "id")
+
+
+@query("""SELECT c_custkey, 'c_name' AS field, c_name AS old, upper(c_name) || '!' AS new FROM customer WHERE c_custkey % 4 = 0
+UNION ALL SELECT c_custkey, 'c_mktsegment', c_mktsegment, NULL FROM customer WHERE c_custkey % 6 = 0""")
+def revision_log(spark, sf_dir):
+    old = table(spark, sf_dir, "customer")
+    new = old.withColumn("c_name", F.when(F.col("c_custkey") % 4 == 0, F.concat(F.upper("c_name"), F.lit("!"))).otherwise(F.col("c_name")))
+    new = new.withColumn("c_mktsegment", F.when(F.col("c_custkey") % 6 != 0, F.col("c_mktsegment")))
+    return index.revisions(old, new, "c_custkey", ["c_name", "c_mktsegment", "c_nationkey"])
+
+
+@query("""SELECT coalesce(o.c_custkey, n.c_custkey) AS c_custkey, CASE WHEN n.c_custkey IS NULL THEN o.c_name WHEN o.c_custkey IS NULL THEN n.c_name ELSE coalesce(nullif(n.c_name, ''), o.c_name) END AS c_name,
+CASE WHEN o.c_custkey IS NULL THEN n.c_acctbal ELSE o.c_acctbal END AS c_acctbal
+FROM (SELECT * FROM customer WHERE c_custkey % 2 = 0) o FULL JOIN (SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN '' ELSE lower(c_name) END AS c_name, c_acctbal + 1 AS c_acctbal FROM customer WHERE c_custkey % 3 = 0) n ON n.c_custkey = o.c_custkey""")
+def upsert_keep_rules(spark, sf_dir):
+    rows = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal")
+    new = rows.where("c_custkey % 3 = 0").select("c_custkey", F.when(F.col("c_custkey") % 4 == 0, "").otherwise(F.lower("c_name")).alias("c_name"), (F.col("c_acctbal") + 1).alias("c_acctbal"))
+    return index.merge(rows.where("c_custkey % 2 = 0"), new, ["c_custkey"], {"c_name": "empty", "c_acctbal": "old"})
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O' AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
+def withdrawal_detect(spark, sf_dir):
+    active = table(spark, sf_dir, "orders").where("o_orderstatus = 'O'").select("o_orderkey")
+    return crawl.withdrawn(active, table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey")
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 0 THEN 'added' ELSE 'vanished' END AS change FROM orders WHERE o_orderkey % 10 IN (0, 1)""")
+def catalog_drift(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").select("o_orderkey")
+    return crawl.drift(orders.where("o_orderkey % 10 <> 0"), orders.where("o_orderkey % 10 <> 1"), "o_orderkey")
+
+
+_ITEMS = "CASE o_orderstatus WHEN 'F' THEN 'complete' WHEN 'O' THEN 'pending' ELSE 'failed' END"
+
+
+def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    outcome = F.when(F.col("o_orderstatus") == "F", "complete").when(F.col("o_orderstatus") == "O", "pending").otherwise("failed")
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderkey").alias("position"), outcome.alias("outcome"), (F.col("o_custkey") % 5).alias("attempts"))
+
+
+@query(f"""WITH i AS (SELECT {_ITEMS} AS outcome, o_custkey % 5 AS attempts FROM orders) SELECT count(*) AS total, count(*) FILTER (outcome = 'complete') AS complete, count(*) FILTER (outcome = 'failed') AS failed,
+count(*) FILTER (outcome = 'pending') AS pending, count(*) FILTER (NOT (outcome = 'complete' OR (outcome = 'failed' AND attempts >= 3))) AS remaining FROM i""")
+def campaign_progress(spark, sf_dir):
+    return crawl.progress(_items(spark, sf_dir))
+
+
+@query(f"""WITH i AS (SELECT o_orderkey, {_ITEMS} AS outcome, o_custkey % 5 AS attempts FROM orders), c AS (SELECT min(o_orderkey) + 100 AS lo FROM orders), k AS (SELECT min(o_orderkey) AS cur FROM orders, c WHERE o_orderkey >= lo)
+SELECT o_orderkey, outcome FROM i, k WHERE (o_orderkey > cur AND outcome = 'pending') OR (outcome = 'failed' AND attempts < 3) ORDER BY o_orderkey LIMIT 40""")
+def session_plan_after_cursor(spark, sf_dir):
+    items = _items(spark, sf_dir)
+    low = items.agg((F.min("o_orderkey") + 100).alias("lo"))
+    cursor = items.join(F.broadcast(low), F.expr("o_orderkey >= lo")).agg(F.min("o_orderkey").alias("cursor"))
+    return crawl.plan_session(items, cursor, "o_orderkey", 40, retry=True).select("o_orderkey", "outcome")
+
+
+@query("SELECT l_orderkey, bool_and(l_linestatus = 'F' AND l_linenumber % 5 <> 4) AS skip, count(*) AS resources FROM lineitem GROUP BY l_orderkey")
+def dataset_skip_decision(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", F.when(F.col("l_linestatus") == "F", "success").otherwise("failed").alias("o"), F.lit(4).alias("old"), F.when(F.col("l_linenumber") % 5 == 4, 5).otherwise(4).alias("new"))
+    return crawl.skippable(rows, "l_orderkey", "o", "old", "new")
+
+
+@query("""WITH v AS (SELECT 'c_acctbal' AS name, CAST(CAST(c_acctbal AS DECIMAL(18, 2)) AS VARCHAR) AS x FROM customer UNION ALL SELECT 'c_custkey', CAST(c_custkey AS VARCHAR) FROM customer
+UNION ALL SELECT 'c_name', c_name FROM customer UNION ALL SELECT 'date', strftime(o_orderdate, '%d.%m.%Y') FROM orders UNION ALL SELECT 'flag', CASE WHEN c_custkey % 2 = 0 THEN 'yes' ELSE 'no' END FROM customer),
+t AS (SELECT name, regexp_matches(x, '^(\\d{4}-\\d{2}-\\d{2}(T.+)?|\\d{1,2}[./-]\\d{1,2}[./-]\\d{4})$') AS d, regexp_matches(x, '^-?\\d{1,3}([\\s.]\\d{3})*(,\\d+)?$') AS g, regexp_matches(x, '^-?\\d+(\\.\\d+)?$') AS p, x FROM v),
+c AS (SELECT name, count(*) AS n, count(*) FILTER (d) AS dates, count(*) FILTER (NOT d AND ((g AND NOT contains(x, ',')) OR (NOT g AND p AND NOT contains(x, '.')))) AS ints, count(*) FILTER (NOT d AND (g OR p)) AS nums, count(*) FILTER (NOT d AND NOT g AND NOT p AND lower(x) IN ('true', 'yes', 'y', 'false', 'no', 'n')) AS bools FROM t GROUP BY name)
+SELECT name, CASE WHEN dates >= 0.9 * n THEN 'datetime' WHEN ints >= 0.9 * n THEN 'integer' WHEN nums >= 0.9 * n THEN 'decimal' WHEN bools >= 0.9 * n THEN 'boolean' ELSE 'string' END AS type,
+CAST(CASE WHEN dates >= 0.9 * n THEN CASE WHEN dates = n THEN 0.95 ELSE 0.8 END WHEN ints >= 0.9 * n THEN CASE WHEN ints = n THEN 0.95 ELSE 0.8 END WHEN nums >= 0.9 * n THEN CASE WHEN nums = n THEN 0.95 ELSE 0.8 END WHEN bools >= 0.9 * n THEN CASE WHEN bools = n THEN 0.95 ELSE 0.8 END ELSE 0.7 END AS DOUBLE) AS confidence, false AS nullable FROM c""".replace("\\\\", "\\"))
+def column_type_vote(spark, sf_dir):
+    from civicspark.operators.curation import vote
+
+    customer, orders = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
+    cells = customer.select(F.explode(F.array(
+        F.struct(F.lit("c_acctbal").alias("name"), F.col("c_acctbal").cast("decimal(18,2)").cast("string").alias("cell")), F.struct(F.lit("c_custkey").alias("name"), F.col("c_custkey").cast("string").alias("cell")),
+        F.struct(F.lit("c_name").alias("name"), F.col("c_name").alias("cell")), F.struct(F.lit("flag").alias("name"), F.when(F.col("c_custkey") % 2 == 0, "yes").otherwise("no").alias("cell")))).alias("x")).select("x.name", "x.cell")
+    cells = cells.unionByName(orders.select(F.lit("date").alias("name"), F.date_format("o_orderdate", "dd.MM.yyyy").alias("cell")))
+    return vote(cells, ["name"], "cell")
+
+
+@query("""WITH v AS (SELECT l_orderkey, l_linenumber, strftime(l_shipdate, '%d.%m.%Y') AS d, replace(CAST(CAST(l_discount * 100 AS DECIMAL(9, 1)) AS VARCHAR), '.', ',') AS n, l_returnflag AS b FROM lineitem)
+SELECT l_orderkey, l_linenumber, d[7:10] || '-' || d[4:5] || '-' || d[1:2] AS date, CAST(replace(n, ',', '.') AS DOUBLE) AS number, CASE WHEN b = 'N' THEN false END AS flag FROM v""")
+def normalize_decimal_date_bool(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.date_format("l_shipdate", "dd.MM.yyyy").alias("d"), F.replace((F.col("l_discount") * 100).cast("decimal(9,1)").cast("string"), F.lit("."), F.lit(",")).alias("n"), "l_returnflag")
+    return rows.select("l_orderkey", "l_linenumber", fx.date_value(F.col("d")).alias("date"), fx.decimal_value(F.col("n")).alias("number"), fx.boolean_value(F.col("l_returnflag")).alias("flag"))
+
+
+@query(r"""SELECT kind, reason, count(*) AS n FROM (SELECT CASE WHEN regexp_matches(t, '^[ \t\n\r]*<') THEN 'xml' WHEN regexp_matches(t, '^[ \t\n\r]*[{\[]') THEN 'json' WHEN contains(u, '.csv') THEN 'tabular' ELSE 'text' END AS kind,
+CASE WHEN regexp_matches(t, '^[ \t\n\r]*[<{\[]') THEN 'magic' WHEN contains(u, '.csv') THEN 'extension' ELSE 'fallback' END AS reason FROM (SELECT html AS t, '' AS u FROM pages UNION ALL SELECT props, '' FROM events UNION ALL SELECT c_name, 'a.csv' FROM customer)) GROUP BY 1, 2""")
+def sniff_kind(spark, sf_dir):
+    rows = table(spark, sf_dir, "pages").select(F.col("html").alias("t"), F.lit("").alias("u")).union(table(spark, sf_dir, "events").select("props", F.lit(""))).union(table(spark, sf_dir, "customer").select("c_name", F.lit("a.csv")))
+    return rows.select(fx.sniffed(F.col("t"), F.col("u")).alias("s")).groupBy("s.kind", "s.reason").agg(F.count("*").alias("n"))
+
+
+@query(r"""SELECT page_id, CASE WHEN regexp_extract(b, '<([A-Za-z_][\w.:-]*)', 1) = '' THEN 'unknown' ELSE regexp_extract(b, '<([A-Za-z_][\w.:-]*)', 1) END AS root FROM (SELECT page_id, regexp_replace(regexp_replace(html, '(?s)<\?.*?\?>', '', 'g'), '(?s)<!--.*?-->', '', 'g') AS b FROM pages)""")
+def xml_root_element(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", fx.root_element(F.col("html")).alias("root"))
+
+
+@query(r"""SELECT p_partkey, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '-') AS slug, CASE WHEN regexp_matches(c, '^[a-z]') THEN c ELSE 'c_' || c END AS name
+FROM (SELECT *, regexp_replace(trim(regexp_replace(lower(p_brand || ' ' || p_name), '[^a-z0-9_]+', '_', 'g'), '_'), '__+', '_', 'g') AS c FROM part)""")
+def slug_and_canonical(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", fx.slug(F.col("p_name")).alias("slug"), fx.canonical_name(F.concat_ws(" ", "p_brand", "p_name")).alias("name"))
+
+
+@query("""WITH g AS (SELECT 'x:' || i AS entity, lower(name) AS pattern, CASE WHEN i % 2 = 0 THEN 'canonical' ELSE 'alias' END AS m FROM (VALUES (0, 'Worth'), (0, 'worthless'), (1, 'ation'), (2, 'keit'), (3, 'ción'), (4, 'zzzz'), (5, 'License')) t(i, name))
+SELECT doc_id, entity, max_by(pattern, length(pattern)) AS pattern, max_by(m, length(pattern)) AS match_type FROM documents, g WHERE contains(lower(text), pattern) GROUP BY 1, 2""")
+def gazetteer_substring_match(spark, sf_dir):
+    names = [(0, "Worth"), (0, "worthless"), (1, "ation"), (2, "keit"), (3, "ción"), (4, "zzzz"), (5, "License")]
+    frame = spark.createDataFrame([(f"x:{i}", n, "alias" if i % 2 else "canonical") for i, n in names], "entity string, name string, match_type string")
+    return linking.gazetteer(table(spark, sf_dir, "documents"), "doc_id", F.col("text"), frame)
+
+
+@query("""SELECT DISTINCT o_orderkey, 'time:' || d AS entity, d AS date, CAST(0.95 AS DOUBLE) AS confidence FROM (SELECT o_orderkey, unnest([strftime(o_orderdate, '%Y-%m-%d'), strftime(o_orderdate + INTERVAL 1 DAY, '%Y-%m-%d')]) AS d FROM orders)""")
+def iso_date_extract(spark, sf_dir):
+    text = F.concat_ws(" ", F.lit("from"), F.col("o_orderdate").cast("string"), F.lit("until"), F.date_add("o_orderdate", 1).cast("string"), F.lit("from"), F.col("o_orderdate").cast("string"))
+    return linking.iso_dates(table(spark, sf_dir, "orders"), "o_orderkey", text)
+
+
+@query("""WITH f AS (SELECT p_partkey, p_name, p_retailprice FROM part WHERE contains(lower(p_brand), 'brand#1') AND contains(lower(p_type), 'steel')) SELECT *, (SELECT count(*) FROM f) AS total FROM f ORDER BY p_retailprice DESC, p_partkey LIMIT 20 OFFSET 5""")
+def grid_filter_sort_page(spark, sf_dir):
+    rows, order = cat.grid(table(spark, sf_dir, "part"), {"p_brand": " Brand#1 ", "p_type": "STEEL", "p_name": " "}, "p_retailprice", True, row="p_partkey")
+    return cat.page(rows, order, 20, 5).select("p_partkey", "p_name", "p_retailprice", "total")
+
+
+@query("SELECT 'k' AS name, min(event_id) AS first_row FROM events")
+def ragged_columns(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select("event_id", F.from_json("props", "map<string,string>").alias("cells"))
+    return cat.ragged_columns(rows, "cells", "event_id")
+
+
+@query("""SELECT source, string_agg(doc_id || ',' || lang || ',"' || replace('a"b', '"', '""') || '"', chr(10) ORDER BY doc_id) AS csv FROM documents WHERE source IS NOT NULL GROUP BY source""")
+def csv_export(spark, sf_dir):
+    line = F.concat_ws(",", *[fx.csv_cell(c) for c in (F.col("doc_id"), F.col("lang"), F.lit('a"b'))])
+    rows = table(spark, sf_dir, "documents").where("source is not null").groupBy("source").agg(F.array_sort(F.collect_list(F.struct("doc_id", line.alias("line")))).alias("x"))
+    return rows.select("source", F.array_join("x.line", "\n").alias("csv"))
+
+
+@query("SELECT user_id, window_start, count(*) AS n, sum(value) AS total FROM (SELECT *, time_bucket(INTERVAL 1 HOUR, ts) AS window_start FROM events) GROUP BY 1, 2")
+def usage_by_hour(spark, sf_dir):
+    from civicspark.streaming.metering import by_window
+
+    return by_window(table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")), "user_id", "ts", "value", "1 hour").withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
