@@ -219,12 +219,12 @@ def latency_histogram_cumulative(spark, sf_dir):
 
 
 @query("""WITH e AS (SELECT user_id, event_type, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events)
-SELECT user_id % 10 AS tenant, round(sum(((k * 10 - least(k, k * 10)) + 0.1 * least(k, k * 10)) * i / 1e6 + k * o / 1e6), 6) AS cost FROM (
+SELECT user_id % 10 AS tenant, round(sum(((k * 10 - least(k, k * 10)) + 0.1 * least(k, k * 10)) * i / 1e6 + k * o / 1e6), 9) AS cost FROM (
 SELECT *, CASE WHEN event_type = 'view' THEN 3.0 WHEN event_type LIKE 'c%' THEN 2.0 ELSE 0.0 END AS i, CASE WHEN event_type = 'view' THEN 15.0 WHEN event_type LIKE 'c%' THEN 8.0 ELSE 0.0 END AS o FROM e) GROUP BY 1""")
 def llm_cost_by_tenant(spark, sf_dir):
     k = F.get_json_object("props", "$.k").cast("long")
     paid = metering.cost({"view": (3.0, 15.0), "c": (2.0, 8.0)}, F.col("event_type"), k * 10, k, k)
-    return table(spark, sf_dir, "events").groupBy((F.col("user_id") % 10).alias("tenant")).agg(F.round(F.sum(paid), 6).alias("cost"))
+    return table(spark, sf_dir, "events").groupBy((F.col("user_id") % 10).alias("tenant")).agg(F.round(F.sum(paid), 9).alias("cost"))
 
 
 @query("""WITH t AS (SELECT user_id, sum(CAST(json_extract(props, '$.k') AS BIGINT)) AS total, CAST(floor(sum(value)) AS BIGINT) AS cached FROM events GROUP BY user_id)
