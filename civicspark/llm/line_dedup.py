@@ -34,6 +34,8 @@ from civicspark.llm.scratch import save
 
 BUCKETS = 1 << 17
 LEAST = 5
+#: A column's name while lines are removed; no table should have it.
+KEPT = "_civicspark_kept_lines"
 
 _COUNTS = pa.schema([("bucket", pa.int32()), ("n", pa.int64())])
 _LINES = "a long, b long, id long, line int, n int, prefix array<long>"
@@ -136,7 +138,7 @@ def kept_lines(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     counts = docs.mapInArrow(_counted, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()  # BUCKETS rows at most
     n = np.zeros(BUCKETS)
-    n[counts.bucket] = counts.n
+    n[counts.bucket.to_numpy(np.int64)] = counts.n
     shared = spark.sparkContext.broadcast(np.minimum(np.round(64 * np.log2(n + 1)), 4095).astype(np.uint16))
     lines = docs.mapInArrow(_lines(shared, percent), _LINES)
     sets = lines.groupBy("a", "b").agg(F.min(F.struct("id", "line")).alias("at"), F.any_value("n").alias("n"), F.any_value("prefix").alias("prefix"))
@@ -169,8 +171,8 @@ _LINES_IN = pa.schema([("id", pa.int64()), ("n_lines", pa.int64()), ("gone", pa.
 
 
 def _gone(w: tx.Words, offsets: np.ndarray, batch: pa.RecordBatch) -> list[list[int]]:
-    """Of each text the numbers of the lines that are long enough and not in `kept`."""
-    kept, of = tx.lists(batch, "kept")
+    """Of each text the numbers of the lines that are long enough and not kept."""
+    kept, of = tx.lists(batch, KEPT)
     out: list[list[int]] = [[] for _ in range(batch.num_rows)]
     if len(w.hashes):
         line, first = _line_of(w, offsets)
@@ -191,7 +193,7 @@ def _reported(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _rewritten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts without their removed lines; the column `kept` is dropped."""
+    """Texts without their removed lines; the column of kept ones is dropped."""
     for batch, data, offsets in tx.blocks(batches):
         gone = _gone(tx.words(data, offsets), offsets, batch)
         at = batch.schema.get_field_index("text")
@@ -201,18 +203,18 @@ def _rewritten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 lines, drop_ = texts[i].split("\n"), set(drop_)
                 texts[i] = "\n".join(x for k, x in enumerate(lines) if k not in drop_)
         columns = [pa.array(texts, pa.string()) if i == at else c for i, c in enumerate(batch.columns)]
-        keep = [i for i, f in enumerate(batch.schema) if f.name != "kept"]
+        keep = [i for i, f in enumerate(batch.schema) if f.name != KEPT]
         yield pa.RecordBatch.from_arrays([columns[i] for i in keep], names=[batch.schema.field(i).name for i in keep])
 
 
 def _with_kept(docs: DataFrame, percent: int, id_col: str) -> DataFrame:
-    kept = kept_lines(docs, percent, id_col).groupBy("id").agg(F.collect_list("line").alias("kept")).withColumnRenamed("id", "kept_id")
-    return docs.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col("kept_id")), "left").drop("kept_id")
+    kept = kept_lines(docs, percent, id_col).groupBy("id").agg(F.collect_list("line").alias(KEPT)).withColumnRenamed("id", f"{KEPT}_id")
+    return docs.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col(f"{KEPT}_id")), "left").drop(f"{KEPT}_id")
 
 
 def removed_lines(docs: DataFrame, percent: int = 80, id_col: str = "doc_id") -> DataFrame:
     """Per row of docs: its id, n_lines, n_removed and the removed lines' numbers, from 0 and comma-joined."""
-    rows = _with_kept(docs.select(id_col, "text"), percent, id_col).select(F.col(id_col).cast("long").alias("id"), "text", "kept")
+    rows = _with_kept(docs.select(id_col, "text"), percent, id_col).select(F.col(id_col).cast("long").alias("id"), "text", KEPT)
     out = rows.mapInArrow(_reported, "id long, n_lines long, gone array<int>")
     return out.select(F.col("id").alias(id_col), "n_lines", F.size("gone").cast("long").alias("n_removed"), F.array_join("gone", ",").alias("removed"))
 

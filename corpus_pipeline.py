@@ -31,21 +31,21 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without their removed lines; one that had words and has none left goes."""
-    before = docs.withColumn("had_words", F.coalesce(F.col("text").rlike(WORD), F.lit(False)))
-    after = remove_lines(before).where("not had_words or text rlike '[^\\\\x20\\\\x09-\\\\x0D]'").drop("had_words")
+    before = docs.withColumn("_civicspark_had_words", F.coalesce(F.col("text").rlike(WORD), F.lit(False)))
+    after = remove_lines(before).where("not _civicspark_had_words or text rlike '[^\\\\x20\\\\x09-\\\\x0D]'").drop("_civicspark_had_words")
     return after.withColumn("n_chars", F.length("text").cast("long"))
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the one with the least id, of each group of near-duplicates."""
-    kept = near_duplicates(docs, shingle=5, percent=80).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").dropDuplicates(["doc_id", "text"])
+    kept = near_duplicates(docs, shingle=5, percent=80).where("kept").select(F.col("doc_id").alias("_civicspark_kept_id")).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_civicspark_kept_id")), "left_semi").dropDuplicates(["doc_id", "text"])
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    found = contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(F.col("doc_id").alias("bad_id")).distinct()
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("bad_id")), "left_anti")
+    found = contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(F.col("doc_id").alias("_civicspark_bad_id")).distinct()
+    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("_civicspark_bad_id")), "left_anti")
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
