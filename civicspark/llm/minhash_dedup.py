@@ -12,7 +12,7 @@ linked when their sets' Jaccard similarity is at least `percent` / 100.
    then by another for each, and the members of other components are checked
    against it.  Then pairs of one bucket that are still in different components
    are checked, each in its first common band; pairs in one component cannot
-   change it.  No bucket lists all pairs.
+   change it.  That join compares the sets themselves, so only links leave it.
 4. A check compares signatures (200 bytes, five standard deviations of slack)
    and then the full shingle sets.
 5. Components: see `components`.
@@ -102,6 +102,21 @@ def _alike(slack: float):
     return run
 
 
+_SHORT_ARROW = pa.schema([("id", pa.int64()), ("short", pa.list_(pa.int32()))])
+
+
+def _short_sets(size: int):
+    """Each text's distinct shingle hashes, cut to 32 bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, data, offsets in tx.blocks(batches):
+            gram, first = shingles(data, offsets, size)
+            short = (gram >> np.uint64(32)).astype(np.uint32).view(np.int32)
+            yield tx.record(_SHORT_ARROW, batch.column(0), [np.unique(short[first[i] : first[i + 1]]) for i in range(batch.num_rows)])
+
+    return run
+
+
 def _verified(size: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in tx.blocks(batches, "text"):
@@ -165,9 +180,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     edges = edges.unionByName(check(stars(members, F.xxhash64("id", "band"))))
     labels = save(components(edges))
     members = labelled(members.drop("label"))
-    rest = members.join(sigs.select("id", "bands"), "id")
+    # these pairs are compared within the join, so that only links leave it, by shingle hashes cut to 32 bits;
+    # what equal cut hashes hide of an intersection is at most n less the number of distinct ones
+    apart = held.join(members.select(F.col("id").alias("own")).distinct(), F.col("id") == F.col("own"), "left_semi").select("id", "text")
+    apart = save(apart.mapInArrow(_short_sets(shingle), "id long, short array<int>").join(sigs.select("id", "bands"), "id"))
+    rest = members.join(apart, "id")
     once = "not arrays_overlap(slice(a.bands, 1, a.k), slice(b.bands, 1, a.k))"
-    rest = rest.alias("a").join(rest.alias("b"), F.expr(f"a.band = b.band and a.label < b.label and {sized} and {once}"))
+    shared = "(size(array_intersect(a.short, b.short)) + a.n - size(a.short))"
+    linked = f"100 * {shared} >= {percent} * (a.n + b.n - {shared})"
+    rest = rest.alias("a").join(rest.alias("b"), F.expr(f"a.band = b.band and a.label < b.label and {sized} and {once} and {linked}"))
     edges = edges.unionByName(check(rest.select(F.col("a.id").alias("x"), F.col("b.id").alias("y"))))
     labels = components(edges)
     out = copies.join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left")
