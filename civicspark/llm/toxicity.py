@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from civicspark.llm import features as ft
 from civicspark.llm import text as tx
 
-SAMPLE, FEATURES, DEVIATIONS, CAP, GRADES = 2500, 5_000, 4.0, 4, 4
+SAMPLE, FEATURES, DEVIATIONS, CAP, GRADES = 1500, 5_000, 4.0, 4, 4
 
 Bag = tuple[int, np.ndarray, np.ndarray]
 
@@ -71,7 +71,12 @@ def train(bags: list[Bag], rounds: int = 400, penalty: float = 5e-3) -> tuple[np
     share = np.where(y == 1, 0.5 / (y == 1).sum(), 0.5 / (y == 0).sum())
     scale = np.sqrt(np.bincount(col, value**2 * share[row], len(names)))
     value = value / scale[col]
-    step = 1 / max(np.bincount(row, value**2, len(bags)) @ share, 1e-9)
+    v = np.ones(len(names))  # the largest curvature, by power iteration, sets the step
+    for _ in range(30):
+        v = np.bincount(col, value * (share * np.bincount(row, v[col] * value, len(bags)))[row], len(names))
+        top = np.linalg.norm(v)
+        v = v / max(top, 1e-9)
+    step = 1 / max(top, 1e-9)
     w, cuts = np.zeros(len(names)), np.array([0.0, 1.0, 2.0])
     last, last_cuts, speed = w.copy(), cuts.copy(), 1.0
     for _ in range(rounds):  # proximal gradient with momentum
