@@ -106,7 +106,7 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, each: int, fold: bool
     chosen = chosen[0].unionByName(chosen[1]).dropDuplicates([id_col]).select(F.col(id_col).alias("own"), F.col(label).cast("int").alias("label"))
     rows = docs.select(id_col, "text").join(F.broadcast(chosen), F.col(id_col) == F.col("own")).select(F.col(id_col).cast("long").alias("id"), "label", "text")
     bags = rows.mapInArrow(_bags(fold), "id long, label int, buckets binary, counts binary").toArrow().sort_by("id")
-    return [(y, np.frombuffer(b, "<u4").astype(np.int64), np.frombuffer(n, "<u2").astype(np.float32)) for y, b, n in zip(*(bags.column(x).to_pylist() for x in ("label", "buckets", "counts")), strict=True)]
+    return [(y, np.frombuffer(b, "<u4"), np.frombuffer(n, "<u2")) for y, b, n in zip(*(bags.column(x).to_pylist() for x in ("label", "buckets", "counts")), strict=True)]
 
 
 def learnable(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:

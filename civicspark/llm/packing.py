@@ -34,7 +34,7 @@ from civicspark.llm.tokens import byte_letters
 #: Letters of Latin 1 in lower case, then signs of ASCII but for the apostrophe: two parts for the tokenizer.
 PLAIN = re.compile(r"([a-zß-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 #: Entries of a cache before it is begun anew.
-CACHE = 600_000
+CACHE = 300_000
 #: Hash buckets of a length when pieces are ranked.
 BUCKETS = 256
 

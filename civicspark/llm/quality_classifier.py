@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from civicspark.llm import features as ft
 from civicspark.llm import text as tx
 
-SAMPLE, SIZE, ROUNDS, RATE = 2000, 16, 6, 0.5
+SAMPLE, SIZE, ROUNDS, RATE = 1200, 16, 6, 0.5
 
 
 def train(bags: list[tuple[int, np.ndarray, np.ndarray]], size: int = SIZE, rounds: int = ROUNDS, rate: float = RATE) -> tuple[np.ndarray, float]:
@@ -57,15 +57,20 @@ def train(bags: list[tuple[int, np.ndarray, np.ndarray]], size: int = SIZE, roun
 _SCORED = pa.schema([("id", pa.int64()), ("score", pa.float64())])
 
 
+def _chances(table: np.ndarray, bias: float, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The chance of label 1 of each text of a block."""
+    rows = len(offsets) - 1
+    total, n = np.zeros(rows), np.zeros(rows)
+    for bucket, text in ft.features(data, offsets):
+        total += np.bincount(text, table[bucket], rows)
+        n += np.bincount(text, minlength=rows)
+    return 1 / (1 + np.exp(-np.clip(total / np.maximum(n, 1) + bias, -50, 50)))
+
+
 def _scored(table: np.ndarray, bias: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in tx.blocks(batches):
-            total, n = np.zeros(batch.num_rows), np.zeros(batch.num_rows)
-            for bucket, text in ft.features(data, offsets):
-                total += np.bincount(text, table[bucket], batch.num_rows)
-                n += np.bincount(text, minlength=batch.num_rows)
-            odds = total / np.maximum(n, 1) + bias
-            yield tx.record(_SCORED, batch.column(0), 1 / (1 + np.exp(-np.clip(odds, -50, 50))))
+            yield tx.record(_SCORED, batch.column(0), _chances(table, bias, data, offsets))
 
     return run
 
@@ -78,14 +83,9 @@ def scores(docs: DataFrame, labels: DataFrame, each: int = SAMPLE, id_col: str =
 
 
 def _kept(table: np.ndarray, bias: float, least: float):
-    score = _scored(table, bias)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            text = batch.schema.get_field_index("text")
-            own = pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows, pa.int64()), batch.column(text)], ["id", "text"])
-            good = [x for part in score(iter([own])) for x in (part.column(1).to_numpy() >= least)]
-            yield batch.filter(pa.array(good, pa.bool_()))
+        for batch, data, offsets in tx.blocks(batches):
+            yield batch.filter(pa.array(_chances(table, bias, data, offsets) >= least))
 
     return run
 

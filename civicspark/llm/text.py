@@ -1,7 +1,7 @@
 """Vectorised word arithmetic over Arrow text columns.
 
 Every operator of this subpackage that looks at words reads a column of UTF-8
-text in blocks of about a megabyte (a longer text forms a block of its own) and
+text in blocks of about half a megabyte (a longer text forms a block of its own) and
 works on whole blocks with numpy: no Python object is made for a word.  Equal
 words get equal 64-bit hashes in every task; `grams` combines the hashes of
 neighbouring words in the same way.
@@ -17,7 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text handled at once.
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True

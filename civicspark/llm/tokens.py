@@ -36,7 +36,7 @@ PIECE = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 #: A plain piece: perhaps a line end, perhaps a space, letters of Latin 1, perhaps one sign.
 PLAIN = re.compile(r"\n? ?[A-Za-zÀ-ÖØ-öø-ÿ]+[.,;:!?|%&$#*)]?")
 #: Entries of a cache before it is begun anew.
-CACHE = 600_000
+CACHE = 300_000
 
 _COUNTERS: dict[str, PrefixCounter] = {}
 
