@@ -5,13 +5,15 @@ removed when an earlier line (by document id, then line number) has a Jaccard
 similarity of at least `percent` / 100 with it, whether or not that one stays.
 
 1. Words are ordered by rarity: counts over all documents, in BUCKETS hashed
-   buckets (any one order gives exact results; a good one makes few candidates).
+   buckets, at most 12 MB at the driver (any one order gives exact results; the
+   finer the counts, the fewer the candidates).
 2. Equal sets become one, with its first place; later ones are removed.
-3. Two similar sets share a word in their prefixes, n - ceil(0.8 n) + 1 rarest
-   words.  Words in one prefix only are dropped.  Each set is first checked
+3. Two similar sets share SHARED = 2 words in their prefixes, the n - ceil(0.8 n) +
+   SHARED rarest words.  Words in one prefix only are dropped.  Each set is first checked
    against the earliest set of each of its words; only sets without a match yet
    are paired with all earlier ones.  Both joins apply the length filter and the
-   positional one (what can still be common after the word).
+   positional one (what can still be common after the word), and of the shorter
+   set only the fewer words count that an index of shorter sets needs.
 4. Candidates' words are read again from the texts and the Jaccard similarity is
    taken exactly.
 
@@ -30,10 +32,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from civicspark.llm import text as tx
-from civicspark.llm.scratch import save
+from civicspark.llm.scratch import drop, save
 
-BUCKETS = 1 << 17
+BUCKETS = 1 << 21
 LEAST = 5
+#: Words that the prefixes of two similar sets must share.
+SHARED = 2
 #: A column's name while lines are removed; no table should have it.
 KEPT = "_civicspark_kept_lines"
 
@@ -48,9 +52,15 @@ def _bucket(hashes: np.ndarray) -> np.ndarray:
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    n = np.zeros(BUCKETS, np.int64)
+    n, held, size = np.zeros(BUCKETS, np.int64), [], 0
     for _, data, offsets in tx.blocks(batches):
-        n += np.bincount(_bucket(tx.words(data, offsets).hashes), minlength=BUCKETS)
+        held.append(_bucket(tx.words(data, offsets).hashes))
+        size += len(held[-1])
+        if size > BUCKETS:
+            n += np.bincount(np.concatenate(held), minlength=BUCKETS)
+            held, size = [], 0
+    if held:
+        n += np.bincount(np.concatenate(held), minlength=BUCKETS)
     some = np.flatnonzero(n)
     yield tx.record(_COUNTS, some.astype(np.int32), n[some])
 
@@ -92,7 +102,7 @@ def _lines(shared, percent: int):
             words = np.bincount(_line_of(w, offsets)[0])
             words = words[words > 0]
             use = words >= LEAST
-            length = sizes - -(-sizes * percent // 100) + 1
+            length = np.minimum(sizes - -(-sizes * percent // 100) + SHARED, sizes)
             begin, length = edges[:-1][use], length[use]
             at = np.arange(length.sum()) + np.repeat(begin - np.cumsum(length) + length, length)
             prefix = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(length)), pa.int32()), pa.array(tx.signed(hashes[at])))
@@ -136,38 +146,62 @@ def kept_lines(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_
     """(id, line) of the lines of at least LEAST words that stay."""
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    counts = docs.mapInArrow(_counted, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()  # BUCKETS rows at most
-    n = np.zeros(BUCKETS)
-    n[counts.bucket.to_numpy(np.int64)] = counts.n
-    shared = spark.sparkContext.broadcast(np.minimum(np.round(64 * np.log2(n + 1)), 4095).astype(np.uint16))
+    counts = docs.mapInArrow(_counted, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    ranks = counts.select("bucket", F.least(F.round(64 * F.log2(F.col("n") + 1)), F.lit(4095)).cast("short").alias("rank")).toArrow()  # BUCKETS rows at most
+    rank = np.zeros(BUCKETS, np.uint16)
+    rank[ranks.column("bucket").to_numpy()] = ranks.column("rank").to_numpy()
+    shared = spark.sparkContext.broadcast(rank)
     lines = docs.mapInArrow(_lines(shared, percent), _LINES)
     sets = lines.groupBy("a", "b").agg(F.min(F.struct("id", "line")).alias("at"), F.any_value("n").alias("n"), F.any_value("prefix").alias("prefix"))
     sets = save(sets.select("at.id", "at.line", "n", "prefix"))
-    prefixes = sets.select(F.posexplode("prefix").alias("pos", "word"), F.struct("id", "line").alias("at"), "n")
-    first = prefixes.groupBy("word").agg(F.min(F.struct("at", "n", "pos")).alias("f"), F.count("*").alias("k")).where("k > 1").select("word", "f.*")
-    first = save(first)
-    prefixes = save(prefixes.join(first.select("word"), "word", "left_semi"))
-    fits = f"""x.word = y.word and y.at < x.at and 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)
-        and least(x.n - x.pos, y.n - y.pos) * {100 + percent} >= {percent} * (x.n + y.n)"""
-
-    def check(later: DataFrame, earlier: DataFrame) -> DataFrame:
-        pairs = save(later.alias("x").join(earlier.alias("y"), F.expr(fits)).select(F.col("x.at").alias("x"), F.col("y.at").alias("y")).distinct())
-        asked = pairs.select(F.explode(F.array("x", "y")).alias("at")).distinct().groupBy(F.col("at.id").alias("own")).agg(F.collect_list("at.line").alias("lines"))
+    # the earliest set of each word, for words in two prefixes or more
+    first = _prefixes(sets).groupBy("word").agg(F.min(F.struct("id", "line", "n", "pos")).alias("f"), F.count("*").alias("k")).where("k > 1")
+    first = save(first.select("word", *[F.col(f"f.{c}").alias(f"f_{c}") for c in SEEN]))
+    shared_words = save(_prefixes(sets).join(first, "word"))
+    drop(first)
+
+    pair = ["x_id", "x_line", "y_id", "y_line"]
+
+    def check(pairs: DataFrame) -> DataFrame:
+        """(id, line) of x for pairs (x_id, x_line, y_id, y_line) that are similar."""
+        joined = pairs = save(pairs.groupBy(pair).agg(F.count("*").alias("k")).where(f"k >= {SHARED}").drop("k"))
+        asked = pairs.select(F.explode(F.array(F.struct(F.col("x_id").alias("id"), F.col("x_line").alias("line")), F.struct(F.col("y_id").alias("id"), F.col("y_line").alias("line")))).alias("at"))
+        asked = asked.distinct().groupBy(F.col("at.id").alias("own")).agg(F.collect_list("at.line").alias("lines"))
         words = docs.join(asked, F.col("id").eqNullSafe(F.col("own"))).select("id", "text", "lines").mapInArrow(_words_of, "id long, line int, words binary")
-        words = save(words.select(F.struct("id", "line").alias("at"), "words").dropDuplicates(["at"]))
-        both = pairs.join(words.select(F.col("at").alias("x"), F.col("words").alias("one")), "x").join(words.select(F.col("at").alias("y"), F.col("words").alias("two")), "y")
-        return save(both.select("x.id", "x.line", "one", "two").mapInArrow(_similar(percent), "id long, line int").distinct())
-
-    gone = check(prefixes, first)
-    same = F.expr("x.at.id <=> g.id and x.at.line = g.line")
-    left = prefixes.alias("x").join(gone.alias("g"), same, "left_anti")
-    rest = left.alias("l").join(first.select(F.col("word"), F.col("at").alias("centre")), "word").where("centre <> at").drop("centre")
-    gone = gone.unionByName(check(rest, prefixes))
+        words = save(words.dropDuplicates(["id", "line"]))
+        for side, name in (("x", "one"), ("y", "two")):
+            own = words.select(F.col("id").alias("w_id"), F.col("line").alias("w_line"), F.col("words").alias(name))
+            joined = joined.join(own, F.expr(f"{side}_id <=> w_id and {side}_line = w_line")).drop("w_id", "w_line")
+        found = save(joined.select(F.col("x_id").alias("id"), F.col("x_line").alias("line"), "one", "two").mapInArrow(_similar(percent), "id long, line int").distinct())
+        drop(pairs, words)
+        return found
+
+    # of a pair the shorter set's word is among the fewer that an index needs: n - ceil(2 t / (1 + t) * n) + SHARED
+    index = f"{{0}}.pos < {{0}}.n - ceil({2 * percent} * {{0}}.n / {100 + percent}D) + {SHARED}"
+    fits = f"""100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) and ({SHARED - 1} + least(x.n - x.pos, y.n - y.pos)) * {100 + percent} >= {percent} * (x.n + y.n)
+        and if(x.n < y.n, {index.format("x")}, {index.format("y")})"""
+    star = shared_words.select(F.struct(*SEEN).alias("x"), F.struct(*[F.col(f"f_{c}").alias(c) for c in SEEN]).alias("y"))
+    star = star.where(f"not (x.id <=> y.id and x.line = y.line) and {fits}")
+    gone = check(star.select(*[F.col(c.replace("_", ".")).alias(c) for c in pair]))
+    # sets without a match yet meet all earlier ones
+    left = sets.alias("s").join(gone.alias("g"), F.expr("s.id <=> g.id and s.line = g.line"), "left_anti")
+    rest = _prefixes(left).alias("x").join(shared_words.alias("y"), F.expr(f"x.word = y.word and {EARLIER} and {fits}"))
+    gone = gone.unionByName(check(rest.select(*[F.col(c.replace("_", ".")).alias(c) for c in pair])))
+    drop(shared_words)
     out = sets.select("id", "line").alias("s").join(gone.distinct().alias("g"), F.expr("s.id <=> g.id and s.line = g.line"), "left_anti")
-    return save(out)
+    out = save(out)
+    drop(sets)
+    return out
 
 
-_LINES_IN = pa.schema([("id", pa.int64()), ("n_lines", pa.int64()), ("gone", pa.list_(pa.int32()))])
+#: What is known of a set beside a word of its prefix.
+SEEN = ("id", "line", "n", "pos")
+#: Whether y stands before x; a null id is before all others.
+EARLIER = "(y.id < x.id or (y.id is null and x.id is not null) or (y.id <=> x.id and y.line < x.line))"
+
+
+def _prefixes(sets: DataFrame) -> DataFrame:
+    return sets.select(F.posexplode("prefix").alias("pos", "word"), "id", "line", "n")
 
 
 def _gone(w: tx.Words, offsets: np.ndarray, batch: pa.RecordBatch) -> list[list[int]]:
@@ -184,12 +218,18 @@ def _gone(w: tx.Words, offsets: np.ndarray, batch: pa.RecordBatch) -> list[list[
     return [sorted(set(x) - set(kept[of[i] : of[i + 1]].tolist())) for i, x in enumerate(out)]
 
 
-def _reported(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+_LINE_ARROW = pa.schema([("id", pa.int64()), ("line", pa.int32())])
+
+
+def _eligible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The lines of at least LEAST words."""
     for batch, data, offsets in tx.blocks(batches):
         w = tx.words(data, offsets)
-        full = np.diff(offsets) > 0
-        lines = np.diff(np.concatenate([[0], np.cumsum(data == 10)])[offsets]) + full
-        yield tx.record(_LINES_IN, batch.column(0), lines, _gone(w, offsets, batch))
+        if len(w.hashes):
+            line, first = _line_of(w, offsets)
+            long_ = np.flatnonzero(np.bincount(line) >= LEAST)
+            text = np.searchsorted(first, long_, "right") - 1
+            yield tx.record(_LINE_ARROW, batch.column(0).take(pa.array(text)), (long_ - first[text]).astype(np.int32))
 
 
 def _rewritten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,9 +254,15 @@ def _with_kept(docs: DataFrame, percent: int, id_col: str) -> DataFrame:
 
 def removed_lines(docs: DataFrame, percent: int = 80, id_col: str = "doc_id") -> DataFrame:
     """Per row of docs: its id, n_lines, n_removed and the removed lines' numbers, from 0 and comma-joined."""
-    rows = _with_kept(docs.select(id_col, "text"), percent, id_col).select(F.col(id_col).cast("long").alias("id"), "text", KEPT)
-    out = rows.mapInArrow(_reported, "id long, n_lines long, gone array<int>")
-    return out.select(F.col("id").alias(id_col), "n_lines", F.size("gone").cast("long").alias("n_removed"), F.array_join("gone", ",").alias("removed"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), "text")
+    kept = kept_lines(docs, percent, id_col)
+    gone = rows.mapInArrow(_eligible, "id long, line int").distinct().alias("e").join(kept.alias("k"), F.expr("e.id <=> k.id and e.line = k.line"), "left_anti")
+    gone = gone.groupBy("id").agg(F.array_sort(F.collect_list("line")).alias("gone")).withColumnRenamed("id", "own")
+    text = F.coalesce("text", F.lit(""))
+    n = F.when(text == "", 0).otherwise(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1)
+    out = rows.select("id", n.cast("long").alias("n_lines")).join(gone, F.col("id").eqNullSafe(F.col("own")), "left")
+    number = F.coalesce(F.size("gone"), F.lit(0)).cast("long")
+    return out.select(F.col("id").alias(id_col), "n_lines", F.when(F.col("gone").isNull(), 0).otherwise(number).alias("n_removed"), F.coalesce(F.array_join("gone", ","), F.lit("")).alias("removed"))
 
 
 def remove_lines(docs: DataFrame, percent: int = 80, id_col: str = "doc_id") -> DataFrame:
