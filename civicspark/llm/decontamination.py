@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from civicspark.llm import text as tx
 from civicspark.llm.features import lower
+from civicspark.llm.rows import KEY
 from civicspark.llm.scratch import save
 
 SEED, CHANCE, SEEDS, SIMILAR = 3, 8, 8, 0.5
@@ -103,8 +104,8 @@ def _counted(words: Lookup):
     return run
 
 
-_FOUND = "id long, item long, similarity double, start long, end long"
-_FOUND_ARROW = pa.schema([("id", pa.int64()), ("item", pa.int64()), ("similarity", pa.float64()), ("start", pa.int64()), ("end", pa.int64())])
+_FOUND = "id long, key long, item long, similarity double, start long, end long"
+_FOUND_ARROW = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("item", pa.int64()), ("similarity", pa.float64()), ("start", pa.int64()), ("end", pa.int64())])
 
 
 def _aligned(seeds: Lookup, edges: np.ndarray, owners: np.ndarray, places: np.ndarray, items: list[np.ndarray], similar: float):
@@ -146,7 +147,7 @@ def _aligned(seeds: Lookup, edges: np.ndarray, owners: np.ndarray, places: np.nd
             if best:
                 keys = list(best)
                 text, item = (np.array([k[i] for k in keys]) for i in (0, 1))
-                yield tx.record(_FOUND_ARROW, batch.column(0).take(pa.array(text)), item, *(np.array([best[k][i] for k in keys]) for i in range(3)))
+                yield tx.record(_FOUND_ARROW, batch.column(0).take(pa.array(text)), batch.column(1).take(pa.array(text)), item, *(np.array([best[k][i] for k in keys]) for i in range(3)))
 
     return run
 
@@ -171,9 +172,21 @@ def _blocks(items: DataFrame, id_col: str) -> Iterator[tuple[list, list[np.ndarr
 
 def contaminated(docs: DataFrame, items: DataFrame, similar: float = SIMILAR, id_col: str = "doc_id", item_col: str = "item_id") -> DataFrame:
     """Documents that hold a test item: (doc_id, item_id, similarity, start, end), start and end in words."""
+    return _contaminated(docs, items, similar, id_col, item_col).drop(KEY)
+
+
+def clean(docs: DataFrame, items: DataFrame, similar: float = SIMILAR, id_col: str = "doc_id", item_col: str = "item_id") -> DataFrame:
+    """docs without those that hold a test item; texts of one id are judged each."""
+    found = _contaminated(docs, items, similar, id_col, item_col).select(F.col(id_col).alias("_civicspark_bad_id"), KEY).distinct()
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("_civicspark_bad_id")) & (F.xxhash64("text") == F.col(KEY))
+    return docs.join(found, same, "left_anti")
+
+
+def _contaminated(docs: DataFrame, items: DataFrame, similar: float, id_col: str, item_col: str) -> DataFrame:
+    """As `contaminated`, with KEY, a hash of the text."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), "text")
-    out = spark.createDataFrame([], f"`{id_col}` long, `{item_col}` long, similarity double, start long, end long")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64("text").alias("key"), "text")
+    out = spark.createDataFrame([], f"`{id_col}` long, {KEY} long, `{item_col}` long, similarity double, start long, end long")
     for ids, hashes in _blocks(items, item_col):
         words = Lookup(np.concatenate(hashes))
         counts = rows.mapInArrow(_counted(words), "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toPandas()
@@ -202,6 +215,6 @@ def contaminated(docs: DataFrame, items: DataFrame, similar: float = SIMILAR, id
 
         found = rows.mapInArrow(run, _FOUND)
         names = spark.createDataFrame([(i, x) for i, x in enumerate(ids)], "item long, name long")
-        found = found.join(F.broadcast(names), "item").select(F.col("id").alias(id_col), F.col("name").alias(item_col), "similarity", "start", "end")
+        found = found.join(F.broadcast(names), "item").select(F.col("id").alias(id_col), F.col("key").alias(KEY), F.col("name").alias(item_col), "similarity", "start", "end")
         out = out.unionByName(save(found))
     return out

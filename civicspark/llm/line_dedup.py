@@ -1,7 +1,7 @@
 """Line deduplication by an exact set-similarity join.
 
 A line is the set of its distinct words.  A line of at least LEAST words is
-removed when an earlier line (by document id, then line number) has a Jaccard
+removed when an earlier line (by document id, then text hash, then line number) has a Jaccard
 similarity of at least `percent` / 100 with it, whether or not that one stays.
 
 1. Words are ordered by rarity: counts over all documents, in BUCKETS hashed
@@ -18,8 +18,9 @@ similarity of at least `percent` / 100 with it, whether or not that one stays.
    taken exactly.
 
 Defined cases: lines of fewer than LEAST words, blank ones too, always stay; a
-null text has no lines; rows that repeat an id are one document; a null id comes
-before all others; extra columns are untouched.
+null text has no lines; rows that repeat id and text are one document, different
+texts of one id are several; a null id comes before all others; extra columns are
+untouched.
 """
 
 from __future__ import annotations
@@ -32,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from civicspark.llm import text as tx
+from civicspark.llm.rows import KEY, keyed
 from civicspark.llm.scratch import drop, save
 
 BUCKETS = 1 << 21
@@ -42,9 +44,9 @@ SHARED = 2
 KEPT = "_civicspark_kept_lines"
 
 _COUNTS = pa.schema([("bucket", pa.int32()), ("n", pa.int64())])
-_LINES = "a long, b long, id long, line int, n int, prefix array<long>"
-_LINES_ARROW = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("id", pa.int64()), ("line", pa.int32()), ("n", pa.int32()), ("prefix", pa.list_(pa.int64()))])
-_SETS_ARROW = pa.schema([("id", pa.int64()), ("line", pa.int32()), ("words", pa.binary())])
+_LINES = "a long, b long, id long, key long, line int, n int, prefix array<long>"
+_LINES_ARROW = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("id", pa.int64()), ("key", pa.int64()), ("line", pa.int32()), ("n", pa.int32()), ("prefix", pa.list_(pa.int64()))])
+_SETS_ARROW = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("line", pa.int32()), ("words", pa.binary())])
 
 
 def _bucket(hashes: np.ndarray) -> np.ndarray:
@@ -88,6 +90,11 @@ def _sets(w: tx.Words, offsets: np.ndarray, rank: np.ndarray | None) -> tuple[np
     return hashes, np.append(begins, len(line)), line[begins] - first[text], text
 
 
+def _names(batch: pa.RecordBatch, rows: np.ndarray) -> list[pa.Array]:
+    """Ids and keys of rows of a batch."""
+    return [batch.column(i).take(pa.array(rows)) for i in (0, 1)]
+
+
 def _lines(shared, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank = shared.value
@@ -106,7 +113,7 @@ def _lines(shared, percent: int):
             begin, length = edges[:-1][use], length[use]
             at = np.arange(length.sum()) + np.repeat(begin - np.cumsum(length) + length, length)
             prefix = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(length)), pa.int32()), pa.array(tx.signed(hashes[at])))
-            yield tx.record(_LINES_ARROW, tx.signed(one[use]), tx.signed(two[use]), batch.column(0).take(pa.array(text[use])), number[use].astype(np.int32), sizes[use].astype(np.int32), prefix)
+            yield tx.record(_LINES_ARROW, tx.signed(one[use]), tx.signed(two[use]), *_names(batch, text[use]), number[use].astype(np.int32), sizes[use].astype(np.int32), prefix)
 
     return run
 
@@ -123,56 +130,65 @@ def _words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = {(int(t), int(k)): i for i, (t, k) in enumerate(zip(text, number, strict=True))}
         found = [(int(o), int(k), place[int(o), int(k)]) for o, k in zip(owner, asked, strict=True)]
         words = [hashes[edges[i] : edges[i + 1]].tobytes() for *_, i in found]
-        yield tx.record(_SETS_ARROW, batch.column(0).take(pa.array([o for o, *_ in found], pa.int64())), np.array([k for _, k, _ in found], np.int32), words)
+        yield tx.record(_SETS_ARROW, *_names(batch, np.array([o for o, *_ in found], np.int64)), np.array([k for _, k, _ in found], np.int32), words)
 
 
-_PAIR_ARROW = pa.schema([("id", pa.int64()), ("line", pa.int32())])
+_PAIR_ARROW = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("line", pa.int32())])
 
 
 def _similar(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok = np.zeros(batch.num_rows, bool)
-            for i, (x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+            for i, (x, y) in enumerate(zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 ok[i] = 100 * both >= percent * (len(x) + len(y) - both)
-            yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(ok)) for i in (0, 1)], schema=_PAIR_ARROW)
+            yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(ok)) for i in (0, 1, 2)], schema=_PAIR_ARROW)
 
     return run
 
 
 def kept_lines(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, line) of the lines of at least LEAST words that stay."""
+    return _kept_lines(_named(docs, id_col, text_col), percent).select("id", "line")
+
+
+def _named(docs: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    return keyed(rows, "id").select("id", F.col(KEY).alias("key"), "text")
+
+
+def _kept_lines(docs: DataFrame, percent: int) -> DataFrame:
+    """(id, key, line) of the lines that stay, for docs (id, key, text)."""
     spark = docs.sparkSession
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     counts = docs.mapInArrow(_counted, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
     ranks = counts.select("bucket", F.least(F.round(64 * F.log2(F.col("n") + 1)), F.lit(4095)).cast("short").alias("rank")).toArrow()  # BUCKETS rows at most
     rank = np.zeros(BUCKETS, np.uint16)
     rank[ranks.column("bucket").to_numpy()] = ranks.column("rank").to_numpy()
     shared = spark.sparkContext.broadcast(rank)
     lines = docs.mapInArrow(_lines(shared, percent), _LINES)
-    sets = lines.groupBy("a", "b").agg(F.min(F.struct("id", "line")).alias("at"), F.any_value("n").alias("n"), F.any_value("prefix").alias("prefix"))
-    sets = save(sets.select("at.id", "at.line", "n", "prefix"))
+    sets = lines.groupBy("a", "b").agg(F.min(F.struct("id", "key", "line")).alias("at"), F.any_value("n").alias("n"), F.any_value("prefix").alias("prefix"))
+    sets = save(sets.select("at.id", "at.key", "at.line", "n", "prefix"))
     # the earliest set of each word, for words in two prefixes or more
-    first = _prefixes(sets).groupBy("word").agg(F.min(F.struct("id", "line", "n", "pos")).alias("f"), F.count("*").alias("k")).where("k > 1")
+    first = _prefixes(sets).groupBy("word").agg(F.min(F.struct(*SEEN)).alias("f"), F.count("*").alias("k")).where("k > 1")
     first = save(first.select("word", *[F.col(f"f.{c}").alias(f"f_{c}") for c in SEEN]))
     shared_words = save(_prefixes(sets).join(first, "word"))
     drop(first)
 
-    pair = ["x_id", "x_line", "y_id", "y_line"]
+    pair = ["x_id", "x_key", "x_line", "y_id", "y_key", "y_line"]
 
     def check(pairs: DataFrame) -> DataFrame:
-        """(id, line) of x for pairs (x_id, x_line, y_id, y_line) that are similar."""
+        """(id, key, line) of x for the pairs that are similar."""
         joined = pairs = save(pairs.groupBy(pair).agg(F.count("*").alias("k")).where(f"k >= {SHARED}").drop("k"))
-        asked = pairs.select(F.explode(F.array(F.struct(F.col("x_id").alias("id"), F.col("x_line").alias("line")), F.struct(F.col("y_id").alias("id"), F.col("y_line").alias("line")))).alias("at"))
-        asked = asked.distinct().groupBy(F.col("at.id").alias("own")).agg(F.collect_list("at.line").alias("lines"))
-        words = docs.join(asked, F.col("id").eqNullSafe(F.col("own"))).select("id", "text", "lines").mapInArrow(_words_of, "id long, line int, words binary")
-        words = save(words.dropDuplicates(["id", "line"]))
+        asked = pairs.select(F.explode(F.array(*[F.struct(*[F.col(f"{side}_{c}").alias(c) for c in PLACE]) for side in "xy"])).alias("at"))
+        asked = asked.distinct().groupBy(F.col("at.id").alias("own"), F.col("at.key").alias("own_key")).agg(F.collect_list("at.line").alias("lines"))
+        words = docs.join(asked, F.expr("id <=> own and key = own_key")).select("id", "key", "text", "lines").mapInArrow(_words_of, "id long, key long, line int, words binary")
+        words = save(words.dropDuplicates(PLACE))
         for side, name in (("x", "one"), ("y", "two")):
-            own = words.select(F.col("id").alias("w_id"), F.col("line").alias("w_line"), F.col("words").alias(name))
-            joined = joined.join(own, F.expr(f"{side}_id <=> w_id and {side}_line = w_line")).drop("w_id", "w_line")
-        found = save(joined.select(F.col("x_id").alias("id"), F.col("x_line").alias("line"), "one", "two").mapInArrow(_similar(percent), "id long, line int").distinct())
+            own = words.select(*[F.col(c).alias(f"w_{c}") for c in PLACE], F.col("words").alias(name))
+            joined = joined.join(own, F.expr(f"{side}_id <=> w_id and {side}_key = w_key and {side}_line = w_line")).drop("w_id", "w_key", "w_line")
+        found = save(joined.select(*[F.col(f"x_{c}").alias(c) for c in PLACE], "one", "two").mapInArrow(_similar(percent), "id long, key long, line int").distinct())
         drop(pairs, words)
         return found
 
@@ -181,27 +197,29 @@ def kept_lines(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_
     fits = f"""100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) and ({SHARED - 1} + least(x.n - x.pos, y.n - y.pos)) * {100 + percent} >= {percent} * (x.n + y.n)
         and if(x.n < y.n, {index.format("x")}, {index.format("y")})"""
     star = shared_words.select(F.struct(*SEEN).alias("x"), F.struct(*[F.col(f"f_{c}").alias(c) for c in SEEN]).alias("y"))
-    star = star.where(f"not (x.id <=> y.id and x.line = y.line) and {fits}")
+    star = star.where(f"not (x.id <=> y.id and x.key = y.key and x.line = y.line) and {fits}")
     gone = check(star.select(*[F.col(c.replace("_", ".")).alias(c) for c in pair]))
     # sets without a match yet meet all earlier ones
-    left = sets.alias("s").join(gone.alias("g"), F.expr("s.id <=> g.id and s.line = g.line"), "left_anti")
+    left = sets.alias("s").join(gone.alias("g"), F.expr("s.id <=> g.id and s.key = g.key and s.line = g.line"), "left_anti")
     rest = _prefixes(left).alias("x").join(shared_words.alias("y"), F.expr(f"x.word = y.word and {EARLIER} and {fits}"))
     gone = gone.unionByName(check(rest.select(*[F.col(c.replace("_", ".")).alias(c) for c in pair])))
     drop(shared_words)
-    out = sets.select("id", "line").alias("s").join(gone.distinct().alias("g"), F.expr("s.id <=> g.id and s.line = g.line"), "left_anti")
+    out = sets.select(*PLACE).alias("s").join(gone.distinct().alias("g"), F.expr("s.id <=> g.id and s.key = g.key and s.line = g.line"), "left_anti")
     out = save(out)
     drop(sets)
     return out
 
 
 #: What is known of a set beside a word of its prefix.
-SEEN = ("id", "line", "n", "pos")
+SEEN = ("id", "key", "line", "n", "pos")
+#: What names a line.
+PLACE = ["id", "key", "line"]
 #: Whether y stands before x; a null id is before all others.
-EARLIER = "(y.id < x.id or (y.id is null and x.id is not null) or (y.id <=> x.id and y.line < x.line))"
+EARLIER = "(y.id < x.id or (y.id is null and x.id is not null) or (y.id <=> x.id and (y.key < x.key or (y.key = x.key and y.line < x.line))))"
 
 
 def _prefixes(sets: DataFrame) -> DataFrame:
-    return sets.select(F.posexplode("prefix").alias("pos", "word"), "id", "line", "n")
+    return sets.select(F.posexplode("prefix").alias("pos", "word"), "id", "key", "line", "n")
 
 
 def _gone(w: tx.Words, offsets: np.ndarray, batch: pa.RecordBatch) -> list[list[int]]:
@@ -218,7 +236,7 @@ def _gone(w: tx.Words, offsets: np.ndarray, batch: pa.RecordBatch) -> list[list[
     return [sorted(set(x) - set(kept[of[i] : of[i + 1]].tolist())) for i, x in enumerate(out)]
 
 
-_LINE_ARROW = pa.schema([("id", pa.int64()), ("line", pa.int32())])
+_LINE_ARROW = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("line", pa.int32())])
 
 
 def _eligible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,7 +247,7 @@ def _eligible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             line, first = _line_of(w, offsets)
             long_ = np.flatnonzero(np.bincount(line) >= LEAST)
             text = np.searchsorted(first, long_, "right") - 1
-            yield tx.record(_LINE_ARROW, batch.column(0).take(pa.array(text)), (long_ - first[text]).astype(np.int32))
+            yield tx.record(_LINE_ARROW, *_names(batch, text), (long_ - first[text]).astype(np.int32))
 
 
 def _rewritten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,19 +266,22 @@ def _rewritten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _with_kept(docs: DataFrame, percent: int, id_col: str) -> DataFrame:
-    kept = kept_lines(docs, percent, id_col).groupBy("id").agg(F.collect_list("line").alias(KEPT)).withColumnRenamed("id", f"{KEPT}_id")
-    return docs.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col(f"{KEPT}_id")), "left").drop(f"{KEPT}_id")
+    docs = keyed(docs, id_col)
+    kept = _kept_lines(docs.select(F.col(id_col).cast("long").alias("id"), F.col(KEY).alias("key"), "text"), percent)
+    kept = kept.groupBy(F.col("id").alias(f"{KEPT}_id"), F.col("key").alias(f"{KEPT}_key")).agg(F.collect_list("line").alias(KEPT))
+    same = F.col(id_col).cast("long").eqNullSafe(F.col(f"{KEPT}_id")) & (F.col(KEY) == F.col(f"{KEPT}_key"))
+    return docs.join(kept, same, "left").drop(f"{KEPT}_id", f"{KEPT}_key", KEY)
 
 
 def removed_lines(docs: DataFrame, percent: int = 80, id_col: str = "doc_id") -> DataFrame:
     """Per row of docs: its id, n_lines, n_removed and the removed lines' numbers, from 0 and comma-joined."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), "text")
-    kept = kept_lines(docs, percent, id_col)
-    gone = rows.mapInArrow(_eligible, "id long, line int").distinct().alias("e").join(kept.alias("k"), F.expr("e.id <=> k.id and e.line = k.line"), "left_anti")
-    gone = gone.groupBy("id").agg(F.array_sort(F.collect_list("line")).alias("gone")).withColumnRenamed("id", "own")
+    rows = _named(docs, id_col)
+    kept = _kept_lines(rows, percent)
+    gone = rows.mapInArrow(_eligible, "id long, key long, line int").distinct().alias("e").join(kept.alias("k"), F.expr("e.id <=> k.id and e.key = k.key and e.line = k.line"), "left_anti")
+    gone = gone.groupBy(F.col("id").alias("own"), F.col("key").alias("own_key")).agg(F.array_sort(F.collect_list("line")).alias("gone"))
     text = F.coalesce("text", F.lit(""))
     n = F.when(text == "", 0).otherwise(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1)
-    out = rows.select("id", n.cast("long").alias("n_lines")).join(gone, F.col("id").eqNullSafe(F.col("own")), "left")
+    out = rows.select("id", "key", n.cast("long").alias("n_lines")).join(gone, F.expr("id <=> own and key = own_key"), "left")
     number = F.coalesce(F.size("gone"), F.lit(0)).cast("long")
     return out.select(F.col("id").alias(id_col), "n_lines", F.when(F.col("gone").isNull(), 0).otherwise(number).alias("n_removed"), F.coalesce(F.array_join("gone", ","), F.lit("")).alias("removed"))
 

@@ -18,8 +18,9 @@ Hashes at full length have 128 bits.  Counting is a partial aggregation and a
 semi-join that Spark can split, so a passage in every document is no hot spot.
 
 Defined cases: a null or empty text has no words and stays empty; texts shorter
-than a window stay; a document is named by its id, rows that repeat an id are
-copies and get the same result; a null id is an id; extra columns are untouched.
+than a window stay; a document is named by its id and text, rows that repeat both
+are copies and get the same result, different texts of one id are different
+documents; a null id is an id; extra columns are untouched.
 """
 
 from __future__ import annotations
@@ -34,12 +35,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from civicspark.llm import text as tx
+from civicspark.llm.rows import KEY, keyed
 from civicspark.llm.scratch import drop, save
 
-_RUNS = "id long, half long, twice int, a long, b long, at int, n int"
-_RUNS_ARROW = pa.schema([("id", pa.int64()), ("half", pa.int64()), ("twice", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("at", pa.int32()), ("n", pa.int32())])
-_WINDOWS = "a long, b long, id long, at int, settled boolean"
-_WINDOWS_ARROW = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("id", pa.int64()), ("at", pa.int32()), ("settled", pa.bool_())])
+_RUNS = "id long, key long, half long, twice int, a long, b long, at int, n int"
+_RUNS_ARROW = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("half", pa.int64()), ("twice", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("at", pa.int32()), ("n", pa.int32())])
+_WINDOWS = "a long, b long, id long, key long, at int, settled boolean"
+_WINDOWS_ARROW = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("id", pa.int64()), ("key", pa.int64()), ("at", pa.int32()), ("settled", pa.bool_())])
 
 
 def _spans(words: tx.Words, starts: np.ndarray, sizes: np.ndarray, which: int) -> np.ndarray:
@@ -77,7 +79,7 @@ def _runs(window: int):
             twice = again[np.minimum(at + n + inside - 1, len(gram))] > again[at]
             size = n + window - 1
             yield tx.record(
-                _RUNS_ARROW, batch.column(0).take(pa.array(doc[at])), tx.signed(least[at]), np.where(twice, 2, 1).astype(np.int32),
+                _RUNS_ARROW, batch.column(0).take(pa.array(doc[at])), batch.column(1).take(pa.array(doc[at])), tx.signed(least[at]), np.where(twice, 2, 1).astype(np.int32),
                 _spans(w, at, size, 1), _spans(w, at, size, 2), (at - w.first[doc[at]]).astype(np.int32), n.astype(np.int32),
             )
 
@@ -101,7 +103,7 @@ def _windows(window: int):
             place = _ranges(w.first[doc] + at, n)
             row = np.repeat(doc, n)
             one, two = tx.grams(w.hashes, window, 1), tx.grams(w.hashes, window, 2)
-            yield tx.record(_WINDOWS_ARROW, tx.signed(one[place]), tx.signed(two[place]), batch.column(0).take(pa.array(row)), (place - w.first[row]).astype(np.int32), np.repeat(settled, n))
+            yield tx.record(_WINDOWS_ARROW, tx.signed(one[place]), tx.signed(two[place]), batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), (place - w.first[row]).astype(np.int32), np.repeat(settled, n))
 
     return run
 
@@ -132,31 +134,40 @@ def _kept(window: int, schema: pa.Schema, digest: bool):
 
 def repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Repeated windows as (id, at, n): the windows that start at words at..at + n - 1 of a document."""
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    return _repeats(_named(docs, id_col, text_col), window).select("id", "at", "n")
+
+
+def _named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    return keyed(rows, "id").select("id", F.col(KEY).alias("key"), "text")
+
+
+def _repeats(docs: DataFrame, window: int) -> DataFrame:
+    """(id, key, at, n) of repeated windows, for docs (id, key, text)."""
     runs = save(docs.mapInArrow(_runs(window), _RUNS))
     halves = runs.groupBy("half").agg(F.sum("twice").alias("k")).where("k > 1").select("half")
-    left = save(runs.join(halves, "half", "left_semi").select("id", "a", "b", "at", "n"))
+    left = save(runs.join(halves, "half", "left_semi").select("id", "key", "a", "b", "at", "n"))
     drop(runs)
-    first = left.groupBy("a", "b").agg(F.count("*").alias("k"), F.min(F.struct("id", "at")).alias("first"))
+    first = left.groupBy("a", "b").agg(F.count("*").alias("k"), F.min(F.struct("id", "key", "at")).alias("first"))
     left = left.join(first, ["a", "b"]).select(
-        "id", "at", "n", (F.col("k") > 1).alias("settled"), F.col("first").eqNullSafe(F.struct("id", "at")).alias("evidence")
+        "id", "key", "at", "n", (F.col("k") > 1).alias("settled"), F.col("first").eqNullSafe(F.struct("id", "key", "at")).alias("evidence")
     )
     left = save(left)
-    open_ = left.where("evidence or not settled").groupBy("id").agg(F.collect_list(F.struct("at", "n", "settled")).alias("x"))
-    open_ = open_.select(F.col("id").alias("own"), F.col("x.at").alias("at"), F.col("x.n").alias("n"), F.col("x.settled").alias("settled"))
-    windows = docs.join(open_, F.col("id").eqNullSafe(F.col("own"))).select("id", "text", "at", "n", "settled")
+    open_ = left.where("evidence or not settled").groupBy("id", "key").agg(F.collect_list(F.struct("at", "n", "settled")).alias("x"))
+    open_ = open_.select(F.col("id").alias("own"), F.col("key").alias("own_key"), F.col("x.at").alias("at"), F.col("x.n").alias("n"), F.col("x.settled").alias("settled"))
+    windows = docs.join(open_, F.expr("id <=> own and key = own_key")).select("id", "key", "text", "at", "n", "settled")
     windows = save(windows.mapInArrow(_windows(window), _WINDOWS))
     equal = windows.groupBy("a", "b").agg(F.count("*").alias("k")).where("k > 1").select("a", "b")
-    found = windows.where("not settled").join(equal, ["a", "b"], "left_semi").select("id", "at", F.lit(1).alias("n"))
-    return found.unionByName(left.where("settled").select("id", "at", "n"))
+    found = windows.where("not settled").join(equal, ["a", "b"], "left_semi").select("id", "key", "at", F.lit(1).alias("n"))
+    return found.unionByName(left.where("settled").select("id", "key", "at", "n"))
 
 
 def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
     """Per document: its id, n_words, n_removed and the kept words joined by spaces (`kept`, or with digest their `kept_sha256`)."""
-    found = repeats(docs, window, id_col, text_col).distinct().groupBy("id").agg(F.collect_list(F.struct("at", "n")).alias("x"))
-    found = found.select(F.col("id").alias("own"), F.col("x.at").alias("at"), F.col("x.n").alias("n"))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    rows = rows.join(found, F.col("id").eqNullSafe(F.col("own")), "left").select("id", "text", "at", "n")
+    rows = _named(docs, id_col, text_col)
+    found = _repeats(rows, window).distinct().groupBy("id", "key").agg(F.collect_list(F.struct("at", "n")).alias("x"))
+    found = found.select(F.col("id").alias("own"), F.col("key").alias("own_key"), F.col("x.at").alias("at"), F.col("x.n").alias("n"))
+    rows = rows.join(found, F.expr("id <=> own and key = own_key"), "left").select("id", "text", "at", "n")
     name = "kept_sha256" if digest else "kept"
     schema = pa.schema([("id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), (name, pa.string())])
     out = rows.mapInArrow(_kept(window, schema, digest), f"id long, n_words long, n_removed long, {name} string")

@@ -1,8 +1,8 @@
 """A training-data pipeline over `documents`: filter, deduplicate, decontaminate, pack.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
-return the columns of `documents`.  Rows are documents by doc_id: a null id is an
-id, and rows that repeat one are copies.
+return the columns of `documents`.  Lines and test items are looked at in documents
+by doc_id and text; a null id is an id, and rows that repeat both are copies.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from civicspark.llm.decontamination import contaminated
+from civicspark.llm.decontamination import clean
 from civicspark.llm.features import learnable
 from civicspark.llm.line_dedup import remove_lines
 from civicspark.llm.minhash_dedup import near_duplicates
@@ -44,8 +44,7 @@ def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    found = contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(F.col("doc_id").alias("_civicspark_bad_id")).distinct()
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("_civicspark_bad_id")), "left_anti")
+    return clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
