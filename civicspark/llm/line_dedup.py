@@ -1,26 +1,31 @@
 """Line deduplication by an exact set-similarity join.
 
-A line is the set of its distinct words.  A line of at least LEAST words is
-removed when an earlier line (by document id, then text hash, then line number) has a Jaccard
-similarity of at least `percent` / 100 with it, whether or not that one stays.
+A line is the set of its distinct words.  It is removed when an earlier line (by
+document id, then text hash, then line number) has a Jaccard similarity of at least
+`percent` / 100 with it, whether or not that one stays.
 
 1. Words are ordered by rarity: counts over all documents, in BUCKETS hashed
    buckets, at most 12 MB at the driver (any one order gives exact results; the
    finer the counts, the fewer the candidates).
 2. Equal sets become one, with its first place; later ones are removed.
-3. Two similar sets share SHARED = 2 words in their prefixes, the n - ceil(0.8 n) +
-   SHARED rarest words.  Words in one prefix only are dropped.  Each set is first checked
-   against the earliest set of each of its words; only sets without a match yet
-   are paired with all earlier ones.  Both joins apply the length filter and the
-   positional one (what can still be common after the word), and of the shorter
-   set only the fewer words count that an index of shorter sets needs.
-4. Candidates' words are read again from the texts and the Jaccard similarity is
-   taken exactly.
-
-Defined cases: lines of fewer than LEAST words, blank ones too, always stay; a
-null text has no lines; rows that repeat id and text are one document, different
-texts of one id are several; a null id comes before all others; extra columns are
-untouched.
+3. The words of a set's prefix are its keys; of a word that comes more than
+   FREQUENT times in the documents, each pair with the next words is a key instead
+   (similar sets that differ share four words at least, so if the first they share
+   is frequent they share a pair).  So the sets that meet at a key stay few as the
+   corpus grows.
+4. Keys of over HOT sets: each of these is checked against the earliest first, and
+   those with a match are done with.  What is left is probed by its full prefix
+   against the shorter prefixes that an index of no longer sets needs.  The join
+   applies the length filter, the positional one (what can still be common after the
+   word), and one by 64 parity bits: each word flips one, so sets cannot
+   differ in fewer words than in bits.
+5. Candidates' words are read again from the texts and the Jaccard similarity is
+   taken exactly: of each line the likeliest candidate first, then the others of
+   lines that it has not settled.
+
+Defined cases: blank lines always stay; a null text has no lines; rows that repeat
+id and text are one document, different texts of one id are several; a null id
+comes before all others; extra columns are untouched.
 """
 
 from __future__ import annotations
@@ -29,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from civicspark.llm import text as tx
@@ -37,22 +42,31 @@ from civicspark.llm.rows import KEY, keyed
 from civicspark.llm.scratch import drop, save
 
 BUCKETS = 1 << 21
-LEAST = 5
-#: Words that the prefixes of two similar sets must share.
-SHARED = 2
+#: A word of more occurrences is a key only together with another.
+FREQUENT = 1024
+#: Keys of more sets are compared with their earliest set first; so many of a set's keys take part.
+HOT, STARS = 64, 3
 #: A column's name while lines are removed; no table should have it.
-KEPT = "_civicspark_kept_lines"
+GONE = "_civicspark_gone_lines"
+#: What names a line.
+PLACE = ["id", "key", "line"]
 
 _COUNTS = pa.schema([("bucket", pa.int32()), ("n", pa.int64())])
-_LINES = "a long, b long, id long, key long, line int, n int, prefix array<long>"
-_LINES_ARROW = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("id", pa.int64()), ("key", pa.int64()), ("line", pa.int32()), ("n", pa.int32()), ("prefix", pa.list_(pa.int64()))])
+_LINES = "a long, parity long, id long, key long, line int, n int, keys array<long>"
+_LINES_ARROW = pa.schema([("a", pa.int64()), ("parity", pa.int64()), ("id", pa.int64()), ("key", pa.int64()), ("line", pa.int32()), ("n", pa.int32()), ("keys", pa.list_(pa.int64()))])
 _SETS_ARROW = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("line", pa.int32()), ("words", pa.binary())])
+_PLACE_ARROW = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("line", pa.int32())])
 
 
 def _bucket(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(40)).astype(np.int64) % BUCKETS
 
 
+def _rank(n: np.ndarray) -> np.ndarray:
+    """The order of words by their counts, rarest first, in 12 bits."""
+    return np.minimum(np.round(64 * np.log2(np.asarray(n) + 1.0)), 4095).astype(np.uint16)
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     n, held, size = np.zeros(BUCKETS, np.int64), [], 0
     for _, data, offsets in tx.blocks(batches):
@@ -76,7 +90,7 @@ def _line_of(w: tx.Words, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sets(w: tx.Words, offsets: np.ndarray, rank: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct words by line, rarest first: hashes, edges of lines, the lines' numbers in their texts, their texts."""
+    """Distinct words by line, rarest first (by hash without ranks): hashes, edges of lines, the lines' numbers in their texts, their texts."""
     line, first = _line_of(w, offsets)
     key = w.hashes if rank is None else (rank[_bucket(w.hashes)].astype(np.uint64) << np.uint64(52)) | (w.hashes >> np.uint64(12))
     order = np.argsort(key)
@@ -95,7 +109,45 @@ def _names(batch: pa.RecordBatch, rows: np.ndarray) -> list[pa.Array]:
     return [batch.column(i).take(pa.array(rows)) for i in (0, 1)]
 
 
-def _lines(shared, percent: int):
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each range, one after the other."""
+    return np.arange(sizes.sum()) + np.repeat(starts - np.cumsum(sizes) + sizes, sizes)
+
+
+def _keys(hashes: np.ndarray, edges: np.ndarray, ranks: np.ndarray, percent: int, frequent: int, hot: int) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of sets (hash << 20 | place << 2 | star << 1 | in the index) and how many each has.
+
+    A set of n words probes with its n - ceil(t n) + 1 rarest; met by no shorter
+    ones, n - ceil(2 t / (1 + t) n) + 1 are enough.  Words of one occurrence meet nothing.
+    """
+    n = np.diff(edges)
+    probe = n - -(-n * percent // 100) + 1
+    index = n - -(-2 * percent * n // (100 + percent)) + 1
+    owner = np.repeat(np.arange(len(n)), probe)
+    at = _ranges(edges[:-1], probe)
+    place = at - edges[owner]
+    often = ranks[at] > _rank(frequent)
+    use = (ranks[at] > _rank(1)) & ~often
+    # pairs of a frequent word and one of those after it, as far as one word beyond the prefix
+    most = np.minimum(probe, n - 1)[owner[often]] - place[often]
+    left, right = np.repeat(at[often], most), _ranges(at[often] + 1, most)
+    pair_owner = np.repeat(owner[often], most)
+    hashed = np.concatenate([tx.mix(hashes[at[use]]), tx.mix(hashes[left] + tx.mix(hashes[right]))])
+    who = np.concatenate([owner[use], pair_owner])
+    where = np.concatenate([place[use], left - edges[pair_owner]])
+    indexed = np.concatenate([place[use] < index[owner[use]], right - edges[pair_owner] <= index[pair_owner]])
+    warm = np.concatenate([ranks[at[use]] > _rank(hot), np.ones(len(left), bool)])
+    order = np.argsort(who, kind="stable")
+    hashed, who, where, indexed, warm = hashed[order], who[order], where[order], indexed[order], warm[order]
+    turn = np.cumsum(warm)
+    sizes = np.bincount(who, minlength=len(n))
+    before = np.concatenate([[0], turn])[np.cumsum(sizes) - sizes]
+    star = warm & (turn - before[who] <= STARS)
+    packed = (hashed >> np.uint64(20) << np.uint64(20)) | (np.minimum(where, (1 << 18) - 1).astype(np.uint64) << np.uint64(2))
+    return packed | (star.astype(np.uint64) << np.uint64(1)) | indexed.astype(np.uint64), sizes
+
+
+def _lines(shared, percent: int, frequent: int, hot: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank = shared.value
         for batch, data, offsets in tx.blocks(batches):
@@ -103,23 +155,18 @@ def _lines(shared, percent: int):
             if not len(w.hashes):
                 continue
             hashes, edges, number, text = _sets(w, offsets, rank)
-            sizes = np.diff(edges)
             one = np.add.reduceat(tx.mix(hashes), edges[:-1])
-            two = np.add.reduceat(tx.mix(hashes ^ np.uint64(0x5851F42D4C957F2D)), edges[:-1])
-            words = np.bincount(_line_of(w, offsets)[0])
-            words = words[words > 0]
-            use = words >= LEAST
-            length = np.minimum(sizes - -(-sizes * percent // 100) + SHARED, sizes)
-            begin, length = edges[:-1][use], length[use]
-            at = np.arange(length.sum()) + np.repeat(begin - np.cumsum(length) + length, length)
-            prefix = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(length)), pa.int32()), pa.array(tx.signed(hashes[at])))
-            yield tx.record(_LINES_ARROW, tx.signed(one[use]), tx.signed(two[use]), *_names(batch, text[use]), number[use].astype(np.int32), sizes[use].astype(np.int32), prefix)
+            bit = tx.mix(hashes ^ np.uint64(0x5851F42D4C957F2D)) >> np.uint64(58)
+            parity = np.bitwise_xor.reduceat(np.uint64(1) << bit, edges[:-1])
+            keys, sizes = _keys(hashes, edges, rank[_bucket(hashes)], percent, frequent, hot)
+            lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(tx.signed(keys)))
+            yield tx.record(_LINES_ARROW, tx.signed(one), tx.signed(parity), *_names(batch, text), number.astype(np.int32), np.diff(edges).astype(np.int32), lists)
 
     return run
 
 
 def _words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The words of the lines that `lines` names."""
+    """The words of the lines that `lines` names, by hash."""
     for batch, data, offsets in tx.blocks(batches):
         w = tx.words(data, offsets)
         if not len(w.hashes):
@@ -127,166 +174,170 @@ def _words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, edges, number, text = _sets(w, offsets, None)
         asked, of = tx.lists(batch, "lines")
         owner = np.repeat(np.arange(batch.num_rows), np.diff(of))
-        place = {(int(t), int(k)): i for i, (t, k) in enumerate(zip(text, number, strict=True))}
-        found = [(int(o), int(k), place[int(o), int(k)]) for o, k in zip(owner, asked, strict=True)]
-        words = [hashes[edges[i] : edges[i + 1]].tobytes() for *_, i in found]
-        yield tx.record(_SETS_ARROW, *_names(batch, np.array([o for o, *_ in found], np.int64)), np.array([k for _, k, _ in found], np.int32), words)
+        i = np.searchsorted((text.astype(np.int64) << 32) + number, (owner.astype(np.int64) << 32) + asked)
+        sizes = np.diff(edges)[i]
+        words = np.ascontiguousarray(hashes[_ranges(edges[i], sizes)])
+        ends = np.append(0, np.cumsum(8 * sizes)).astype(np.int32)
+        binary = pa.Array.from_buffers(pa.binary(), len(i), [None, pa.py_buffer(ends), pa.py_buffer(words)])
+        yield tx.record(_SETS_ARROW, *_names(batch, owner), asked.astype(np.int32), binary)
 
 
-_PAIR_ARROW = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("line", pa.int32())])
+def _similar(percent: int):
+    """Of rows (id, key, line, one, two) those whose sorted sets of hashes, one and two, are similar."""
 
+    def sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        sizes = np.fromiter((len(x) // 8 for x in column.to_pylist()), np.int64, len(column))
+        return np.frombuffer(b"".join(column.to_pylist()), np.uint64), sizes
 
-def _similar(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ok = np.zeros(batch.num_rows, bool)
-            for i, (x, y) in enumerate(zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok[i] = 100 * both >= percent * (len(x) + len(y) - both)
-            yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(ok)) for i in (0, 1, 2)], schema=_PAIR_ARROW)
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 4096):
+                batch = whole.slice(lo, 4096)
+                (x, nx), (y, ny) = sets(batch.column(3)), sets(batch.column(4))
+                # rows one after the other, and hashes in order: one search finds what is common
+                row = lambda n: np.repeat(np.arange(len(n), dtype=np.uint64), n) << np.uint64(50)
+                own, other = row(nx) | (x >> np.uint64(14)), row(ny) | (y >> np.uint64(14))
+                at = np.minimum(np.searchsorted(own, other), max(0, len(own) - 1))
+                common = (own[at] == other) & (x[at] == y) if len(own) else np.zeros(len(other), bool)
+                both = np.bincount(np.repeat(np.arange(len(ny)), ny)[common], minlength=len(ny))
+                ok = pa.array(100 * both >= percent * (nx + ny - both))
+                yield pa.RecordBatch.from_arrays([batch.column(i).filter(ok) for i in (0, 1, 2)], schema=_PLACE_ARROW)
 
     return run
 
 
-def kept_lines(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, line) of the lines of at least LEAST words that stay."""
-    return _kept_lines(_named(docs, id_col, text_col), percent).select("id", "line")
+def _earlier(y: str, x: str) -> str:
+    """Whether y stands before x; a null id is before all others."""
+    return f"({y}.id < {x}.id or ({y}.id is null and {x}.id is not null) or ({y}.id <=> {x}.id and ({y}.key < {x}.key or ({y}.key = {x}.key and {y}.line < {x}.line))))"
 
 
-def _named(docs: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return keyed(rows, "id").select("id", F.col(KEY).alias("key"), "text")
+def _same(x: str, y: str) -> str:
+    return " and ".join(f"{x}.{c} <=> {y}.{c}" for c in PLACE)
+
+
+def _exploded(sets: DataFrame) -> DataFrame:
+    """A row (word, pos, star, indexed, ...) for each key of a set."""
+    packed = sets.select(F.explode("keys").alias("k"), *[c for c in sets.columns if c not in ("keys", "a")])
+    bits = [F.shiftright("k", 20).alias("word"), F.shiftright("k", 2).bitwiseAND(F.lit((1 << 18) - 1)).cast("int").alias("pos")]
+    return packed.select(*bits, (F.col("k").bitwiseAND(F.lit(2)) > 0).alias("star"), (F.col("k").bitwiseAND(F.lit(1)) > 0).alias("indexed"), *[c for c in packed.columns if c != "k"])
+
 
+def _sides(x: str, y: str) -> list[Column]:
+    return [F.col(f"{side}.{c}").alias(f"{name}_{c}") for side, name in ((x, "x"), (y, "y")) for c in PLACE]
 
-def _kept_lines(docs: DataFrame, percent: int) -> DataFrame:
-    """(id, key, line) of the lines that stay, for docs (id, key, text)."""
+
+def removed(docs: DataFrame, percent: int, frequent: int = FREQUENT, hot: int = HOT) -> DataFrame:
+    """(id, key, line) of the lines to remove, for docs (id, key, text)."""
     spark = docs.sparkSession
-    counts = docs.mapInArrow(_counted, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
-    ranks = counts.select("bucket", F.least(F.round(64 * F.log2(F.col("n") + 1)), F.lit(4095)).cast("short").alias("rank")).toArrow()  # BUCKETS rows at most
-    rank = np.zeros(BUCKETS, np.uint16)
-    rank[ranks.column("bucket").to_numpy()] = ranks.column("rank").to_numpy()
-    shared = spark.sparkContext.broadcast(rank)
-    lines = docs.mapInArrow(_lines(shared, percent), _LINES)
-    sets = lines.groupBy("a", "b").agg(F.min(F.struct("id", "key", "line")).alias("at"), F.any_value("n").alias("n"), F.any_value("prefix").alias("prefix"))
-    sets = save(sets.select("at.id", "at.key", "at.line", "n", "prefix"))
-    # the earliest set of each word, for words in two prefixes or more
-    first = _prefixes(sets).groupBy("word").agg(F.min(F.struct(*SEEN)).alias("f"), F.count("*").alias("k")).where("k > 1")
-    first = save(first.select("word", *[F.col(f"f.{c}").alias(f"f_{c}") for c in SEEN]))
-    shared_words = save(_prefixes(sets).join(first, "word"))
-    drop(first)
-
-    pair = ["x_id", "x_key", "x_line", "y_id", "y_key", "y_line"]
+    counts = docs.mapInArrow(_counted, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # BUCKETS rows at most
+    n = np.zeros(BUCKETS, np.int64)
+    n[counts.column("bucket").to_numpy()] = counts.column("n").to_numpy()
+    shared = spark.sparkContext.broadcast(_rank(n))
+    lines = save(docs.mapInArrow(_lines(shared, percent, frequent, hot), _LINES))
+    # equal sets: rows of the first place stay, once
+    first = lines.groupBy("a", "parity").agg(F.min(F.struct(*PLACE)).alias("f"), F.count("*").alias("k")).where("k > 1").drop("k")
+    first = first.withColumnsRenamed({"a": "f_a", "parity": "f_parity"})
+    marked = lines.join(first, F.expr("a = f_a and parity = f_parity"), "left")
+    marked = save(marked.select(*lines.columns, F.col("f").isNotNull().alias("several"), (F.col("f").isNull() | F.col("f").eqNullSafe(F.struct(*PLACE))).alias("first")))
+    drop(lines)
+    again = save(marked.where("not first").select(*PLACE))
+    sets = marked.where("not several").unionByName(marked.where("several and first").dropDuplicates(["a", "parity"])).drop("several", "first")
+
+    close = f"""100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) and bit_count(x.parity ^ y.parity) * {100 + percent} <= {100 - percent} * (x.n + y.n)"""
+    fits = f"{close} and least(x.n - x.pos, y.n - y.pos) * {100 + percent} >= {percent} * (x.n + y.n)"
+    apart = "bit_count(x.parity ^ y.parity) / (x.n + y.n)"
 
     def check(pairs: DataFrame) -> DataFrame:
-        """(id, key, line) of x for the pairs that are similar."""
-        joined = pairs = save(pairs.groupBy(pair).agg(F.count("*").alias("k")).where(f"k >= {SHARED}").drop("k"))
+        """The places x of pairs (x, y, apart) that are similar."""
+        sides = [f"{side}_{c}" for side in "xy" for c in PLACE]
+        pairs = save(pairs.groupBy(*sides).agg(F.min("apart").alias("apart")))
         asked = pairs.select(F.explode(F.array(*[F.struct(*[F.col(f"{side}_{c}").alias(c) for c in PLACE]) for side in "xy"])).alias("at"))
         asked = asked.distinct().groupBy(F.col("at.id").alias("own"), F.col("at.key").alias("own_key")).agg(F.collect_list("at.line").alias("lines"))
-        words = docs.join(asked, F.expr("id <=> own and key = own_key")).select("id", "key", "text", "lines").mapInArrow(_words_of, "id long, key long, line int, words binary")
+        words = docs.join(save(asked), F.expr("id <=> own and key = own_key")).select("id", "key", "text", "lines").mapInArrow(_words_of, "id long, key long, line int, words binary")
         words = save(words.dropDuplicates(PLACE))
-        for side, name in (("x", "one"), ("y", "two")):
-            own = words.select(*[F.col(c).alias(f"w_{c}") for c in PLACE], F.col("words").alias(name))
-            joined = joined.join(own, F.expr(f"{side}_id <=> w_id and {side}_key = w_key and {side}_line = w_line")).drop("w_id", "w_key", "w_line")
-        found = save(joined.select(*[F.col(f"x_{c}").alias(c) for c in PLACE], "one", "two").mapInArrow(_similar(percent), "id long, key long, line int").distinct())
-        drop(pairs, words)
-        return found
-
-    # of a pair the shorter set's word is among the fewer that an index needs: n - ceil(2 t / (1 + t) * n) + SHARED
-    index = f"{{0}}.pos < {{0}}.n - ceil({2 * percent} * {{0}}.n / {100 + percent}D) + {SHARED}"
-    fits = f"""100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) and ({SHARED - 1} + least(x.n - x.pos, y.n - y.pos)) * {100 + percent} >= {percent} * (x.n + y.n)
-        and if(x.n < y.n, {index.format("x")}, {index.format("y")})"""
-    star = shared_words.select(F.struct(*SEEN).alias("x"), F.struct(*[F.col(f"f_{c}").alias(c) for c in SEEN]).alias("y"))
-    star = star.where(f"not (x.id <=> y.id and x.key = y.key and x.line = y.line) and {fits}")
-    gone = check(star.select(*[F.col(c.replace("_", ".")).alias(c) for c in pair]))
-    # sets without a match yet meet all earlier ones
-    left = sets.alias("s").join(gone.alias("g"), F.expr("s.id <=> g.id and s.key = g.key and s.line = g.line"), "left_anti")
-    rest = _prefixes(left).alias("x").join(shared_words.alias("y"), F.expr(f"x.word = y.word and {EARLIER} and {fits}"))
-    gone = gone.unionByName(check(rest.select(*[F.col(c.replace("_", ".")).alias(c) for c in pair])))
-    drop(shared_words)
-    out = sets.select(*PLACE).alias("s").join(gone.distinct().alias("g"), F.expr("s.id <=> g.id and s.key = g.key and s.line = g.line"), "left_anti")
-    out = save(out)
-    drop(sets)
-    return out
-
-
-#: What is known of a set beside a word of its prefix.
-SEEN = ("id", "key", "line", "n", "pos")
-#: What names a line.
-PLACE = ["id", "key", "line"]
-#: Whether y stands before x; a null id is before all others.
-EARLIER = "(y.id < x.id or (y.id is null and x.id is not null) or (y.id <=> x.id and (y.key < x.key or (y.key = x.key and y.line < x.line))))"
-
 
-def _prefixes(sets: DataFrame) -> DataFrame:
-    return sets.select(F.posexplode("prefix").alias("pos", "word"), "id", "key", "line", "n")
+        def verified(some: DataFrame) -> DataFrame:
+            for side, name in (("x", "one"), ("y", "two")):
+                own = words.select(*[F.col(c).alias(f"w_{c}") for c in PLACE], F.col("words").alias(name))
+                some = some.join(own, F.expr(f"{side}_id <=> w_id and {side}_key = w_key and {side}_line = w_line")).drop("w_id", "w_key", "w_line")
+            some = some.select(*[F.col(f"x_{c}").alias(c) for c in PLACE], "one", "two").mapInArrow(_similar(percent), "id long, key long, line int")
+            return save(some.distinct())
+
+        x = [f"x_{c}" for c in PLACE]
+        best = pairs.groupBy(*x).agg(F.min(F.struct("apart", *sides[3:])).alias("b")).select(*x, *[F.col(f"b.{c}").alias(c) for c in sides[3:]])
+        found = verified(best)
+        rest = pairs.join(found, F.expr("x_id <=> id and x_key = key and x_line = line"), "left_anti")
+        more = verified(rest)
+        drop(pairs, words)
+        return found.unionByName(more)
+
+    stars = _exploded(sets).where("star").drop("star", "indexed")
+    many = stars.groupBy("word").agg(F.count("*").alias("k")).where(F.col("k") > hot).select("word")
+    stars = save(stars.join(many, "word", "left_semi"))
+    centre = stars.groupBy("word").agg(F.min(F.struct(*PLACE, "n", "parity")).alias("y")).select(F.col("word").alias("own"), "y")
+    star = stars.withColumnRenamed("word", "w").select("w", F.struct(*[c for c in stars.columns if c != "word"]).alias("x")).join(centre, F.expr(f"w = own and not ({_same('x', 'y')}) and {close}"))
+    done = check(star.select(*_sides("x", "y"), F.expr(apart).alias("apart")))
+    drop(stars)
+
+    marks = sets.alias("s").join(done.withColumn("done", F.lit(True)).alias("d"), F.expr(_same("s", "d")), "left")
+    marks = save(marks.select("s.*", F.col("done").isNull().alias("open")).drop("a"))
+    drop(marked)
+    open_ = _exploded(marks).drop("star")
+    probes = open_.drop("indexed")
+    index = open_.where("indexed").drop("indexed")
+    # the longer set, or of equal ones the later, is the probing one; what is later must not be settled yet
+    longer = f"(x.n > y.n or (x.n = y.n and {_earlier('y', 'x')}))"
+    later = _earlier("y", "x")
+    one = probes.where("open").alias("x").join(index.alias("y"), F.expr(f"x.word = y.word and {fits} and {longer} and ({later} or y.open)"))
+    two = save(probes.where("not open")).alias("x").join(index.where("open").alias("y"), F.expr(f"x.word = y.word and {fits} and {longer} and not {later}"))
+    swapped = lambda rows: rows.select(F.expr(later).alias("l"), F.struct("x.id", "x.key", "x.line").alias("x"), F.struct("y.id", "y.key", "y.line").alias("y"), F.expr(apart).alias("apart"))
+    both = save(swapped(one).unionByName(swapped(two)).select(F.when(F.col("l"), F.col("x")).otherwise(F.col("y")).alias("x"), F.when(F.col("l"), F.col("y")).otherwise(F.col("x")).alias("y"), "apart"))
+    drop(marks)
+    found = check(both.select(*_sides("x", "y"), "apart"))
+    drop(both)
+    return save(again.unionByName(done).unionByName(found).distinct())
 
 
-def _gone(w: tx.Words, offsets: np.ndarray, batch: pa.RecordBatch) -> list[list[int]]:
-    """Of each text the numbers of the lines that are long enough and not kept."""
-    kept, of = tx.lists(batch, KEPT)
-    out: list[list[int]] = [[] for _ in range(batch.num_rows)]
-    if len(w.hashes):
-        line, first = _line_of(w, offsets)
-        words = np.bincount(line)
-        long_ = np.flatnonzero(words >= LEAST)
-        text = np.searchsorted(first, long_, "right") - 1
-        for t, k in zip(text.tolist(), (long_ - first[text]).tolist(), strict=True):
-            out[t].append(k)
-    return [sorted(set(x) - set(kept[of[i] : of[i + 1]].tolist())) for i, x in enumerate(out)]
+def _named(docs: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    return keyed(rows, "id").select("id", F.col(KEY).alias("key"), "text")
 
 
-_LINE_ARROW = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("line", pa.int32())])
+def _by_document(gone: DataFrame) -> DataFrame:
+    """(own, own_key, GONE): the removed lines of each document that has some, in order."""
+    return gone.groupBy(F.col("id").alias("own"), F.col("key").alias("own_key")).agg(F.array_sort(F.collect_list("line")).alias(GONE))
 
 
-def _eligible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The lines of at least LEAST words."""
-    for batch, data, offsets in tx.blocks(batches):
-        w = tx.words(data, offsets)
-        if len(w.hashes):
-            line, first = _line_of(w, offsets)
-            long_ = np.flatnonzero(np.bincount(line) >= LEAST)
-            text = np.searchsorted(first, long_, "right") - 1
-            yield tx.record(_LINE_ARROW, *_names(batch, text), (long_ - first[text]).astype(np.int32))
-
-
-def _rewritten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts without their removed lines; the column of kept ones is dropped."""
-    for batch, data, offsets in tx.blocks(batches):
-        gone = _gone(tx.words(data, offsets), offsets, batch)
-        at = batch.schema.get_field_index("text")
-        texts = batch.column(at).to_pylist()
-        for i, drop_ in enumerate(gone):
-            if drop_:
-                lines, drop_ = texts[i].split("\n"), set(drop_)
-                texts[i] = "\n".join(x for k, x in enumerate(lines) if k not in drop_)
-        columns = [pa.array(texts, pa.string()) if i == at else c for i, c in enumerate(batch.columns)]
-        keep = [i for i, f in enumerate(batch.schema) if f.name != KEPT]
-        yield pa.RecordBatch.from_arrays([columns[i] for i in keep], names=[batch.schema.field(i).name for i in keep])
-
-
-def _with_kept(docs: DataFrame, percent: int, id_col: str) -> DataFrame:
-    docs = keyed(docs, id_col)
-    kept = _kept_lines(docs.select(F.col(id_col).cast("long").alias("id"), F.col(KEY).alias("key"), "text"), percent)
-    kept = kept.groupBy(F.col("id").alias(f"{KEPT}_id"), F.col("key").alias(f"{KEPT}_key")).agg(F.collect_list("line").alias(KEPT))
-    same = F.col(id_col).cast("long").eqNullSafe(F.col(f"{KEPT}_id")) & (F.col(KEY) == F.col(f"{KEPT}_key"))
-    return docs.join(kept, same, "left").drop(f"{KEPT}_id", f"{KEPT}_key", KEY)
-
-
-def removed_lines(docs: DataFrame, percent: int = 80, id_col: str = "doc_id") -> DataFrame:
+def removed_lines(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", frequent: int = FREQUENT, hot: int = HOT) -> DataFrame:
     """Per row of docs: its id, n_lines, n_removed and the removed lines' numbers, from 0 and comma-joined."""
     rows = _named(docs, id_col)
-    kept = _kept_lines(rows, percent)
-    gone = rows.mapInArrow(_eligible, "id long, key long, line int").distinct().alias("e").join(kept.alias("k"), F.expr("e.id <=> k.id and e.key = k.key and e.line = k.line"), "left_anti")
-    gone = gone.groupBy(F.col("id").alias("own"), F.col("key").alias("own_key")).agg(F.array_sort(F.collect_list("line")).alias("gone"))
+    gone = _by_document(removed(rows, percent, frequent, hot))
     text = F.coalesce("text", F.lit(""))
     n = F.when(text == "", 0).otherwise(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1)
     out = rows.select("id", "key", n.cast("long").alias("n_lines")).join(gone, F.expr("id <=> own and key = own_key"), "left")
-    number = F.coalesce(F.size("gone"), F.lit(0)).cast("long")
-    return out.select(F.col("id").alias(id_col), "n_lines", F.when(F.col("gone").isNull(), 0).otherwise(number).alias("n_removed"), F.coalesce(F.array_join("gone", ","), F.lit("")).alias("removed"))
+    return out.select(F.col("id").alias(id_col), "n_lines", F.coalesce(F.size(GONE), F.lit(0)).cast("long").alias("n_removed"), F.coalesce(F.array_join(GONE, ","), F.lit("")).alias("removed"))
+
+
+def _rewritten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts without their removed lines; the column of these is dropped."""
+    for whole in batches:
+        for batch, _, _ in tx.blocks(iter([whole])):
+            at, of = batch.schema.get_field_index("text"), batch.schema.get_field_index(GONE)
+            column, gone = batch.column(at), batch.column(of)
+            if gone.null_count < batch.num_rows:
+                texts = column.to_pylist()
+                for i, drop_ in enumerate(gone.to_pylist()):
+                    if drop_ is not None:
+                        drop_ = set(drop_)
+                        texts[i] = "\n".join(x for k, x in enumerate(texts[i].split("\n")) if k not in drop_)
+                column = pa.array(texts, pa.string())
+            keep = [i for i in range(batch.num_columns) if i != of]
+            yield pa.RecordBatch.from_arrays([column if i == at else batch.column(i) for i in keep], names=[batch.schema.field(i).name for i in keep])
 
 
 def remove_lines(docs: DataFrame, percent: int = 80, id_col: str = "doc_id") -> DataFrame:
     """docs with the removed lines gone from text; all columns stay."""
-    rows = _with_kept(docs, percent, id_col)
+    rows = keyed(docs, id_col)
+    gone = _by_document(removed(rows.select(F.col(id_col).cast("long").alias("id"), F.col(KEY).alias("key"), "text"), percent))
+    rows = rows.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("own")) & (F.col(KEY) == F.col("own_key")), "left").drop("own", "own_key", KEY)
     return rows.mapInArrow(_rewritten, docs.schema)

@@ -1,26 +1,33 @@
 """Tables between two steps of an operator, in the folder all executors share.
 
 `save` writes a DataFrame as Parquet and reads it again: the lineage is cut, and
-a lost executor costs one task, not the steps before.  The folder is the
-session's spark.checkpoint.dir; only where none is set (as in tests) a local one
-is made.  What a result may still read stays until the interpreter ends.
+a lost executor costs one task, not the steps before.  The shuffle files behind
+the table are removed once it is written.  The folder is the session's
+spark.checkpoint.dir; where none is set, a session within one machine (as in
+tests) gets a temporary one, and a cluster's is refused.  What a result may still
+read stays until the interpreter ends.
 """
 
 from __future__ import annotations
 
 import atexit
 import contextlib
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _KEPT: list[tuple[SparkSession, str]] = []
+#: Of Spark 4.1: shuffle files go when the query that made them has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def folder(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='civicspark-')}"
         spark.sparkContext.setCheckpointDir(base)
         spark.conf.set("spark.checkpoint.dir", base)
@@ -30,7 +37,12 @@ def folder(spark: SparkSession) -> str:
 def save(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{folder(spark)}/civicspark/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     _KEPT.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path

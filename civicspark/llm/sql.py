@@ -86,7 +86,7 @@ LINE_DEDUP = r"""
 WITH l AS (
   SELECT doc_id, i - 1 AS line, regexp_extract_all(lines[i], '[^\x20\x09-\x0D]+') AS ws
   FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines, unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) AS i FROM documents)),
-big AS (SELECT doc_id, line, list_sort(list_distinct(ws)) AS k FROM l WHERE len(ws) >= 5),
+big AS (SELECT doc_id, line, list_sort(list_distinct(ws)) AS k FROM l WHERE len(ws) > 0),
 s AS (SELECT k, min(struct_pack(d := doc_id, l := line)) AS f, len(k) AS n FROM big GROUP BY k),
 t AS (SELECT f, n, unnest(k) AS w FROM s),
 later AS (

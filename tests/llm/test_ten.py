@@ -129,7 +129,7 @@ def test_components_of_chains_and_loops(spark):
     assert all(out[i] == 0 for i in [*range(22), 50]) and all(out[i] == 30 for i in (30, 31, 32)) and 40 not in out
 
 
-def brute_lines(rows, least=5, percent=80):
+def brute_lines(rows, least=1, percent=80):
     lines = [((-1 if i is None else i, k), frozenset(words(x)), len(words(x))) for i, t in rows for k, x in enumerate((t or "").split("\n"))]
     lines = sorted((x for x in lines if x[2] >= least), key=lambda x: x[0])
     gone = set()
@@ -155,6 +155,20 @@ def test_lines_equal_brute_force(docs, empty):
     assert removed_lines(empty).count() == remove_lines(empty).count() == 0
 
 
+@pytest.mark.parametrize("frequent, hot", [(1, 1), (4, 2), (30, 5), (1024, 64)])
+def test_keys_of_frequent_words_and_hot_keys_lose_no_line(spark, frequent, hot):
+    rng, rows = random.Random(frequent), []
+    for i in range(30):
+        lines = []
+        for _ in range(rng.randint(1, 10)):
+            lines.append([f"w{int(rng.paretovariate(0.6)) % 60}" for _ in range(rng.randint(1, 14))])
+            if rng.random() < 0.5:
+                lines.append([*lines[-1][1:], f"x{rng.randrange(5)}"])
+        rows.append((i or None, "\n".join(" ".join(x) for x in lines)))
+    found = removed_lines(spark.createDataFrame(rows, "doc_id long, text string"), frequent=frequent, hot=hot).collect()
+    assert {(-1 if r.doc_id is None else r.doc_id, int(k)) for r in found for k in r.removed.split(",") if k} == brute_lines(rows)
+
+
 def test_similar_lines_by_many_random_sets(spark):
     rng = random.Random(4)
     base = [[f"t{rng.randrange(60)}" for _ in range(rng.randint(5, 14))] for _ in range(12)]
