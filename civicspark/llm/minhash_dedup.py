@@ -8,27 +8,31 @@ linked when their sets' Jaccard similarity is at least `percent` / 100.
    a bucket.  A pair at 0.8 shares none with a chance of (1 - 0.8**5)**40, 1.3e-7.
 2. Equal sets are one from here on (the least id stands for them), so a group of
    thousands of copies is one row.
-3. Two star rounds: each bucket names a centre, first by one order for all bands,
-   then by another for each, and the members of other components are checked
-   against it.  Then pairs of one bucket that are still in different components
-   are checked, each in its first common band; pairs in one component cannot
-   change it.  That join compares the sets themselves, so only links leave it.
+3. Star rounds: each bucket names a centre, first by one order for all bands, then
+   by another for each, and the members of other components are checked against it;
+   the centre is then done with in its bucket.  Buckets with one component left are
+   done with, too, so a group of near copies shrinks by a large part each round.
+   When a round leaves more than half of the rows, the rest is joined: members outside
+   a bucket's largest component with the others, each pair's signatures of a bit a
+   minimum being compared within the join.
 4. A check compares signatures (200 bytes, five standard deviations of slack)
    and then the full shingle sets.
 5. Components: see `components`.
 
 Defined cases: a null or empty text has no shingles and is linked with nothing;
 rows that repeat an id share its result; a row without an id is linked with
-nothing and kept; extra columns are untouched.
+nothing and kept; extra columns are untouched.  Shingles are told apart by 64-bit
+hashes of their words.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from civicspark.llm import text as tx
@@ -42,8 +46,10 @@ _B = _RANDOM.integers(0, 2**32, BANDS * ROWS, dtype=np.uint32)
 _JOIN = _RANDOM.integers(0, 2**63, (BANDS, ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SALT = _RANDOM.integers(0, 2**63, BANDS, dtype=np.uint64)
 
-_SIGNED = "id long, n long, a long, b long, bands array<long>, sig binary"
-_SIGNED_ARROW = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("bands", pa.list_(pa.int64())), ("sig", pa.binary())])
+#: Longs that hold a bit of each minimum.
+BITS = [f"bit{i}" for i in range(-(-BANDS * ROWS // 64))]
+_SIGNED = "id long, n long, a long, b long, bands array<long>, sig binary, " + ", ".join(f"{x} long" for x in BITS)
+_SIGNED_ARROW = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("bands", pa.list_(pa.int64())), ("sig", pa.binary()), *[(x, pa.int64()) for x in BITS]])
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -83,7 +89,10 @@ def _sign(size: int):
             width = BANDS * ROWS
             lists = pa.ListArray.from_arrays(pa.array(np.arange(rows + 1) * BANDS, pa.int32()), pa.array(tx.signed(bands.ravel())))
             binary = pa.Array.from_buffers(pa.binary(), rows, [None, pa.py_buffer((np.arange(rows + 1) * width).astype(np.int32)), pa.py_buffer(sig)])
-            yield tx.record(_SIGNED_ARROW, batch.column(0), n, tx.signed(one), tx.signed(two), lists, binary)
+            bits = np.zeros((rows, 64 * len(BITS)), np.uint8)
+            bits[:, :width] = sig & 1
+            bits = np.packbits(bits, axis=1).view(np.int64)
+            yield tx.record(_SIGNED_ARROW, batch.column(0), n, tx.signed(one), tx.signed(two), lists, binary, *[np.ascontiguousarray(x) for x in bits.T])
 
     return run
 
@@ -102,21 +111,6 @@ def _alike(slack: float):
     return run
 
 
-_SHORT_ARROW = pa.schema([("id", pa.int64()), ("short", pa.list_(pa.int32()))])
-
-
-def _short_sets(size: int):
-    """Each text's distinct shingle hashes, cut to 32 bits."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, data, offsets in tx.blocks(batches):
-            gram, first = shingles(data, offsets, size)
-            short = (gram >> np.uint64(32)).astype(np.uint32).view(np.int32)
-            yield tx.record(_SHORT_ARROW, batch.column(0), [np.unique(short[first[i] : first[i + 1]]) for i in range(batch.num_rows)])
-
-    return run
-
-
 def _verified(size: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in tx.blocks(batches, "text"):
@@ -144,15 +138,19 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     groups = save(usable.groupBy("a", "b").agg(F.min("id").alias("rep")))
     copies = save(signed.select("id", "n", "a", "b").join(groups, ["a", "b"], "left").select("id", "n", "rep"))
     reps = usable.join(groups.select("rep"), F.col("id") == F.col("rep"), "left_semi").dropDuplicates(["id"])
-    sigs = save(reps.select("id", "n", "sig", "bands"))
-    drop(signed)
-    banded = sigs.select("id", "n", F.posexplode("bands").alias("k", "band"))
+    sigs = save(reps.select("id", "n", "sig", "bands", *BITS))
+    drop(signed, groups)
+    banded = sigs.select("id", "n", F.explode("bands").alias("band"))
     shared = save(banded.groupBy("band").agg(F.count("*").alias("many")).where("many > 1").select("band"))
-    members = save(banded.join(shared, "band", "left_semi"))
+    members = save(banded.join(shared, "band", "left_semi").withColumn("label", F.col("id")))
     some = save(members.select(F.col("id").alias("own")).distinct())
     held = save(docs.join(some, F.col("id") == F.col("own"), "left_semi").dropDuplicates(["id"]))
-    sigs = save(sigs.join(some, F.col("id") == F.col("own"), "left_semi"))
-    slack = percent / 100 - 5 * (0.25 / (BANDS * ROWS)) ** 0.5
+    every, sigs = sigs, save(sigs.join(some, F.col("id") == F.col("own"), "left_semi").drop("bands"))
+    drop(every, shared, some)
+    deviations = 5 * (0.25 / (BANDS * ROWS)) ** 0.5
+    slack = percent / 100 - deviations
+    #: bits that differ: half of the minima that do
+    differ = int(BANDS * ROWS * ((1 - percent / 100) / 2 + deviations))
     sized = f"a.label <> b.label and 100 * least(a.n, b.n) >= {percent} * greatest(a.n, b.n)"
 
     def check(pairs: DataFrame) -> DataFrame:
@@ -162,35 +160,40 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
         pairs = pairs.join(held.select(F.col("id").alias("u"), "text"), "u").join(held.select(F.col("id").alias("v"), F.col("text").alias("other")), "v")
         return save(pairs.select("u", "v", "text", "other").mapInArrow(_verified(shingle, percent), "u long, v long"))
 
-    def labelled(rows: DataFrame) -> DataFrame:
-        """Members of the buckets that still hold two components."""
-        rows = rows.join(labels, "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
-        open_ = rows.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("band")
-        return save(rows.join(open_, "band", "left_semi"))
-
-    def stars(rows: DataFrame, order: Column) -> DataFrame:
-        """Each member with its bucket's centre, the first by `order`."""
-        centre = rows.groupBy("band").agg(F.min(F.struct(order.alias("o"), "id", "label", "n")).alias("c")).select("band", "c.*")
-        star = rows.alias("a").join(centre.alias("b"), F.expr(f"a.band = b.band and {sized}"))
-        return star.select(F.col("a.id").alias("x"), F.col("b.id").alias("y"))
-
-    edges = check(stars(members.withColumn("label", F.col("id")), F.xxhash64("id")))
-    labels = save(components(edges))
-    members = labelled(members)
-    edges = edges.unionByName(check(stars(members, F.xxhash64("id", "band"))))
-    labels = save(components(edges))
-    members = labelled(members.drop("label"))
-    # these pairs are compared within the join, so that only links leave it, by shingle hashes cut to 32 bits;
-    # what equal cut hashes hide of an intersection is at most n less the number of distinct ones
-    apart = held.join(members.select(F.col("id").alias("own")).distinct(), F.col("id") == F.col("own"), "left_semi").select("id", "text")
-    apart = save(apart.mapInArrow(_short_sets(shingle), "id long, short array<int>").join(sigs.select("id", "bands"), "id"))
-    rest = members.join(apart, "id")
-    once = "not arrays_overlap(slice(a.bands, 1, a.k), slice(b.bands, 1, a.k))"
-    shared = "(size(array_intersect(a.short, b.short)) + a.n - size(a.short))"
-    linked = f"100 * {shared} >= {percent} * (a.n + b.n - {shared})"
-    rest = rest.alias("a").join(rest.alias("b"), F.expr(f"a.band = b.band and a.label < b.label and {sized} and {once} and {linked}"))
-    edges = edges.unionByName(check(rest.select(F.col("a.id").alias("x"), F.col("b.id").alias("y"))))
-    labels = components(edges)
+    def merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+        """Components once links are there, too."""
+        known = links if labels is None else links.unionByName(labels.select(F.col("id").alias("u"), F.col("component").alias("v")))
+        now = save(components(known))
+        drop(links, *([] if labels is None else [labels]))
+        return now
+
+    labels = seen = None
+    for turn in count():
+        if labels is not None:
+            # members of the buckets that still hold two components
+            rows = members.drop("label").join(labels, "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
+            open_ = rows.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("band")
+            before, members = members, save(rows.join(open_, "band", "left_semi"))
+            drop(before)
+            now = members.count()
+            if not now or turn > 3 and now > seen / 2:
+                break
+            seen = now
+        order = F.xxhash64("id", "band") if turn else F.xxhash64("id")
+        centre = members.groupBy("band").agg(F.min(F.struct(order.alias("o"), "id", "label", "n")).alias("c")).select("band", "c.*")
+        star = save(members.alias("a").join(centre.alias("b"), "band").select("band", "a.id", "a.n", "a.label", F.col("b.id").alias("centre"), F.expr(sized).alias("meets")))
+        drop(members)
+        labels = merged(labels, check(star.where("meets").select(F.col("id").alias("x"), F.col("centre").alias("y"))))
+        members = save(star.where("id <> centre").select("band", "id", "n", "label"))
+        drop(star)
+    # what is left: those outside the largest component of a bucket, with all others in it
+    largest = members.groupBy("band", "label").agg(F.count("*").alias("k")).groupBy("band").agg(F.max_by("label", "k").alias("main"))
+    rest = save(members.join(largest, "band").join(sigs.select("id", *BITS), "id"))
+    near = " + ".join(f"bit_count(a.{x} ^ b.{x})" for x in BITS)
+    once = "(b.label = b.main or a.id < b.id)"
+    pairs = rest.where("label <> main").alias("a").join(rest.alias("b"), F.expr(f"a.band = b.band and {sized} and {near} <= {differ} and {once}"))
+    labels = merged(labels, check(pairs.select(F.col("a.id").alias("x"), F.col("b.id").alias("y"))))
+    drop(members, rest)
     out = copies.join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left")
     component = F.coalesce("component", "rep", "id")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
