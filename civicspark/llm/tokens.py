@@ -2,8 +2,9 @@
 
 The encoding of a prefix ends in one token t, and what is before t is the
 encoding of a shorter prefix; t is right exactly when t and the last token
-before it stay apart as BPE encodes the two alone.  So one pass over the bytes
-gives the last token and the count at every prefix.  The pass runs per distinct
+before it stay apart as BPE encodes the two alone.  So one pass over the bytes, by
+an automaton that knows the tokens ending at each, gives the last token and the
+count at every prefix.  The pass runs per distinct
 piece of text (white space and what follows it); a piece's result is the change
 of the count at each of its characters, one signed byte each, and a document's
 is the pieces' one after the other.  `count_at` and `cut_at` answer from these
@@ -30,13 +31,21 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from civicspark.llm import text as tx
+
 #: The characters with Unicode's White_Space property.
 WHITE = "\t-\r \x85\xa0  -     　"
 PIECE = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 #: A plain piece: perhaps a line end, perhaps a space, letters of Latin 1, perhaps one sign.
 PLAIN = re.compile(r"\n? ?[A-Za-zÀ-ÖØ-öø-ÿ]+[.,;:!?|%&$#*)]?")
-#: Entries of a cache before it is begun anew.
+#: Entries of a cache before it becomes the older one; two are kept.
 CACHE = 300_000
+#: Bytes of a word's beginning whose counts are kept.
+HEAD = 6
+#: Characters of a text that are looked at together.
+PART = 1 << 20
+#: Where a piece may begin: white space after something else.
+EDGE = re.compile(f"(?<=[^{WHITE}])(?=[{WHITE}])")
 
 _COUNTERS: dict[str, PrefixCounter] = {}
 
@@ -48,11 +57,28 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
 
 
-class PrefixCounter(dict):
-    """Piece -> bytes: the change of the token count at each character."""
+class Recent(dict):
+    """A cache of what `make` gives; of full caches the last one stays beside the new."""
 
-    def __init__(self, path: str):
+    def __init__(self, make, size: int = CACHE):
         super().__init__()
+        self.make, self.size, self.older = make, size, {}
+
+    def __missing__(self, key):
+        found = self.older.get(key)
+        if found is None:
+            found = self.make(key)
+        if len(self) >= self.size:
+            self.older = dict(self)
+            self.clear()
+        self[key] = found
+        return found
+
+
+class PrefixCounter:
+    """Counts of tokens at every prefix: `pieces` has the change at each character of a piece, `totals` a piece's tokens."""
+
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -61,57 +87,88 @@ class PrefixCounter(dict):
         special = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
         self.vocab = {bytes(byte_of[c] for c in t): i for t, i in self.tokenizer.get_vocab().items() if t not in special}
         self.bytes_of = {i: t for t, i in self.vocab.items()}
-        self.longest = max(map(len, self.vocab))
-        self.stay: dict[int, bool] = {}
+        self.stay = Recent(self.apart, 4 * CACHE)
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
+        # an automaton that reads bytes: its state is the longest end of what is read that begins a token
+        self.begins = {t[:n] for t in self.vocab for n in range(len(t) + 1)}
+        self.states: dict[bytes, int] = {}
+        self.names: list[bytes] = []
+        self.ends: list[list[tuple[int, int]]] = []  # of each state the tokens that end there, longest first
+        self.state(b"")
+        self.steps = dict[int, int]()
+        self.heads = Recent(self.head)
+        self.pieces = Recent(self.piece)
+        self.totals = Recent(self.piece_total)
+
+    def state(self, name: bytes) -> int:
+        if name not in self.states:
+            self.states[name] = len(self.names)
+            self.names.append(name)
+            self.ends.append([(len(name) - k, self.vocab[name[k:]]) for k in range(len(name)) if name[k:] in self.vocab])
+        return self.states[name]
+
+    def step(self, key: int) -> int:
+        """From a state (key >> 8) by a byte (key & 255)."""
+        name = self.names[key >> 8] + bytes([key & 255])
+        while name not in self.begins:
+            name = name[1:]
+        found = self.steps[key] = self.state(name)
+        return found
 
-    def apart(self, left: int, right: int) -> bool:
-        key = left << 32 | right
-        known = self.stay.get(key)
-        if known is None:
-            if len(self.stay) > 4 * CACHE:
-                self.stay.clear()
-            text = "".join(self.letters[b] for b in self.bytes_of[left] + self.bytes_of[right])
-            known = self.stay[key] = [t.id for t in self.tokenizer.model.tokenize(text)] == [left, right]
-        return known
-
-    def counts(self, word: bytes) -> list[int]:
-        """Tokens of each prefix of a word that the tokenizer does not part."""
-        vocab, stay, longest = self.vocab, self.stay, self.longest
-        last, count = [-1], [0]
-        for end in range(1, len(word) + 1):
-            for at in range(end - 1, max(0, end - longest) - 1, -1):
-                token = vocab.get(word[at:end])
-                if token is not None:
-                    if at:
-                        ok = stay.get(last[at] << 32 | token)
-                        if ok is None:
-                            ok = self.apart(last[at], token)
-                        if not ok:
-                            continue
+    def apart(self, key: int) -> bool:
+        """Whether BPE leaves two tokens (left << 32 | right) as they are."""
+        left, right = key >> 32, key & 0xFFFFFFFF
+        text = "".join(self.letters[b] for b in self.bytes_of[left] + self.bytes_of[right])
+        return [t.id for t in self.tokenizer.model.tokenize(text)] == [left, right]
+
+    def head(self, word: bytes) -> tuple[int, list[int], list[int]]:
+        return self.read(word, 0, 0, [-1], [0])
+
+    def read(self, word: bytes, at: int, state: int, last: list[int], count: list[int]) -> tuple[int, list[int], list[int]]:
+        """Go on from byte `at`; last, count: the last token and the count at every prefix so far."""
+        steps, ends, stay = self.steps, self.ends, self.stay
+        for end in range(at + 1, len(word) + 1):
+            key = state << 8 | word[end - 1]
+            state = steps.get(key)
+            if state is None:
+                state = self.step(key)
+            for size, token in ends[state]:
+                if size == end or stay[last[end - size] << 32 | token]:
                     last.append(token)
-                    count.append(count[at] + 1)
+                    count.append(count[end - size] + 1)
                     break
+        return state, last, count
+
+    def counts(self, word: bytes) -> list[int]:
+        """Tokens of each prefix of a word that the tokenizer does not part; words of one beginning share its part."""
+        state, last, count = self.heads[word[:HEAD]]
+        if len(word) > HEAD:
+            count = self.read(word, HEAD, state, last.copy(), count.copy())[2]
         return count[1:]
 
     def parts(self, piece: str) -> list[tuple[str, int]]:
         return [(piece[a:b], a) for _, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(piece)]
 
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) >= CACHE:
-            self.clear()
+    def piece(self, piece: str) -> bytes:
+        """The change of the token count at each character of a piece, a signed byte each."""
         if PLAIN.fullmatch(piece):
             if not piece[-1].isalpha():  # the sign is a part, and a token, of its own
-                found = self[piece] = self[piece[:-1]] + b"\x01"
-                return found
+                return self.pieces[piece[:-1]] + b"\x01"
             if piece[0] == "\n":
-                found = self[piece] = b"\x01" + self[piece[1:]]
-                return found
+                return b"\x01" + self.pieces[piece[1:]]
             counts = self.chars(piece)
         else:
             counts = self.general(piece)
-        found = self[piece] = bytes([(n - before) & 255 for before, n in pairwise([0, *counts])])
-        return found
+        return bytes([(n - before) & 255 for before, n in pairwise([0, *counts])])
+
+    def piece_total(self, piece: str) -> int:
+        if PLAIN.fullmatch(piece):
+            if not piece[-1].isalpha():
+                return self.totals[piece[:-1]] + 1
+            if piece[0] == "\n":
+                return self.totals[piece[1:]] + 1
+            return self.counts(piece.encode())[-1]
+        return self.general(piece)[-1]
 
     def general(self, piece: str) -> list[int]:
         """Counts at each character of any piece: the parts before a prefix's last one stay, the last one is cut."""
@@ -137,18 +194,39 @@ class PrefixCounter(dict):
         ends = accumulate(len(c.encode()) for c in part)
         return [counts[e - 1] for e in ends]
 
+    def _spelt(self, text: str) -> bytes:
+        return b"".join(b"".join(map(self.pieces.__getitem__, PIECE.findall(x))) for x in parts(text))
+
     def changes(self, text: str) -> bytes:
         """The change of the token count at each character of a text."""
         if self.special is None or not self.special.search(text):
-            return b"".join(map(self.__getitem__, PIECE.findall(text)))
+            return self._spelt(text)
         *pairs, rest = self.special.split(text)
         out = bytearray()
         for own, token in zip(pairs[::2], pairs[1::2], strict=True):
-            with_token = bytearray(b"".join(map(self.__getitem__, PIECE.findall(own + token))))
-            alone = total(b"".join(map(self.__getitem__, PIECE.findall(own))))
-            with_token[-1] = (alone + 1 - total(bytes(with_token[:-1]))) & 255
+            with_token = bytearray(self._spelt(own + token))
+            with_token[-1] = (self.total(own) + 1 - total(bytes(with_token[:-1]))) & 255
             out += with_token
-        return bytes(out + b"".join(map(self.__getitem__, PIECE.findall(rest))))
+        return bytes(out + self._spelt(rest))
+
+    def total(self, text: str) -> int:
+        """A text's tokens."""
+        if self.special is None or not self.special.search(text):
+            return sum(sum(map(self.totals.__getitem__, PIECE.findall(x))) for x in parts(text))
+        *pairs, rest = self.special.split(text)
+        return sum(map(self.total, pairs[::2])) + len(pairs) // 2 + self.total(rest)
+
+
+def parts(text: str) -> Iterator[str]:
+    """A text in parts of about PART characters, between pieces."""
+    lo = 0
+    while len(text) - lo > PART:
+        edge = EDGE.search(text, lo + PART)
+        if not edge:
+            break
+        yield text[lo : edge.start()]
+        lo = edge.start()
+    yield text[lo:] if lo else text
 
 
 def total(changes: bytes) -> int:
@@ -165,11 +243,14 @@ def counter(path: str) -> PrefixCounter:
 def _counted(path: str, keep: bool, schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = counter(path)
-        for batch in batches:
-            text = pc.fill_null(batch.column(1), "")
-            found = [own.changes(x) for x in text.to_pylist()]
-            columns = [batch.column(0), pc.binary_length(text.cast(pa.large_binary())).cast(pa.int64()), pa.array(map(total, found), pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns + [pa.array(found, pa.binary())] * keep, schema=schema)
+        for batch, _, offsets in tx.blocks(batches):
+            texts = pc.fill_null(batch.column(1), "").to_pylist()
+            if keep:
+                found = [own.changes(x) for x in texts]
+                columns = [[total(x) for x in found], found]
+            else:
+                columns = [[own.total(x) for x in texts]]
+            yield tx.record(schema, batch.column(0), np.diff(offsets), *columns)
 
     return run
 
