@@ -13,9 +13,10 @@ document id, then text hash, then line number) has a Jaccard similarity of at le
    (similar sets that differ share four words at least, so if the first they share
    is frequent they share a pair).  So the sets that meet at a key stay few as the
    corpus grows.
-4. Keys of over HOT sets: each of these is checked against the earliest first, and
-   those with a match are done with.  What is left is probed by its full prefix
-   against the shorter prefixes that an index of no longer sets needs.  The join
+4. Keys of over HOT sets: each of these is checked against the CENTRES earliest
+   first, and those with a match are done with.  What is left is probed by its full
+   prefix against the shorter prefixes that an index of no longer sets needs (and
+   against full ones of sets that are done with, which do not probe).  The join
    applies the length filter, the positional one (what can still be common after the
    word), and one by 64 parity bits: each word flips one, so sets cannot
    differ in fewer words than in bits.
@@ -34,7 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from civicspark.llm import text as tx
@@ -44,8 +45,8 @@ from civicspark.llm.scratch import drop, save
 BUCKETS = 1 << 21
 #: A word of more occurrences is a key only together with another.
 FREQUENT = 1024
-#: Keys of more sets are compared with their earliest set first; so many of a set's keys take part.
-HOT, STARS = 64, 3
+#: The sets of keys of more sets are compared with so many earliest ones first; so many of a set's keys take part.
+HOT, CENTRES, STARS = 256, 16, 3
 #: A column's name while lines are removed; no table should have it.
 GONE = "_civicspark_gone_lines"
 #: What names a line.
@@ -222,10 +223,6 @@ def _exploded(sets: DataFrame) -> DataFrame:
     return packed.select(*bits, (F.col("k").bitwiseAND(F.lit(2)) > 0).alias("star"), (F.col("k").bitwiseAND(F.lit(1)) > 0).alias("indexed"), *[c for c in packed.columns if c != "k"])
 
 
-def _sides(x: str, y: str) -> list[Column]:
-    return [F.col(f"{side}.{c}").alias(f"{name}_{c}") for side, name in ((x, "x"), (y, "y")) for c in PLACE]
-
-
 def removed(docs: DataFrame, percent: int, frequent: int = FREQUENT, hot: int = HOT) -> DataFrame:
     """(id, key, line) of the lines to remove, for docs (id, key, text)."""
     spark = docs.sparkSession
@@ -236,21 +233,24 @@ def removed(docs: DataFrame, percent: int, frequent: int = FREQUENT, hot: int =
     lines = save(docs.mapInArrow(_lines(shared, percent, frequent, hot), _LINES))
     # equal sets: rows of the first place stay, once
     first = lines.groupBy("a", "parity").agg(F.min(F.struct(*PLACE)).alias("f"), F.count("*").alias("k")).where("k > 1").drop("k")
-    first = first.withColumnsRenamed({"a": "f_a", "parity": "f_parity"})
+    first = save(first.withColumnsRenamed({"a": "f_a", "parity": "f_parity"}))
     marked = lines.join(first, F.expr("a = f_a and parity = f_parity"), "left")
     marked = save(marked.select(*lines.columns, F.col("f").isNotNull().alias("several"), (F.col("f").isNull() | F.col("f").eqNullSafe(F.struct(*PLACE))).alias("first")))
-    drop(lines)
+    drop(lines, first)
     again = save(marked.where("not first").select(*PLACE))
     sets = marked.where("not several").unionByName(marked.where("several and first").dropDuplicates(["a", "parity"])).drop("several", "first")
 
     close = f"""100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) and bit_count(x.parity ^ y.parity) * {100 + percent} <= {100 - percent} * (x.n + y.n)"""
     fits = f"{close} and least(x.n - x.pos, y.n - y.pos) * {100 + percent} >= {percent} * (x.n + y.n)"
-    apart = "bit_count(x.parity ^ y.parity) / (x.n + y.n)"
+    def paired(rows: DataFrame) -> DataFrame:
+        """(x_id, ..., y_id, ..., apart) once for each pair of rows (x, y)."""
+        sides = [F.col(f"{side}.{c}").alias(f"{side}_{c}") for side in "xy" for c in PLACE]
+        rows = rows.select(*sides, F.expr("cast(bit_count(x.parity ^ y.parity) / (x.n + y.n) as float)").alias("apart"))
+        return save(rows.groupBy(*rows.columns[:-1]).agg(F.min("apart").alias("apart")))
 
     def check(pairs: DataFrame) -> DataFrame:
-        """The places x of pairs (x, y, apart) that are similar."""
-        sides = [f"{side}_{c}" for side in "xy" for c in PLACE]
-        pairs = save(pairs.groupBy(*sides).agg(F.min("apart").alias("apart")))
+        """The places x of pairs that are similar; the table of pairs is dropped."""
+        sides = pairs.columns[:-1]
         asked = pairs.select(F.explode(F.array(*[F.struct(*[F.col(f"{side}_{c}").alias(c) for c in PLACE]) for side in "xy"])).alias("at"))
         asked = asked.distinct().groupBy(F.col("at.id").alias("own"), F.col("at.key").alias("own_key")).agg(F.collect_list("at.line").alias("lines"))
         words = docs.join(save(asked), F.expr("id <=> own and key = own_key")).select("id", "key", "text", "lines").mapInArrow(_words_of, "id long, key long, line int, words binary")
@@ -271,31 +271,28 @@ def removed(docs: DataFrame, percent: int, frequent: int = FREQUENT, hot: int =
         drop(pairs, words)
         return found.unionByName(more)
 
-    stars = _exploded(sets).where("star").drop("star", "indexed")
+    stars = _exploded(sets).where("star").drop("star", "indexed", "pos")
     many = stars.groupBy("word").agg(F.count("*").alias("k")).where(F.col("k") > hot).select("word")
     stars = save(stars.join(many, "word", "left_semi"))
-    centre = stars.groupBy("word").agg(F.min(F.struct(*PLACE, "n", "parity")).alias("y")).select(F.col("word").alias("own"), "y")
-    star = stars.withColumnRenamed("word", "w").select("w", F.struct(*[c for c in stars.columns if c != "word"]).alias("x")).join(centre, F.expr(f"w = own and not ({_same('x', 'y')}) and {close}"))
-    done = check(star.select(*_sides("x", "y"), F.expr(apart).alias("apart")))
-    drop(stars)
+    turn = F.row_number().over(Window.partitionBy("word").orderBy(*PLACE))
+    centres = save(stars.withColumn("turn", turn).where(F.col("turn") <= CENTRES).drop("turn"))
+    done = check(paired(stars.alias("x").join(centres.alias("y"), F.expr(f"x.word = y.word and {_earlier('y', 'x')} and {close}"))))
+    drop(stars, centres)
 
     marks = sets.alias("s").join(done.withColumn("done", F.lit(True)).alias("d"), F.expr(_same("s", "d")), "left")
     marks = save(marks.select("s.*", F.col("done").isNull().alias("open")).drop("a"))
     drop(marked)
-    open_ = _exploded(marks).drop("star")
-    probes = open_.drop("indexed")
-    index = open_.where("indexed").drop("indexed")
-    # the longer set, or of equal ones the later, is the probing one; what is later must not be settled yet
-    longer = f"(x.n > y.n or (x.n = y.n and {_earlier('y', 'x')}))"
-    later = _earlier("y", "x")
-    one = probes.where("open").alias("x").join(index.alias("y"), F.expr(f"x.word = y.word and {fits} and {longer} and ({later} or y.open)"))
-    two = save(probes.where("not open")).alias("x").join(index.where("open").alias("y"), F.expr(f"x.word = y.word and {fits} and {longer} and not {later}"))
-    swapped = lambda rows: rows.select(F.expr(later).alias("l"), F.struct("x.id", "x.key", "x.line").alias("x"), F.struct("y.id", "y.key", "y.line").alias("y"), F.expr(apart).alias("apart"))
-    both = save(swapped(one).unionByName(swapped(two)).select(F.when(F.col("l"), F.col("x")).otherwise(F.col("y")).alias("x"), F.when(F.col("l"), F.col("y")).otherwise(F.col("x")).alias("y"), "apart"))
+    every = _exploded(marks).drop("star")
+    # the longer set, or of equal ones the later, probes; of a pair the later one must be open, and only open ones probe
+    before = _earlier("y", "x")
+    longer = f"y.indexed and (x.n > y.n and ({before} or y.open) or x.n = y.n and {before})"
+    shorter = f"x.indexed and x.n < y.n and not y.open and {before}"
+    met = every.where("open").alias("x").join(every.where("indexed or not open").alias("y"), F.expr(f"x.word = y.word and {fits} and ({longer} or {shorter})"))
+    rows = F.struct(*[F.struct(*[F.col(f"{side}.{c}").alias(c) for c in (*PLACE, "n", "parity")]).alias(side) for side in "xy"])
+    met = met.select(rows.alias("r"), F.expr(before).alias("before"))
+    pairs = paired(met.select(F.expr("if(before, r.x, r.y)").alias("x"), F.expr("if(before, r.y, r.x)").alias("y")))
     drop(marks)
-    found = check(both.select(*_sides("x", "y"), "apart"))
-    drop(both)
-    return save(again.unionByName(done).unionByName(found).distinct())
+    return save(again.unionByName(done).unionByName(check(pairs)).distinct())
 
 
 def _named(docs: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
