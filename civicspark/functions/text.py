@@ -156,3 +156,24 @@ def safe_segment(name: Column) -> Column:
 def csv_cell(value: Column) -> Column:
     text = F.coalesce(value.cast("string"), F.lit(""))
     return F.when(text.rlike('[",\n\r]'), F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(text)
+
+
+#: Crockford's letters for 32 digits.
+CROCKFORD = "0123456789ABCDEFGHJKMNPQRSTVWXYZ"
+
+
+def _letters(number: Column, digits: int) -> Column:
+    """A number of five bits a digit, in Crockford's letters."""
+    parts = [F.substring(F.lit(CROCKFORD), F.shiftright(number, 5 * i).bitwiseAND(F.lit(31)).cast("int") + 1, F.lit(1)) for i in reversed(range(digits))]
+    return F.concat(*parts)
+
+
+def ulid(at: Column, seed: Column) -> Column:
+    """A ULID: ten letters of a time's milliseconds, then sixteen by a seed, so the same row keeps its id when a task runs again."""
+    half = F.lit((1 << 40) - 1)
+    one, two = F.xxhash64(seed), F.xxhash64(seed, F.lit("ulid"))
+    return F.concat(_letters(F.unix_millis(at), 10), _letters(one.bitwiseAND(half), 8), _letters(two.bitwiseAND(half), 8))
+
+
+def is_ulid(text: Column) -> Column:
+    return text.rlike("^[0-9A-HJKMNP-TV-Z]{26}$")

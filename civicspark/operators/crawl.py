@@ -17,12 +17,66 @@ def drift(frozen: DataFrame, now: DataFrame, key: str) -> DataFrame:
     return now.select(key).join(frozen, key, "left_anti").withColumn("change", F.lit("added")).unionByName(frozen.select(key).join(now, key, "left_anti").withColumn("change", F.lit("vanished")))
 
 
+def numbered(rows: DataFrame, key: str, position: str) -> DataFrame:
+    """Rows with their place in order of a key of their own, from 0: ranges of the key are numbered apart, behind the counts of those before."""
+    parts = rows.repartitionByRange(key).sortWithinPartitions(key).withColumn("_part", F.spark_partition_id()).persist()
+    counts = parts.groupBy("_part").agg(F.count("*").alias("_k"))  # a row a partition
+    before = counts.withColumn("_before", F.coalesce(F.sum("_k").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_k")
+    own = F.row_number().over(Window.partitionBy("_part").orderBy(key)) - 1
+    return parts.withColumn("_own", own).join(F.broadcast(before), "_part").withColumn(position, F.col("_before") + F.col("_own")).drop("_part", "_own", "_before")
+
+
+def enumerated(ids: DataFrame, key: str, explicit: Sequence[str] | None = None) -> DataFrame:
+    """The frozen list of a campaign: (key, position) in order of key; explicit ids stand as they are given, without paging."""
+    if explicit is not None:
+        ids = ids.sparkSession.createDataFrame([(x,) for x in dict.fromkeys(explicit)], f"`{key}` string")
+    return numbered(ids.select(key).where(F.col(key).isNotNull()).distinct(), key, "position")
+
+
 def append_unseen(frozen: DataFrame, now: DataFrame, key: str, position: str = "position") -> DataFrame:
     """The ordered list with new keys behind it, in order of key."""
     end = F.broadcast(frozen.agg(F.coalesce(F.max(position), F.lit(-1)).alias("_end")))
-    new = now.select(key).distinct().join(frozen, key, "left_anti").join(end, how="cross")
-    new = new.withColumn(position, F.col("_end") + F.row_number().over(Window.orderBy(key))).select(key, position)
-    return frozen.select(key, position).unionByName(new)
+    new = numbered(now.select(key).distinct().join(frozen, key, "left_anti"), key, position).join(end, how="cross")
+    return frozen.select(key, position).unionByName(new.select(key, (F.col(position) + F.col("_end") + 1).alias(position)))
+
+
+#: Dimensions of a scope that the portal can be asked for.
+DIMENSIONS = ("organizations", "groups", "tags", "datasetIds")
+
+
+def supported(scope: dict[str, Sequence[str]], dimensions: Sequence[str] = DIMENSIONS) -> dict[str, Sequence[str]]:
+    """The scope itself; one with a dimension that cannot be asked for raises, as a crawl of more than was meant would follow."""
+    unknown = sorted(k for k, v in scope.items() if v and k not in dimensions)
+    if unknown:
+        raise ValueError(f"a crawl cannot be limited by {', '.join(unknown)}")
+    return scope
+
+
+def prefiltered(summaries: DataFrame, scope: dict[str, Sequence[str]]) -> DataFrame:
+    """Summaries (organization, group) that may be in scope; with tags or ids all stay, as summaries do not tell."""
+    if scope.get("tags") or scope.get("datasetIds"):
+        return summaries
+    asked = [(c, [x.lower() for x in scope.get(name, ())]) for c, name in (("organization", "organizations"), ("group", "groups"))]
+    keep = F.lit(False)
+    for column, values in asked:
+        keep = keep | F.coalesce(F.lower(column).isin(values), F.lit(False)) if values else keep
+    return summaries.where(keep) if any(v for _, v in asked) else summaries
+
+
+def retry_after(header: Column, now: Column) -> Column:
+    """Seconds to wait by a Retry-After header: whole seconds, or an HTTP date less now, 0 at least; else null."""
+    text = F.trim(header)
+    date = F.try_to_timestamp(F.regexp_replace(text, "^[A-Za-z]{3}, | GMT$", ""), F.lit("dd MMM yyyy HH:mm:ss"))
+    wait = F.when(date.isNotNull(), F.greatest(F.unix_seconds(date) - F.unix_seconds(now), F.lit(0)))
+    return F.coalesce(F.when(text.rlike("^[0-9]+$"), text.try_cast("long")), wait)
+
+
+def backfilled(datasets: DataFrame, fresh: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
+    """Datasets with fields that are null or blank filled from fresh metadata; others and lifecycles stay."""
+    new = fresh.select(key, *[F.col(f).alias(f"_new_{f}") for f in fields])
+    rows = datasets.join(new, key, "left")
+    value = lambda f: F.when(F.coalesce(F.trim(F.col(f)) == "", F.lit(True)), F.coalesce(f"_new_{f}", f)).otherwise(F.col(f))
+    return rows.select(*[value(c).alias(c) if c in fields else F.col(c) for c in datasets.columns])
 
 
 def plan_session(items: DataFrame, cursor: DataFrame, key: str, most: int | None = None, retry: bool = False, attempts: int = 3) -> DataFrame:

@@ -69,3 +69,39 @@ def unique_slugs(rows: DataFrame, base: str, order: Sequence[str]) -> DataFrame:
     """Slugs told apart from the second on: slug, slug-2, slug-3."""
     turn = F.row_number().over(Window.partitionBy(base).orderBy(*order))
     return rows.withColumn("slug", F.when(turn == 1, F.col(base)).otherwise(F.concat(F.col(base), F.lit("-"), turn)))
+
+
+#: Curators in the order they are tried, by the kinds of file they take.
+CURATORS = {"datastore": ["datastore"], "csv": ["tabular"], "xlsx": ["workbook"], "geojson": ["geojson"], "json": ["json", "geojson"], "xml": ["xml"], "text": ["tabular", "workbook", "geojson", "json", "xml", "text", "datastore"]}
+
+
+def curator(preferred: Column, kind: Column) -> Column:
+    """The curator of a file: the preferred one if it can take the sniffed kind, else the first in order that can."""
+    can = {name: kind.isin(kinds) for name, kinds in CURATORS.items()}
+    chosen = F.coalesce(*[F.when((preferred == name) & ok, name) for name, ok in can.items()])
+    return F.coalesce(chosen, *[F.when(ok, name) for name, ok in can.items()])
+
+
+def sheet_slugs(sheets: DataFrame, key: Sequence[str], name: str, position: str) -> DataFrame:
+    """Slugs of a workbook's sheets told apart by -1, -2 in order of position: (key, position, slug)."""
+    base = F.regexp_replace(F.regexp_replace(F.lower(name), r"[^\p{L}\p{N}]+", "-"), "^-+|-+$", "")
+    rows = sheets.withColumn("_slug", F.when(base == "", "sheet").otherwise(base))
+    turn = F.row_number().over(Window.partitionBy(*key, "_slug").orderBy(position)) - 1
+    return rows.select(*key, position, F.when(turn == 0, F.col("_slug")).otherwise(F.concat("_slug", F.lit("-"), turn)).alias("slug"))
+
+
+def run_curation(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Cells of many files (path, sheet, row_no, position, cell) to typed rows and a row for each file.
+
+    A file that could not be read (row -1) is `uncurated` with its error and stops
+    nothing.  Rows: (path, sheet, row_no, name, cell).
+    """
+    from civicspark.sources.files import table_rows
+
+    errors = cells.where("row_no < 0").groupBy("path").agg(F.min("cell").alias("error"))
+    tables = table_rows(cells.where("row_no >= 0").join(errors, "path", "left_anti"))
+    rows = curate(tables, ["path", "sheet"], "name", "cell")
+    counts = rows.groupBy("path").agg(F.count_distinct("sheet", "row_no").alias("rows"))
+    files = cells.select("path").distinct().join(errors, "path", "left").join(counts, "path", "left")
+    state = F.when(F.col("error").isNotNull(), "uncurated").otherwise("curated")
+    return rows, files.select("path", state.alias("state"), "error", F.coalesce("rows", F.lit(0)).alias("rows"))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-TERM = r"[\p{L}\p{N}]+"
+TERM = r"[\p{L}\p{N}]++"
 #: Depth of each leg, and the constant of rank fusion.
 DEPTH, RANK = 50, 60
 
@@ -26,11 +26,11 @@ def postings(docs: DataFrame, key: str, text: Column) -> DataFrame:
 
 def match_phrase(text: Column, phrase: str) -> Column:
     """Whether a quoted query token, of one term or more in a row, is in a text."""
-    words = [w for w in _split(phrase)]
+    words = [w for w in split_terms(phrase)]
     return F.concat(F.lit(" "), F.array_join(terms(text), " "), F.lit(" ")).contains(f" {' '.join(words)} ") if words else F.lit(True)
 
 
-def _split(text: str) -> list[str]:
+def split_terms(text: str) -> list[str]:
     out, word = [], ""
     for c in text.lower() + " ":
         if c.isalnum():
@@ -47,19 +47,23 @@ def bm25(docs: DataFrame, key: str, text: str, query: str, k1: float = 1.2, b: f
     A token with inner punctuation is a phrase.  Only the query's terms are
     counted, beside the number and mean length of all documents.
     """
-    asked = list(dict.fromkeys(w for token in query.split() for w in _split(token)))
-    phrases = [p for p in query.split() if len(_split(p)) > 1]
-    rows = docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("_text")).withColumn("_terms", terms(F.col("_text")))
-    rows = rows.select(key, "_text", F.size("_terms").alias("_len"), *[F.size(F.filter("_terms", _is(w))).alias(f"_tf{i}") for i, w in enumerate(asked)])
+    asked = list(dict.fromkeys(w for token in query.split() for w in split_terms(token)))
+    phrases = [p for p in query.split() if len(split_terms(p)) > 1]
+    low = F.lower(F.coalesce(F.col(text), F.lit("")))
+    # a document without a term's letters is not looked at for it
+    times = [F.when(F.contains(F.col("_low"), F.lit(w)), F.regexp_count("_low", F.lit(rf"(?<![\p{{L}}\p{{N}}]){w}(?![\p{{L}}\p{{N}}])"))).otherwise(0).alias(f"_tf{i}") for i, w in enumerate(asked)]
+    both = F.lit(True)
+    for phrase in phrases:
+        both = both & F.contains(F.col("_low"), F.lit(split_terms(phrase)[0])) & match_phrase(F.col("_low"), phrase)
+    rows = docs.select(F.col(key), low.alias("_low")).select(key, F.regexp_count("_low", F.lit(TERM)).alias("_len"), both.alias("_both"), *times)
+    rows = rows.persist()  # small numbers, read for the statistics and for the hits
     stats = rows.agg(F.count("*").alias("_n"), F.avg("_len").alias("_mean"), *[F.count_if(F.col(f"_tf{i}") > 0).alias(f"_df{i}") for i in range(len(asked))])
-    hits = rows
+    hits = rows.where("_both")
     for i in range(len(asked)):
         hits = hits.where(F.col(f"_tf{i}") > 0)
-    for phrase in phrases:
-        hits = hits.where(match_phrase(F.col("_text"), phrase))
     if not asked:
         hits = hits.where("false")
-    hits = hits.join(F.broadcast(stats), how="cross")
+    hits = hits.join(F.broadcast(stats), how="cross")  # one row
     score = F.lit(0.0)
     for i in range(len(asked)):
         idf = F.log((F.col("_n") - F.col(f"_df{i}") + 0.5) / (F.col(f"_df{i}") + 0.5) + 1)

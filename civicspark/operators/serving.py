@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -96,7 +98,7 @@ def inherited(tenants: DataFrame, settings: DataFrame, tenant: str, name: str, v
     own = settings.where(F.col(tenant).isNotNull())
     common = settings.where(F.col(tenant).isNull()).select(name, F.col(value).alias("_global"))
     names = settings.select(name).distinct()
-    rows = tenants.select(tenant).join(F.broadcast(names), how="cross").join(own, [tenant, name], "left").join(common, name, "left")
+    rows = tenants.select(tenant).join(names, how="cross").join(own, [tenant, name], "left").join(common, name, "left")
     return rows.select(tenant, name, F.coalesce(value, "_global").alias(value), F.col(value).isNotNull().alias("own"))
 
 
@@ -176,3 +178,62 @@ def attempts_in_order(events: DataFrame, key: Sequence[str], order: Sequence[str
     """The last event of each key: later ones overwrite earlier ones."""
     at = Window.partitionBy(*key).orderBy(*[F.desc(c) for c in order])
     return events.withColumn("_r", F.row_number().over(at)).where("_r = 1").drop("_r")
+
+
+def member_counts(tenants: DataFrame, members: DataFrame, tenant: str) -> DataFrame:
+    """Tenants with their number of members, 0 without any."""
+    counts = members.groupBy(tenant).agg(F.count("*").alias("members"))
+    return tenants.join(counts, tenant, "left").withColumn("members", F.coalesce("members", F.lit(0)))
+
+
+def allocation_fits(changes: DataFrame, tenants: DataFrame, pools: DataFrame, key: str, pool: str, allowance: str) -> DataFrame:
+    """Whether a pool holds once a member's allowance is as asked: sum - current + new <= pool; unset ones count 0.
+
+    changes: (key, new); tenants: (key, pool, allowance); pools: (pool, size).
+    """
+    total = tenants.groupBy(pool).agg(F.sum(F.coalesce(allowance, F.lit(0))).alias("_sum"))
+    rows = changes.join(tenants, key).join(total, pool).join(pools, pool)
+    after = F.col("_sum") - F.coalesce(allowance, F.lit(0)) + F.coalesce("new", F.lit(0))
+    return rows.select(key, after.alias("allocated"), (after <= F.col("size")).alias("fits"))
+
+
+def snapshot(samples: DataFrame, name: str, value: str) -> DataFrame:
+    """Count, sum and mean of each metric and of all (null name); the mean of none is 0."""
+    rows = samples.rollup(name).agg(F.count(value).alias("n"), F.coalesce(F.sum(value), F.lit(0.0)).alias("total"))
+    return rows.withColumn("mean", F.when(F.col("n") > 0, F.col("total") / F.col("n")).otherwise(0.0))
+
+
+def latest(rows: DataFrame, at: str, key: str, limit: int, offset: int = 0) -> DataFrame:
+    """A page of what came last, the highest key first at equal times: recent runs, the audit log."""
+    return rows.orderBy(F.desc(at), F.desc(key)).offset(max(0, offset)).limit(max(1, limit))
+
+
+def alerts(rates_: DataFrame, rate: str, threshold: float) -> DataFrame:
+    """Rows strictly above a threshold."""
+    return rates_.where(F.col(rate) > threshold)
+
+
+def usage_fact(**counts: Column) -> list[Column]:
+    """Token counts as they are appended: whole numbers, 0 at least."""
+    return [F.greatest(F.coalesce(value, F.lit(0)).cast("double").cast("long"), F.lit(0)).alias(name) for name, value in counts.items()]
+
+
+def deliver(alerts_: DataFrame, send, path: str, key: str) -> DataFrame:
+    """Send alerts from tasks and append those that were delivered; returns the latter.
+
+    send(row) says whether it worked.  Keys that are in `path` already are not sent
+    again; those that failed are, at the next turn.
+    """
+    spark, turn = alerts_.sparkSession, uuid.uuid4().hex
+    try:
+        known = spark.read.parquet(path).select(key)
+    except AnalysisException:  # nothing was delivered yet
+        known = alerts_.select(key).where("false")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield frame[[bool(send(row)) for row in frame.to_dict("records")]]
+
+    done = alerts_.join(known, key, "left_anti").mapInPandas(run, alerts_.schema)
+    done.write.parquet(f"{path}/turn={turn}")
+    return spark.read.schema(alerts_.schema).parquet(f"{path}/turn={turn}")

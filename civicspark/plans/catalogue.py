@@ -302,13 +302,13 @@ def hybrid_rrf(spark, sf_dir):
     return retrieval.fuse(words, near, "doc_id").select("doc_id", F.round("score", 9).alias("score"), "match_kind")
 
 
-@query(f"""WITH q AS (SELECT vec_id AS query, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id < 20),
+@query(f"""WITH q AS (SELECT vec_id AS query, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id % 20 = 0),
 s AS (SELECT query, vec_id, row_number() OVER (PARTITION BY query ORDER BY round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), e), 9) DESC, vec_id) AS rank FROM embeddings, q WHERE vec_id <> query QUALIFY rank <= 5),
 h AS (SELECT q.query, q.label, max((x.label = q.label)::INT) AS hit FROM q JOIN s ON s.query = q.query JOIN embeddings x ON x.vec_id = s.vec_id GROUP BY 1, 2)
 SELECT coalesce(CAST(label AS VARCHAR), 'all') AS label, round(avg(hit), 6) AS recall, count(*) AS queries FROM h GROUP BY ROLLUP (label)""")
 def recall_at_k(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings")
-    asked = vectors.where("vec_id < 20").select(F.col("vec_id").alias("query"), F.col("embedding").alias("_q"), F.col("label").cast("string").alias("label"))
+    asked = vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("_q"), F.col("label").cast("string").alias("label"))
     scored = vectors.join(F.broadcast(asked), F.expr("vec_id <> query")).select("query", "vec_id", F.round(retrieval.cosine(F.col("embedding"), F.col("_q")), 9).alias("score"))
     hits = cat.first_n(scored, ["query"], [F.desc("score"), F.col("vec_id")], 5)
     expected = asked.join(vectors.select("vec_id", F.col("label").cast("string").alias("label")), "label").select("query", "vec_id", "label")

@@ -28,12 +28,12 @@ def ranked_search_page(spark, sf_dir):
     return out.select("o_orderkey", "rank", "total")
 
 
-@query("""WITH u AS (SELECT c_custkey AS id, 0 AS leg, c_custkey AS place FROM customer WHERE c_custkey < 5 UNION ALL SELECT o_custkey, 1, o_orderkey FROM orders WHERE o_orderkey < 20 UNION ALL SELECT c_custkey, 2, c_custkey FROM customer WHERE c_nationkey = 1)
+@query("""WITH u AS (SELECT c_custkey AS id, 0 AS leg, c_custkey AS place FROM customer WHERE c_acctbal > 9900 UNION ALL SELECT o_custkey, 1, o_orderkey FROM orders UNION ALL SELECT c_custkey, 2, c_custkey FROM customer WHERE c_nationkey = 1)
 SELECT id, m.leg AS leg, m.place AS place FROM (SELECT id, min(struct_pack(leg := leg, place := place)) AS m FROM u GROUP BY id) ORDER BY m, id LIMIT 20""")
 def candidate_fill_up(spark, sf_dir):
     customer, orders = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
     ids = lambda df, key, place: df.select(F.col(key).alias("id"), F.col(place).alias("place"))
-    return serving.fill_up(ids(customer.where("c_custkey < 5"), "c_custkey", "c_custkey"), ids(orders.where("o_orderkey < 20"), "o_custkey", "o_orderkey"), ids(customer.where("c_nationkey = 1"), "c_custkey", "c_custkey"), "id", 20)
+    return serving.fill_up(ids(customer.where("c_acctbal > 9900"), "c_custkey", "c_custkey"), ids(orders, "o_custkey", "o_orderkey"), ids(customer.where("c_nationkey = 1"), "c_custkey", "c_custkey"), "id", 20)
 
 
 @query("SELECT l_partkey, min(l_orderkey * 10 + l_linenumber) AS first FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size > 25) GROUP BY 1")
@@ -42,12 +42,12 @@ def citation_list(spark, sf_dir):
     return serving.citations(mentions, table(spark, sf_dir, "part").where("p_size > 25").select(F.col("p_partkey").alias("l_partkey")), "l_partkey", "at")
 
 
-@query("SELECT l_suppkey AS dataset, min(n_regionkey) AS region FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE l_orderkey % 500 = 0 GROUP BY 1 HAVING count(DISTINCT n_regionkey) = 1")
+@query("SELECT l_orderkey AS dataset, min(n_regionkey) AS region FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY 1 HAVING count(DISTINCT n_regionkey) = 1")
 def map_anchors(spark, sf_dir):
-    links, parts, _ = _regions(spark, sf_dir)
-    orders, item = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem").where("l_orderkey % 500 = 0")
-    rows = item.join(orders, F.expr("l_orderkey = o_orderkey")).join(links, F.expr("o_custkey = dataset")).join(parts, "unit")
-    return serving.map_anchors(rows.select(F.col("l_suppkey").alias("dataset"), "region"))
+    _, parts, _ = _regions(spark, sf_dir)
+    units = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("unit"))
+    rows = table(spark, sf_dir, "lineitem").join(units, "l_suppkey").join(parts, "unit")
+    return serving.map_anchors(rows.select(F.col("l_orderkey").alias("dataset"), "region"))
 
 
 @query("""SELECT c_custkey, c_custkey + 5 || ' datasets' AS answer, CAST(CASE WHEN c_custkey % 3 = 0 THEN 1 ELSE 0 END AS INTEGER) AS ghosts, CAST(CASE WHEN c_custkey % 2 = 0 THEN 1 ELSE 0 END AS INTEGER) AS inflated FROM customer""")

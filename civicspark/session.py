@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
+import tempfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 
@@ -11,3 +15,10 @@ def session(name: str = "civicspark", **settings: str) -> SparkSession:
     for key, value in settings.items():
         builder = builder.config(key.replace("__", "."), value)
     return builder.getOrCreate()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the workers of a session, for clusters where it is not installed."""
+    folder = Path(__file__).parent
+    archive = shutil.make_archive(str(Path(tempfile.mkdtemp()) / "civicspark"), "zip", folder.parent, folder.name)
+    spark.sparkContext.addPyFile(archive)

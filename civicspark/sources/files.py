@@ -299,3 +299,24 @@ def write_rows(rows: DataFrame, path: str) -> None:
 def blobs(files: DataFrame) -> DataFrame:
     """One row for each distinct content, named by its SHA-256."""
     return files.withColumn("sha256", F.sha2("content", 256)).groupBy("sha256").agg(F.min("path").alias("path"), F.any_value("length").alias("length"))
+
+
+def query_set(spark: SparkSession, path: str, languages: tuple[str, ...] = ("bg", "en")) -> DataFrame:
+    """Labelled queries {queries: [{query, lang, expected}]} as (query, lang, expected); another language or no expected id raises."""
+    rows = spark.read.schema("queries array<struct<query:string, lang:string, expected:array<string>>>").json(path, multiLine=True).select(F.inline("queries"))
+    bad = rows.where(~F.col("lang").isin(*languages) | F.coalesce(F.size("expected") < 1, F.lit(True)) | F.col("query").isNull()).limit(1).collect()
+    if bad:
+        raise ValueError(f"not a labelled query: {bad[0].asDict()}")
+    return rows
+
+
+def boundaries(spark: SparkSession, path: str) -> DataFrame:
+    """Features of boundary files in GeoJSON: (feature, name, rings), rings of outer and inner lines alike; one without a name raises."""
+    kind = "features array<struct<id:string, properties:struct<name:string>, geometry:struct<type:string, coordinates:string>>>"
+    rows = spark.read.schema(kind).json(path, multiLine=True).select(F.inline("features"))
+    one = F.from_json("geometry.coordinates", "array<array<array<double>>>")
+    many = F.flatten(F.from_json("geometry.coordinates", "array<array<array<array<double>>>>"))
+    out = rows.select(F.col("id").alias("feature"), F.col("properties.name").alias("name"), F.when(F.col("geometry.type") == "Polygon", one).otherwise(many).alias("rings"))
+    if not out.where("name is null or rings is null").limit(1).isEmpty():
+        raise ValueError("a boundary has no name or no rings")
+    return out
