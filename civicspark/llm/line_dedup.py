@@ -13,8 +13,9 @@ document id, then text hash, then line number) has a Jaccard similarity of at le
    (similar sets that differ share four words at least, so if the first they share
    is frequent they share a pair).  So the sets that meet at a key stay few as the
    corpus grows.
-4. Keys of over HOT sets: each of these is checked against the CENTRES earliest
-   first, and those with a match are done with.  What is left is probed by its full
+4. The STARS words of least hash among a prefix's words of more than HOT occurrences
+   bring similar sets together: where more than HOT meet, each is checked against
+   the CENTRES earliest and as many others, and those with a match are done with.  What is left is probed by its full
    prefix against the shorter prefixes that an index of no longer sets needs (and
    against full ones of sets that are done with, which do not probe).  The join
    applies the length filter, the positional one (what can still be common after the
@@ -45,16 +46,18 @@ from civicspark.llm.scratch import drop, save
 BUCKETS = 1 << 21
 #: A word of more occurrences is a key only together with another.
 FREQUENT = 1024
-#: The sets of keys of more sets are compared with so many earliest ones first; so many of a set's keys take part.
-HOT, CENTRES, STARS = 256, 16, 3
+#: The sets of keys of more sets are compared with so many earliest ones and as many others first; so many of a set's keys take part.
+HOT, CENTRES, STARS = 256, 32, 4
+#: Rows of a table that is sent to all tasks at most; a larger one is shuffled.
+SENT = 200_000
 #: A column's name while lines are removed; no table should have it.
 GONE = "_civicspark_gone_lines"
 #: What names a line.
 PLACE = ["id", "key", "line"]
 
 _COUNTS = pa.schema([("bucket", pa.int32()), ("n", pa.int64())])
-_LINES = "a long, parity long, id long, key long, line int, n int, keys array<long>"
-_LINES_ARROW = pa.schema([("a", pa.int64()), ("parity", pa.int64()), ("id", pa.int64()), ("key", pa.int64()), ("line", pa.int32()), ("n", pa.int32()), ("keys", pa.list_(pa.int64()))])
+_LINES = "a long, parity long, id long, key long, line int, n int, keys array<long>, stars array<long>"
+_LINES_ARROW = pa.schema([("a", pa.int64()), ("parity", pa.int64()), ("id", pa.int64()), ("key", pa.int64()), ("line", pa.int32()), ("n", pa.int32()), ("keys", pa.list_(pa.int64())), ("stars", pa.list_(pa.int64()))])
 _SETS_ARROW = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("line", pa.int32()), ("words", pa.binary())])
 _PLACE_ARROW = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("line", pa.int32())])
 
@@ -115,8 +118,8 @@ def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.arange(sizes.sum()) + np.repeat(starts - np.cumsum(sizes) + sizes, sizes)
 
 
-def _keys(hashes: np.ndarray, edges: np.ndarray, ranks: np.ndarray, percent: int, frequent: int, hot: int) -> tuple[np.ndarray, np.ndarray]:
-    """The keys of sets (hash << 20 | place << 2 | star << 1 | in the index) and how many each has.
+def _keys(hashes: np.ndarray, edges: np.ndarray, ranks: np.ndarray, percent: int, frequent: int, hot: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The keys of sets (hash << 20 | place << 1 | in the index), how many each has, and the same of star words.
 
     A set of n words probes with its n - ceil(t n) + 1 rarest; met by no shorter
     ones, n - ceil(2 t / (1 + t) n) + 1 are enough.  Words of one occurrence meet nothing.
@@ -137,15 +140,18 @@ def _keys(hashes: np.ndarray, edges: np.ndarray, ranks: np.ndarray, percent: int
     who = np.concatenate([owner[use], pair_owner])
     where = np.concatenate([place[use], left - edges[pair_owner]])
     indexed = np.concatenate([place[use] < index[owner[use]], right - edges[pair_owner] <= index[pair_owner]])
-    warm = np.concatenate([ranks[at[use]] > _rank(hot), np.ones(len(left), bool)])
     order = np.argsort(who, kind="stable")
-    hashed, who, where, indexed, warm = hashed[order], who[order], where[order], indexed[order], warm[order]
-    turn = np.cumsum(warm)
-    sizes = np.bincount(who, minlength=len(n))
-    before = np.concatenate([[0], turn])[np.cumsum(sizes) - sizes]
-    star = warm & (turn - before[who] <= STARS)
-    packed = (hashed >> np.uint64(20) << np.uint64(20)) | (np.minimum(where, (1 << 18) - 1).astype(np.uint64) << np.uint64(2))
-    return packed | (star.astype(np.uint64) << np.uint64(1)) | indexed.astype(np.uint64), sizes
+    packed = (hashed >> np.uint64(20) << np.uint64(20)) | (np.minimum(where, (1 << 19) - 1).astype(np.uint64) << np.uint64(1)) | indexed.astype(np.uint64)
+    warm = np.flatnonzero(ranks[at] > _rank(hot))
+    stars = tx.mix(hashes[at[warm]])
+    best = np.lexsort((stars, owner[warm]))
+    stars, of = stars[best], owner[warm][best]
+    turn = np.arange(len(of)) - np.searchsorted(of, of)
+    return packed[order], np.bincount(who, minlength=len(n)), stars[turn < STARS], np.bincount(of[turn < STARS], minlength=len(n))
+
+
+def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(tx.signed(values)))
 
 
 def _lines(shared, percent: int, frequent: int, hot: int):
@@ -159,9 +165,8 @@ def _lines(shared, percent: int, frequent: int, hot: int):
             one = np.add.reduceat(tx.mix(hashes), edges[:-1])
             bit = tx.mix(hashes ^ np.uint64(0x5851F42D4C957F2D)) >> np.uint64(58)
             parity = np.bitwise_xor.reduceat(np.uint64(1) << bit, edges[:-1])
-            keys, sizes = _keys(hashes, edges, rank[_bucket(hashes)], percent, frequent, hot)
-            lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(tx.signed(keys)))
-            yield tx.record(_LINES_ARROW, tx.signed(one), tx.signed(parity), *_names(batch, text), number.astype(np.int32), np.diff(edges).astype(np.int32), lists)
+            keys, sizes, stars, few = _keys(hashes, edges, rank[_bucket(hashes)], percent, frequent, hot)
+            yield tx.record(_LINES_ARROW, tx.signed(one), tx.signed(parity), *_names(batch, text), number.astype(np.int32), np.diff(edges).astype(np.int32), _lists(keys, sizes), _lists(stars, few))
 
     return run
 
@@ -217,10 +222,15 @@ def _same(x: str, y: str) -> str:
 
 
 def _exploded(sets: DataFrame) -> DataFrame:
-    """A row (word, pos, star, indexed, ...) for each key of a set."""
-    packed = sets.select(F.explode("keys").alias("k"), *[c for c in sets.columns if c not in ("keys", "a")])
-    bits = [F.shiftright("k", 20).alias("word"), F.shiftright("k", 2).bitwiseAND(F.lit((1 << 18) - 1)).cast("int").alias("pos")]
-    return packed.select(*bits, (F.col("k").bitwiseAND(F.lit(2)) > 0).alias("star"), (F.col("k").bitwiseAND(F.lit(1)) > 0).alias("indexed"), *[c for c in packed.columns if c != "k"])
+    """A row (word, pos, indexed, ...) for each key of a set."""
+    packed = sets.select(F.explode("keys").alias("k"), *[c for c in sets.columns if c not in ("keys", "stars", "a")])
+    bits = [F.shiftright("k", 20).alias("word"), F.shiftright("k", 1).bitwiseAND(F.lit((1 << 19) - 1)).cast("int").alias("pos")]
+    return packed.select(*bits, (F.col("k").bitwiseAND(F.lit(1)) > 0).alias("indexed"), *[c for c in packed.columns if c != "k"])
+
+
+def _sent(table: DataFrame) -> DataFrame:
+    """A saved table to join with: sent to all tasks if it has SENT rows at most."""
+    return F.broadcast(table) if table.count() <= SENT else table
 
 
 def removed(docs: DataFrame, percent: int, frequent: int = FREQUENT, hot: int = HOT) -> DataFrame:
@@ -253,8 +263,10 @@ def removed(docs: DataFrame, percent: int, frequent: int = FREQUENT, hot: int =
         sides = pairs.columns[:-1]
         asked = pairs.select(F.explode(F.array(*[F.struct(*[F.col(f"{side}_{c}").alias(c) for c in PLACE]) for side in "xy"])).alias("at"))
         asked = asked.distinct().groupBy(F.col("at.id").alias("own"), F.col("at.key").alias("own_key")).agg(F.collect_list("at.line").alias("lines"))
-        words = docs.join(save(asked), F.expr("id <=> own and key = own_key")).select("id", "key", "text", "lines").mapInArrow(_words_of, "id long, key long, line int, words binary")
+        asked = save(asked)
+        words = docs.join(_sent(asked), F.expr("id <=> own and key = own_key")).select("id", "key", "text", "lines").mapInArrow(_words_of, "id long, key long, line int, words binary")
         words = save(words.dropDuplicates(PLACE))
+        drop(asked)
 
         def verified(some: DataFrame) -> DataFrame:
             for side, name in (("x", "one"), ("y", "two")):
@@ -271,18 +283,19 @@ def removed(docs: DataFrame, percent: int, frequent: int = FREQUENT, hot: int =
         drop(pairs, words)
         return found.unionByName(more)
 
-    stars = _exploded(sets).where("star").drop("star", "indexed", "pos")
+    stars = sets.select(F.explode("stars").alias("word"), *PLACE, "n", "parity")
     many = stars.groupBy("word").agg(F.count("*").alias("k")).where(F.col("k") > hot).select("word")
     stars = save(stars.join(many, "word", "left_semi"))
-    turn = F.row_number().over(Window.partitionBy("word").orderBy(*PLACE))
-    centres = save(stars.withColumn("turn", turn).where(F.col("turn") <= CENTRES).drop("turn"))
+    first_by = lambda *order: stars.withColumn("turn", F.row_number().over(Window.partitionBy("word").orderBy(*order))).where(F.col("turn") <= CENTRES).drop("turn")
+    centres = save(first_by(*PLACE).unionByName(first_by(F.xxhash64("word", *PLACE), *PLACE)))
     done = check(paired(stars.alias("x").join(centres.alias("y"), F.expr(f"x.word = y.word and {_earlier('y', 'x')} and {close}"))))
+    done = save(done)
     drop(stars, centres)
 
-    marks = sets.alias("s").join(done.withColumn("done", F.lit(True)).alias("d"), F.expr(_same("s", "d")), "left")
-    marks = save(marks.select("s.*", F.col("done").isNull().alias("open")).drop("a"))
+    marks = sets.drop("a", "stars").alias("s").join(_sent(done).withColumn("done", F.lit(True)).alias("d"), F.expr(_same("s", "d")), "left")
+    marks = save(marks.select("s.*", F.col("done").isNull().alias("open")))
     drop(marked)
-    every = _exploded(marks).drop("star")
+    every = _exploded(marks)
     # the longer set, or of equal ones the later, probes; of a pair the later one must be open, and only open ones probe
     before = _earlier("y", "x")
     longer = f"y.indexed and (x.n > y.n and ({before} or y.open) or x.n = y.n and {before})"
