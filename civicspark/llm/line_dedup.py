@@ -41,15 +41,13 @@ from pyspark.sql import functions as F
 
 from civicspark.llm import text as tx
 from civicspark.llm.rows import KEY, keyed
-from civicspark.llm.scratch import drop, save
+from civicspark.llm.scratch import drop, save, sent
 
 BUCKETS = 1 << 21
 #: A word of more occurrences is a key only together with another.
 FREQUENT = 1024
 #: The sets of keys of more sets are compared with so many earliest ones and as many others first; so many of a set's keys take part.
 HOT, CENTRES, STARS = 256, 32, 4
-#: Rows of a table that is sent to all tasks at most; a larger one is shuffled.
-SENT = 200_000
 #: A column's name while lines are removed; no table should have it.
 GONE = "_civicspark_gone_lines"
 #: What names a line.
@@ -228,11 +226,6 @@ def _exploded(sets: DataFrame) -> DataFrame:
     return packed.select(*bits, (F.col("k").bitwiseAND(F.lit(1)) > 0).alias("indexed"), *[c for c in packed.columns if c != "k"])
 
 
-def _sent(table: DataFrame) -> DataFrame:
-    """A saved table to join with: sent to all tasks if it has SENT rows at most."""
-    return F.broadcast(table) if table.count() <= SENT else table
-
-
 def removed(docs: DataFrame, percent: int, frequent: int = FREQUENT, hot: int = HOT) -> DataFrame:
     """(id, key, line) of the lines to remove, for docs (id, key, text)."""
     spark = docs.sparkSession
@@ -264,7 +257,7 @@ def removed(docs: DataFrame, percent: int, frequent: int = FREQUENT, hot: int =
         asked = pairs.select(F.explode(F.array(*[F.struct(*[F.col(f"{side}_{c}").alias(c) for c in PLACE]) for side in "xy"])).alias("at"))
         asked = asked.distinct().groupBy(F.col("at.id").alias("own"), F.col("at.key").alias("own_key")).agg(F.collect_list("at.line").alias("lines"))
         asked = save(asked)
-        words = docs.join(_sent(asked), F.expr("id <=> own and key = own_key")).select("id", "key", "text", "lines").mapInArrow(_words_of, "id long, key long, line int, words binary")
+        words = docs.join(sent(asked, "lines"), F.expr("id <=> own and key = own_key")).select("id", "key", "text", "lines").mapInArrow(_words_of, "id long, key long, line int, words binary")
         words = save(words.dropDuplicates(PLACE))
         drop(asked)
 
@@ -292,7 +285,7 @@ def removed(docs: DataFrame, percent: int, frequent: int = FREQUENT, hot: int =
     done = save(done)
     drop(stars, centres)
 
-    marks = sets.drop("a", "stars").alias("s").join(_sent(done).withColumn("done", F.lit(True)).alias("d"), F.expr(_same("s", "d")), "left")
+    marks = sets.drop("a", "stars").alias("s").join(sent(done).withColumn("done", F.lit(True)).alias("d"), F.expr(_same("s", "d")), "left")
     marks = save(marks.select("s.*", F.col("done").isNull().alias("open")))
     drop(marked)
     every = _exploded(marks)
@@ -305,7 +298,7 @@ def removed(docs: DataFrame, percent: int, frequent: int = FREQUENT, hot: int =
     met = met.select(rows.alias("r"), F.expr(before).alias("before"))
     pairs = paired(met.select(F.expr("if(before, r.x, r.y)").alias("x"), F.expr("if(before, r.y, r.x)").alias("y")))
     drop(marks)
-    return save(again.unionByName(done).unionByName(check(pairs)).distinct())
+    return again.unionByName(done).unionByName(check(pairs)).distinct()
 
 
 def _named(docs: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
@@ -314,8 +307,8 @@ def _named(docs: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
 
 
 def _by_document(gone: DataFrame) -> DataFrame:
-    """(own, own_key, GONE): the removed lines of each document that has some, in order."""
-    return gone.groupBy(F.col("id").alias("own"), F.col("key").alias("own_key")).agg(F.array_sort(F.collect_list("line")).alias(GONE))
+    """(GONE_id, GONE_key, GONE): the removed lines of each document that has some, in order."""
+    return save(gone.groupBy(F.col("id").alias(f"{GONE}_id"), F.col("key").alias(f"{GONE}_key")).agg(F.array_sort(F.collect_list("line")).alias(GONE)))
 
 
 def removed_lines(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", frequent: int = FREQUENT, hot: int = HOT) -> DataFrame:
@@ -324,7 +317,7 @@ def removed_lines(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", fr
     gone = _by_document(removed(rows, percent, frequent, hot))
     text = F.coalesce("text", F.lit(""))
     n = F.when(text == "", 0).otherwise(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1)
-    out = rows.select("id", "key", n.cast("long").alias("n_lines")).join(gone, F.expr("id <=> own and key = own_key"), "left")
+    out = rows.select("id", "key", n.cast("long").alias("n_lines")).join(gone, F.expr(f"id <=> {GONE}_id and key = {GONE}_key"), "left")
     return out.select(F.col("id").alias(id_col), "n_lines", F.coalesce(F.size(GONE), F.lit(0)).cast("long").alias("n_removed"), F.coalesce(F.array_join(GONE, ","), F.lit("")).alias("removed"))
 
 
@@ -349,5 +342,5 @@ def remove_lines(docs: DataFrame, percent: int = 80, id_col: str = "doc_id") ->
     """docs with the removed lines gone from text; all columns stay."""
     rows = keyed(docs, id_col)
     gone = _by_document(removed(rows.select(F.col(id_col).cast("long").alias("id"), F.col(KEY).alias("key"), "text"), percent))
-    rows = rows.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("own")) & (F.col(KEY) == F.col("own_key")), "left").drop("own", "own_key", KEY)
+    rows = rows.join(sent(gone, GONE), F.col(id_col).cast("long").eqNullSafe(F.col(f"{GONE}_id")) & (F.col(KEY) == F.col(f"{GONE}_key")), "left").drop(f"{GONE}_id", f"{GONE}_key", KEY)
     return rows.mapInArrow(_rewritten, docs.schema)

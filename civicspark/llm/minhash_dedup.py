@@ -145,7 +145,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     members = save(banded.join(shared, "band", "left_semi").withColumn("label", F.col("id")))
     some = save(members.select(F.col("id").alias("own")).distinct())
     held = save(docs.join(some, F.col("id") == F.col("own"), "left_semi").dropDuplicates(["id"]))
-    every, sigs = sigs, save(sigs.join(some, F.col("id") == F.col("own"), "left_semi").drop("bands"))
+    every, sigs = sigs, save(sigs.join(some, F.col("id") == F.col("own"), "left_semi"))
     drop(every, shared, some)
     deviations = 5 * (0.25 / (BANDS * ROWS)) ** 0.5
     slack = percent / 100 - deviations
@@ -176,7 +176,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
             before, members = members, save(rows.join(open_, "band", "left_semi"))
             drop(before)
             now = members.count()
-            if not now or turn > 3 and now > seen / 2:
+            if not now or turn > 2 and now > seen / 2:
                 break
             seen = now
         order = F.xxhash64("id", "band") if turn else F.xxhash64("id")
@@ -188,9 +188,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
         drop(star)
     # what is left: those outside the largest component of a bucket, with all others in it
     largest = members.groupBy("band", "label").agg(F.count("*").alias("k")).groupBy("band").agg(F.max_by("label", "k").alias("main"))
-    rest = save(members.join(largest, "band").join(sigs.select("id", *BITS), "id"))
+    rest = save(members.join(largest, "band").join(sigs.select("id", "bands", *BITS), "id").withColumn("k", F.array_position("bands", F.col("band"))))
     near = " + ".join(f"bit_count(a.{x} ^ b.{x})" for x in BITS)
-    once = "(b.label = b.main or a.id < b.id)"
+    # each pair once: from one side, and in its first common band
+    once = "(b.label = b.main or a.id < b.id) and not arrays_overlap(slice(a.bands, 1, cast(a.k as int) - 1), slice(b.bands, 1, cast(a.k as int) - 1))"
     pairs = rest.where("label <> main").alias("a").join(rest.alias("b"), F.expr(f"a.band = b.band and {sized} and {near} <= {differ} and {once}"))
     labels = merged(labels, check(pairs.select(F.col("a.id").alias("x"), F.col("b.id").alias("y"))))
     drop(members, rest)

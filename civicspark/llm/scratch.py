@@ -17,10 +17,13 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _KEPT: list[tuple[SparkSession, str]] = []
-#: Of Spark 4.1: shuffle files go when the query that made them has ended.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While a table is written: shuffle files go when their query has ended (Spark 4.1); batches of texts for Python stay small.
+WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
+#: Rows of a table that is sent to all tasks at most.
+SENT = 200_000
 
 
 def folder(spark: SparkSession) -> str:
@@ -37,18 +40,27 @@ def folder(spark: SparkSession) -> str:
 def save(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{folder(spark)}/civicspark/{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP)
-    spark.conf.set(CLEANUP, "true")
+    before = {k: spark.conf.get(k) for k in WRITING}
+    for k, v in WRITING.items():
+        spark.conf.set(k, v)
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.set(CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     _KEPT.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
     return out
 
 
+def sent(table: DataFrame, lists: str | None = None) -> DataFrame:
+    """A saved table to join with: sent to all tasks if it has at most SENT rows (and ten times as many entries in `lists`), else shuffled."""
+    entries = F.lit(0) if lists is None else F.coalesce(F.sum(F.size(lists)), F.lit(0))
+    rows, values = table.agg(F.count("*"), entries).first()
+    return F.broadcast(table) if rows <= SENT and values <= 10 * SENT else table
+
+
 def drop(*tables: DataFrame) -> None:
     """Delete saved tables that nothing reads any more."""
     for table in tables:
