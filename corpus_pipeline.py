@@ -19,7 +19,7 @@ from civicspark.llm.line_dedup import remove_lines
 from civicspark.llm.minhash_dedup import near_duplicates
 from civicspark.llm.packing import pack, pieces
 from civicspark.llm.quality_classifier import keep_good
-from civicspark.llm.scratch import save
+from civicspark.llm.scratch import drop, save, sent
 
 WORD = r"[^\x20\x09-\x0D]"
 
@@ -38,8 +38,15 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the one with the least id, of each group of near-duplicates."""
-    kept = near_duplicates(docs, shingle=5, percent=80).where("kept").select(F.col("doc_id").alias("_civicspark_kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_civicspark_kept_id")), "left_semi").dropDuplicates(["doc_id", "text"])
+    found = near_duplicates(docs, shingle=5, percent=80)
+    gone = found.groupBy(F.col("doc_id").alias("_civicspark_gone_id")).agg(F.bool_or("kept").alias("some")).where("not some").drop("some")
+    docs = docs.join(sent(save(gone)), F.col("doc_id").eqNullSafe(F.col("_civicspark_gone_id")), "left_anti")
+    # rows that repeat an id are looked at alone
+    again = save(docs.groupBy(F.col("doc_id").alias("_civicspark_again_id")).agg(F.count("*").alias("k")).where("k > 1").drop("k"))
+    if again.isEmpty():
+        return docs
+    same = F.col("doc_id").eqNullSafe(F.col("_civicspark_again_id"))
+    return docs.join(sent(again), same, "left_anti").unionByName(docs.join(sent(again), same, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,6 +72,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for _, stage in STAGES[:-1]:
         docs = save(stage(spark, docs, sf_dir))
+        if before is not None:
+            drop(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
