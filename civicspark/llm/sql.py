@@ -48,17 +48,19 @@ _PATTERNS = {
     "hex": "[0-9a-f]+",
     "entropy": "[A-Za-z0-9+/_=-]{20,}",
 }
+#: A candidate without what is allowed in it.
+_FREE = "m"
+for _allowed in ("[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}", "EXAMPLE|example|XXXXXX|xxxxxx|000000", "abcdefgh|ABCDEFGH|01234567"):
+    _FREE = f"regexp_replace({_FREE}, '{_allowed}', ' ', 'g')"
 _KEPT = {
     "assign": "length(v) >= 6",
     "access": "length(m) >= 20",
     "hex": "length(m) >= 24",
-    "entropy": """regexp_matches(m, '[0-9]')
-      AND NOT regexp_matches(m, '^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$')
-      AND NOT regexp_matches(m, 'EXAMPLE|example|XXXXXX|xxxxxx|000000|abcdefgh|ABCDEFGH|01234567')
-      AND NOT regexp_matches(m, '^(/?[a-z]{2,}[0-9]{0,2}){3,}/?$')
-      AND (list_max(list_transform(range(1, length(m) - 18), lambda i: list_aggregate(string_split(substring(m, i, 20), ''), 'entropy'))) >= 3.93
-        OR coalesce(list_max(flatten(list_transform(regexp_extract_all(m, '[0-9A-Fa-f]{20,}'), lambda h:
-          list_transform(range(1, length(h) - 18), lambda i: list_aggregate(string_split(substring(h, i, 20), ''), 'entropy'))))), 0) >= 2.97)""",
+    "entropy": " OR ".join(
+        f"""len(list_filter(regexp_extract_all({_FREE}, '{run}'), lambda r: NOT regexp_matches(regexp_replace(r, '[A-Z]?[a-z]{{2,}}|[A-Z]{{2,}}|[-+/_=]', ' ', 'g'), '^ *[0-9]{{0,4}} *$')
+          AND list_max(list_transform(range(1, length(r) - 18), lambda i: list_aggregate(string_split(substring(r, i, 20), ''), 'entropy'))) >= {bits})) > 0"""
+        for run, bits in (("[0-9A-Fa-f]{20,}", 2.90), ("[a-z0-9]{20,}", 3.40), ("[A-Z0-9]{20,}", 3.40), ("[A-Za-z0-9+/_=-]{20,}", 3.64))
+    ),
 }
 _EACH = "\nUNION ALL\n".join(
     f"""SELECT doc_id, {i} AS k, '{kind}' AS kind, CAST(s AS BIGINT) AS s, CAST(s + length(m) AS BIGINT) AS e FROM (
@@ -66,7 +68,7 @@ _EACH = "\nUNION ALL\n".join(
       FROM (SELECT doc_id, unnest(regexp_extract_all(t, '{_PATTERNS[kind]}', 0)) AS m, unnest(regexp_extract_all(t, '{_PATTERNS[kind]}', {int(kind == "assign")})) AS v,
           unnest(string_split_regex(t, '{_PATTERNS[kind]}')[:len(regexp_extract_all(t, '{_PATTERNS[kind]}', 0))]) AS gap,
           unnest(range(len(regexp_extract_all(t, '{_PATTERNS[kind]}', 0)))) AS pos FROM d)
-      WINDOW w AS (PARTITION BY doc_id ORDER BY pos)) WHERE {_KEPT[kind]}"""
+      WINDOW w AS (PARTITION BY doc_id ORDER BY pos)) WHERE ({_KEPT[kind]})"""
     for i, kind in enumerate(_PATTERNS)
 )
 SECRETS = f"""
