@@ -11,7 +11,8 @@ document id, then text hash, then line number) has a Jaccard similarity of at le
 3. The words of a set's prefix are its keys; of a word that comes more than
    FREQUENT times in the documents, each pair with the next words is a key instead
    (similar sets that differ share four words at least, so if the first they share
-   is frequent they share a pair).  So the sets that meet at a key stay few as the
+   is frequent they share a pair).  Sets of over LONG words keep single words, in a
+   space of their own, in which shorter sets that may be similar to one take part.  So the sets that meet at a key stay few as the
    corpus grows.
 4. The STARS words of least hash among a prefix's words of more than HOT occurrences
    bring similar sets together: where more than HOT meet, each is checked against
@@ -46,6 +47,8 @@ from civicspark.llm.scratch import drop, save, sent
 BUCKETS = 1 << 21
 #: A word of more occurrences is a key only together with another.
 FREQUENT = 1024
+#: Sets of more words keep single frequent words as keys, apart from those of shorter ones, as their pairs would be too many.
+LONG = 128
 #: The sets of keys of more sets are compared with so many earliest ones and as many others first; so many of a set's keys take part.
 HOT, CENTRES, STARS = 256, 32, 4
 #: A column's name while lines are removed; no table should have it.
@@ -116,7 +119,7 @@ def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.arange(sizes.sum()) + np.repeat(starts - np.cumsum(sizes) + sizes, sizes)
 
 
-def _keys(hashes: np.ndarray, edges: np.ndarray, ranks: np.ndarray, percent: int, frequent: int, hot: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _keys(hashes: np.ndarray, edges: np.ndarray, ranks: np.ndarray, percent: int, frequent: int, hot: int, long: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The keys of sets (hash << 20 | place << 1 | in the index), how many each has, and the same of star words.
 
     A set of n words probes with its n - ceil(t n) + 1 rarest; met by no shorter
@@ -131,13 +134,15 @@ def _keys(hashes: np.ndarray, edges: np.ndarray, ranks: np.ndarray, percent: int
     often = ranks[at] > _rank(frequent)
     use = (ranks[at] > _rank(1)) & ~often
     # pairs of a frequent word and one of those after it, as far as one word beyond the prefix
-    most = np.minimum(probe, n - 1)[owner[often]] - place[often]
-    left, right = np.repeat(at[often], most), _ranges(at[often] + 1, most)
-    pair_owner = np.repeat(owner[often], most)
-    hashed = np.concatenate([tx.mix(hashes[at[use]]), tx.mix(hashes[left] + tx.mix(hashes[right]))])
-    who = np.concatenate([owner[use], pair_owner])
-    where = np.concatenate([place[use], left - edges[pair_owner]])
-    indexed = np.concatenate([place[use] < index[owner[use]], right - edges[pair_owner] <= index[pair_owner]])
+    few = often & (n[owner] <= long)
+    most = np.minimum(probe, n - 1)[owner[few]] - place[few]
+    left, right = np.repeat(at[few], most), _ranges(at[few] + 1, most)
+    pair_owner = np.repeat(owner[few], most)
+    many = often & (100 * n[owner] >= percent * long)
+    hashed = np.concatenate([tx.mix(hashes[at[use]]), tx.mix(hashes[left] + tx.mix(hashes[right])), tx.mix(~hashes[at[many]])])
+    who = np.concatenate([owner[use], pair_owner, owner[many]])
+    where = np.concatenate([place[use], left - edges[pair_owner], place[many]])
+    indexed = np.concatenate([place[use] < index[owner[use]], right - edges[pair_owner] <= index[pair_owner], place[many] < index[owner[many]]])
     order = np.argsort(who, kind="stable")
     packed = (hashed >> np.uint64(20) << np.uint64(20)) | (np.minimum(where, (1 << 19) - 1).astype(np.uint64) << np.uint64(1)) | indexed.astype(np.uint64)
     warm = np.flatnonzero(ranks[at] > _rank(hot))
@@ -152,7 +157,7 @@ def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(tx.signed(values)))
 
 
-def _lines(shared, percent: int, frequent: int, hot: int):
+def _lines(shared, percent: int, frequent: int, hot: int, long: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank = shared.value
         for batch, data, offsets in tx.blocks(batches):
@@ -163,7 +168,7 @@ def _lines(shared, percent: int, frequent: int, hot: int):
             one = np.add.reduceat(tx.mix(hashes), edges[:-1])
             bit = tx.mix(hashes ^ np.uint64(0x5851F42D4C957F2D)) >> np.uint64(58)
             parity = np.bitwise_xor.reduceat(np.uint64(1) << bit, edges[:-1])
-            keys, sizes, stars, few = _keys(hashes, edges, rank[_bucket(hashes)], percent, frequent, hot)
+            keys, sizes, stars, few = _keys(hashes, edges, rank[_bucket(hashes)], percent, frequent, hot, long)
             yield tx.record(_LINES_ARROW, tx.signed(one), tx.signed(parity), *_names(batch, text), number.astype(np.int32), np.diff(edges).astype(np.int32), _lists(keys, sizes), _lists(stars, few))
 
     return run
@@ -226,14 +231,14 @@ def _exploded(sets: DataFrame) -> DataFrame:
     return packed.select(*bits, (F.col("k").bitwiseAND(F.lit(1)) > 0).alias("indexed"), *[c for c in packed.columns if c != "k"])
 
 
-def removed(docs: DataFrame, percent: int, frequent: int = FREQUENT, hot: int = HOT) -> DataFrame:
+def removed(docs: DataFrame, percent: int, frequent: int = FREQUENT, hot: int = HOT, long: int = LONG) -> DataFrame:
     """(id, key, line) of the lines to remove, for docs (id, key, text)."""
     spark = docs.sparkSession
     counts = docs.mapInArrow(_counted, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # BUCKETS rows at most
     n = np.zeros(BUCKETS, np.int64)
     n[counts.column("bucket").to_numpy()] = counts.column("n").to_numpy()
     shared = spark.sparkContext.broadcast(_rank(n))
-    lines = save(docs.mapInArrow(_lines(shared, percent, frequent, hot), _LINES))
+    lines = save(docs.mapInArrow(_lines(shared, percent, frequent, hot, long), _LINES))
     # equal sets: rows of the first place stay, once
     first = lines.groupBy("a", "parity").agg(F.min(F.struct(*PLACE)).alias("f"), F.count("*").alias("k")).where("k > 1").drop("k")
     first = save(first.withColumnsRenamed({"a": "f_a", "parity": "f_parity"}))
@@ -311,10 +316,10 @@ def _by_document(gone: DataFrame) -> DataFrame:
     return save(gone.groupBy(F.col("id").alias(f"{GONE}_id"), F.col("key").alias(f"{GONE}_key")).agg(F.array_sort(F.collect_list("line")).alias(GONE)))
 
 
-def removed_lines(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", frequent: int = FREQUENT, hot: int = HOT) -> DataFrame:
+def removed_lines(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", frequent: int = FREQUENT, hot: int = HOT, long: int = LONG) -> DataFrame:
     """Per row of docs: its id, n_lines, n_removed and the removed lines' numbers, from 0 and comma-joined."""
     rows = _named(docs, id_col)
-    gone = _by_document(removed(rows, percent, frequent, hot))
+    gone = _by_document(removed(rows, percent, frequent, hot, long))
     text = F.coalesce("text", F.lit(""))
     n = F.when(text == "", 0).otherwise(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1)
     out = rows.select("id", "key", n.cast("long").alias("n_lines")).join(gone, F.expr(f"id <=> {GONE}_id and key = {GONE}_key"), "left")

@@ -156,8 +156,8 @@ def test_lines_equal_brute_force(docs, empty):
     assert removed_lines(empty).count() == remove_lines(empty).count() == 0
 
 
-@pytest.mark.parametrize("frequent, hot", [(1, 1), (4, 2), (30, 5), (1024, 64)])
-def test_keys_of_frequent_words_and_hot_keys_lose_no_line(spark, frequent, hot):
+@pytest.mark.parametrize("frequent, hot, long", [(1, 1, 128), (4, 2, 6), (1, 1, 5), (1, 9, 0), (1024, 64, 128)])
+def test_keys_of_frequent_words_and_hot_keys_lose_no_line(spark, frequent, hot, long):
     rng, rows = random.Random(frequent), []
     for i in range(30):
         lines = []
@@ -166,7 +166,7 @@ def test_keys_of_frequent_words_and_hot_keys_lose_no_line(spark, frequent, hot):
             if rng.random() < 0.5:
                 lines.append([*lines[-1][1:], f"x{rng.randrange(5)}"])
         rows.append((i or None, "\n".join(" ".join(x) for x in lines)))
-    found = removed_lines(spark.createDataFrame(rows, "doc_id long, text string"), frequent=frequent, hot=hot).collect()
+    found = removed_lines(spark.createDataFrame(rows, "doc_id long, text string"), frequent=frequent, hot=hot, long=long).collect()
     assert {(-1 if r.doc_id is None else r.doc_id, int(k)) for r in found for k in r.removed.split(",") if k} == brute_lines(rows)
 
 
