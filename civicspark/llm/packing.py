@@ -122,7 +122,12 @@ def pieces(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, id
 
 
 class _Shelves:
-    """Counts of pieces by length, and the sequences that use them up."""
+    """Counts of pieces by length, an index of their sums, and the sequences that use them up.
+
+    The index holds, for a sum that was asked for, the pairs of lengths that make it,
+    the longest first.  Counts only fall, so a pair that is used up is passed once and
+    never looked at again.
+    """
 
     def __init__(self, counts: dict[int, int], capacity: int):
         self.capacity = capacity
@@ -130,35 +135,37 @@ class _Shelves:
         for length, n in counts.items():
             self.free[length] += n
         self.patterns: list[tuple[dict[int, int], int]] = []
+        self.sums: dict[int, list[int]] = {}  # shorter lengths of the pairs of a sum, the next one last
 
     def use(self, pattern: dict[int, int], times: int) -> None:
         for length, k in pattern.items():
             self.free[length] -= k * times
         self.patterns.append((pattern, times))
 
-    def pair(self, total: int) -> tuple[int, int] | None:
-        """Two lengths that are there and sum to total, the longest first."""
-        if total < 2:
-            return None
-        low = np.arange(1, total // 2 + 1)
-        ok = (self.free[low] > 0) & (self.free[total - low] > 0)
-        if total % 2 == 0:
-            ok[-1] = self.free[total // 2] > 1
-        at = np.flatnonzero(ok)
-        return (total - int(low[at[0]]), int(low[at[0]])) if len(at) else None
-
-    def complement(self, gap: int) -> tuple[int, ...] | None:
-        """One, two or three lengths that fill a gap exactly."""
-        if self.free[gap] > 0:
+    def enough(self, *lengths: int) -> bool:
+        """Whether so many pieces of these lengths are there together."""
+        return all(self.free[x] >= lengths.count(x) for x in lengths)
+
+    def pair(self, total: int, *held: int) -> tuple[int, int] | None:
+        """Two lengths that sum to total and are there beside the held ones, the longest first."""
+        if total not in self.sums:
+            low = np.arange(1, total // 2 + 1)
+            self.sums[total] = low[(self.free[low] > 0) & (self.free[total - low] > 0)][::-1].tolist()
+        lows = self.sums[total]
+        while lows and not self.enough(lows[-1], total - lows[-1]):
+            lows.pop()
+        low = next((x for x in reversed(lows) if self.enough(x, total - x, *held)), None)
+        return None if low is None else (total - low, low)
+
+    def complement(self, gap: int, *held: int) -> tuple[int, ...] | None:
+        """One, two or three lengths that fill a gap exactly, beside the held ones."""
+        if self.enough(gap, *held):
             return (gap,)
-        if found := self.pair(gap):
+        if found := self.pair(gap, *held):
             return found
-        for first in np.flatnonzero(self.free[: gap - 1])[::-1]:
-            self.free[first] -= 1
-            found = self.pair(gap - int(first))
-            self.free[first] += 1
-            if found:
-                return (int(first), *found)
+        for first in np.flatnonzero(self.free[: max(0, gap - 1)])[::-1].tolist():
+            if self.enough(first, *held) and (found := self.pair(gap - first, first, *held)):
+                return (first, *found)
         return None
 
 
@@ -170,9 +177,7 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[list[tuple[int, in
         shelves.use({capacity: 1}, int(free[capacity]))
     for length in range(capacity - 1, 0, -1):
         while free[length]:
-            free[length] -= 1
-            found = shelves.complement(capacity - length)
-            free[length] += 1
+            found = shelves.complement(capacity - length, length)
             if not found:
                 break
             pattern: dict[int, int] = {}
