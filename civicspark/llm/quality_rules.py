@@ -7,10 +7,13 @@ CORE of documents nearest by Mahalanobis distance and take their mean and
 covariance anew, while the determinant falls.  A document is rejected when its
 squared distance exceeds CUTOFF.
 
-Most documents have no symbols and no repeats, so the plain estimate would be
-singular: the square of FLOORS is added to the variances (a regularised MCD).
-Languages' sources with fewer than LEAST documents are pooled by language, and
-what is left of those in one pool; a pool of fewer than FEW is not judged.
+A group's estimate is drawn towards that of all cores of its language as if POOL
+documents more were like it, and a language's towards that of all in the same way:
+one rule for groups of every size, by which two documents of a source are judged by
+their language and a million by themselves.  CUTOFF grows by the share FEW / n for n
+documents in all cores.  Most documents have no symbols and no repeats, so the
+plain estimate would be singular: the square of FLOORS is added to the variances (a
+regularised MCD).
 
 Which documents are nearest is read from counts of distances in narrow bins, so
 every step is grouped sums over small rows; no group is gathered, and the numbers
@@ -39,7 +42,7 @@ SYMBOLS = np.isin(np.arange(256), list(b"#*$%&|<>"))
 REPEAT = 8
 #: Each statistic's least standard deviation: log words, mean word length, symbols a word, repeated lines, repeated words, log words a line.
 FLOORS = (1.0, 0.3, 0.04, 0.08, 0.08, 0.8)
-CORE, STEPS, LEAST, FEW = 0.75, 10, 200, 30
+CORE, STEPS, POOL, FEW = 0.75, 10, 200, 30
 #: The chi-square quantile of six degrees of freedom at 1 - 1e-6.
 CUTOFF = 38.3
 #: Variance of the nearest 75 % of a six-dimensional normal sample is this much too small.
@@ -138,21 +141,41 @@ def _inverse(s: np.ndarray) -> list[float]:
     return [float(inv[i, j] * (1 if i == j else 2)) for i in range(P) for j in range(i, P)]
 
 
+def _spread(n: float, sums, products) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and covariance by sums over a core."""
+    mean = np.array(sums, float) / n
+    s = np.zeros((P, P))
+    s[np.triu_indices(P)] = np.array(products, float) / n
+    s = np.triu(s) + np.triu(s, 1).T - np.outer(mean, mean)
+    return mean, CONSISTENCY * s
+
+
 def _shape(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Sums of a group's core -> centre, inverse, log determinant."""
+    """Sums of a group's core -> centre, inverse, log determinant, beside the sums."""
     for frame in frames:
         out = []
         for key, n, sums, products in zip(frame.key, frame.n, frame.sums, frame.products, strict=True):
-            mean = np.array(sums, float) / n
-            s = np.zeros((P, P))
-            s[np.triu_indices(P)] = np.array(products, float) / n
-            s = np.triu(s) + np.triu(s, 1).T - np.outer(mean, mean)
-            s = CONSISTENCY * s + np.diag(np.square(FLOORS))
-            out.append((key, mean.tolist(), _inverse(s), float(np.linalg.slogdet(s)[1])))
-        yield pd.DataFrame(out, columns=["key", "centre", "inverse", "logdet"])
+            mean, s = _spread(n, sums, products)
+            s = s + np.diag(np.square(FLOORS))
+            out.append((key, mean.tolist(), _inverse(s), float(np.linalg.slogdet(s)[1]), n, sums, products))
+        yield pd.DataFrame(out, columns=["key", "centre", "inverse", "logdet", "n", "sums", "products"])
 
 
-_SHAPE = "key string, centre array<double>, inverse array<double>, logdet double"
+def _drawn(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Sums of a group's core, its language's and all -> the centre and inverse that judge the group."""
+    for frame in frames:
+        out = []
+        for r in frame.itertuples():
+            mean, s = _spread(r.all_n, r.all_sums, r.all_products)
+            for n, sums, products in ((r.lang_n, r.lang_sums, r.lang_products), (r.n, r.sums, r.products)):
+                own, spread = _spread(n, sums, products)
+                mean, s = (n * own + POOL * mean) / (n + POOL), (n * spread + POOL * s) / (n + POOL)
+            out.append((r.key, mean.tolist(), _inverse(s + np.diag(np.square(FLOORS))), CUTOFF * (1 + FEW / r.all_n)))
+        yield pd.DataFrame(out, columns=["key", "centre", "inverse", "cutoff"])
+
+
+_SUMS = "n double, sums array<double>, products array<double>"
+_SHAPE = f"key string, centre array<double>, inverse array<double>, logdet double, {_SUMS}"
 
 
 def _started(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -162,19 +185,8 @@ def _started(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for key, quarters in zip(frame.key, frame.quarters, strict=True):
             q = np.array([[*x] for x in quarters], float).reshape(P, 3)
             s = np.diag(np.square((q[:, 2] - q[:, 0]) / 1.349) + np.square(FLOORS))
-            out.append((key, q[:, 1].tolist(), _inverse(s), float("inf")))
-        yield pd.DataFrame(out, columns=["key", "centre", "inverse", "logdet"])
-
-
-def _keyed(rows: DataFrame) -> DataFrame:
-    """Give each row its group: language and source, else language, else all, by how many there are."""
-    name = lambda *x: F.to_json(F.struct(*[F.col(c) for c in x]))
-    counts = save(rows.groupBy("lang", "source").agg(F.count("*").alias("k")))
-    pooled = counts.where(F.col("k") < LEAST).groupBy("lang").agg(F.sum("k").alias("l"))
-    counts = counts.alias("c").join(pooled.alias("p"), F.expr("c.lang <=> p.lang"), "left").select("c.*", "l")
-    key = F.when(F.col("k") >= LEAST, name("lang", "source")).when(F.col("l") >= LEAST, name("lang")).otherwise("{all}")
-    keys = save(counts.select(F.col("lang").alias("lang_"), F.col("source").alias("source_"), key.alias("key")))
-    return rows.join(keys, F.expr("lang <=> lang_ and source <=> source_")).drop("lang_", "source_")
+            out.append((key, q[:, 1].tolist(), _inverse(s), float("inf"), 0.0, [], []))
+        yield pd.DataFrame(out, columns=["key", "centre", "inverse", "logdet", "n", "sums", "products"])
 
 
 def _quartiles(z: DataFrame) -> DataFrame:
@@ -188,12 +200,12 @@ def _quartiles(z: DataFrame) -> DataFrame:
     return each.groupBy("key").agg(F.transform(sorted_, lambda x: F.array(x.q0, x.q1, x.q2)).alias("quarters"))
 
 
-def shapes(z: DataFrame) -> DataFrame:
-    """The robust centre and inverse shape of each key of (key, z)."""
+def cores(z: DataFrame) -> DataFrame:
+    """The sums over the core of each key of (key, z): (key, n, sums, products)."""
     now = save(_quartiles(z).mapInPandas(_started, _SHAPE))
     pairs = [(i, j) for i in range(P) for j in range(i, P)]
     for _ in range(STEPS):
-        far = z.join(now.drop("logdet"), "key").withColumn("bin", F.floor(F.least(F.sqrt(_squared()), F.lit(100.0)) * 50).cast("int"))
+        far = z.join(now.select("key", "centre", "inverse"), "key").withColumn("bin", F.floor(F.least(F.sqrt(_squared()), F.lit(100.0)) * 50).cast("int"))
         # rows of one bin stand together; a group has 5001 bins at most
         sums = [F.sum(F.get("z", F.lit(i)).cast("decimal(28,12)")).alias(f"s{i}") for i in range(P)]
         products = [F.sum((F.get("z", F.lit(i)) * F.get("z", F.lit(j))).cast("decimal(28,12)")).alias(f"p{k}") for k, (i, j) in enumerate(pairs)]
@@ -209,18 +221,32 @@ def shapes(z: DataFrame) -> DataFrame:
         now = after
         if not fell:
             break
-    return now.drop("logdet")
+    return now.select("key", "n", "sums", "products")
+
+
+def _pooled(rows: DataFrame, name: str, *by: str) -> DataFrame:
+    """Sums over the cores of many groups."""
+    added = lambda c, size: F.array(*[F.sum(F.get(c, F.lit(i)).cast("decimal(38,12)")).cast("double") for i in range(size)]).alias(f"{name}_{c}")
+    sums = [F.sum("n").alias(f"{name}_n"), added("sums", P), added("products", P * (P + 1) // 2)]
+    return rows.groupBy(*by).agg(*sums)
+
+
+def shapes(z: DataFrame) -> DataFrame:
+    """What judges each group of (key, lang, z): (key, centre, inverse, cutoff)."""
+    own = cores(z.select("key", "z"))
+    own = own.join(z.select("key", "lang").distinct(), "key")
+    lang = _pooled(own, "lang", "lang").withColumnRenamed("lang", "lang_")
+    rows = own.join(lang, F.expr("lang <=> lang_")).join(_pooled(own, "all"), how="cross")  # one row
+    return rows.drop("lang", "lang_").mapInPandas(_drawn, "key string, centre array<double>, inverse array<double>, cutoff double")
 
 
 def quality(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Per row of docs: its statistics, base_failed, the squared distance and kept."""
     stats = save(statistics(docs, id_col))
     base = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    rows = _keyed(stats.withColumn("base_failed", base).withColumn("z", F.array(*_vector())))
-    rows = save(rows)
-    good = rows.where("not base_failed").select("key", "z")
-    sizes = good.groupBy("key").agg(F.count("*").alias("size"))
-    found = save(shapes(good).join(sizes, "key"))
-    out = rows.join(found, "key", "left").withColumn("distance", F.when(F.col("size") >= FEW, _squared()))
-    kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= CUTOFF, F.lit(True))
+    key = F.to_json(F.struct("lang", "source"))
+    rows = save(stats.withColumn("base_failed", base).withColumn("z", F.array(*_vector())).withColumn("key", key))
+    found = save(shapes(rows.where("not base_failed").select("key", "lang", "z")))
+    out = rows.join(found, "key", "left").withColumn("distance", _squared())
+    kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= F.col("cutoff"), F.lit(True))
     return out.select(id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "distance", "lang", "source")

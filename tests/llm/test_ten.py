@@ -15,6 +15,7 @@ from conftest import SF, same
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from civicspark.llm import quality_rules as qr
 from civicspark.llm import queries, sql
 from civicspark.llm.components import components
 from civicspark.llm.decontamination import align, contaminated
@@ -252,6 +253,58 @@ def test_outliers_go_and_plain_documents_stay(spark):
     assert all(out[i] for i in range(400)) and not any(out[i] for i in range(400, 420))
 
 
+def brute_estimates(groups):
+    """The estimates of quality_rules by numpy: key (lang, source) -> vectors, to key -> (mean, covariance, cutoff)."""
+    floors, cores = np.array(qr.FLOORS), {}
+    for key, z in groups.items():
+        at = np.sort(np.floor(z / (floors / 20)), 0)
+        q = [(at[max(0, int(np.ceil(len(z) * x)) - 1)] + 0.5) * floors / 20 for x in (0.25, 0.5, 0.75)]
+        mean, s, was = q[1], np.diag(((q[2] - q[0]) / 1.349) ** 2 + floors**2), np.inf
+        steps = []
+        for _ in range(qr.STEPS):
+            d = np.sqrt(np.maximum(np.einsum("ij,jk,ik->i", z - mean, np.linalg.inv(s), z - mean), 0))
+            cell = np.floor(np.minimum(d, 100) * 50)
+            core = z[[np.sum(cell < c) < qr.CORE * len(z) for c in cell]]
+            mean = core.mean(0)
+            s = qr.CONSISTENCY * (core.T @ core / len(core) - np.outer(mean, mean)) + np.diag(floors**2)
+            steps.append((was - np.linalg.slogdet(s)[1], core))
+            was = np.linalg.slogdet(s)[1]
+        cores[key] = steps
+    turns = next((i for i in range(qr.STEPS) if all(x[i][0] <= 1e-4 for x in cores.values())), qr.STEPS - 1)
+    own = {k: x[turns][1] for k, x in cores.items()}
+    spread = lambda c: (c.mean(0), qr.CONSISTENCY * (c.T @ c / len(c) - np.outer(c.mean(0), c.mean(0))))
+    out, everything = {}, np.concatenate(list(own.values()))
+    for key in own:
+        mean, s = spread(everything)
+        for c in (np.concatenate([own[k] for k in own if k[0] == key[0]]), own[key]):
+            m, v = spread(c)
+            mean, s = (len(c) * m + qr.POOL * mean) / (len(c) + qr.POOL), (len(c) * v + qr.POOL * s) / (len(c) + qr.POOL)
+        out[key] = mean, s + np.diag(floors**2), qr.CUTOFF * (1 + qr.FEW / len(everything))
+    return out
+
+
+def test_estimates_of_every_group_equal_numpy(spark):
+    rng, rows = random.Random(8), []
+    for source, n in (("a", 150), ("b", 40), ("c", 3), (None, 1)):
+        for _ in range(n):
+            rows.append((len(rows), " ".join("".join(rng.choices("abcd#", k=rng.randint(1, 9))) + "\n" * (rng.random() < 0.1) for _ in range(rng.randint(21, 200))), rng.choice(["en", "de"]), source))
+    rows += [(len(rows), "x" * 50 + " ### " * 100, "en", "a"), (len(rows) + 1, "short", "en", "zz"), (len(rows) + 2, None, None, None)]
+    found = quality(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
+    groups = defaultdict(list)
+    for r in found:
+        n, lines = r.n_words, len([x for x in (rows[r.doc_id][1] or "").split("\n") if words(x)])
+        z = [np.log1p(n), (r.word_chars + 250) / (n + 50), r.n_symbols / (n + 50), r.n_dup_lines / (lines + 5), r.n_repeat_words / (n + 50), np.log1p(n / max(lines, 1))]
+        if not r.base_failed:
+            groups[r.lang, r.source].append((r, z))
+    estimates = brute_estimates({k: np.array([z for _, z in x]) for k, x in groups.items()})
+    assert len(groups) >= 7
+    for key, x in groups.items():
+        mean, s, cutoff = estimates[key]
+        for r, z in x:
+            d = (np.array(z) - mean) @ np.linalg.inv(s) @ (np.array(z) - mean)
+            assert abs(d - r.distance) < 1e-6 * max(1, d) and r.kept == (d <= cutoff), (key, d, r.distance)
+
+
 def test_tokens_at_every_prefix():
     counter, rng = PrefixCounter(BYTES), random.Random(5)
     alphabet = " \n\t'abreTs1.!é日🙂\xa0<|>-"
