@@ -99,13 +99,17 @@ def _bags(fold: bool):
 def sample(docs: DataFrame, labels: DataFrame, label: str, each: int, fold: bool, id_col: str = "doc_id") -> list[tuple[int, np.ndarray, np.ndarray]]:
     """(label, buckets, counts) of at most `each` labelled documents of either label, chosen by a hash of the id.
 
-    Whole texts are counted, where they lie; only the counts come to the driver.
+    Whole texts are counted, where they lie; only the counts come to the driver.  A
+    document that is labelled both ways is not learnt from; of several texts of one
+    id the one of least counts (as bytes) is taken.
     """
-    labels = labels.where(F.col(id_col).isNotNull() & F.col(label).isin(0, 1))
+    labels = labels.where(F.col(id_col).isNotNull() & F.col(label).isin(0, 1)).groupBy(id_col).agg(F.min(label).alias(label), F.max(label).alias("_most"))
+    labels = labels.where(F.col(label) == F.col("_most")).select(id_col, label)
     chosen = [labels.where(F.col(label) == x).select(id_col, label).orderBy(F.xxhash64(id_col), id_col).limit(each) for x in (0, 1)]
-    chosen = chosen[0].unionByName(chosen[1]).dropDuplicates([id_col]).select(F.col(id_col).alias("own"), F.col(label).cast("int").alias("label"))
+    chosen = chosen[0].unionByName(chosen[1]).select(F.col(id_col).alias("own"), F.col(label).cast("int").alias("label"))
     rows = docs.select(id_col, "text").join(F.broadcast(chosen), F.col(id_col) == F.col("own")).select(F.col(id_col).cast("long").alias("id"), "label", "text")
-    bags = rows.mapInArrow(_bags(fold), "id long, label int, buckets binary, counts binary").toArrow().sort_by("id")
+    bags = rows.mapInArrow(_bags(fold), "id long, label int, buckets binary, counts binary")
+    bags = bags.groupBy("id").agg(F.min(F.struct("label", "buckets", "counts")).alias("b")).select("id", "b.*").toArrow().sort_by("id")  # a row an id
     return [(y, np.frombuffer(b, "<u4"), np.frombuffer(n, "<u2")) for y, b, n in zip(*(bags.column(x).to_pylist() for x in ("label", "buckets", "counts")), strict=True)]
 
 
