@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 
 _KEPT: list[tuple[SparkSession, str]] = []
 #: While a table is written: shuffle files go when their query has ended (Spark 4.1); batches of texts for Python stay small.
-WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", BATCH: "2000"}
 #: Rows of a table that is sent to all tasks at most.
 SENT = 200_000
 
@@ -37,6 +38,12 @@ def folder(spark: SparkSession) -> str:
     return base
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Batches of texts for Python of 2000 rows, unless the session has a number of its own."""
+    if spark.conf.get(BATCH) == "10000":
+        spark.conf.set(BATCH, WRITING[BATCH])
+
+
 def save(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{folder(spark)}/civicspark/{uuid.uuid4().hex}"
