@@ -19,18 +19,20 @@ from civicspark.llm.line_dedup import remove_lines
 from civicspark.llm.minhash_dedup import near_duplicates
 from civicspark.llm.packing import pack, pieces
 from civicspark.llm.quality_classifier import keep_good
-from civicspark.llm.scratch import drop, save, sent
+from civicspark.llm.scratch import drop, save, sent, small_batches
 
 WORD = r"[^\x20\x09-\x0D]"
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose chance of good quality is at least 0.3."""
+    small_batches(spark)
     return keep_good(docs, learnable(spark.read.parquet(f"{sf_dir}/labels.parquet")), 0.3)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without their removed lines; one that had words and has none left goes."""
+    small_batches(spark)
     before = docs.withColumn("_civicspark_had_words", F.coalesce(F.col("text").rlike(WORD), F.lit(False)))
     after = remove_lines(before).where("not _civicspark_had_words or text rlike '[^\\\\x20\\\\x09-\\\\x0D]'").drop("_civicspark_had_words")
     return after.withColumn("n_chars", F.length("text").cast("long"))
@@ -38,6 +40,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the one with the least id, of each group of near-duplicates."""
+    small_batches(spark)
     found = near_duplicates(docs, shingle=5, percent=80)
     gone = found.groupBy(F.col("doc_id").alias("_civicspark_gone_id")).agg(F.bool_or("kept").alias("some")).where("not some").drop("some")
     docs = docs.join(sent(save(gone)), F.col("doc_id").eqNullSafe(F.col("_civicspark_gone_id")), "left_anti")
@@ -51,11 +54,13 @@ def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
+    small_batches(spark)
     return clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token pieces of the documents, each with its sequence and place."""
+    small_batches(spark)
     return pack(pieces(docs, public_tokenizers.path("word_bpe_49k.json"), 2048), 2048)
 
 
