@@ -12,11 +12,11 @@ linked when their sets' Jaccard similarity is at least `percent` / 100.
    by another for each, and the members of other components are checked against it;
    the centre is then done with in its bucket.  Buckets with one component left are
    done with, too, so a group of near copies shrinks by a large part each round.
-   When a round leaves more than half of the rows, the rest is joined: members outside
-   a bucket's largest component with the others, each pair's signatures of a bit a
-   minimum being compared within the join.
-4. A check compares signatures (200 bytes, five standard deviations of slack)
-   and then the full shingle sets.
+   When a round leaves more than half of the members outside their bucket's largest
+   component, these are joined with the others of the bucket.
+4. A bucket's join compares signatures of a bit a minimum (five standard deviations
+   of slack) and 512 parity bits of the sets, which are an exact bound; a check then
+   compares the full shingle sets.
 5. Components: see `components`.
 
 Defined cases: a null or empty text has no shingles and is linked with nothing;
@@ -48,8 +48,10 @@ _SALT = _RANDOM.integers(0, 2**63, BANDS, dtype=np.uint64)
 
 #: Longs that hold a bit of each minimum.
 BITS = [f"bit{i}" for i in range(-(-BANDS * ROWS // 64))]
-_SIGNED = "id long, n long, a long, b long, bands array<long>, sig binary, " + ", ".join(f"{x} long" for x in BITS)
-_SIGNED_ARROW = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("bands", pa.list_(pa.int64())), ("sig", pa.binary()), *[(x, pa.int64()) for x in BITS]])
+#: Longs that hold parities of the set: each shingle flips one bit of 512, so sets cannot differ in fewer shingles than in bits.
+FLIPS = [f"flip{i}" for i in range(8)]
+_SIGNED = "id long, n long, a long, b long, bands array<long>, " + ", ".join(f"{x} long" for x in BITS + FLIPS)
+_SIGNED_ARROW = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("bands", pa.list_(pa.int64())), *[(x, pa.int64()) for x in BITS + FLIPS]])
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -72,9 +74,11 @@ def _sign(size: int):
             gram, first = shingles(data, offsets, size)
             rows = len(first) - 1
             n, one, two = np.zeros(rows, np.int64), np.zeros(rows, np.uint64), np.zeros(rows, np.uint64)
+            flips = np.zeros((rows, 64 * len(FLIPS)), np.uint8)
             for i in range(rows):
                 own = np.unique(gram[first[i] : first[i + 1]])
                 n[i], one[i], two[i] = len(own), own.sum(dtype=np.uint64), tx.mix(own).sum(dtype=np.uint64)
+                flips[i] = np.bincount((tx.mix(own ^ np.uint64(0x5851F42D4C957F2D)) >> np.uint64(55)).astype(np.int64), minlength=512) & 1
             full = np.flatnonzero(n)
             least = np.zeros((BANDS * ROWS, rows), np.uint32)
             if len(full):
@@ -85,14 +89,11 @@ def _sign(size: int):
             for j in range(BANDS):
                 part = least[j * ROWS : (j + 1) * ROWS].astype(np.uint64)
                 bands[:, j] = tx.mix((part * _JOIN[j][:, None]).sum(0, dtype=np.uint64) + _SALT[j])
-            sig = np.ascontiguousarray((tx.mix(least.astype(np.uint64)) & np.uint64(255)).astype(np.uint8).T)
-            width = BANDS * ROWS
             lists = pa.ListArray.from_arrays(pa.array(np.arange(rows + 1) * BANDS, pa.int32()), pa.array(tx.signed(bands.ravel())))
-            binary = pa.Array.from_buffers(pa.binary(), rows, [None, pa.py_buffer((np.arange(rows + 1) * width).astype(np.int32)), pa.py_buffer(sig)])
             bits = np.zeros((rows, 64 * len(BITS)), np.uint8)
-            bits[:, :width] = sig & 1
+            bits[:, : BANDS * ROWS] = (tx.mix(least.astype(np.uint64)) & np.uint64(1)).T
             bits = np.packbits(bits, axis=1).view(np.int64)
-            yield tx.record(_SIGNED_ARROW, batch.column(0), n, tx.signed(one), tx.signed(two), lists, binary, *[np.ascontiguousarray(x) for x in bits.T])
+            yield tx.record(_SIGNED_ARROW, batch.column(0), n, tx.signed(one), tx.signed(two), lists, *[np.ascontiguousarray(x) for y in (bits, np.packbits(flips, axis=1).view(np.int64)) for x in y.T])
 
     return run
 
@@ -100,17 +101,6 @@ def _sign(size: int):
 _PAIR_ARROW = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
 
-def _alike(slack: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                one, two = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for i in (2, 3))
-                ok = (one == two).mean(1) >= slack
-                yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(ok)) for i in (0, 1)], schema=_PAIR_ARROW)
-
-    return run
-
-
 def _verified(size: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in tx.blocks(batches, "text"):
@@ -138,25 +128,22 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     groups = save(usable.groupBy("a", "b").agg(F.min("id").alias("rep")))
     copies = save(signed.select("id", "n", "a", "b").join(groups, ["a", "b"], "left").select("id", "n", "rep"))
     reps = usable.join(groups.select("rep"), F.col("id") == F.col("rep"), "left_semi").dropDuplicates(["id"])
-    sigs = save(reps.select("id", "n", "sig", "bands", *BITS))
+    sigs = save(reps.select("id", "n", "bands", *BITS, *FLIPS))
     drop(signed, groups)
-    banded = sigs.select("id", "n", F.explode("bands").alias("band"))
+    banded = sigs.select("id", "n", F.explode("bands").alias("band"), *BITS, *FLIPS)
     shared = save(banded.groupBy("band").agg(F.count("*").alias("many")).where("many > 1").select("band"))
     members = save(banded.join(shared, "band", "left_semi").withColumn("label", F.col("id")))
     some = save(members.select(F.col("id").alias("own")).distinct())
     held = save(docs.join(some, F.col("id") == F.col("own"), "left_semi").dropDuplicates(["id"]))
-    every, sigs = sigs, save(sigs.join(some, F.col("id") == F.col("own"), "left_semi"))
-    drop(every, shared, some)
-    deviations = 5 * (0.25 / (BANDS * ROWS)) ** 0.5
-    slack = percent / 100 - deviations
-    #: bits that differ: half of the minima that do
-    differ = int(BANDS * ROWS * ((1 - percent / 100) / 2 + deviations))
-    sized = f"a.label <> b.label and 100 * least(a.n, b.n) >= {percent} * greatest(a.n, b.n)"
+    drop(shared, some)
+    # sets may be similar when so few bits differ, half of the minima that do and five standard deviations
+    differ = int(BANDS * ROWS * ((1 - percent / 100) / 2 + 5 * (0.25 / (BANDS * ROWS)) ** 0.5))
+    near = " + ".join(f"bit_count(a.{x} ^ b.{x})" for x in BITS)
+    flipped = " + ".join(f"bit_count(a.{x} ^ b.{x})" for x in FLIPS)
+    close = f"a.label <> b.label and 100 * least(a.n, b.n) >= {percent} * greatest(a.n, b.n) and {near} <= {differ} and ({flipped}) * {100 + percent} <= {100 - percent} * (a.n + b.n)"
 
     def check(pairs: DataFrame) -> DataFrame:
         pairs = pairs.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct()
-        pairs = pairs.join(sigs.select(F.col("id").alias("u"), "sig"), "u").join(sigs.select(F.col("id").alias("v"), F.col("sig").alias("other")), "v")
-        pairs = pairs.select("u", "v", "sig", "other").mapInArrow(_alike(slack), "u long, v long")
         pairs = pairs.join(held.select(F.col("id").alias("u"), "text"), "u").join(held.select(F.col("id").alias("v"), F.col("text").alias("other")), "v")
         return save(pairs.select("u", "v", "text", "other").mapInArrow(_verified(shingle, percent), "u long, v long"))
 
@@ -170,31 +157,29 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     labels = seen = None
     for turn in count():
         if labels is not None:
-            # members of the buckets that still hold two components
+            # members of the buckets that still hold two components, with the largest of each
             rows = members.drop("label").join(labels, "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
-            open_ = rows.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("band")
-            before, members = members, save(rows.join(open_, "band", "left_semi"))
+            largest = rows.groupBy("band", "label").agg(F.count("*").alias("k")).groupBy("band").agg(F.max_by("label", "k").alias("main"), F.count("*").alias("kinds"))
+            before, members = members, save(rows.join(largest.where("kinds > 1").drop("kinds"), "band"))
             drop(before)
-            now = members.count()
+            now = members.where("label <> main").count()
             if not now or turn > 2 and now > seen / 2:
                 break
             seen = now
         order = F.xxhash64("id", "band") if turn else F.xxhash64("id")
-        centre = members.groupBy("band").agg(F.min(F.struct(order.alias("o"), "id", "label", "n")).alias("c")).select("band", "c.*")
-        star = save(members.alias("a").join(centre.alias("b"), "band").select("band", "a.id", "a.n", "a.label", F.col("b.id").alias("centre"), F.expr(sized).alias("meets")))
+        centre = members.groupBy("band").agg(F.min(F.struct(order.alias("o"), "id", "label", "n", *BITS, *FLIPS)).alias("c")).select("band", "c.*")
+        own = [F.col(f"a.{c}") for c in ("id", "n", "label", *BITS, *FLIPS)]
+        star = save(members.alias("a").join(centre.alias("b"), "band").select("band", *own, F.col("b.id").alias("centre"), F.expr(close).alias("meets")))
         drop(members)
         labels = merged(labels, check(star.where("meets").select(F.col("id").alias("x"), F.col("centre").alias("y"))))
-        members = save(star.where("id <> centre").select("band", "id", "n", "label"))
+        members = save(star.where("id <> centre").drop("centre", "meets"))
         drop(star)
-    # what is left: those outside the largest component of a bucket, with all others in it
-    largest = members.groupBy("band", "label").agg(F.count("*").alias("k")).groupBy("band").agg(F.max_by("label", "k").alias("main"))
-    rest = save(members.join(largest, "band").join(sigs.select("id", "bands", *BITS), "id").withColumn("k", F.array_position("bands", F.col("band"))))
-    near = " + ".join(f"bit_count(a.{x} ^ b.{x})" for x in BITS)
-    # each pair once: from one side, and in its first common band
-    once = "(b.label = b.main or a.id < b.id) and not arrays_overlap(slice(a.bands, 1, cast(a.k as int) - 1), slice(b.bands, 1, cast(a.k as int) - 1))"
-    pairs = rest.where("label <> main").alias("a").join(rest.alias("b"), F.expr(f"a.band = b.band and {sized} and {near} <= {differ} and {once}"))
+    # what is left: those outside the largest component of a bucket, with all others in it; each pair once, from one side and in its first common band
+    rest = save(members.join(sigs.select("id", "bands"), "id").withColumn("k", F.array_position("bands", F.col("band")).cast("int")))
+    once = "(b.label = b.main or a.id < b.id) and not arrays_overlap(slice(a.bands, 1, a.k - 1), slice(b.bands, 1, a.k - 1))"
+    pairs = rest.where("label <> main").alias("a").join(rest.alias("b"), F.expr(f"a.band = b.band and {close} and {once}"))
     labels = merged(labels, check(pairs.select(F.col("a.id").alias("x"), F.col("b.id").alias("y"))))
-    drop(members, rest)
+    drop(members, rest, sigs, held)
     out = copies.join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left")
     component = F.coalesce("component", "rep", "id")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
