@@ -14,8 +14,8 @@ document id, then text hash, then line number) has a Jaccard similarity of at le
    is frequent they share a pair).  Sets of over LONG words keep single words, in a
    space of their own, in which shorter sets that may be similar to one take part.  So the sets that meet at a key stay few as the
    corpus grows.
-4. The STARS words of least hash among a prefix's words of more than HOT occurrences
-   bring similar sets together: where more than HOT meet, each is checked against
+4. The STARS words of least hash in a prefix bring similar sets together: where more
+   than HOT meet, each is checked against
    the CENTRES earliest and as many others, and those with a match are done with.  What is left is probed by its full
    prefix against the shorter prefixes that an index of no longer sets needs (and
    against full ones of sets that are done with, which do not probe).  The join
@@ -50,7 +50,7 @@ FREQUENT = 1024
 #: Sets of more words keep single frequent words as keys, apart from those of shorter ones, as their pairs would be too many.
 LONG = 128
 #: The sets of keys of more sets are compared with so many earliest ones and as many others first; so many of a set's keys take part.
-HOT, CENTRES, STARS = 256, 32, 4
+HOT, CENTRES, STARS = 256, 32, 3
 #: A column's name while lines are removed; no table should have it.
 GONE = "_civicspark_gone_lines"
 #: What names a line.
@@ -119,7 +119,7 @@ def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.arange(sizes.sum()) + np.repeat(starts - np.cumsum(sizes) + sizes, sizes)
 
 
-def _keys(hashes: np.ndarray, edges: np.ndarray, ranks: np.ndarray, percent: int, frequent: int, hot: int, long: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _keys(hashes: np.ndarray, edges: np.ndarray, ranks: np.ndarray, percent: int, frequent: int, long: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The keys of sets (hash << 20 | place << 1 | in the index), how many each has, and the same of star words.
 
     A set of n words probes with its n - ceil(t n) + 1 rarest; met by no shorter
@@ -145,7 +145,7 @@ def _keys(hashes: np.ndarray, edges: np.ndarray, ranks: np.ndarray, percent: int
     indexed = np.concatenate([place[use] < index[owner[use]], right - edges[pair_owner] <= index[pair_owner], place[many] < index[owner[many]]])
     order = np.argsort(who, kind="stable")
     packed = (hashed >> np.uint64(20) << np.uint64(20)) | (np.minimum(where, (1 << 19) - 1).astype(np.uint64) << np.uint64(1)) | indexed.astype(np.uint64)
-    warm = np.flatnonzero(ranks[at] > _rank(hot))
+    warm = np.flatnonzero(ranks[at] > _rank(1))
     stars = tx.mix(hashes[at[warm]])
     best = np.lexsort((stars, owner[warm]))
     stars, of = stars[best], owner[warm][best]
@@ -157,7 +157,7 @@ def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(tx.signed(values)))
 
 
-def _lines(shared, percent: int, frequent: int, hot: int, long: int):
+def _lines(shared, percent: int, frequent: int, long: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank = shared.value
         for batch, data, offsets in tx.blocks(batches):
@@ -168,7 +168,7 @@ def _lines(shared, percent: int, frequent: int, hot: int, long: int):
             one = np.add.reduceat(tx.mix(hashes), edges[:-1])
             bit = tx.mix(hashes ^ np.uint64(0x5851F42D4C957F2D)) >> np.uint64(58)
             parity = np.bitwise_xor.reduceat(np.uint64(1) << bit, edges[:-1])
-            keys, sizes, stars, few = _keys(hashes, edges, rank[_bucket(hashes)], percent, frequent, hot, long)
+            keys, sizes, stars, few = _keys(hashes, edges, rank[_bucket(hashes)], percent, frequent, long)
             yield tx.record(_LINES_ARROW, tx.signed(one), tx.signed(parity), *_names(batch, text), number.astype(np.int32), np.diff(edges).astype(np.int32), _lists(keys, sizes), _lists(stars, few))
 
     return run
@@ -238,7 +238,7 @@ def removed(docs: DataFrame, percent: int, frequent: int = FREQUENT, hot: int =
     n = np.zeros(BUCKETS, np.int64)
     n[counts.column("bucket").to_numpy()] = counts.column("n").to_numpy()
     shared = spark.sparkContext.broadcast(_rank(n))
-    lines = save(docs.mapInArrow(_lines(shared, percent, frequent, hot, long), _LINES))
+    lines = save(docs.mapInArrow(_lines(shared, percent, frequent, long), _LINES))
     # equal sets: rows of the first place stay, once
     first = lines.groupBy("a", "parity").agg(F.min(F.struct(*PLACE)).alias("f"), F.count("*").alias("k")).where("k > 1").drop("k")
     first = save(first.withColumnsRenamed({"a": "f_a", "parity": "f_parity"}))
