@@ -104,4 +104,34 @@ SELECT d.doc_id, CASE WHEN coalesce(text, '') = '' THEN 0 ELSE CAST(len(string_s
 FROM documents d LEFT JOIN gone g ON g.doc_id = d.doc_id
 """
 
-SQL = {"op9_line_dedup": LINE_DEDUP, "op1_secret_scans": SECRETS, "op8_minhash_near_dedup": NEAR_DEDUP, "op2_substring_dedup": SUBSTRING_DEDUP}
+#: CRC-32 of each distinct word: a table of 256 remainders, by eight steps each, then a step for each byte.
+RESAMPLING = r"""
+WITH RECURSIVE tab AS (
+  SELECT list(list_reduce([b] || [0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c % 2 = 1 THEN xor(3988292384, c // 2) ELSE c // 2 END) ORDER BY b) AS t
+  FROM (SELECT CAST(unnest(range(256)) AS BIGINT) AS b)),
+d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+b AS (SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+dw AS (SELECT doc_id, unnest(ws) AS w FROM d),
+bw AS (SELECT unnest(ws) AS w FROM b),
+bytes AS (
+  SELECT w, list_transform(range(1, length(hex(encode(w))), 2), lambda i: CAST(16 * (strpos('0123456789ABCDEF', substr(hex(encode(w)), i, 1)) - 1) + strpos('0123456789ABCDEF', substr(hex(encode(w)), i + 1, 1)) - 1 AS BIGINT)) AS l
+  FROM (SELECT w FROM dw UNION SELECT w FROM bw)),
+h AS (
+  SELECT w, xor(list_reduce([CAST(4294967295 AS BIGINT)] || l, lambda c, x: xor(CAST(t[CAST(xor(c % 256, x) AS INTEGER) + 1] AS BIGINT), c // 256)), CAST(4294967295 AS BIGINT)) % 10000 AS bucket
+  FROM bytes, tab),
+s AS (SELECT bucket, count(*) AS s FROM dw JOIN h USING (w) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS t FROM bw JOIN h USING (w) GROUP BY bucket),
+g AS (
+  SELECT bucket, CAST(floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT count(*) FROM dw) + 10000)::DOUBLE / ((s + 1)::DOUBLE * ((SELECT count(*) FROM bw) + 10000)::DOUBLE))) AS BIGINT) AS gain
+  FROM s LEFT JOIN t USING (bucket)),
+v AS (SELECT doc_id, sum(gain) AS weight FROM dw JOIN h USING (w) JOIN g USING (bucket) GROUP BY doc_id),
+o AS (
+  SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+    CAST(coalesce(weight, 0) + floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score
+  FROM d LEFT JOIN v USING (doc_id)),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM o WHERE n_features >= 20)
+SELECT o.doc_id, n_features, weight, score, CASE WHEN rank <= (SELECT count(*) * 10 // 100 FROM r) THEN rank END AS rank
+FROM o LEFT JOIN r USING (doc_id)
+"""
+
+SQL = {"op12_importance_resampling": RESAMPLING, "op9_line_dedup": LINE_DEDUP, "op1_secret_scans": SECRETS, "op8_minhash_near_dedup": NEAR_DEDUP, "op2_substring_dedup": SUBSTRING_DEDUP}
