@@ -1,4 +1,4 @@
-"""Queries of the ten operators: each over its whole table, with production parameters."""
+"""Queries of the training-data operators: each over its whole table, with production parameters."""
 
 from __future__ import annotations
 
@@ -80,4 +80,40 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removed_lines(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op9_line_dedup": op9_line_dedup, "op5_decontamination": op5_decontamination, "op3_quality_rules": op3_quality_rules, "op6_toxicity": op6_toxicity, "op7_quality_classifier": op7_quality_classifier, "op1_secret_scans": op1_secret_scans, "op4_best_fit_packing": op4_best_fit_packing, "op10_token_counts": op10_token_counts, "op8_minhash_near_dedup": op8_minhash_near_dedup, "op2_substring_dedup": op2_substring_dedup}
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from civicspark.llm.whitening import whiten
+
+    return whiten(table(spark, sf_dir, "embeddings"), components=4).withColumn("deviation", F.expr("try_cast(deviation AS long)"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from civicspark.llm.resampling import resample
+
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), longest=1, buckets=10_000, percent=10, least=20, seed=2024)
+
+
+#: Rules of op13_url_filters.
+URL_RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
+
+
+def op13_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from civicspark.llm.urls import judge, labelled
+
+    return judge(table(spark, sf_dir, "pages"), spark.createDataFrame(URL_RULES, "rule string, verdict string"), labelled(spark))
+
+
+QUERIES = {
+    "op9_line_dedup": op9_line_dedup,
+    "op5_decontamination": op5_decontamination,
+    "op3_quality_rules": op3_quality_rules,
+    "op6_toxicity": op6_toxicity,
+    "op7_quality_classifier": op7_quality_classifier,
+    "op1_secret_scans": op1_secret_scans,
+    "op4_best_fit_packing": op4_best_fit_packing,
+    "op10_token_counts": op10_token_counts,
+    "op8_minhash_near_dedup": op8_minhash_near_dedup,
+    "op2_substring_dedup": op2_substring_dedup,
+    "op11_embedding_whitening": op11_embedding_whitening,
+    "op12_importance_resampling": op12_importance_resampling,
+    "op13_url_filters": op13_url_filters,
+}
