@@ -6,8 +6,8 @@ linked when their sets' Jaccard similarity is at least `percent` / 100.
 
 1. Each set gets BANDS * ROWS minima of hashes a * x + b; each band's minima make
    a bucket.  A pair at 0.8 shares none with a chance of (1 - 0.8**5)**40, 1.3e-7.
-2. Equal sets are one from here on (the least id stands for them), so a group of
-   thousands of copies is one row.
+2. Equal sets are one from here on (a numbered node, whose text is that of the row
+   with the least id), so a group of thousands of copies is one row.
 3. Star rounds: each bucket names a centre, first by one order for all bands, then
    by another for each, and the members of other components are checked against it;
    the centre is then done with in its bucket.  Buckets with one component left are
@@ -17,11 +17,13 @@ linked when their sets' Jaccard similarity is at least `percent` / 100.
 4. A bucket's join compares signatures of a bit a minimum (five standard deviations
    of slack) and 512 parity bits of the sets, which are an exact bound; a check then
    compares the full shingle sets.
-5. Components: see `components`.
+5. Components: see `components`; the nodes of an id with several texts are linked,
+   too, and a component is named by the least id among its nodes.
 
 Defined cases: a null or empty text has no shingles and is linked with nothing;
-rows that repeat an id share its result; a row without an id is linked with
-nothing and kept; extra columns are untouched.  Shingles are told apart by 64-bit
+rows of one id are one document, whose texts' links are all its own (each row has
+its text's n_shingles); a row without an id is linked with nothing and kept; extra
+columns are untouched.  Shingles are told apart by 64-bit
 hashes of their words.
 """
 
@@ -37,7 +39,8 @@ from pyspark.sql import functions as F
 
 from civicspark.llm import text as tx
 from civicspark.llm.components import components
-from civicspark.llm.scratch import drop, save
+from civicspark.llm.rows import KEY, keyed
+from civicspark.llm.scratch import drop, save, sent
 
 BANDS, ROWS = 40, 5
 _RANDOM = np.random.Generator(np.random.PCG64(808))
@@ -50,8 +53,8 @@ _SALT = _RANDOM.integers(0, 2**63, BANDS, dtype=np.uint64)
 BITS = [f"bit{i}" for i in range(-(-BANDS * ROWS // 64))]
 #: Longs that hold parities of the set: each shingle flips one bit of 512, so sets cannot differ in fewer shingles than in bits.
 FLIPS = [f"flip{i}" for i in range(8)]
-_SIGNED = "id long, n long, a long, b long, bands array<long>, " + ", ".join(f"{x} long" for x in BITS + FLIPS)
-_SIGNED_ARROW = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("bands", pa.list_(pa.int64())), *[(x, pa.int64()) for x in BITS + FLIPS]])
+_SIGNED = "id long, key long, n long, a long, b long, bands array<long>, " + ", ".join(f"{x} long" for x in BITS + FLIPS)
+_SIGNED_ARROW = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("bands", pa.list_(pa.int64())), *[(x, pa.int64()) for x in BITS + FLIPS]])
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -93,7 +96,7 @@ def _sign(size: int):
             bits = np.zeros((rows, 64 * len(BITS)), np.uint8)
             bits[:, : BANDS * ROWS] = (tx.mix(least.astype(np.uint64)) & np.uint64(1)).T
             bits = np.packbits(bits, axis=1).view(np.int64)
-            yield tx.record(_SIGNED_ARROW, batch.column(0), n, tx.signed(one), tx.signed(two), lists, *[np.ascontiguousarray(x) for y in (bits, np.packbits(flips, axis=1).view(np.int64)) for x in y.T])
+            yield tx.record(_SIGNED_ARROW, batch.column(0), batch.column(1), n, tx.signed(one), tx.signed(two), lists, *[np.ascontiguousarray(x) for y in (bits, np.packbits(flips, axis=1).view(np.int64)) for x in y.T])
 
     return run
 
@@ -122,19 +125,24 @@ def _own(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of docs: its id, n_shingles, component_id (the least id reachable) and kept (it is that id)."""
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    signed = save(docs.mapInArrow(_sign(shingle), _SIGNED))
+    docs = keyed(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), "id")
+    signed = save(docs.select("id", KEY, "text").mapInArrow(_sign(shingle), _SIGNED))
     usable = signed.where("n > 0 and id is not null")
-    groups = save(usable.groupBy("a", "b").agg(F.min("id").alias("rep")))
-    copies = save(signed.select("id", "n", "a", "b").join(groups, ["a", "b"], "left").select("id", "n", "rep"))
-    reps = usable.join(groups.select("rep"), F.col("id") == F.col("rep"), "left_semi").dropDuplicates(["id"])
-    sigs = save(reps.select("id", "n", "bands", *BITS, *FLIPS))
-    drop(signed, groups)
+    groups = usable.groupBy("a", "b").agg(F.min(F.struct("id", "key")).alias("first"))
+    groups = save(groups.select("a", "b", F.col("first.id").alias("rep"), F.col("first.key").alias("rep_key"), F.monotonically_increasing_id().alias("node")))
+    equal = F.col("id").isNotNull() & (F.col("n") > 0) & (F.col("a") == F.col("its_a")) & (F.col("b") == F.col("its_b"))
+    copies = save(signed.select("id", "n", "a", "b").join(groups.select(F.col("a").alias("its_a"), F.col("b").alias("its_b"), "rep", "node"), equal, "left").select("id", "n", "rep", "node"))
+    first = (F.col("id") == F.col("rep")) & (F.col("key") == F.col("rep_key"))
+    reps = usable.join(groups.select("rep", "rep_key", "node"), first).dropDuplicates(["node"])
+    sigs = save(reps.select(F.col("node").alias("id"), "n", "bands", *BITS, *FLIPS))
+    drop(signed)
     banded = sigs.select("id", "n", F.explode("bands").alias("band"), *BITS, *FLIPS)
     shared = save(banded.groupBy("band").agg(F.count("*").alias("many")).where("many > 1").select("band"))
     members = save(banded.join(shared, "band", "left_semi").withColumn("label", F.col("id")))
     some = save(members.select(F.col("id").alias("own")).distinct())
-    held = save(docs.join(some, F.col("id") == F.col("own"), "left_semi").dropDuplicates(["id"]))
+    wanted = groups.join(some, F.col("node") == F.col("own"), "left_semi").select("rep", "rep_key", "node")
+    held = docs.join(wanted, (F.col("id") == F.col("rep")) & (F.col(KEY) == F.col("rep_key")))
+    held = save(held.select(F.col("node").alias("id"), "text").dropDuplicates(["id"]))
     drop(shared, some)
     # sets may be similar when so few bits differ, half of the minima that do and five standard deviations
     differ = int(BANDS * ROWS * ((1 - percent / 100) / 2 + 5 * (0.25 / (BANDS * ROWS)) ** 0.5))
@@ -180,6 +188,17 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     pairs = rest.where("label <> main").alias("a").join(rest.alias("b"), F.expr(f"a.band = b.band and {close} and {once}"))
     labels = merged(labels, check(pairs.select(F.col("a.id").alias("x"), F.col("b.id").alias("y"))))
     drop(members, rest, sigs, held)
-    out = copies.join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left")
-    component = F.coalesce("component", "rep", "id")
+    # the nodes of one id belong together, and its rows without shingles with them
+    own = copies.where("id is not null").groupBy(F.col("id").alias("own")).agg(F.min("node").alias("v"), F.max("node").alias("most"), F.min_by("rep", "node").alias("its"), F.count("*").alias("k"), F.count("node").alias("full"))
+    own = save(own.where("v < most or full between 1 and k - 1"))
+    if not own.isEmpty():
+        copies = copies.join(sent(own), F.col("id") == F.col("own"), "left")
+        labels = merged(labels, save(copies.where("node <> v").select(F.col("node").alias("u"), "v").distinct()))
+        copies = copies.select("id", "n", F.coalesce("rep", "its").alias("rep"), F.coalesce("node", "v").alias("node"))
+    named = labels.join(groups.select("node", "rep"), F.col("id") == F.col("node"))
+    least = named.groupBy("component").agg(F.min("rep").alias("least"))
+    names = save(labels.join(least, "component").select(F.col("id").alias("node"), "least"))
+    drop(labels, groups)
+    component = F.coalesce("least", "rep", "id")
+    out = copies.join(names, "node", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 from test_ten import words
 
 import corpus_pipeline
+from civicspark.llm.minhash_dedup import near_duplicates
 from civicspark.llm.line_dedup import remove_lines, removed_lines
 from civicspark.llm.substring_dedup import remove_repeats
 
@@ -45,3 +48,18 @@ def test_contaminated_document_goes_alone(spark, tmp_path):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     out = corpus_pipeline.benchmark_decontamination(spark, docs, str(tmp_path))
     assert sorted((str(r.doc_id), r.text or "") for r in out.collect()) == [("5", "another clean text"), ("6", ""), ("None", "clean text without any item")]
+
+
+def test_links_of_documents_with_one_id(spark):
+    """Rows of one id are one document: all its texts' links count, whichever row comes first."""
+    rng = random.Random(8)
+    vocab = [f"v{i}" for i in range(3000)]
+    a, b, c, d = (" ".join(rng.choices(vocab, k=200)) for _ in range(4))
+    near = lambda t, k: " ".join(w if i != k else "other" for i, w in enumerate(t.split()))
+    rows = [(10, a), (10, b), (20, near(a, 50)), (30, near(b, 150)), (30, c), (5, near(c, 9)), (10, a), (40, d), (None, a), (None, d), (None, near(d, 3)), (40, ""), (50, None), (50, near(d, 100)), (60, "p q"), (61, "p q"), (61, "x y")]
+    for parts in (1, 3, 7):
+        out = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts), shingle=4).collect()
+        assert len(out) == len(rows)
+        found = {(r.doc_id, r.component_id, r.kept) for r in out}
+        assert found == {(10, 5, False), (20, 5, False), (30, 5, False), (5, 5, True), (40, 40, True), (50, 40, False), (60, 60, True), (61, 60, False), (None, None, True)}
+        assert sorted(r.n_shingles for r in out if r.doc_id == 40) == [0, 197] and sorted(r.n_shingles for r in out if r.doc_id == 61) == [1, 1]
