@@ -111,14 +111,25 @@ def recall(hits: DataFrame, expected: DataFrame, query: str, key: str, k: int, b
 
     hits: (query, key, rank); expected: (query, key[, by]).
     """
-    found = hits.where(F.col("rank") <= k).select(query, key).join(expected.select(query, key), [query, key]).select(query).distinct().withColumn("_hit", F.lit(1.0))
-    asked = expected.select(query, *([by] if by else [])).distinct().join(found, query, "left")
+    found = hits.where(F.col("rank") <= k).select(query, key).join(expected.select(query, key), [query, key]).select(query).distinct()
+    return recall_shares(expected.select(query, *([by] if by else [])).distinct(), found, query, by)
+
+
+def recall_shares(asked: DataFrame, found: DataFrame, query: str, by: str | None = None) -> DataFrame:
+    """Share of the asked queries that are among the found, of all and by a column of asked."""
+    asked = asked.join(found.select(query).distinct().withColumn("_hit", F.lit(1.0)), query, "left")
     share = F.coalesce(F.avg(F.coalesce("_hit", F.lit(0.0))), F.lit(0.0)).alias("recall")
     if not by:
         return asked.agg(share, F.count("*").alias("queries"))
     return asked.rollup(by).agg(share, F.count("*").alias("queries")).withColumn(by, F.coalesce(by, F.lit("all")))
 
 
+def recall_misses(asked: DataFrame, found: DataFrame, hits: DataFrame, query: str, key: str, k: int) -> DataFrame:
+    """The asked queries that found nothing expected, each with what it got (at most k keys) in order of rank."""
+    got = hits.where(F.col("rank") <= k).groupBy(query).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", key))), lambda x: x[key]).alias("got"))
+    return asked.join(found, query, "left_anti").join(got, query, "left").withColumn("got", F.coalesce("got", F.array()))
+
+
 def hash_embedding(text: Column, size: int = 32) -> Column:
     """Counts of character codes modulo `size`, at unit length; an empty text is all 0."""
     codes = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.ascii(c) % size)

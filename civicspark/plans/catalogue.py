@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 
 from civicspark.functions import text as fx
 from civicspark.operators import catalogue as cat
-from civicspark.operators import crawl, index, linking, metering, retrieval
+from civicspark.operators import crawl, index, keyword_index, linking, metering, retrieval
+from civicspark.operators.vectors import nearest_of_each
+from civicspark.plans.stored import documents_index
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -275,7 +277,7 @@ words AS (SELECT doc_id, score, row_number() OVER (ORDER BY round(score, 9) DESC
 
 @query(f"WITH {_BM25} SELECT doc_id, round(score, 6) AS score, rank FROM words")
 def bm25_top50(spark, sf_dir):
-    top = retrieval.bm25(table(spark, sf_dir, "documents"), "doc_id", "text", "the worthless")
+    top = keyword_index.search(spark, documents_index(spark, sf_dir), "doc_id", "the worthless")
     return top.select("doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
@@ -297,7 +299,7 @@ def cosine_top50(spark, sf_dir):
 @query(f"""WITH {_BM25}, {_COSINE} SELECT coalesce(doc_id, vec_id) AS doc_id, round(coalesce(1 / (60 + words.rank), 0) + coalesce(1 / (60 + near.rank), 0), 9) AS score,
 CASE WHEN vec_id IS NULL THEN 'keyword' WHEN doc_id IS NULL THEN 'semantic' ELSE 'hybrid' END AS match_kind FROM words FULL JOIN near ON doc_id = vec_id""")
 def hybrid_rrf(spark, sf_dir):
-    words = retrieval.bm25(table(spark, sf_dir, "documents"), "doc_id", "text", "the worthless")
+    words = keyword_index.search(spark, documents_index(spark, sf_dir), "doc_id", "the worthless")
     near = _nearest(spark, sf_dir).withColumnRenamed("vec_id", "doc_id")
     return retrieval.fuse(words, near, "doc_id").select("doc_id", F.round("score", 9).alias("score"), "match_kind")
 
@@ -308,14 +310,20 @@ h AS (SELECT q.query, q.label, max((x.label = q.label)::INT) AS hit FROM q JOIN
 SELECT coalesce(CAST(label AS VARCHAR), 'all') AS label, round(avg(hit), 6) AS recall, count(*) AS queries FROM h GROUP BY ROLLUP (label)""")
 def recall_at_k(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings")
-    asked = vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("_q"), F.col("label").cast("string").alias("label"))
-    scored = vectors.join(F.broadcast(asked), F.expr("vec_id <> query")).select("query", "vec_id", F.round(retrieval.cosine(F.col("embedding"), F.col("_q")), 9).alias("score"))
-    hits = cat.first_n(scored, ["query"], [F.desc("score"), F.col("vec_id")], 5)
-    expected = asked.join(vectors.select("vec_id", F.col("label").cast("string").alias("label")), "label").select("query", "vec_id", "label")
-    out = retrieval.recall(hits, expected, "query", "vec_id", 5, "label")
+    asked, hits, found = _recalled(vectors)
+    out = retrieval.recall_shares(asked, found, "query", "label")
     return out.select("label", F.round("recall", 6).alias("recall"), "queries")
 
 
+def _recalled(vectors: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Queries (query, label), their five nearest other vectors, and the queries that have one of their label among them."""
+    queries = vectors.where("vec_id % 20 = 0")
+    asked = queries.select(F.col("vec_id").alias("query"), F.col("label").cast("string").alias("label"))
+    hits = nearest_of_each(vectors, queries, "vec_id", "embedding", 5)
+    labels = vectors.select(F.col("vec_id").alias("key"), F.col("label").cast("string").alias("its"))
+    return asked, hits, hits.join(asked, "query").join(labels, "key").where("its = label").select("query").distinct()
+
+
 @query("""WITH c AS (SELECT n_nationkey, list_transform(range(0, 8), lambda i: CAST(len(list_filter(string_split(n_name, ''), lambda x: x <> '' AND ascii(x) % 8 = i)) AS DOUBLE)) AS v FROM nation)
 SELECT n_nationkey, i AS dim, round(v[i + 1] / sqrt(list_sum(list_transform(v, lambda x: x * x))), 6) AS x FROM (SELECT *, unnest(range(0, 8)) AS i FROM c)""")
 def hash_embedding(spark, sf_dir):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import shutil
 import tempfile
 from pathlib import Path
@@ -22,3 +23,15 @@ def ship(spark: SparkSession) -> None:
     folder = Path(__file__).parent
     archive = shutil.make_archive(str(Path(tempfile.mkdtemp()) / "civicspark"), "zip", folder.parent, folder.name)
     spark.sparkContext.addPyFile(archive)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: the session's spark.checkpoint.dir, on one machine a temporary one where none is named."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='civicspark-')}"
+        spark.sparkContext.setCheckpointDir(base)
+        spark.conf.set("spark.checkpoint.dir", base)
+    return base

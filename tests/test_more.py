@@ -80,3 +80,69 @@ def test_alerts_are_delivered_once(spark, tmp_path):
     rows = spark.createDataFrame([(1, 0.5), (2, 0.6)], "id int, rate double")
     assert [r.id for r in serving.deliver(rows, lambda row: row["id"] == 1, str(tmp_path / "sent"), "id").collect()] == [1]
     assert [r.id for r in serving.deliver(rows, lambda row: True, str(tmp_path / "sent"), "id").collect()] == [2]
+
+
+def brute_search(docs, query, depth=50):
+    """(id, score, rank) of BM25 over word lists; tokens with inner punctuation are phrases, those that end in * beginnings."""
+    import re
+    from math import log
+
+    words = {i: re.findall(r"[^\W_]+", (t or "").lower()) for i, t in docs.items()}
+    mean = sum(map(len, words.values())) / max(len(words), 1)
+    slots, phrases = [], []
+    for token in query.split():
+        own = re.findall(r"[^\W_]+", token.lower())
+        begin = token.endswith("*") and len(own) == 1
+        slots += [x for x in ((w, begin) for w in own) if x not in slots]
+        phrases += [own] if len(own) > 1 else []
+    tf = {i: [sum(x.startswith(s) if begin else x == s for x in w) for s, begin in slots] for i, w in words.items()}
+    df = [sum(t[k] > 0 for t in tf.values()) for k in range(len(slots))]
+    hits = []
+    for i, t in tf.items():
+        w = words[i]
+        if slots and all(t) and all(any(w[k : k + len(p)] == p for k in range(len(w))) for p in phrases):
+            hits.append((-sum(log((len(words) - d + 0.5) / (d + 0.5) + 1) * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * len(w) / mean)) for n, d in zip(t, df)), i))
+    return [(i, pytest.approx(-s), k) for k, (s, i) in enumerate(sorted(hits)[:depth], 1)]
+
+
+QUERIES_OF_INDEX = ["w1", "w1 w2", "w1-w2", "w3.w1 w2", "w1-w2-w3", "w*", "w1* w2", "w1* w1-w2", "none", "none-w1", "", "  ", "*", "W5!", "w0 w1 w2 w3"]
+
+
+def test_index_of_many_changes_equals_brute_force(spark, tmp_path):
+    """Twelve batches of additions, replacements and removals, merged by levels of three; every state, and a rebuilt one, is searched."""
+    import random
+
+    from civicspark.operators import levels
+
+    rng, path, docs = random.Random(5), str(tmp_path / "i"), {}
+    text = lambda: rng.choice([None, "", " ".join(rng.choices([f"w{k}" for k in range(12)], k=rng.randint(1, 25)))])
+    for batch in range(12):
+        new = {rng.randint(0, 60): text() for _ in range(rng.choice([0, 6, 25]))}
+        gone = [rng.randint(0, 60) for _ in range(rng.choice([0, 0, 8]))]
+        gone = [i for i in gone if i not in new]
+        frame = spark.createDataFrame(list(new.items()), "id long, body string").repartition(2)
+        out = spark.createDataFrame([(i,) for i in gone * 2], "id long")
+        keyword_index.write_batch(frame, path, batch, "id", "body", gone=out if gone else None, ranges=3, fan=3)
+        docs = {i: t for i, t in docs.items() if i not in gone} | new
+        state = levels.manifest(spark, path)
+        assert state["own"]["n"] == len(docs) and len(state["folders"]) <= 6
+        if batch in (0, 4, 7, 11):
+            for query in QUERIES_OF_INDEX:
+                found = keyword_index.search(spark, path, "id", query).orderBy("rank").collect()
+                assert [tuple(r) for r in found] == brute_search(docs, query), (batch, query)
+    # a batch that is committed is not done again
+    keyword_index.write_batch(spark.createDataFrame([(1, "zzz")], "id long, body string"), path, 11, "id", "body")
+    assert keyword_index.search(spark, path, "id", "zzz").count() == 0
+    keyword_index.rebuild(spark, path, str(tmp_path / "j"), "id", ranges=2)
+    for query in QUERIES_OF_INDEX:
+        assert [tuple(r) for r in keyword_index.search(spark, str(tmp_path / "j"), "id", query).orderBy("rank").collect()] == brute_search(docs, query)
+
+
+def test_index_refuses_keys_that_are_none_or_twice(spark, tmp_path):
+    for rows in ([(1, "a"), (1, "b")], [(None, "a")]):
+        with pytest.raises(ValueError):
+            keyword_index.write_batch(spark.createDataFrame(rows, "id long, body string"), str(tmp_path / "i"), 0, "id", "body")
+    assert keyword_index.search(spark, str(tmp_path / "i"), "id", "a").count() == 0
+    # a writer that died left no trace in what is read
+    keyword_index.write_batch(spark.createDataFrame([(1, "a")], "id long, body string"), str(tmp_path / "i"), 0, "id", "body")
+    assert [r.id for r in keyword_index.search(spark, str(tmp_path / "i"), "id", "a").collect()] == [1]
