@@ -90,18 +90,52 @@ def sheet_slugs(sheets: DataFrame, key: Sequence[str], name: str, position: str)
     return rows.select(*key, position, F.when(turn == 0, F.col("_slug")).otherwise(F.concat("_slug", F.lit("-"), turn)).alias("slug"))
 
 
-def run_curation(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
+def run_curation(cells: DataFrame, documents: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Cells of many files (path, sheet, row_no, position, cell) to typed rows and a row for each file.
 
-    A file that could not be read (row -1) is `uncurated` with its error and stops
-    nothing.  Rows: (path, sheet, row_no, name, cell).
+    documents: (path, kind, body), what whole files are curated as; a file of the kind
+    `tabular` has its rows in cells, one that is `uncurated` its error in body.  A
+    file that could not be read (row -1, or `uncurated`) stops nothing.  Rows: (path,
+    sheet, row_no, name, cell); files: (path, state, error, rows[, kind]).
     """
     from civicspark.sources.files import table_rows
 
-    errors = cells.where("row_no < 0").groupBy("path").agg(F.min("cell").alias("error"))
+    failed = cells.where("row_no < 0").select("path", F.col("cell").alias("error"))
+    if documents is not None:
+        failed = failed.unionByName(documents.where("kind = 'uncurated'").select("path", F.col("body").alias("error")))
+    errors = failed.groupBy("path").agg(F.min("error").alias("error"), F.lit(True).alias("failed"))
     tables = table_rows(cells.where("row_no >= 0").join(errors, "path", "left_anti"))
     rows = curate(tables, ["path", "sheet"], "name", "cell")
     counts = rows.groupBy("path").agg(F.count_distinct("sheet", "row_no").alias("rows"))
-    files = cells.select("path").distinct().join(errors, "path", "left").join(counts, "path", "left")
-    state = F.when(F.col("error").isNotNull(), "uncurated").otherwise("curated")
-    return rows, files.select("path", state.alias("state"), "error", F.coalesce("rows", F.lit(0)).alias("rows"))
+    seen = cells.select("path", F.lit("tabular").alias("kind"))
+    if documents is not None:
+        seen = seen.unionByName(documents.select("path", "kind"))
+    seen = seen.groupBy("path").agg(F.max("kind").alias("kind"))
+    files = seen.join(errors, "path", "left").join(counts, "path", "left")
+    state = F.when(F.col("failed"), "uncurated").otherwise("curated")
+    kind = [] if documents is None else [F.when(F.col("failed").isNull(), F.col("kind")).alias("kind")]
+    return rows, files.select("path", state.alias("state"), "error", F.coalesce("rows", F.lit(0)).alias("rows"), *kind)
+
+
+#: How the files of a curator are read: as cells, or whole.
+_TABLES = ("csv", "xlsx", "datastore")
+
+
+def curate_files(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """One run over files of all kinds: (path, content, curator) to typed rows, whole documents (path, kind, body, root) and a row for each file.
+
+    curator: csv, xlsx, datastore (portal answers), json, geojson, xml or text; another one leaves the file uncurated.
+    """
+    from civicspark.sources import files as source
+
+    of = lambda name: files.where(F.col("curator") == name).drop("curator")
+    cells = source.read_csv(of("csv")).unionByName(source.read_xlsx(of("xlsx"))).unionByName(source.read_envelope(of("datastore")).where("row_no >= 0"))
+    tables = files.where(F.col("curator").isin("csv", "xlsx")).select("path", F.lit("tabular").alias("kind"), F.lit(None).cast("string").alias("body"), F.lit(None).cast("string").alias("root"))
+    documents = tables.unionByName(source.read_answers(of("datastore")))
+    for kind in ("geojson", "json", "xml", "text"):
+        documents = documents.unionByName(source.documents(of(kind), kind))
+    unknown = files.where(~F.coalesce(F.col("curator").isin(*_TABLES, "geojson", "json", "xml", "text"), F.lit(False)))
+    none = unknown.select("path", F.lit("uncurated").alias("kind"), F.lit("no curator takes it").alias("body"), F.lit(None).cast("string").alias("root"))
+    documents = documents.unionByName(none)
+    rows, states = run_curation(cells, documents)
+    return rows, documents.where("kind not in ('tabular', 'uncurated')"), states

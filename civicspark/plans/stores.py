@@ -6,13 +6,13 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from civicspark.operators import keyword_index
-from civicspark.operators import retrieval
+from civicspark.operators import curation, keyword_index, retrieval
 from civicspark.operators.vectors import nearest_of_each
 from civicspark.plans.catalogue import _recalled, query, table
 from civicspark.plans.more import QUERIES, SQL
 from civicspark.plans.stored import documents_index
 from civicspark.session import shared_folder
+from civicspark.sources import files
 
 __all__ = ["QUERIES", "SQL"]
 
@@ -91,3 +91,55 @@ def recall_misses(spark, sf_dir):
     asked, hits, found = _recalled(table(spark, sf_dir, "embeddings"))
     out = retrieval.recall_misses(asked, found, hits, "query", "key", 5)
     return out.select("query", "label", F.array_join(F.col("got").cast("array<string>"), ",").alias("got"))
+
+
+# --- files of all kinds, made from every document in tasks
+
+def _document_files(spark, sf_dir):
+    """(path, length, content, curator): each document as a file of one of nine kinds, by its number."""
+    text, i = F.coalesce("text", F.lit("")), F.col("doc_id") % 9
+    row = lambda *x: F.array(*[F.col(c).cast("string") if c in ("doc_id", "source") else F.lit(c) for c in x])
+    answer = lambda data: F.to_json(F.struct(F.lit(True).alias("success"), data.alias("data")), {"ignoreNullFields": "false"})
+    rows = F.array(F.array(F.lit("Key"), F.lit("")), F.array(F.lit("id"), F.lit("text")), F.array(F.col("doc_id").cast("string"), F.concat(F.lit("t "), text)))
+    quoted = F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))
+    bodies = [
+        (0, "datastore", answer(rows)),
+        (1, "datastore", answer(text)),
+        (2, "datastore", answer(F.struct(F.col("doc_id"), F.col("source")))),
+        (3, "datastore", answer(F.array(F.struct(F.col("doc_id").alias("a")), F.struct(F.lit(1).cast("long").alias("a"))))),
+        (4, "datastore", F.lit('{"success":true}')),
+        (5, "datastore", F.concat(F.lit('{"data": ['), F.col("doc_id").cast("string"))),
+        (6, "csv", F.concat(F.lit("id;text\r\n"), F.col("doc_id").cast("string"), F.lit(";"), quoted, F.lit("\r\n"))),
+        (7, "geojson", F.concat(F.lit('{"type":"Feature","geometry":null,"properties":{"id":'), F.col("doc_id").cast("string"), F.lit("}}"))),
+        (8, "parquet", text),
+    ]
+    body, curator = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for k, name, value in bodies:
+        body, curator = F.when(i == k, value).otherwise(body), F.when(i == k, name).otherwise(curator)
+    files = table(spark, sf_dir, "documents").select(F.concat(F.lit("f"), F.col("doc_id").cast("string")).alias("path"), body.cast("binary").alias("content"), curator.alias("curator"))
+    return files.withColumn("length", F.octet_length("content").cast("long"))
+
+
+@query("""SELECT 'f' || doc_id AS path, CASE doc_id % 9 WHEN 5 THEN 'uncurated' WHEN 8 THEN 'uncurated' ELSE 'curated' END AS state,
+CASE doc_id % 9 WHEN 0 THEN 'tabular' WHEN 1 THEN 'text' WHEN 2 THEN 'json' WHEN 3 THEN 'json' WHEN 4 THEN 'json' WHEN 6 THEN 'tabular' WHEN 7 THEN 'geojson' END AS kind, CAST(doc_id % 9 IN (0, 6) AS BIGINT) AS rows FROM documents""")
+def files_curated(spark, sf_dir):
+    """One run over answers of all shapes, delimited files, GeoJSON and files that nothing takes."""
+    return curation.curate_files(_document_files(spark, sf_dir))[2].select("path", "state", "kind", F.col("rows").cast("long").alias("rows"))
+
+
+@query(r"""SELECT 'f' || doc_id AS path, CASE doc_id % 9 WHEN 1 THEN 'text' ELSE 'json' END AS kind, CASE doc_id % 9 WHEN 2 THEN 'object' WHEN 3 THEN 'array' WHEN 4 THEN 'array' END AS root,
+CASE doc_id % 9 WHEN 1 THEN coalesce(text, '') WHEN 2 THEN '{' || chr(10) || '  "doc_id": ' || doc_id || ',' || chr(10) || '  "source": ' || coalesce('"' || source || '"', 'null') || chr(10) || '}' || chr(10)
+  WHEN 3 THEN '[' || chr(10) || '  {' || chr(10) || '    "a": ' || doc_id || chr(10) || '  },' || chr(10) || '  {' || chr(10) || '    "a": 1' || chr(10) || '  }' || chr(10) || ']' || chr(10) WHEN 4 THEN '[]' || chr(10) END AS body
+FROM documents WHERE doc_id % 9 BETWEEN 1 AND 4""")
+def answer_bodies(spark, sf_dir):
+    """Portal answers that are no rows: texts verbatim, other values as indented JSON."""
+    return curation.curate_files(_document_files(spark, sf_dir))[1].where("kind in ('text', 'json')").select("path", "kind", "root", "body")
+
+
+@query(r"""SELECT 'f' || doc_id AS path, CASE WHEN doc_id % 9 = 0 THEN 'Key id' ELSE 'id' END AS name, CAST(doc_id AS VARCHAR) AS cell FROM documents WHERE doc_id % 9 IN (0, 6)
+UNION ALL SELECT 'f' || doc_id, CASE WHEN doc_id % 9 = 0 THEN 'Key text' ELSE 'text' END, CASE WHEN doc_id % 9 = 0 THEN 't ' || coalesce(text, '') ELSE nullif(coalesce(text, ''), '') END FROM documents WHERE doc_id % 9 IN (0, 6)""")
+def document_cells(spark, sf_dir):
+    """Whole texts, with their line ends, quotes and separators, as cells of delimited files and of answers with a header of two rows."""
+    held = _document_files(spark, sf_dir)
+    cells = files.read_csv(held.where("curator = 'csv'")).unionByName(files.read_envelope(held.where("curator = 'datastore'")).where("row_no >= 0"))
+    return files.table_rows(cells).select("path", "name", "cell")

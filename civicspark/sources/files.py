@@ -231,20 +231,92 @@ def read_xlsx(files: DataFrame) -> DataFrame:
     return files.select("path", "content", F.lit("").alias("text")).mapInPandas(_cells(lambda path, content, text: workbook(content)), CELLS)
 
 
+def _answer(text: str):
+    """The data of a portal answer: rows, a text, or any other value; none is an empty list.  A text that is no JSON, or null, raises."""
+    answer = json.loads(text, parse_constant=_refused)
+    if answer is None:
+        raise ValueError("the answer is null")
+    data = answer.get("data") if isinstance(answer, dict) else None
+    return [] if data is None else data
+
+
+def _refused(name: str):
+    raise ValueError(f"{name} is no JSON")
+
+
+def _is_table(data) -> bool:
+    return isinstance(data, list) and len(data) > 0 and isinstance(data[0], list)
+
+
+def _number_text(x: float) -> str:
+    """A number as portals print it: whole ones without a point."""
+    if x.is_integer() and abs(x) < 1e21:
+        return str(int(x))
+    return re.sub(r"e([+-])0+(?=[0-9])", r"e\1", repr(x))
+
+
+def _cell_text(value) -> str:
+    if isinstance(value, bool):
+        return "true" if value else "false"
+    if isinstance(value, list):
+        return ",".join(_cell_text(x) for x in value)
+    if isinstance(value, float):
+        return _number_text(value)
+    return "" if value is None else "[object Object]" if isinstance(value, dict) else str(value)
+
+
+def _plain(value):
+    """A value with whole numbers as such, so that 1.0 is written as 1."""
+    if isinstance(value, dict):
+        return {k: _plain(v) for k, v in value.items()}
+    if isinstance(value, list):
+        return [_plain(v) for v in value]
+    return int(value) if isinstance(value, float) and value.is_integer() and abs(value) < 1e21 else value
+
+
 def _envelope(path: str, content: bytes, text: str) -> Iterator[tuple[str, Iterator[list[str]]]]:
-    data = json.loads(text).get("data") or []
-    if not (isinstance(data, list) and all(isinstance(x, list) for x in data)):
-        raise ValueError("data is no table")
-    rows = [["" if c is None else c if isinstance(c, str) else json.dumps(c, ensure_ascii=False) for c in row] for row in data]
+    data = _answer(text)
+    if not _is_table(data):
+        return
+    rows = [[_cell_text(c) for c in (row if isinstance(row, list) else [row])] for row in data]
     head, start = header_of(rows)
     yield "", iter([head, *rows[start:]] if head else [])
 
 
 def read_envelope(files: DataFrame) -> DataFrame:
-    """Cells of portal answers {success, data: rows}, headers of two rows joined."""
+    """Cells of portal answers {success, data: rows}, headers of two rows joined; answers of another shape have none (see read_answers)."""
     return _texts(files).mapInPandas(_cells(_envelope), CELLS)
 
 
+def _shapes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for frame in frames:
+        out = []
+        for path, text in zip(frame["path"], frame["text"], strict=True):
+            try:
+                data = _answer(text)
+            except (ValueError, RecursionError) as e:
+                out.append((path, "uncurated", str(e), None))
+                continue
+            if isinstance(data, str):
+                out.append((path, "text", data, None))
+            elif _is_table(data):
+                out.append((path, "tabular", None, None))
+            else:
+                out.append((path, "json", json.dumps(_plain(data), ensure_ascii=False, indent=2) + "\n", "array" if isinstance(data, list) else "object"))
+        yield pd.DataFrame(out, columns=["path", "kind", "body", "root"])
+
+
+def read_answers(files: DataFrame) -> DataFrame:
+    """What each portal answer is curated as: (path, kind, body, root).
+
+    Rows (the first entry is a list) are `tabular`, their cells are read_envelope's; a
+    string is `text`, verbatim; anything else `json`, indented, its root `array` or
+    `object`; no data counts as an empty list.  A file that is no JSON is `uncurated`,
+    its body the error.
+    """
+    return _texts(files).select("path", "text").mapInPandas(_shapes, "path string, kind string, body string, root string")
+
+
 def table_rows(cells: DataFrame) -> DataFrame:
     """Cells below each header with their columns' names: (path, sheet, row_no, position, name, cell).
 

@@ -6,6 +6,7 @@ import zipfile
 
 from pyspark.sql import functions as F
 
+from civicspark.operators import curation
 from civicspark.sources import files, portal
 
 
@@ -100,3 +101,30 @@ def test_portal(spark, tmp_path):
     spark.dataSource.register(portal.PortalSource)
     out = spark.read.format("civic_portal").options(count="3", pageSize="2", path=str(tmp_path)).load()
     assert sorted((r.id, r.tags[0]) for r in out.collect()) == [("a", "t"), ("b", "t"), ("c", "t")]
+
+
+def test_answers_of_all_shapes(spark):
+    shapes = {
+        "table": ({"data": [["a", "b"], ["1", [1, None, True]], "x", [{"k": 1}, 2.0]]}, "tabular", None, None),
+        "text": ({"data": "one\ntwo"}, "text", "one\ntwo", None),
+        "empty text": ({"data": ""}, "text", "", None),
+        "object": ({"data": {"a": 1.0, "b": [None, 1.5]}}, "json", '{\n  "a": 1,\n  "b": [\n    null,\n    1.5\n  ]\n}\n', "object"),
+        "objects": ({"data": [{"a": "ж"}]}, "json", '[\n  {\n    "a": "ж"\n  }\n]\n', "array"),
+        "scalars": ({"data": [1, ["x"]]}, "json", '[\n  1,\n  [\n    "x"\n  ]\n]\n', "array"),
+        "number": ({"data": 5}, "json", "5\n", "object"),
+        "null": ({"data": None}, "json", "[]\n", "array"),
+        "absent": ({"success": True}, "json", "[]\n", "array"),
+        "list": ([1], "json", "[]\n", "array"),
+    }
+    answers = None
+    for name, (value, *_) in [*shapes.items(), ("broken", (None,)), ("nothing", (None,))]:
+        one = held(spark, {"broken": b'{"data": [', "nothing": b"null"}.get(name) or json.dumps(value).encode(), name)
+        answers = one if answers is None else answers.union(one)
+    out = {r.path: (r.kind, r.body, r.root) for r in files.read_answers(answers).collect()}
+    assert {k: v for k, v in out.items() if k in shapes} == {k: v[1:] for k, v in shapes.items()}
+    assert out["broken"][0] == out["nothing"][0] == "uncurated"
+    rows = sorted((r.row_no, r.name, r.cell) for r in files.table_rows(files.read_envelope(answers)).where("path = 'table'").collect())
+    assert rows == [(0, "a", "1"), (0, "b", "1,,true"), (1, "a", "x"), (1, "b", None), (2, "a", "[object Object]"), (2, "b", "2")]
+    _, states = curation.run_curation(files.read_envelope(answers), files.read_answers(answers))
+    state = {r.path: (r.state, r.kind) for r in states.collect()}
+    assert state == {k: ("curated", v[1]) for k, v in shapes.items()} | {"broken": ("uncurated", None), "nothing": ("uncurated", None)}
