@@ -1,7 +1,7 @@
 """A stored keyword index: positional postings, read by the query's terms alone.
 
-    postings/folder-N   (term, key, origin, doc, length, tf, gaps), in ranges of term and key
-    deleted/folder-N    (origin, chunk, bits): documents of earlier batches that batch N replaced or removed
+    postings/folder=N   (term, key, origin, doc, length, tf, gaps), in ranges of term and key
+    deleted/folder=N    (origin, chunk, bits): documents of earlier batches that batch N replaced or removed
     manifest            which folders are live, number and summed length of all documents
 
 A batch is one pass over its texts and one shuffle of its postings.  A posting holds
@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from civicspark.operators import levels
 from civicspark.operators.retrieval import ranked, split_terms, terms
 
+#: Number of the layout, for folders that outlive a session.
+LAYOUT = 2
 _DELETED = "origin int, chunk long, bits binary"
 
 
@@ -122,7 +124,7 @@ def write_batch(docs: DataFrame, path: str, batch: int, key: str, text: str, gon
     bits = _alive(old, _deleted(spark, path, state)).join(out, "key", "left_semi").groupBy("origin", F.expr("bitmap_bucket_number(doc)").alias("chunk"))
     bits = bits.agg(F.expr("bitmap_construct_agg(bitmap_bit_position(doc))").alias("bits"), F.count("*").alias("n"), F.sum("length").alias("length"))
     levels.write(bits, path, "deleted", number)
-    written = spark.read.schema("n long, length long").parquet(f"{path}/deleted/folder-{number}")
+    written = spark.read.schema("n long, length long").parquet(f"{path}/deleted/folder={number}")
     lost, less = written.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("length"), F.lit(0))).first()
     own = state["own"] or {"n": 0, "length": 0, "deleted": 0, "key": kind}
     own = {**own, "batch": batch, "n": own["n"] + n - lost, "length": own["length"] + length - less, "deleted": own["deleted"] + lost}
@@ -140,7 +142,7 @@ def _merge(spark: SparkSession, path: str, state: dict, level: int, numbers: lis
     inside = levels.read(spark, path, "postings", state, schema, numbers).where("term = ''").select("origin").distinct()
     others = levels.read(spark, path, "deleted", state, _DELETED, numbers).join(F.broadcast(inside), "origin", "left_anti")  # a row a batch
     levels.write(others.groupBy("origin", "chunk").agg(F.expr("bitmap_or_agg(bits)").alias("bits")), path, "deleted", number)
-    held = spark.read.schema(_DELETED).parquet(f"{path}/deleted/folder-{number}")
+    held = spark.read.schema(_DELETED).parquet(f"{path}/deleted/folder={number}")
     rest = [n for n, _ in state["folders"] if n not in numbers]
     left = held.unionByName(levels.read(spark, path, "deleted", state, _DELETED, rest)).agg(F.coalesce(F.sum(F.expr("bitmap_count(bits)")), F.lit(0))).first()[0]
     return levels.commit(spark, path, levels.merged(state, numbers, level, number, {**state["own"], "deleted": int(left)}))

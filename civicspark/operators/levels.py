@@ -74,8 +74,9 @@ def read(spark: SparkSession, path: str, part: str, state: dict[str, Any], schem
     numbers = [n for n, _ in state["folders"]] if numbers is None else numbers
     if not numbers:
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(*[f"{path}/{part}/folder-{n}" for n in numbers])
+    return spark.read.option("basePath", f"{path}/{part}").schema(schema).parquet(*[f"{path}/{part}/folder={n}" for n in numbers]).drop("folder")
 
 
-def write(rows: DataFrame, path: str, part: str, number: int) -> None:
-    rows.write.mode("overwrite").parquet(f"{path}/{part}/folder-{number}")
+def write(rows: DataFrame, path: str, part: str, number: int, by: str | None = None) -> None:
+    out = rows.write.mode("overwrite")
+    (out.partitionBy(by) if by else out).parquet(f"{path}/{part}/folder={number}")

@@ -19,7 +19,7 @@ def stamp(spark: SparkSession, path: str) -> str:
 def documents_index(spark: SparkSession, sf_dir: str) -> str:
     """The folder of the keyword index of the documents, made at the first call."""
     source = f"{sf_dir}/documents.parquet"
-    path = f"{shared_folder(spark)}/keyword-index/{stamp(spark, source)}"
+    path = f"{shared_folder(spark)}/keyword-index/v{keyword_index.LAYOUT}/{stamp(spark, source)}"
     if levels.manifest(spark, path)["version"] < 0:
         docs = spark.read.parquet(source).where("doc_id is not null").select("doc_id", "text")
         keyword_index.write_batch(docs, path, 0, "doc_id", "text", ranges=max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))))

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from civicspark.operators import curation, keyword_index, retrieval
+from civicspark.operators import curation, keyword_index, relinking, retrieval
 from civicspark.operators.vectors import nearest_of_each
 from civicspark.plans.catalogue import _recalled, query, table
 from civicspark.plans.more import QUERIES, SQL
@@ -143,3 +143,20 @@ def document_cells(spark, sf_dir):
     held = _document_files(spark, sf_dir)
     cells = files.read_csv(held.where("curator = 'csv'")).unionByName(files.read_envelope(held.where("curator = 'datastore'")).where("row_no >= 0"))
     return files.table_rows(cells).select("path", "name", "cell")
+
+
+# --- links under changes
+
+@query("""WITH att AS (SELECT DISTINCT l_orderkey AS dataset, l_partkey AS part FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_orderstatus <> 'O'),
+ok AS (SELECT * FROM att WHERE part IN (SELECT part FROM att GROUP BY part HAVING count(*) <= 15))
+SELECT 'tag:' || x.part AS via, count(*) AS links, CAST(sum(x.dataset) AS BIGINT) AS first, CAST(sum(y.dataset) AS BIGINT) AS second FROM ok x JOIN ok y ON x.part = y.part AND x.dataset < y.dataset GROUP BY x.part""")
+def links_after_changes(spark, sf_dir):
+    """Links after three batches (half of the items, the rest, the orders that are taken out again) are those of what is attached then; many entities become hubs in between."""
+    path = f"{shared_folder(spark)}/links/{uuid.uuid4().hex}"
+    items = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("dataset"), F.concat(F.lit("tag:"), F.col("l_partkey").cast("string")).alias("entity"), F.lit("tag").alias("kind"), "l_linenumber")
+    gone = items.join(table(spark, sf_dir, "orders").where("o_orderstatus = 'O'"), F.expr("dataset = o_orderkey"), "left_semi")
+    batches = [items.where("l_linenumber < 3"), items, gone]
+    for number, rows in enumerate(batches):
+        relinking.apply_changes(rows.select("dataset", "entity", "kind", F.lit(number < 2).alias("present")), path, number, buckets=16, fan=2, fanout=15)
+    links = relinking.current_links(spark, path)
+    return links.groupBy("via").agg(F.count("*").alias("links"), F.sum("a").alias("first"), F.sum("b").alias("second"))
