@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from civicspark.operators import curation, keyword_index, relinking, retrieval
@@ -12,7 +13,7 @@ from civicspark.plans.catalogue import _recalled, query, table
 from civicspark.plans.more import QUERIES, SQL
 from civicspark.plans.stored import documents_index
 from civicspark.session import shared_folder
-from civicspark.sources import files
+from civicspark.sources import curated, files
 
 __all__ = ["QUERIES", "SQL"]
 
@@ -160,3 +161,42 @@ def links_after_changes(spark, sf_dir):
         relinking.apply_changes(rows.select("dataset", "entity", "kind", F.lit(number < 2).alias("present")), path, number, buckets=16, fan=2, fanout=15)
     links = relinking.current_links(spark, path)
     return links.groupBy("via").agg(F.count("*").alias("links"), F.sum("a").alias("first"), F.sum("b").alias("second"))
+
+
+# --- curated files, written and read back by pages
+
+def _order_cells(spark, sf_dir):
+    """Curated cells: each customer's orders as the rows of a sheet."""
+    orders = table(spark, sf_dir, "orders")
+    place = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1
+    cells = F.array(*[F.struct(F.lit(n).alias("name"), F.col(c).cast("string").alias("cell")) for n, c in (("key", "o_orderkey"), ("status", "o_orderstatus"), ("date", "o_orderdate"))])
+    rows = orders.withColumn("row_no", place).select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("path"), F.lit("sheet").alias("sheet"), "row_no", F.explode(cells).alias("x"))
+    return rows.select("path", "sheet", "row_no", "x.*")
+
+
+_ORDERS = """r AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS position, count(*) OVER (PARTITION BY o_custkey) AS total FROM orders)"""
+
+
+@query(f"""WITH {_ORDERS} SELECT 'c' || o_custkey AS resource, position, o_orderkey AS key, o_orderstatus AS status, total, o_custkey % 7 + 5 < total AS truncated FROM r
+WHERE position >= o_custkey % 7 AND position < o_custkey % 7 + 5""")
+def curated_pages(spark, sf_dir):
+    """All orders written as curated files by the sink, then a page of five rows of every customer's, each from the parts that hold it."""
+    path = f"{shared_folder(spark)}/curated/{uuid.uuid4().hex}"
+    cells = _order_cells(spark, sf_dir)
+    curated.write_curated(curated.table_values(cells), path, 0, part_rows=4)
+    asked = table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("resource"), (F.col("c_custkey") % 7).alias("offset"), F.lit(5).alias("limit"))
+    row = F.from_json("value", "key string, status string, date string")
+    out = curated.pages(spark, path, asked).withColumn("row", row)
+    return out.select("resource", "position", F.col("row.key").cast("long").alias("key"), F.col("row.status").alias("status"), "total", "truncated")
+
+
+@query("SELECT page_id, sha256(html) AS sha256, CAST(octet_length(encode(html)) AS BIGINT) AS bytes, true AS there FROM pages WHERE html IS NOT NULL")
+def blobs_written(spark, sf_dir):
+    """Every page's bytes as a blob under its hash, written twice over; each is there once and whole."""
+    path = f"{shared_folder(spark)}/blobs/{uuid.uuid4().hex}"
+    rows = table(spark, sf_dir, "pages").where("html is not null").select(F.col("page_id").cast("string").alias("path"), F.col("html").cast("binary").alias("content"))
+    curated.write_blobs(rows, path, "html")
+    named = curated.write_blobs(rows, path, "html")
+    held = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{path}/raw").select(F.sha2("content", 256).alias("sha256"), "length")
+    out = named.join(held, "sha256", "left")
+    return out.select(F.col("path").cast("long").alias("page_id"), "sha256", "bytes", (F.col("bytes") == F.col("length")).alias("there"))

@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import itertools
+import json
+import os
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from civicspark.operators import levels, linking, relinking
+from civicspark.sources import curated
 
 
 def brute_links(held, kinds, fanout):
@@ -51,3 +56,64 @@ def test_a_change_reads_its_buckets_alone(spark, tmp_path):
     one = rows.where(rows.bucket.isin([bucket]))
     plan = one._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(bucket" in plan and one.select(F.input_file_name()).distinct().count() == 1
+
+
+def test_pages_of_written_files_equal_slices(spark, tmp_path):
+    path = str(tmp_path / "store")
+    sizes = {"a": 25, "b": 3, "c/d": 7}
+    values = {r: [{"id": str(k), "x": None if k % 3 else f"é \\n {k}"} for k in range(n)] for r, n in sizes.items()}
+    cells = [(r, s, k, n, v) for r, rows in values.items() for s in ("", "s2") if s == "" or r == "b" for k, row in enumerate(rows) for n, v in row.items()]
+    cells = spark.createDataFrame(cells, "path string, sheet string, row_no int, name string, cell string").repartition(3)
+    docs = [("j", "json", json.dumps([{"k": i} for i in range(11)])), ("o", "json", '{\n "k": 1}'), ("x", "xml", "<a>\n</a>"), ("t", "text", ""), ("l", "json", "[]")]
+    docs = spark.createDataFrame(docs, "path string, kind string, body string")
+    curated.write_curated(curated.table_values(cells).unionByName(curated.document_values(docs)), path, 0, part_rows=4)
+    names = {r: spark.range(1).select(curated.fx.safe_segment(F.lit(r))).first()[0] for r in [*sizes, *"joxtl", "none"]}
+    asked = [(r, None, o, n) for r in ("a", "b", "c/d", "none") for o, n in ((0, 100), (0, 4), (3, 5), (24, 1), (24, 9), (99, 2), (-5, 0))] + [("j", None, 3, 4), ("o", None, 0, 9), ("x", None, 0, 9), ("t", None, 0, 9), ("b", "s2", 1, 1)]
+    frame = spark.createDataFrame([(names[r], s, o, n) for r, s, o, n in asked], "resource string, sheet string, offset int, limit int")
+    out = {}
+    for r in curated.pages(spark, path, frame).collect():
+        out.setdefault((r.resource, r.sheet, r.offset, r.limit), []).append((r.position, r.value, r.total, r.truncated))
+    for r, sheet, offset, limit in asked:
+        o, n = max(offset, 0), min(max(limit, 1), 1000)
+        found = sorted(out.pop((names[r], sheet or "", o, n), []))
+        if r in sizes:
+            expected = [(k, row, sizes[r], o + n < sizes[r]) for k, row in enumerate(values[r])][o : o + n]
+            assert [(k, json.loads(v), t, x) for k, v, t, x in found] == expected, (r, o, n)
+        elif r == "j":
+            assert [(k, json.loads(v), t, x) for k, v, t, x in found] == [(k, {"k": k}, 11, True) for k in range(3, 7)]
+        else:
+            assert found == {"o": [(0, '{\n "k": 1}', 1, False)], "x": [(0, "<a>\n</a>", 0, False)], "t": [(0, "", 0, False)], "none": []}[r]
+    assert not out
+    # a page opens the parts that hold it
+    parts = curated.asked_parts(spark, path, spark.createDataFrame([("a", 9, 4)], "resource string, offset int, limit int")).collect()
+    assert sorted((r.begin, r.skip, r.take) for r in parts) == [(8, 1, 3), (12, 0, 1)]
+    schema = curated.schemas(spark, path, spark.createDataFrame([("b",)], "resource string")).collect()
+    assert sorted((r.sheet, json.loads(r.schema)["columns"], json.loads(r.schema)["rows"]) for r in schema) == [("", ["id", "x"], 3), ("s2", ["id", "x"], 3)]
+    # written again, a resource has its new rows alone; others stay; merges change nothing
+    for batch in range(1, 6):
+        new = spark.createDataFrame([("a", "", 0, "id", str(batch))], "path string, sheet string, row_no int, name string, cell string")
+        curated.write_curated(curated.table_values(new), path, batch, fan=3)
+    curated.write_curated(curated.table_values(cells), path, 5)
+    asked = spark.createDataFrame([("a",), ("b",)], "resource string")
+    assert sorted((r.resource, r.value, r.total) for r in curated.pages(spark, path, asked).collect()) == sorted([("a", '{"id":"5"}', 1)] + [("b", json.dumps(v, ensure_ascii=False, separators=(",", ":")), 3) for v in values["b"]])
+
+
+def test_a_failed_task_leaves_nothing(spark, tmp_path):
+    path = str(tmp_path / "store")
+    spark.dataSource.register(curated.CuratedSink)
+    rows = spark.range(0, 40, 1, 4).select(F.lit("r").alias("resource"), F.lit("").alias("sheet"), F.lit("tabular").alias("kind"), F.col("id").alias("row_no"), F.when(F.col("id") != 25, F.col("id").cast("string")).alias("value"))
+    with pytest.raises(Exception):
+        rows.write.format("civic_curated").mode("append").option("path", path).save()
+    left = [f for d, _, names in os.walk(path) for f in names]
+    assert not [f for f in left if f == "commit"] and levels.manifest(spark, path)["version"] < 0
+    assert curated.pages(spark, path, spark.createDataFrame([("r",)], "resource string")).count() == 0
+    assert not [f for f in left if f.startswith("part-") and "-00000002" in f]
+
+
+def test_blobs_are_written_once(spark, tmp_path):
+    rows = spark.createDataFrame([("a", bytearray(b"x")), ("b", bytearray(b"x")), ("c", bytearray(b""))], "path string, content binary")
+    out = curated.write_blobs(rows, str(tmp_path)).collect()
+    before = {f: os.stat(tmp_path / f).st_mtime_ns for f in {r.file for r in out}}
+    assert len(before) == 2 and {r.path: r.bytes for r in out} == {"a": 1, "b": 1, "c": 0}
+    curated.write_blobs(rows, str(tmp_path))
+    assert {f: os.stat(tmp_path / f).st_mtime_ns for f in before} == before and os.listdir(tmp_path / "aside") == []
