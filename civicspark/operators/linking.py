@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import ahocorasick
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from civicspark.functions.text import MONTHS, date_value
+from civicspark.operators.names import names_in_texts
 
 #: How datasets that share an entity are linked, by the entity's kind, and how surely.
 LINK_KINDS = {
@@ -49,48 +46,17 @@ def either_side(links_: DataFrame) -> DataFrame:
     return links_.select(F.col("a").alias("dataset"), F.col("b").alias("other"), *rest).unionByName(links_.select(F.col("b").alias("dataset"), F.col("a").alias("other"), *rest))
 
 
-def gazetteer(docs: DataFrame, key: str, text: Column, names: DataFrame, block: int = 100_000) -> DataFrame:
+def gazetteer(docs: DataFrame, key: str, text: Column, names: DataFrame) -> DataFrame:
     """(key, entity, pattern, match_type): a name anywhere in a text, once per entity by its longest name.
 
-    names: (entity, name, match_type).  Texts are read by an automaton of all names
-    at once; names go to the tasks in blocks of at most `block`, each a pass over the
-    texts, so a longer list means more passes, not a larger broadcast.
+    names: (entity, name, match_type), as many as there are: see `names`.
     """
-    spark = docs.sparkSession
     patterns = names.select("entity", F.lower("name").alias("pattern"), "match_type").where("pattern <> ''").distinct()
-    rows = docs.select(key, F.lower(text).alias("_text"))
-    kind = dict(docs.dtypes)[key]
-    schema = f"`{key}` {kind}, entity {dict(names.dtypes)['entity']}, pattern string, match_type string"
-    out, held = spark.createDataFrame([], schema), []
-
-    def found(part: list) -> DataFrame:
-        shared = spark.sparkContext.broadcast([tuple(x) for x in part])
-        return rows.mapInPandas(_finder(shared, key), schema)
-
-    for name in patterns.toLocalIterator():
-        held.append(name)
-        if len(held) == block:
-            out, held = out.unionByName(found(held)), []
-    if held:
-        out = out.unionByName(found(held))
+    out = names_in_texts(docs, key, text, patterns).join(patterns, "pattern")
     best = F.max_by(F.struct("pattern", "match_type"), F.struct(F.length("pattern"), F.col("match_type") == "canonical", F.col("pattern")))
     return out.groupBy(key, "entity").agg(best.alias("b")).select(key, "entity", "b.pattern", "b.match_type")
 
 
-def _finder(shared, key: str):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        automaton = ahocorasick.Automaton()
-        for entity, pattern, match in shared.value:
-            automaton.get(pattern, None) or automaton.add_word(pattern, [])
-            automaton.get(pattern).append((entity, pattern, match))
-        automaton.make_automaton()
-        for frame in frames:
-            hits = [(k, *name) for k, text in zip(frame[key], frame["_text"], strict=True) for name in {x for _, own in automaton.iter(text or "") for x in own}]
-            yield pd.DataFrame(hits, columns=[key, "entity", "pattern", "match_type"])
-
-    return run
-
-
 def subjects(docs: DataFrame, key: str, text: Column) -> DataFrame:
     low = F.lower(text)
     found = [F.when(low.rlike("|".join(words)), F.struct(F.lit(i).alias("entity"), F.lit(c).alias("confidence"))) for i, words, c in SUBJECTS]

@@ -174,3 +174,21 @@ def test_names_told_apart(spark):
 def test_histogram_bounds_are_inclusive(spark):
     rows = spark.createDataFrame([(1.0,), (2.0,), (9.0,)], "v double")
     assert [(r.le, r.n) for r in metering.cumulative_histogram(rows, "v", [1, 2]).orderBy("place").collect()] == [("1", 1), ("2", 2), ("+Inf", 3)]
+
+
+def test_names_of_every_length_equal_contains(spark):
+    import random
+
+    from civicspark.operators.names import names_in_texts
+
+    rng = random.Random(6)
+    letters = "ab ж數é"
+    names = {"".join(rng.choices(letters, k=rng.randint(1, 14))) for _ in range(300)} | {"a", "ж", "aaaaaaaa", "aaaaaaaaa", "a" * 40}
+    texts = [(i, "".join(rng.choices(letters.upper() + letters, k=rng.choice([0, 1, 7, 8, 9, 60, 400])))) for i in range(60)]
+    texts += [(100, None), (101, ""), (102, "A" * 50), (None, "AB ж"), (102, "x"), (103, "a" * 39 + "b" + "é" * 30)]
+    frame = spark.createDataFrame(texts, "id long, t string").repartition(4)
+    out = names_in_texts(frame, "id", F.col("t"), spark.createDataFrame([(n,) for n in names] + [("",), (None,)], "pattern string"))
+    expected = {(i, n) for i, t in texts for n in names if n in (t or "").lower()}
+    rows = [tuple(r) for r in out.collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == expected
+    assert names_in_texts(frame, "id", F.col("t"), spark.createDataFrame([], "pattern string")).count() == 0
