@@ -5,12 +5,13 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator, Sequence
 
-import numpy as np
 import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from civicspark.operators import spatial
+
 #: Letters of the Bulgarian alphabet and yat.
 CYRILLIC = "[абвгдежзийклмнопрстуфхцчшщъьюяѣАБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЬЮЯѢ]"
 
@@ -137,30 +138,10 @@ def exposition(metrics: DataFrame) -> DataFrame:
 def located(points: DataFrame, shapes: Sequence[tuple[str, list[list[tuple[float, float]]]]]) -> DataFrame:
     """The shape that holds each point (id, x, y), else the one of the nearest centre: (id, shape, inside).
 
-    shapes: names with rings; a fixed set of boundaries, like a country's
-    provinces, that every task holds.
+    shapes: names with rings, as a list; for a table of them see `spatial.located`.
     """
-    rings = [(name, [np.array(r, float) for r in parts]) for name, parts in shapes]
-    centres = np.array([np.concatenate(parts).mean(0) for _, parts in rings])
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            x, y = frame.x.to_numpy(float), frame.y.to_numpy(float)
-            found = np.full(len(frame), -1)
-            for k, (_, parts) in enumerate(rings):
-                odd = np.zeros(len(frame), bool)
-                for ring in parts:
-                    (x0, y0), (x1, y1) = ring.T, np.roll(ring, -1, 0).T
-                    crosses = (y0[:, None] > y) != (y1[:, None] > y)
-                    with np.errstate(divide="ignore", invalid="ignore"):
-                        at = (x1 - x0)[:, None] * (y - y0[:, None]) / (y1 - y0)[:, None] + x0[:, None]
-                    odd ^= (crosses & (x < at)).sum(0) % 2 == 1
-                found[odd & (found < 0)] = k
-            near = ((np.stack([x, y], 1)[:, None] - centres) ** 2).sum(2).argmin(1)
-            place = np.where(found >= 0, found, near)
-            yield pd.DataFrame({"id": frame.id, "shape": [rings[p][0] for p in place], "inside": found >= 0})
-
-    return points.select("id", "x", "y").mapInPandas(run, "id long, shape string, inside boolean")
+    rows = [(k, name, [[[float(c) for c in p] for p in ring] for ring in rings]) for k, (name, rings) in enumerate(shapes)]
+    return spatial.located(points, points.sparkSession.createDataFrame(rows, "place long, shape string, rings array<array<array<double>>>"))
 
 
 def rates(answers: DataFrame, kinds: Sequence[str], kind: str) -> DataFrame:

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from civicspark.operators import curation, keyword_index, relinking, retrieval
+from civicspark.operators import curation, keyword_index, relinking, retrieval, spatial
 from civicspark.operators.vectors import nearest_of_each
 from civicspark.plans.catalogue import _recalled, query, table
 from civicspark.plans.more import QUERIES, SQL
@@ -200,3 +200,20 @@ def blobs_written(spark, sf_dir):
     held = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{path}/raw").select(F.sha2("content", 256).alias("sha256"), "length")
     out = named.join(held, "sha256", "left")
     return out.select(F.col("path").cast("long").alias("page_id"), "sha256", "bytes", (F.col("bytes") == F.col("length")).alias("there"))
+
+
+# --- places
+
+@query("""WITH s AS (SELECT c_custkey AS k, c_custkey % 40 AS cx, c_custkey // 40 AS cy FROM customer),
+p AS (SELECT o_orderkey AS id, ((o_orderkey * 7919) % 43000 + 0.5) / 1000 - 1 AS x, ((o_orderkey * 104729) % 27000 + 0.5) / 1000 - 1 AS y FROM orders),
+h AS (SELECT id, min(k) AS k FROM p JOIN s ON cx = floor(x) AND cy = floor(y) AND x - cx < 0.9 AND y - cy < 0.9 AND NOT (x - cx >= 0.3 AND x - cx < 0.6 AND y - cy >= 0.3 AND y - cy < 0.6) GROUP BY id),
+n AS (SELECT id, arg_min(k, struct_pack(d := (x - (cx + 0.45)) ** 2 + (y - (cy + 0.45)) ** 2, k := k)) AS k FROM p ANTI JOIN h USING (id), s GROUP BY id)
+SELECT id, 'c' || k AS shape, true AS inside FROM h UNION ALL SELECT id, 'c' || k, false FROM n""")
+def points_in_shapes(spark, sf_dir):
+    """Each customer's square with a hole, as a table of shapes; orders are points, within squares, in holes, between and far outside."""
+    x, y = (F.col("c_custkey") % 40).cast("double"), F.floor(F.col("c_custkey") / 40).cast("double")
+    ring = lambda a, b: F.array(*[F.array(x + p, y + q) for p, q in ((a, a), (b, a), (b, b), (a, b))])
+    shapes = table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("shape"), F.col("c_custkey").alias("place"), F.array(ring(0.0, 0.9), ring(0.3, 0.6)).alias("rings"))
+    key = F.col("o_orderkey")
+    points = table(spark, sf_dir, "orders").select(key.alias("id"), (((key * 7919) % 43000 + 0.5) / 1000 - 1).alias("x"), (((key * 104729) % 27000 + 0.5) / 1000 - 1).alias("y"))
+    return spatial.located(points, shapes)

@@ -192,3 +192,40 @@ def test_names_of_every_length_equal_contains(spark):
     rows = [tuple(r) for r in out.collect()]
     assert len(rows) == len(set(rows)) and set(rows) == expected
     assert names_in_texts(frame, "id", F.col("t"), spark.createDataFrame([], "pattern string")).count() == 0
+
+
+def test_points_in_shapes_equal_brute_force(spark):
+    """Stars with many corners, holes, overlaps, lines along cells' edges, points on corners and far away; cells of several sizes."""
+    import math
+    import random
+
+    import numpy as np
+
+    from civicspark.operators import spatial
+
+    rng = random.Random(9)
+    shapes = []
+    for k in range(14):
+        cx, cy, n = rng.uniform(-5, 5), rng.uniform(-5, 5), rng.randint(3, 40)
+        star = [[cx + rng.uniform(0.3, 3) * math.cos(2 * math.pi * i / n), cy + rng.uniform(0.3, 3) * math.sin(2 * math.pi * i / n)] for i in range(n)]
+        shapes.append((f"s{k}", [star] + [[[cx - 0.1, cy - 0.1], [cx + 0.1, cy - 0.1], [cx, cy + 0.2]]] * (k % 2)))
+    shapes += [("box", [[[0.0, 0.0], [4.0, 0.0], [4.0, 4.0], [0.0, 4.0]], [[1.0, 1.0], [2.0, 1.0], [2.0, 2.0], [1.0, 2.0]]]), ("thin", [[[6.0, -6.0], [6.0, 6.0], [6.001, 6.0], [6.001, -6.0]]])]
+    points = [(i, rng.uniform(-7, 7), rng.uniform(-7, 7)) for i in range(400)] + [(1000 + i, float(rng.randint(-1, 5)), rng.choice([0.5, 1.5, 3.5])) for i in range(40)]
+    points += [(2000, 1e6, -1e6), (2001, 6.0005, 0.0), (2002, None, 1.0), (2002, 0.5, 0.5), (None, 0.5, 0.5), (2003, float("nan"), 0.0)]
+    edges = [spatial.edges_of(r) for _, r in shapes]
+    centres = np.array([np.concatenate([np.array(r) for r in rings]).mean(0) for _, rings in shapes])
+    expected = []
+    for i, x, y in points:
+        if x is None or x != x:
+            expected.append((i, None, False))
+            continue
+        inside = [k for k, e in enumerate(edges) if spatial.crossed(e, np.array([x]), np.array([y]))[0]]
+        near = int(((centres - [x, y]) ** 2).sum(1).argmin())
+        expected.append((i, shapes[inside[0] if inside else near][0], bool(inside)))
+    frame = spark.createDataFrame(points, "id int, x double, y double").repartition(3)
+    table = spark.createDataFrame([(k, s, r) for k, (s, r) in enumerate(shapes)], "place long, shape string, rings array<array<array<double>>>").repartition(3)
+    key = lambda r: (r[0] is None, r[0] or 0, str(r[1]))
+    for cell in (None, 0.37, 1.0, 50.0):
+        out = sorted((tuple(r) for r in spatial.located(frame, table, cell).collect()), key=key)
+        assert out == sorted(expected, key=key), cell
+    assert {r["shape"] for r in spatial.located(frame, table.where("false")).collect()} == {None}
