@@ -11,8 +11,9 @@ from pyspark.sql import SparkSession
 
 
 def session(name: str = "civicspark", **settings: str) -> SparkSession:
-    """A session with adaptive plans and UTC time; settings override with dots written as two underscores."""
+    """A session with adaptive plans, UTC time and a state store with timers; settings override with dots written as two underscores."""
     builder = SparkSession.builder.appName(name).config("spark.sql.adaptive.enabled", "true").config("spark.sql.session.timeZone", "UTC")
+    builder = builder.config("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     for key, value in settings.items():
         builder = builder.config(key.replace("__", "."), value)
     return builder.getOrCreate()

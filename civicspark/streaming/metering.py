@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 
 def by_window(events: DataFrame, key: str, at: str, value: str, width: str, late: str | None = None) -> DataFrame:
@@ -41,22 +41,53 @@ def _rows(key: str, frame: pd.DataFrame, found: list[tuple[bool, float, int]]) -
     return pd.DataFrame({"key": key, "at": frame["at"].to_numpy(), "admitted": [x[0] for x in found], "tokens": [x[1] for x in found], "retry_after": [x[2] for x in found]})
 
 
-def token_bucket(requests: DataFrame, rate: float) -> DataFrame:
-    """Admit requests (key, at) of a stream: a bucket of `rate` tokens a key, filled at `rate` a minute.
+class _Buckets(StatefulProcessor):
+    """A key's tokens and the time of its last request; a timer drops them when the bucket is full again, as a new key's is."""
 
-    Within a micro-batch a key's requests are taken by time; a request from before
-    the last one seen finds no new tokens.
-    """
+    def __init__(self, rate: float):
+        self.rate = rate
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getValueState("bucket", "tokens double, last double")
 
-    def run(key: tuple[str], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(frames).sort_values("at", kind="stable")
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        frame = pd.concat(rows).sort_values("at", kind="stable")
         times = frame["at"].map(pd.Timestamp.timestamp)
-        tokens, last = state.get if state.exists else (rate, float(times.iloc[0]))
-        found, tokens, last = _admit(tokens, last, times, rate)
-        state.update((tokens, last))
+        tokens, last = self.held.get() if self.held.exists() else (self.rate, float(times.iloc[0]))
+        found, tokens, last = _admit(tokens, last, times, self.rate)
+        self.held.update((float(tokens), float(last)))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        # `rate` tokens a minute fill a bucket of `rate` within one
+        self.handle.registerTimer(int((last + 60) * 1000) + 1)
         yield _rows(key[0], frame, found)
 
-    return requests.select("key", "at").groupBy("key").applyInPandasWithState(run, _BUCKET, "tokens double, last double", "append", GroupStateTimeout.NoTimeout)
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.held.clear()
+        return iter([])
+
+    def close(self) -> None:
+        pass
+
+
+#: The state store that timers need; the session that starts the stream must name it.
+STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def token_bucket(requests: DataFrame, rate: float, late: str = "10 minutes") -> DataFrame:
+    """Admit requests (key, at) of a stream: a bucket of `rate` tokens a key, filled at `rate` a minute.
+
+    Within a micro-batch a key's requests are taken by time; a request from before
+    the last one seen finds no new tokens, and one that is later than `late` behind
+    the newest is dropped.  A key without requests for a minute of event time holds
+    no state: its bucket is full, as a new one is.
+    """
+    spark = requests.sparkSession
+    if spark.conf.get(STORE[0]) != STORE[1]:
+        raise ValueError(f"{STORE[0]} must be {STORE[1]}")
+    rows = requests.select("key", "at").withWatermark("at", late).groupBy("key")
+    return rows.transformWithStateInPandas(_Buckets(rate), _BUCKET, "append", "eventTime")
 
 
 def token_bucket_batch(requests: DataFrame, rate: float) -> DataFrame:
