@@ -7,13 +7,13 @@ import uuid
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from civicspark.operators import curation, keyword_index, relinking, retrieval, spatial
+from civicspark.operators import crawl, curation, keyword_index, relinking, retrieval, spatial
 from civicspark.operators.vectors import nearest_of_each
 from civicspark.plans.catalogue import _recalled, query, table
 from civicspark.plans.more import QUERIES, SQL
 from civicspark.plans.stored import documents_index
 from civicspark.session import shared_folder
-from civicspark.sources import curated, files
+from civicspark.sources import curated, files, portal
 
 __all__ = ["QUERIES", "SQL"]
 
@@ -217,3 +217,36 @@ def points_in_shapes(spark, sf_dir):
     key = F.col("o_orderkey")
     points = table(spark, sf_dir, "orders").select(key.alias("id"), (((key * 7919) % 43000 + 0.5) / 1000 - 1).alias("x"), (((key * 104729) % 27000 + 0.5) / 1000 - 1).alias("y"))
     return spatial.located(points, shapes)
+
+
+# --- a portal's pages
+
+def _portal_pages(spark, sf_dir):
+    """A folder with the web pages as a portal's answers, a hundred a page, written by tasks."""
+    path = f"{shared_folder(spark)}/portal/{uuid.uuid4().hex}"
+    spark.dataSource.register(curated.BlobSink)
+    spark.dataSource.register(portal.PortalSource)
+    rows = crawl.numbered(table(spark, sf_dir, "pages").select("page_id", "url"), "page_id", "position")
+    entry = F.struct(F.col("page_id").cast("string").alias("id"), F.col("url").alias("title"), F.array(F.struct(F.lit("web").alias("name"))).alias("tags"))
+    pages = rows.groupBy(F.floor(F.col("position") / 100).alias("page")).agg(F.array_sort(F.collect_list(F.struct("position", entry.alias("e")))).alias("es"))
+    answer = F.to_json(F.struct(F.lit(True).alias("success"), F.struct(F.transform("es", lambda x: x.e).alias("results")).alias("result")))
+    out = pages.select(F.lit("pages").alias("folder"), F.concat(F.lit("page-"), (F.col("page") + 1).cast("string"), F.lit(".json")).alias("name"), answer.cast("binary").alias("content"))
+    out.write.format("civic_blobs").mode("append").option("path", path).save()
+    return f"{path}/pages"
+
+
+@query("SELECT page_id, url AS title, 'web' AS tag FROM pages")
+def portal_datasets(spark, sf_dir):
+    """All pages of a portal that does not say how many there are; a task a page."""
+    held = spark.read.format("civic_portal").options(path=_portal_pages(spark, sf_dir)).load()
+    return held.select(F.col("id").cast("long").alias("page_id"), "title", F.element_at("tags", 1).alias("tag"))
+
+
+@query("SELECT page_id, url AS title FROM pages")
+def portal_stream(spark, sf_dir):
+    """The same as a stream, into a table."""
+    path = _portal_pages(spark, sf_dir)
+    out, stream = f"{path}-rows", spark.readStream.format("civic_portal").options(path=path).load()
+    started = stream.select("id", "title").writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{path}-check").trigger(availableNow=True).start()
+    started.awaitTermination()
+    return spark.read.schema("id string, title string").parquet(out).select(F.col("id").cast("long").alias("page_id"), "title")
