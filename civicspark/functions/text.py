@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -86,9 +89,24 @@ def transliterate(text: Column) -> Column:
     return F.translate(text, letters, "".join(one.values()) + "".join(one.values()).upper())
 
 
-def canonical_name(text: Column) -> Column:
-    """A column's identifier before duplicates are told apart; for names without characters that need decomposing."""
-    name = F.regexp_replace(F.lower(transliterate(text)), r"[^\p{L}\p{N}_]+", "_")
+def decomposed(text: Column) -> Column:
+    """Text with compatible and accented characters taken apart (NFKD); in Python, by batches, as Spark has no such function."""
+
+    @F.pandas_udf("string")
+    def taken_apart(values: pd.Series) -> pd.Series:
+        return values.map(lambda x: None if x is None else unicodedata.normalize("NFKD", x))
+
+    return taken_apart(text)
+
+
+def canonical_name(text: Column, decompose: bool = False) -> Column:
+    """A column's identifier before duplicates are told apart.
+
+    Characters that need decomposing, like accented Latin letters, are read as their
+    base letters only with `decompose`, which goes through Python: for headers, not rows.
+    """
+    latin = decomposed(transliterate(text)) if decompose else transliterate(text)
+    name = F.regexp_replace(F.lower(latin), r"[^\p{L}\p{N}_]+", "_")
     name = F.regexp_replace(F.regexp_replace(name, "^_+|_+$", ""), "__+", "_")
     name = F.when(name.rlike("^[a-z]"), name).otherwise(F.concat(F.lit("c_"), name))
     return F.when(name.rlike("^[a-z][a-z0-9_]*$"), name).otherwise(F.concat(F.lit("c_"), F.regexp_replace(name, "[^a-z0-9_]", "")))
@@ -143,6 +161,36 @@ def is_stale(at: Column, seconds: int, now: Column) -> Column:
     return at.isNull() | (F.unix_seconds(now) - F.unix_seconds(at) > seconds)
 
 
+def iso_text(at: Column) -> Column:
+    """A time as ISO 8601 in UTC with milliseconds."""
+    return F.date_format(F.to_utc_timestamp(at, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+
+
+def diff_seconds(a: Column, b: Column) -> Column:
+    """Seconds from b to a, both ISO 8601 texts, to the millisecond; null where either is none."""
+    millis = lambda x: F.floor(F.unix_micros(x.try_cast("timestamp")) / 1000)
+    return (millis(a) - millis(b)) / 1000
+
+
+def sofia_text(at: Column) -> Column:
+    """A time as day/month/year, hour:minute:second in Sofia."""
+    return F.date_format(F.from_utc_timestamp(F.to_utc_timestamp(at, F.current_timezone()), "Europe/Sofia"), "dd/MM/yyyy, HH:mm:ss")
+
+
+def clamp_int(raw: Column, default: int, most: int) -> Column:
+    """The whole number that a text begins with, `most` at most; `default` where there is none or it is negative."""
+    digits = F.regexp_extract(F.coalesce(raw, F.lit("")), rf"^{BLANK}*(-?)\+?([0-9]+)", 2)
+    minus = F.regexp_extract(F.coalesce(raw, F.lit("")), rf"^{BLANK}*(-?)\+?([0-9]+)", 1)
+    number = F.when(F.length(F.regexp_replace(digits, "^0+", "")) > 18, F.lit(most)).otherwise(F.least(digits.try_cast("long"), F.lit(most)))
+    zero = F.regexp_replace(digits, "^0+", "") == ""
+    return F.when((digits == "") | ((minus == "-") & ~zero), F.lit(default)).otherwise(number).cast("long")
+
+
+def route_class(path: Column) -> Column:
+    """A request path's class."""
+    return F.when(path.startswith("/api/chat"), "chat").when(path.startswith("/api/admin"), "admin").when(path.startswith("/api/"), "data").otherwise("other")
+
+
 def half_up(x: Column) -> Column:
     return F.floor(x + 0.5)
 

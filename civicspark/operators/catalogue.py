@@ -28,6 +28,50 @@ def and_filter(df: DataFrame, dimensions: Mapping[str, Iterable], lifecycle: str
     return df
 
 
+def in_scope(df: DataFrame, key: str, ids: Iterable, dimensions: Mapping[str, Iterable], lifecycle: str | None = None, withdrawn: bool = False) -> DataFrame:
+    """A conversation's scope: the named datasets, if any are, and the catalogue filter; withdrawn ones only if asked for."""
+    if ids := list(ids):
+        df = df.where(F.col(key).isin(ids))
+    return and_filter(df, dimensions, None if withdrawn else lifecycle)
+
+
+def pointers(views: DataFrame) -> DataFrame:
+    """What a list shows of datasets (views): names, publisher, tags, freshness, places, link and a score if there is one."""
+    publisher = F.when(F.col("publisher").isNotNull(), F.struct(F.col("publisher.id").alias("id"), F.col("publisher.title").alias("title")))
+    score = F.col("score") if "score" in views.columns else F.lit(None).cast("double")
+    places = F.filter(F.col("entities.entity"), lambda e: e.startswith("geo:"))
+    return views.select("dataset", "title", "title_en", publisher.alias("publisher"), "tags", "stale", places.alias("places"), score.alias("score"))
+
+
+def details(views: DataFrame, attached: DataFrame, links: DataFrame, resources: DataFrame) -> DataFrame:
+    """Datasets with their resources, entities (surest first) and links from either side, each as a list in a fixed order."""
+    lists = {
+        "entities": attached.groupBy("dataset").agg(F.array_sort(F.collect_list(F.struct((-F.col("confidence")).alias("order"), "entity", "confidence"))).alias("entities")),
+        "links": links.groupBy("dataset").agg(F.array_sort(F.collect_list(F.struct("other", "via", "confidence"))).alias("links")),
+        "resources": resources.groupBy("dataset").agg(F.array_sort(F.collect_list(F.struct("resource", "kind"))).alias("resources")),
+    }
+    out = views.drop(*lists)
+    for name, rows in lists.items():
+        out = out.join(rows, "dataset", "left")
+    return out.withColumn("entities", F.transform("entities", lambda e: F.struct(e.entity.alias("entity"), e.confidence.alias("confidence"))))
+
+
+def entry_projection(hits: DataFrame, datasets: DataFrame, titles: DataFrame, publishers: DataFrame, key: str, limit: int) -> DataFrame:
+    """The best `limit` hits (key, score, rank) with names, publisher and freshness; those whose dataset is gone are dropped after the limit.
+
+    datasets: (key, title, publisher, synced); titles: (subject, id, text, translator),
+    of which the first translator's stands for a dataset (dataset_title) and for a
+    publisher (entity_label, its id after org:); publishers: (publisher, name).
+    """
+    best = hits.orderBy("rank", key).limit(limit)
+    first = titles.groupBy("subject", "id").agg(F.min_by(F.struct("text", "translator"), "translator").alias("t")).select("subject", "id", "t.*")
+    of = lambda kind, column: first.where(F.col("subject") == kind).select(F.col("id").alias(f"_{column}"), F.col("text").alias(column))
+    rows = best.join(datasets, key).join(of("dataset_title", "title_en"), F.col(key).cast("string") == F.col("_title_en"), "left").join(publishers, "publisher", "left")
+    rows = rows.join(of("entity_label", "publisher_en"), F.concat(F.lit("org:"), F.col("publisher").cast("string")) == F.col("_publisher_en"), "left")
+    named = F.when(F.col("name").isNotNull(), F.col("publisher"))
+    return rows.select(key, "score", "rank", "title", "title_en", named.alias("publisher"), "name", F.when(F.col("name").isNotNull(), F.col("publisher_en")).alias("publisher_en"), "synced")
+
+
 def or_filter(df: DataFrame, dimensions: Mapping[str, Iterable]) -> DataFrame:
     """Crawl scope: any dimension may match; an empty scope keeps all."""
     tests = []

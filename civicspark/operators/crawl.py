@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from civicspark.functions.text import trimmed
+
 
 def withdrawn(active: DataFrame, observed: DataFrame, key: str) -> DataFrame:
     return active.join(observed, key, "left_anti")
@@ -156,3 +158,26 @@ def scope_hash(dimensions: dict[str, Sequence[str]], version: str = "v1") -> Col
         return F.sha2(F.lit('{"all":true}'), 256)
     lists = [F.sort_array(F.array_distinct(F.transform(F.array(*map(F.lit, v)), lambda x: F.lower(F.trim(x))))).alias(k) for k, v in own.items()]
     return F.sha2(F.to_json(F.struct(F.lit(version).alias("version"), *lists)), 256)
+
+
+#: A scope's lists in their order, and the version of what a scope means.
+SCOPE_LISTS, SCOPE_VERSION = ("publishers", "categories", "tags", "datasetIds"), "v2-egov-scope-fidelity"
+
+
+def scope_json(lists: Mapping[str, Column]) -> Column:
+    """The canonical scope of each row as JSON text: trimmed, small letters, in order, once each; without any value {"all":true}."""
+    clean = {}
+    for name in SCOPE_LISTS:
+        values = F.coalesce(lists[name], F.array().cast("array<string>")) if name in lists else F.array().cast("array<string>")
+        clean[name] = F.array_sort(F.array_distinct(F.filter(F.transform(values, lambda x: F.lower(trimmed(x))), lambda x: x != "")))
+    some = F.lit(False)
+    for values in clean.values():
+        some = some | (F.size(values) > 0)
+    return F.when(some, F.to_json(F.struct(*[v.alias(n) for n, v in clean.items()]))).otherwise('{"all":true}')
+
+
+def scope_hashes(lists: Mapping[str, Column], version: str = SCOPE_VERSION) -> Column:
+    """SHA-256 of each row's canonical scope; the version is part of all but the one of everything."""
+    text = scope_json(lists)
+    versioned = F.concat(F.lit(f'{{"v":"{version}",'), F.substring(text, F.lit(2), F.length(text)))
+    return F.sha2(F.when(text == '{"all":true}', text).otherwise(versioned), 256)

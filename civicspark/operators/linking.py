@@ -81,6 +81,13 @@ def relations(entities: DataFrame, parents: DataFrame) -> DataFrame:
     return own.select(F.col("child").alias("subject"), F.lit("part_of").alias("predicate"), F.col("parent").alias("object"), F.lit(1.0).alias("confidence"))
 
 
+def with_parents(entities: DataFrame, relations_: DataFrame, parents: DataFrame) -> DataFrame:
+    """Entities (id, kind, label) and those parents (id, label) of relations that are none yet, as units."""
+    wanted = relations_.select(F.col("object").alias("id")).distinct()
+    new = parents.select("id", F.lit("geographic_unit").alias("kind"), "label").join(wanted, "id", "left_semi").dropDuplicates(["id"]).join(entities, "id", "left_anti")
+    return entities.select("id", "kind", "label").unionByName(new)
+
+
 def attached(extracted: DataFrame) -> DataFrame:
     """One row for each (dataset, entity, extractor), the surest."""
     at = Window.partitionBy("dataset", "entity", "extractor").orderBy(F.desc("confidence"))

@@ -24,6 +24,13 @@ def totals_since_reset(users: DataFrame, events: DataFrame, key: str, at: str, r
     return rows.groupBy(key).agg(F.coalesce(F.sum("_value"), F.lit(0)).alias("total"), F.count("_key").alias("events"), F.max("_at").alias("last_at"))
 
 
+def usage_within(members: DataFrame, events: DataFrame, keys: Sequence[str], total: str, cached: str) -> DataFrame:
+    """Each member's use within their tenant, of all time: no reset counts there; numbers that are missing or negative are 0."""
+    clean = lambda c: F.greatest(F.floor(F.coalesce(F.col(c), F.lit(0))), F.lit(0))
+    sums = events.groupBy(*keys).agg(F.sum(clean(total)).alias("used"), F.sum(clean(cached)).alias("cached"))
+    return members.join(sums, list(keys), "left").withColumns({c: F.coalesce(c, F.lit(0)).cast("long") for c in ("used", "cached")})
+
+
 def class_counts(events: DataFrame, key: str, kind: str, classes: Sequence[str]) -> DataFrame:
     """Events of each class by key; `total` is of these classes alone."""
     counts = [F.count_if(F.col(kind) == c).alias(f"n_{c}") for c in classes]

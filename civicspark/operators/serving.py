@@ -116,6 +116,17 @@ def active_membership(users: DataFrame, members: DataFrame, user: str, tenant: s
     return rows.select(user, F.coalesce(F.when(F.col("_valid"), F.col(preferred)), F.col("_oldest")).alias("active"))
 
 
+def numbered_hits(hits: DataFrame, score: str, key: str) -> DataFrame:
+    """Hits of a bounded list with their rank, best first, ties by key."""
+    return hits.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(score), key)))
+
+
+def members_of(members: DataFrame, users: DataFrame, user: str, created: str) -> DataFrame:
+    """Members with their users' columns, and their place in order of joining within each tenant; a membership without a user is none."""
+    at = Window.partitionBy("tenant").orderBy(created, user)
+    return members.join(users, user).withColumn("place", F.row_number().over(at))
+
+
 def allocation(tenants: DataFrame, pool: str, allowance: str) -> DataFrame:
     """Allowances of each pool: how many, their sum (null counts 0), and how many are unset."""
     return tenants.groupBy(pool).agg(F.count("*").alias("members"), F.sum(F.coalesce(allowance, F.lit(0))).alias("allocated"), F.count_if(F.col(allowance).isNull()).alias("unset"))

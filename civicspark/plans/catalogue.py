@@ -324,11 +324,12 @@ def _recalled(vectors: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return asked, hits, hits.join(asked, "query").join(labels, "key").where("its = label").select("query").distinct()
 
 
-@query("""WITH c AS (SELECT n_nationkey, list_transform(range(0, 8), lambda i: CAST(len(list_filter(string_split(n_name, ''), lambda x: x <> '' AND ascii(x) % 8 = i)) AS DOUBLE)) AS v FROM nation)
-SELECT n_nationkey, i AS dim, round(v[i + 1] / sqrt(list_sum(list_transform(v, lambda x: x * x))), 6) AS x FROM (SELECT *, unnest(range(0, 8)) AS i FROM c)""")
+@query("""WITH c AS (SELECT doc_id, unicode(x) % 32 AS dim, count(*) AS n FROM (SELECT doc_id, unnest(string_split(text, '')) AS x FROM documents WHERE text <> '') WHERE x <> '' GROUP BY 1, 2),
+m AS (SELECT doc_id, sqrt(sum(n * n)) AS norm FROM c GROUP BY doc_id)
+SELECT d.doc_id, i AS dim, round(coalesce(n / norm, 0), 5) AS x FROM (SELECT doc_id, unnest(range(32)) AS i FROM documents) d LEFT JOIN c ON c.doc_id = d.doc_id AND c.dim = i LEFT JOIN m ON m.doc_id = d.doc_id""")
 def hash_embedding(spark, sf_dir):
-    rows = table(spark, sf_dir, "nation").select("n_nationkey", F.posexplode(retrieval.hash_embedding(F.col("n_name"), 8)).alias("dim", "x"))
-    return rows.select("n_nationkey", F.col("dim").cast("long").alias("dim"), F.round("x", 6).alias("x"))
+    rows = retrieval.hash_embeddings(table(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", F.posexplode("vector").alias("dim", "x"))
+    return rows.select("doc_id", F.col("dim").cast("long").alias("dim"), F.round(F.col("x").cast("double"), 5).alias("x"))
 
 
 @query("""SELECT doc_id, sha256('title=' || coalesce(source, '') || chr(10) || 'text=' || coalesce(text, '') || chr(10) || 'lang=' || coalesce(lang, '') || chr(10)) AS content_fp FROM documents""")

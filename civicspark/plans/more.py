@@ -206,23 +206,29 @@ def robots_allowed(spark, sf_dir):
     return crawl.allowed(table(spark, sf_dir, "customer").select(F.lit("bot").alias("agent"), F.concat(F.lit("/"), F.col("c_custkey").cast("string")).alias("path")), rules)
 
 
-@query("""SELECT c AS cron, min(t) AS next_fire FROM (VALUES ('*/15 3 * * *', 0), ('30 4 1 * *', 1), ('0 0 * * 1-5', 2), ('5,35 */6 * 3 *', 3)) v(c, k), generate_series(TIMESTAMP '1995-03-31 03:50:00' + INTERVAL 1 MINUTE, TIMESTAMP '1996-03-31 00:00:00', INTERVAL 1 MINUTE) s(t)
-WHERE CASE k WHEN 0 THEN minute(t) % 15 = 0 AND hour(t) = 3 WHEN 1 THEN minute(t) = 30 AND hour(t) = 4 AND day(t) = 1 WHEN 2 THEN minute(t) = 0 AND hour(t) = 0 AND dayofweek(t) BETWEEN 1 AND 5
-ELSE minute(t) IN (5, 35) AND hour(t) % 6 = 0 AND month(t) = 3 END GROUP BY c""")
+@query("""WITH c AS (SELECT c_custkey, c_custkey % 60 AS m, c_custkey % 24 AS h, c_custkey % 7 AS d, c_custkey % 3 AS k FROM customer),
+t AS (SELECT c_custkey, k, d, date_trunc('day', TIMESTAMP '1995-03-31') + to_days(CAST(i AS INTEGER)) + to_hours(CAST(CASE WHEN k = 2 THEN j * 6 ELSE h END AS INTEGER)) + to_minutes(CAST(m AS INTEGER)) AS t
+  FROM c, range(9) r(i), range(4) q(j) WHERE k = 2 OR j = 0)
+SELECT c_custkey, min(t) AS next_fire FROM t WHERE t > TIMESTAMP '1995-03-31 11:50:00' AND (k <> 1 OR dayofweek(t) = d) GROUP BY c_custkey""")
 def cron_next_fire(spark, sf_dir):
-    crons = spark.createDataFrame([(c,) for c in ("*/15 3 * * *", "30 4 1 * *", "0 0 * * 1-5", "5,35 */6 * 3 *")], "cron string")
-    return crawl.next_fires(crons, F.lit("1995-03-31 03:50:00").cast("timestamp")).withColumn("next_fire", F.col("next_fire").cast("timestamp_ntz"))
+    """A schedule for each customer: daily, on a day of the week, or every six hours, at a minute of its own."""
+    key = F.col("c_custkey")
+    part = lambda n: (key % n).cast("string")
+    cron = F.when(key % 3 == 0, F.concat_ws(" ", part(60), part(24), F.lit("* * *"))).when(key % 3 == 1, F.concat_ws(" ", part(60), part(24), F.lit("* *"), part(7))).otherwise(F.concat_ws(" ", part(60), F.lit("*/6 * * *")))
+    crons = table(spark, sf_dir, "customer").select("c_custkey", cron.alias("cron"))
+    fires = crawl.next_fires(crons.select("cron").distinct(), F.lit("1995-03-31 11:50:00").cast("timestamp"), 8)
+    return crons.join(fires, "cron").select("c_custkey", F.col("next_fire").cast("timestamp_ntz").alias("next_fire"))
 
 
-@query("""SELECT r_regionkey, sha256('{"version":"v1","tags":["' || lower(r_name) || '","x"]}') AS hash FROM region""")
+@query("""SELECT c_custkey, sha256(CASE WHEN c_custkey % 5 = 0 THEN '{"all":true}' ELSE '{"v":"v2-egov-scope-fidelity","publishers":["' || lower(c_name) || '"],"categories":[],"tags":[' || (CASE WHEN 'building' < lower(c_mktsegment) THEN '"building","' || lower(c_mktsegment) || '"'
+WHEN 'building' = lower(c_mktsegment) THEN '"building"' ELSE '"' || lower(c_mktsegment) || '","building"' END) || '],"datasetIds":[]}' END) AS hash FROM customer""")
 def scope_hashes(spark, sf_dir):
-    """Scopes are few and known to the driver; a hash does not depend on order or case."""
-    regions = table(spark, sf_dir, "region").collect()
-    out = None
-    for r in regions:
-        one = spark.range(1).select(F.lit(r.r_regionkey).alias("r_regionkey"), crawl.scope_hash({"tags": ["X", f" {r.r_name} ", "x"], "groups": []}).alias("hash"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    """A scope a customer, as columns: neither order, case, blanks nor repeats change a hash."""
+    name, segment = F.col("c_name"), F.col("c_mktsegment")
+    empty = F.col("c_custkey") % 5 == 0
+    lists = {"publishers": F.array(F.concat(F.lit("  "), F.upper(name)), name), "tags": F.array(F.lit("Building "), segment, F.lit(" ")), "categories": F.array(F.lit(" "))}
+    lists = {k: F.when(empty, F.array(F.lit("  "))).otherwise(v) for k, v in lists.items()}
+    return table(spark, sf_dir, "customer").select("c_custkey", crawl.scope_hashes(lists).alias("hash"))
 
 
 # --- enrichment

@@ -3,7 +3,7 @@ from __future__ import annotations
 import pytest
 from conftest import SF, same
 
-from civicspark.plans.stores import QUERIES, SQL
+from civicspark.plans.entries import QUERIES, SQL
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
