@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from civicspark.functions.text import trimmed
+from civicspark.session import kept
 
 
 def withdrawn(active: DataFrame, observed: DataFrame, key: str) -> DataFrame:
@@ -21,7 +22,7 @@ def drift(frozen: DataFrame, now: DataFrame, key: str) -> DataFrame:
 
 def numbered(rows: DataFrame, key: str, position: str) -> DataFrame:
     """Rows with their place in order of a key of their own, from 0: ranges of the key are numbered apart, behind the counts of those before."""
-    parts = rows.repartitionByRange(key).sortWithinPartitions(key).withColumn("_part", F.spark_partition_id()).persist()
+    parts = kept(rows.repartitionByRange(key).sortWithinPartitions(key).withColumn("_part", F.spark_partition_id()))
     counts = parts.groupBy("_part").agg(F.count("*").alias("_k"))  # a row a partition
     before = counts.withColumn("_before", F.coalesce(F.sum("_k").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_k")
     own = F.row_number().over(Window.partitionBy("_part").orderBy(key)) - 1

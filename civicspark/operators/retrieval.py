@@ -56,7 +56,6 @@ def bm25(docs: DataFrame, key: str, text: str, query: str, k1: float = 1.2, b: f
     for phrase in phrases:
         both = both & F.contains(F.col("_low"), F.lit(split_terms(phrase)[0])) & match_phrase(F.col("_low"), phrase)
     rows = docs.select(F.col(key), low.alias("_low")).select(key, F.regexp_count("_low", F.lit(TERM)).alias("_len"), both.alias("_both"), *times)
-    rows = rows.persist()  # small numbers, read for the statistics and for the hits
     stats = rows.agg(F.count("*").alias("_n"), F.avg("_len").alias("_mean"), *[F.count_if(F.col(f"_tf{i}") > 0).alias(f"_df{i}") for i in range(len(asked))])
     hits = rows.where("_both")
     for i in range(len(asked)):

@@ -11,6 +11,7 @@ from civicspark.operators import catalogue as cat
 from civicspark.operators import crawl, linking, metering, serving
 from civicspark.plans.catalogue import query, table
 from civicspark.plans.stores import QUERIES, SQL
+from civicspark.sources import files
 
 __all__ = ["QUERIES", "SQL"]
 
@@ -132,3 +133,42 @@ def parents_ensured(spark, sf_dir):
     entities = node(nation.where("n_nationkey % 3 <> 0 or n_regionkey = 1"), "n:", "nation", "n_nationkey", "n_name").unionByName(node(region.where("r_regionkey = 2"), "r:", "region", "r_regionkey", "r_name"))
     parents = nation.select(F.concat(F.lit("n:"), F.col("n_nationkey").cast("string")).alias("child"), F.concat(F.lit("r:"), F.col("n_regionkey").cast("string")).alias("parent"))
     return linking.with_parents(entities, linking.relations(entities, parents), node(region, "r:", "region", "r_regionkey", "r_name").select("id", "label"))
+
+
+# --- workbooks of many rows
+
+def _order_books(frames):
+    """Workbooks of orders: shared strings, numbers, booleans, gaps, an empty sheet and one without a part."""
+    import io
+    import zipfile
+
+    import pandas as pd
+
+    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
+    for frame in frames:
+        books = []
+        for rows in frame["rows"]:
+            shared = sorted({r["p"] for r in rows} | {"key", "priority", "open"})
+            at = {s: i for i, s in enumerate(shared)}
+            lines = ["<row>" + "".join(f'<c r="{c}1" t="s"><v>{at[s]}</v></c>' for c, s in (("A", "key"), ("B", "priority"), ("D", "open"))) + "</row>"]
+            lines += [f'<row><c r="A{i}"><v>{r["k"]}</v></c><c r="B{i}" t="s"><v>{at[r["p"]]}</v></c><c r="D{i}" t="b"><v>{int(r["o"])}</v></c></row>' for i, r in enumerate(rows, 2)]
+            data = io.BytesIO()
+            with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as z:
+                z.writestr("xl/workbook.xml", f'<workbook {ns}><sheets><sheet name="Orders" r:id="r1"/><sheet name="Empty" r:id="r2"/><sheet name="Gone" r:id="r3"/></sheets></workbook>')
+                z.writestr("xl/_rels/workbook.xml.rels", '<Relationships><Relationship Id="r1" Target="worksheets/sheet1.xml"/><Relationship Id="r2" Target="/xl/worksheets/sheet2.xml"/><Relationship Id="r3" Target="worksheets/sheet3.xml"/></Relationships>')
+                z.writestr("xl/sharedStrings.xml", f"<sst {ns}>{''.join(f'<si><r><t>{s[:2]}</t></r><r><t>{s[2:]}</t></r></si>' for s in shared)}</sst>")
+                z.writestr("xl/worksheets/sheet1.xml", f"<worksheet {ns}><sheetData>{''.join(lines)}</sheetData></worksheet>")
+                z.writestr("xl/worksheets/sheet2.xml", f"<worksheet {ns}><sheetData/></worksheet>")
+            books.append(data.getvalue())
+        yield pd.DataFrame({"key": frame["key"], "content": books})
+
+
+@query("""WITH r AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS row_no FROM orders)
+SELECT 'f' || o_custkey AS path, row_no, 'key' AS name, CAST(o_orderkey AS VARCHAR) AS cell FROM r UNION ALL SELECT 'f' || o_custkey, row_no, 'priority', o_orderpriority FROM r
+UNION ALL SELECT 'f' || o_custkey, row_no, '', NULL FROM r UNION ALL SELECT 'f' || o_custkey, row_no, 'open', CASE WHEN o_orderstatus = 'O' THEN 'true' ELSE 'false' END FROM r""")
+def order_workbooks(spark, sf_dir):
+    """A workbook for each customer with all their orders, made in tasks and read back."""
+    rows = F.array_sort(F.collect_list(F.struct(F.col("o_orderkey").alias("k"), F.col("o_orderpriority").alias("p"), (F.col("o_orderstatus") == "O").alias("o"))))
+    books = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("key")).agg(rows.alias("rows")).mapInPandas(_order_books, "key long, content binary")
+    held = books.select(F.concat(F.lit("f"), F.col("key").cast("string")).alias("path"), F.octet_length("content").cast("long").alias("length"), "content")
+    return files.table_rows(files.read_xlsx(held)).select("path", "row_no", "name", "cell")

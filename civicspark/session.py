@@ -5,9 +5,10 @@ from __future__ import annotations
 import re
 import shutil
 import tempfile
+import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(name: str = "civicspark", **settings: str) -> SparkSession:
@@ -36,3 +37,10 @@ def shared_folder(spark: SparkSession) -> str:
         spark.sparkContext.setCheckpointDir(base)
         spark.conf.set("spark.checkpoint.dir", base)
     return base
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read again: its lineage ends there, and no executor's memory holds it."""
+    path = f"{shared_folder(df.sparkSession)}/kept/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

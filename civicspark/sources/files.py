@@ -84,37 +84,48 @@ def delimited(text: str) -> Iterator[list[str]]:
     """Rows of delimited text: quotes open and close anywhere in a cell, a doubled one inside stands for itself.
 
     The delimiter comes from the first line that is not empty.  One empty last row
-    goes, as does a row whose quotes never close.
+    goes, as does a row whose quotes never close.  Lines without quotes are split as
+    they are; others are joined until their quotes are even, which closes a row.
     """
-    lines = text.replace("\r\n", "\n")
-    mark = delimiter(next((x for x in lines.split("\n") if x), ""))
-    tokens = re.compile(rf'"|\n|{re.escape(mark)}|[^"\n{re.escape(mark)}]+')
+    lines = text.replace("\r\n", "\n").split("\n")
+    mark = delimiter(next((x for x in lines if x), ""))
     held: list[str] | None = None
-    row, cell, quoted, skip = [], [], False, False
-    for found in tokens.finditer(lines + "\n"):
-        part = found[0]
-        if skip:
-            skip = False
-            continue
-        if part == '"':
-            if quoted and lines[found.end() : found.end() + 1] == '"':
-                cell.append('"')
-                skip = True
-            else:
-                quoted = not quoted
-        elif quoted or part not in (mark, "\n"):
-            cell.append(part)
+    pending, quoted = [], 0
+    for line in lines:
+        if not pending and '"' not in line:
+            row = line.split(mark)
         else:
-            row.append("".join(cell))
-            cell = []
-            if part == "\n":
-                if held is not None:
-                    yield held
-                held, row = row, []
+            pending.append(line)
+            quoted ^= line.count('"') & 1
+            if quoted:
+                continue
+            row, pending = _quoted("\n".join(pending), mark), []
+        if held is not None:
+            yield held
+        held = row
     if held is not None and held != [""]:
         yield held
 
 
+def _quoted(line: str, mark: str) -> list[str]:
+    """The cells of one row with quotes: every other stretch between them is quoted; one of no length between two quoted ones is a quote."""
+    row, cell = [], []
+    parts = line.split('"')
+    for i, part in enumerate(parts):
+        if i % 2:
+            cell.append(part)
+        elif 0 < i < len(parts) - 1 and part == "":
+            cell.append('"')
+        else:
+            first, *rest = part.split(mark)
+            cell.append(first)
+            for x in rest:
+                row.append("".join(cell))
+                cell = [x]
+    row.append("".join(cell))
+    return row
+
+
 def _column_number(name: str) -> int:
     n = 0
     for c in name:
