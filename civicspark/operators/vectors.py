@@ -8,7 +8,6 @@ scores) are shuffled and written.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from civicspark.session import shared_folder
+from civicspark.session import work_folder
 
 #: Queries of a pass, about, and vectors that are multiplied with them at once.
 BLOCK, ROWS = 2048, 2048
@@ -90,7 +89,7 @@ def nearest_of_each(vectors: DataFrame, queries: DataFrame, key: str, vector: st
     a query's, or of no length, has the cosine 0.
     """
     spark = vectors.sparkSession
-    folder = f"{shared_folder(spark)}/nearest/{uuid.uuid4().hex}"
+    folder = work_folder(spark, "nearest")
     rows = queries.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("query"), F.col(vector).cast("array<double>").alias("vector"), F.size(vector).alias("size"))
     counts = rows.groupBy("size").agg(F.count("*").alias("n")).collect()  # a row for each length of vectors
     many = F.create_map(*[x for size, n in counts or [(0, 1)] for x in (F.lit(size), F.lit(-(-n // block)))])

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -12,7 +10,7 @@ from civicspark.operators.vectors import nearest_of_each
 from civicspark.plans.catalogue import _recalled, query, table
 from civicspark.plans.more import QUERIES, SQL
 from civicspark.plans.stored import documents_index
-from civicspark.session import shared_folder
+from civicspark.session import work_folder
 from civicspark.sources import curated, files, portal
 
 __all__ = ["QUERIES", "SQL"]
@@ -59,7 +57,7 @@ _CHANGED = r"""changed AS (
 @query(f"WITH {_CHANGED}, {_bm25_sql(['the', 'replaced'], 'changed')}")
 def index_after_changes(spark, sf_dir):
     """An index that came by batches of additions, replacements and removals, merged by levels, equals one of the texts as they are then."""
-    path = f"{shared_folder(spark)}/keyword-index/{uuid.uuid4().hex}"
+    path = work_folder(spark, "keyword-index")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     number = 0
     for part in range(3):
@@ -153,7 +151,7 @@ ok AS (SELECT * FROM att WHERE part IN (SELECT part FROM att GROUP BY part HAVIN
 SELECT 'tag:' || x.part AS via, count(*) AS links, CAST(sum(x.dataset) AS BIGINT) AS first, CAST(sum(y.dataset) AS BIGINT) AS second FROM ok x JOIN ok y ON x.part = y.part AND x.dataset < y.dataset GROUP BY x.part""")
 def links_after_changes(spark, sf_dir):
     """Links after three batches (half of the items, the rest, the orders that are taken out again) are those of what is attached then; many entities become hubs in between."""
-    path = f"{shared_folder(spark)}/links/{uuid.uuid4().hex}"
+    path = work_folder(spark, "links")
     items = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("dataset"), F.concat(F.lit("tag:"), F.col("l_partkey").cast("string")).alias("entity"), F.lit("tag").alias("kind"), "l_linenumber")
     gone = items.join(table(spark, sf_dir, "orders").where("o_orderstatus = 'O'"), F.expr("dataset = o_orderkey"), "left_semi")
     batches = [items.where("l_linenumber < 3"), items, gone]
@@ -181,7 +179,7 @@ _ORDERS = """r AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY
 WHERE position >= o_custkey % 7 AND position < o_custkey % 7 + 5""")
 def curated_pages(spark, sf_dir):
     """All orders written as curated files by the sink, then a page of five rows of every customer's, each from the parts that hold it."""
-    path = f"{shared_folder(spark)}/curated/{uuid.uuid4().hex}"
+    path = work_folder(spark, "curated")
     cells = _order_cells(spark, sf_dir)
     curated.write_curated(curated.table_values(cells), path, 0, part_rows=4)
     asked = table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("resource"), (F.col("c_custkey") % 7).alias("offset"), F.lit(5).alias("limit"))
@@ -193,7 +191,7 @@ def curated_pages(spark, sf_dir):
 @query("SELECT page_id, sha256(html) AS sha256, CAST(octet_length(encode(html)) AS BIGINT) AS bytes, true AS there FROM pages WHERE html IS NOT NULL")
 def blobs_written(spark, sf_dir):
     """Every page's bytes as a blob under its hash, written twice over; each is there once and whole."""
-    path = f"{shared_folder(spark)}/blobs/{uuid.uuid4().hex}"
+    path = work_folder(spark, "blobs")
     rows = table(spark, sf_dir, "pages").where("html is not null").select(F.col("page_id").cast("string").alias("path"), F.col("html").cast("binary").alias("content"))
     curated.write_blobs(rows, path, "html")
     named = curated.write_blobs(rows, path, "html")
@@ -223,7 +221,7 @@ def points_in_shapes(spark, sf_dir):
 
 def _portal_pages(spark, sf_dir):
     """A folder with the web pages as a portal's answers, a hundred a page, written by tasks."""
-    path = f"{shared_folder(spark)}/portal/{uuid.uuid4().hex}"
+    path = work_folder(spark, "portal")
     spark.dataSource.register(curated.BlobSink)
     spark.dataSource.register(portal.PortalSource)
     rows = crawl.numbered(table(spark, sf_dir, "pages").select("page_id", "url"), "page_id", "position")

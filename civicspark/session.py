@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import re
 import shutil
 import tempfile
@@ -39,8 +41,26 @@ def shared_folder(spark: SparkSession) -> str:
     return base
 
 
+_MADE: list[tuple[SparkSession, str]] = []
+
+
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A new folder within the shared one, for what a session makes and nothing reads after it; it goes when the interpreter ends."""
+    path = f"{shared_folder(spark)}/{name}/{uuid.uuid4().hex}"
+    _MADE.append((spark, path))
+    return path
+
+
 def kept(df: DataFrame) -> DataFrame:
-    """df written to the shared folder and read again: its lineage ends there, and no executor's memory holds it."""
-    path = f"{shared_folder(df.sparkSession)}/kept/{uuid.uuid4().hex}"
+    """df written to a work folder and read again: its lineage ends there, and no executor's memory holds it."""
+    path = work_folder(df.sparkSession, "kept")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@atexit.register
+def _clean() -> None:
+    for spark, path in _MADE:
+        with contextlib.suppress(Exception):  # the session may have ended
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
