@@ -22,9 +22,9 @@ document id, then text hash, then line number) has a Jaccard similarity of at le
    applies the length filter, the positional one (what can still be common after the
    word), and one by 64 parity bits: each word flips one, so sets cannot
    differ in fewer words than in bits.
-5. Candidates' words are read again from the texts and the Jaccard similarity is
-   taken exactly: of each line the likeliest candidate first, then the others of
-   lines that it has not settled.
+5. Candidates' words are read again from the texts, with 512 parity bits of each set,
+   which part nearly all pairs that are not similar before their words meet; of the
+   others the Jaccard similarity is taken exactly.
 
 Defined cases: blank lines always stay; a null text has no lines; rows that repeat
 id and text are one document, different texts of one id are several; a null id
@@ -59,7 +59,9 @@ PLACE = ["id", "key", "line"]
 _COUNTS = pa.schema([("bucket", pa.int32()), ("n", pa.int64())])
 _LINES = "a long, parity long, id long, key long, line int, n int, keys array<long>, stars array<long>"
 _LINES_ARROW = pa.schema([("a", pa.int64()), ("parity", pa.int64()), ("id", pa.int64()), ("key", pa.int64()), ("line", pa.int32()), ("n", pa.int32()), ("keys", pa.list_(pa.int64())), ("stars", pa.list_(pa.int64()))])
-_SETS_ARROW = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("line", pa.int32()), ("words", pa.binary())])
+#: Longs of the parity bits that candidates are compared by.
+FLIPS = [f"f{i}" for i in range(8)]
+_SETS_ARROW = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("line", pa.int32()), ("words", pa.binary()), ("n", pa.int32()), *[(f, pa.int64()) for f in FLIPS]])
 _PLACE_ARROW = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("line", pa.int32())])
 
 
@@ -175,7 +177,7 @@ def _lines(shared, percent: int, frequent: int, long: int):
 
 
 def _words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The words of the lines that `lines` names, by hash."""
+    """The words of the lines that `lines` names, by hash, their number and parity bits: each word flips one."""
     for batch, data, offsets in tx.blocks(batches):
         w = tx.words(data, offsets)
         if not len(w.hashes):
@@ -188,7 +190,10 @@ def _words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = np.ascontiguousarray(hashes[_ranges(edges[i], sizes)])
         ends = np.append(0, np.cumsum(8 * sizes)).astype(np.int32)
         binary = pa.Array.from_buffers(pa.binary(), len(i), [None, pa.py_buffer(ends), pa.py_buffer(words)])
-        yield tx.record(_SETS_ARROW, *_names(batch, owner), asked.astype(np.int32), binary)
+        bit = tx.mix(hashes ^ np.uint64(0x2545F4914F6CDD1D)) >> np.uint64(55)
+        flip = np.uint64(1) << (bit & np.uint64(63))
+        flips = [np.bitwise_xor.reduceat(np.where(bit >> np.uint64(6) == k, flip, np.uint64(0)), edges[:-1])[i] for k in range(len(FLIPS))]
+        yield tx.record(_SETS_ARROW, *_names(batch, owner), asked.astype(np.int32), binary, sizes.astype(np.int32), *map(tx.signed, flips))
 
 
 def _similar(percent: int):
@@ -250,36 +255,33 @@ def removed(docs: DataFrame, percent: int, frequent: int = FREQUENT, hot: int =
 
     close = f"""100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) and bit_count(x.parity ^ y.parity) * {100 + percent} <= {100 - percent} * (x.n + y.n)"""
     fits = f"{close} and least(x.n - x.pos, y.n - y.pos) * {100 + percent} >= {percent} * (x.n + y.n)"
+
     def paired(rows: DataFrame) -> DataFrame:
-        """(x_id, ..., y_id, ..., apart) once for each pair of rows (x, y)."""
-        sides = [F.col(f"{side}.{c}").alias(f"{side}_{c}") for side in "xy" for c in PLACE]
-        rows = rows.select(*sides, F.expr("cast(bit_count(x.parity ^ y.parity) / (x.n + y.n) as float)").alias("apart"))
-        return save(rows.groupBy(*rows.columns[:-1]).agg(F.min("apart").alias("apart")))
+        """(x_id, ..., y_id, ...) once for each pair of rows (x, y)."""
+        return save(rows.select(*[F.col(f"{side}.{c}").alias(f"{side}_{c}") for side in "xy" for c in PLACE]).distinct())
 
     def check(pairs: DataFrame) -> DataFrame:
         """The places x of pairs that are similar; the table of pairs is dropped."""
-        sides = pairs.columns[:-1]
         asked = pairs.select(F.explode(F.array(*[F.struct(*[F.col(f"{side}_{c}").alias(c) for c in PLACE]) for side in "xy"])).alias("at"))
         asked = asked.distinct().groupBy(F.col("at.id").alias("own"), F.col("at.key").alias("own_key")).agg(F.collect_list("at.line").alias("lines"))
         asked = save(asked)
-        words = docs.join(sent(asked, "lines"), F.expr("id <=> own and key = own_key")).select("id", "key", "text", "lines").mapInArrow(_words_of, "id long, key long, line int, words binary")
+        columns = f"id long, key long, line int, words binary, n int, {', '.join(f'{f} long' for f in FLIPS)}"
+        words = docs.join(sent(asked, "lines"), F.expr("id <=> own and key = own_key")).select("id", "key", "text", "lines").mapInArrow(_words_of, columns)
         words = save(words.dropDuplicates(PLACE))
         drop(asked)
 
-        def verified(some: DataFrame) -> DataFrame:
-            for side, name in (("x", "one"), ("y", "two")):
-                own = words.select(*[F.col(c).alias(f"w_{c}") for c in PLACE], F.col("words").alias(name))
-                some = some.join(own, F.expr(f"{side}_id <=> w_id and {side}_key = w_key and {side}_line = w_line")).drop("w_id", "w_key", "w_line")
-            some = some.select(*[F.col(f"x_{c}").alias(c) for c in PLACE], "one", "two").mapInArrow(_similar(percent), "id long, key long, line int")
-            return save(some.distinct())
-
-        x = [f"x_{c}" for c in PLACE]
-        best = pairs.groupBy(*x).agg(F.min(F.struct("apart", *sides[3:])).alias("b")).select(*x, *[F.col(f"b.{c}").alias(c) for c in sides[3:]])
-        found = verified(best)
-        rest = pairs.join(found, F.expr("x_id <=> id and x_key = key and x_line = line"), "left_anti")
-        more = verified(rest)
-        drop(pairs, words)
-        return found.unionByName(more)
+        def beside(some: DataFrame, side: str, *columns: str) -> DataFrame:
+            """Pairs with columns of the words of one side, named after it."""
+            own = words.select(*[F.col(c).alias(f"w_{c}") for c in PLACE], *[F.col(c).alias(f"{side}_{c}") for c in columns])
+            return some.join(own, F.expr(f"{side}_id <=> w_id and {side}_key = w_key and {side}_line = w_line")).drop("w_id", "w_key", "w_line")
+
+        apart = " + ".join(f"bit_count(x_{f} ^ y_{f})" for f in FLIPS)
+        near = beside(beside(pairs, "x", "n", *FLIPS), "y", "n", *FLIPS).where(f"({apart}) * {100 + percent} <= {100 - percent} * (x_n + y_n)")
+        near = save(near.select(*pairs.columns))
+        both = beside(beside(near, "x", "words"), "y", "words").select(*[F.col(f"x_{c}").alias(c) for c in PLACE], "x_words", "y_words")
+        found = save(both.mapInArrow(_similar(percent), "id long, key long, line int").distinct())
+        drop(pairs, words, near)
+        return found
 
     stars = sets.select(F.explode("stars").alias("word"), *PLACE, "n", "parity")
     many = stars.groupBy("word").agg(F.count("*").alias("k")).where(F.col("k") > hot).select("word")
@@ -287,7 +289,6 @@ def removed(docs: DataFrame, percent: int, frequent: int = FREQUENT, hot: int =
     first_by = lambda *order: stars.withColumn("turn", F.row_number().over(Window.partitionBy("word").orderBy(*order))).where(F.col("turn") <= CENTRES).drop("turn")
     centres = save(first_by(*PLACE).unionByName(first_by(F.xxhash64("word", *PLACE), *PLACE)))
     done = check(paired(stars.alias("x").join(centres.alias("y"), F.expr(f"x.word = y.word and {_earlier('y', 'x')} and {close}"))))
-    done = save(done)
     drop(stars, centres)
 
     marks = sets.drop("a", "stars").alias("s").join(sent(done).withColumn("done", F.lit(True)).alias("d"), F.expr(_same("s", "d")), "left")
@@ -299,7 +300,7 @@ def removed(docs: DataFrame, percent: int, frequent: int = FREQUENT, hot: int =
     longer = f"y.indexed and (x.n > y.n and ({before} or y.open) or x.n = y.n and {before})"
     shorter = f"x.indexed and x.n < y.n and not y.open and {before}"
     met = every.where("open").alias("x").join(every.where("indexed or not open").alias("y"), F.expr(f"x.word = y.word and {fits} and ({longer} or {shorter})"))
-    rows = F.struct(*[F.struct(*[F.col(f"{side}.{c}").alias(c) for c in (*PLACE, "n", "parity")]).alias(side) for side in "xy"])
+    rows = F.struct(*[F.struct(*[F.col(f"{side}.{c}").alias(c) for c in PLACE]).alias(side) for side in "xy"])
     met = met.select(rows.alias("r"), F.expr(before).alias("before"))
     pairs = paired(met.select(F.expr("if(before, r.x, r.y)").alias("x"), F.expr("if(before, r.y, r.x)").alias("y")))
     drop(marks)
