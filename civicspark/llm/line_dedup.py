@@ -247,7 +247,7 @@ def removed(docs: DataFrame, percent: int, frequent: int = FREQUENT, hot: int =
     # equal sets: rows of the first place stay, once
     first = lines.groupBy("a", "parity").agg(F.min(F.struct(*PLACE)).alias("f"), F.count("*").alias("k")).where("k > 1").drop("k")
     first = save(first.withColumnsRenamed({"a": "f_a", "parity": "f_parity"}))
-    marked = lines.join(first, F.expr("a = f_a and parity = f_parity"), "left")
+    marked = lines.join(sent(first), F.expr("a = f_a and parity = f_parity"), "left")
     marked = save(marked.select(*lines.columns, F.col("f").isNotNull().alias("several"), (F.col("f").isNull() | F.col("f").eqNullSafe(F.struct(*PLACE))).alias("first")))
     drop(lines, first)
     again = save(marked.where("not first").select(*PLACE))
@@ -322,7 +322,7 @@ def removed_lines(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", fr
     rows = _named(docs, id_col)
     gone = _by_document(removed(rows, percent, frequent, hot, long))
     text = F.coalesce("text", F.lit(""))
-    n = F.when(text == "", 0).otherwise(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1)
+    n = F.when(text == "", 0).otherwise(F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1)
     out = rows.select("id", "key", n.cast("long").alias("n_lines")).join(gone, F.expr(f"id <=> {GONE}_id and key = {GONE}_key"), "left")
     return out.select(F.col("id").alias(id_col), "n_lines", F.coalesce(F.size(GONE), F.lit(0)).cast("long").alias("n_removed"), F.coalesce(F.array_join(GONE, ","), F.lit("")).alias("removed"))
 
