@@ -229,3 +229,22 @@ def test_points_in_shapes_equal_brute_force(spark):
         out = sorted((tuple(r) for r in spatial.located(frame, table, cell).collect()), key=key)
         assert out == sorted(expected, key=key), cell
     assert {r["shape"] for r in spatial.located(frame, table.where("false")).collect()} == {None}
+
+
+def test_nearest_centres_by_tiles_equal_brute_force(spark, monkeypatch):
+    """Many tiles of clustered, repeated and equally near centres; points far outside, on centres and in a tile that is looked at in parts."""
+    import numpy as np
+
+    from civicspark.operators import spatial
+
+    monkeypatch.setattr(spatial, "TILE", 25)
+    monkeypatch.setattr(spatial, "POINTS", 40)
+    rng = np.random.default_rng(3)
+    centres = np.concatenate([rng.normal(0, 0.01, (300, 2)), rng.uniform(-50, 50, (400, 2)) * [1, 20], [[i % 9, i // 9 % 9] for i in range(162)]])
+    points = np.concatenate([rng.normal(0, 0.02, (200, 2)), rng.uniform(-60, 60, (200, 2)) * [1, 20], centres[:40], [[0.5, 0.5], [3.5, 4.0], [1e7, -1e7], [-1e7, 0.0]]])
+    places = rng.permutation(len(centres))
+    square = ((points[:, None] - centres) ** 2).sum(2)
+    expected = {tuple(x): int(np.where(d == d.min(), places, 10**9).min()) for x, d in zip(points.tolist(), square, strict=True)}
+    table = spark.createDataFrame([(int(k), *c) for k, c in zip(places, centres.tolist(), strict=True)], "place long, cx double, cy double").repartition(3)
+    found = spatial.nearest_centres(spark.createDataFrame(points.tolist(), "x double, y double").distinct(), table).collect()
+    assert {(r.x, r.y): r.place for r in found} == expected and len(found) == len(expected)
