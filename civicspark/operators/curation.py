@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,16 +54,51 @@ def told_apart(names: DataFrame, key: Sequence[str], candidate: str, position: s
     """Suffix equal names within a key: name, name_1, name_2 in order of position.
 
     A suffixed name that collides with another column's own name moves on to the
-    next number nobody has, as all are compared in one array per key (a header).
+    next number nobody has.  Only names that are equal once their numbers go can
+    collide: where all of these are equal their numbers are their turns, the others
+    are gone through in order, in tasks that keep a number for each distinct name.
+    A null name stays null.
     """
-
-    def step(taken: Column, name: Column) -> Column:
-        tries = F.transform(F.sequence(F.lit(0), F.size(taken)), lambda i: F.when(i == 0, name).otherwise(F.concat(name, F.lit("_"), i)))
-        return F.concat(taken, F.slice(F.filter(tries, lambda t: ~F.array_contains(taken, t)), 1, 1))
-
-    header = names.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(position, candidate))).alias("h"))
-    done = F.aggregate(F.col(f"h.{candidate}"), F.array().cast("array<string>"), step)
-    return header.select(*key, F.explode(F.arrays_zip(F.col(f"h.{position}").alias(position), done.alias("name"))).alias("x")).select(*key, f"x.{position}", "x.name")
+    root = F.regexp_replace(F.col(candidate), r"(_[0-9]+)+$", "")
+    rows = names.select(*key, F.col(position), F.col(candidate).alias("_name"), root.alias("_root"))
+    at = [*key, "_root"]
+    mixed = rows.groupBy(*at).agg((F.min("_name") != F.max("_name")).alias("_mixed"))
+    same = F.lit(True)
+    for c in at:
+        same = same & F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}"))
+    rows = rows.alias("x").join(mixed.alias("y"), same).select("x.*", F.coalesce("y._mixed", F.lit(False)).alias("_mixed"))
+    turn = F.row_number().over(Window.partitionBy(*key, "_name").orderBy(position)) - 1
+    plain = rows.where("not _mixed").withColumn("_turn", turn).select(*key, position, F.when(F.col("_turn") == 0, F.col("_name")).otherwise(F.concat("_name", F.lit("_"), "_turn")).alias("name"))
+    kinds = dict(names.dtypes)
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in (*key, position)) + ", name string"
+    others = rows.where("_mixed").repartition(*at).sortWithinPartitions(*at, position, "_name").select(*at, position, "_name")
+    return plain.unionByName(others.mapInArrow(_numbered_names(len(at)), schema))
+
+
+def _numbered_names(keys: int):
+    """Names in order of their groups: the first number that nobody in the group has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, turns = None, {}
+
+        def taken(made: str) -> bool:
+            stem, _, number = made.rpartition("_")
+            return made in turns or (number.isascii() and number.isdecimal() and number[0] != "0" and int(number) < turns.get(stem, 0))
+
+        for batch in batches:
+            out = []
+            for *now, name in zip(*(batch.column(i).to_pylist() for i in range(keys)), batch.column(keys + 1).to_pylist(), strict=True):
+                if now != group:
+                    group, turns = now, {}
+                # a name and all its numbers below its turn are taken
+                turn = turns.get(name, 0)
+                while taken(made := f"{name}_{turn}" if turn else name):
+                    turn += 1
+                turns[name] = turn + 1
+                out.append(made)
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(keys - 1)), batch.column(keys), pa.array(out, pa.string())], names=[*batch.schema.names[: keys - 1], batch.schema.names[keys], "name"])
+
+    return run
 
 
 def unique_slugs(rows: DataFrame, base: str, order: Sequence[str]) -> DataFrame:

@@ -248,3 +248,23 @@ def test_nearest_centres_by_tiles_equal_brute_force(spark, monkeypatch):
     table = spark.createDataFrame([(int(k), *c) for k, c in zip(places, centres.tolist(), strict=True)], "place long, cx double, cy double").repartition(3)
     found = spatial.nearest_centres(spark.createDataFrame(points.tolist(), "x double, y double").distinct(), table).collect()
     assert {(r.x, r.y): r.place for r in found} == expected and len(found) == len(expected)
+
+
+def test_names_told_apart_equal_one_after_the_other(spark):
+    """Suffixes that meet other names' own, numbers behind numbers, null names and keys; a key of many equal names needs no array of them."""
+    import random
+
+    rng = random.Random(4)
+    rows = [(rng.choice(["s", "t", None]), i, rng.choice(["x", "x_1", "x_1_1", "x_2", "x_02", "x_0", "y", "_1", "", None])) for i in range(400)]
+    expected, taken = [], {}
+    for key, i, name in rows:
+        own, turn, made = taken.setdefault(key, set()), 0, name
+        while name is not None and made in own:
+            turn += 1
+            made = f"{name}_{turn}"
+        own.add(made)
+        expected.append((key, i, made))
+    frame = spark.createDataFrame(rows, "path string, position int, name string").repartition(3)
+    assert sorted(map(tuple, curation.told_apart(frame, ["path"], "name", "position").collect()), key=lambda r: r[1]) == expected
+    many = curation.told_apart(spark.range(100_000).selectExpr("'k' AS k", "id", "'n' AS n"), ["k"], "n", "id")
+    assert many.agg(F.count_distinct("name"), F.max("name")).first() == (100_000, "n_99999")
