@@ -137,15 +137,15 @@ def hash_embedding(text: Column, size: int = 32) -> Column:
     return F.transform(counts, lambda x: F.when(norm == 0, 0.0).otherwise(x / norm))
 
 
-def hash_embeddings(docs: DataFrame, key: str, text: str, size: int = 32) -> DataFrame:
-    """(key, vector) of each text: counts of its UTF-16 units modulo `size`, divided by their norm (1 for an empty text), as 32-bit floats."""
+def hash_embeddings(docs: DataFrame, key: str, text: str, size: int = 32, kind: str = "float") -> DataFrame:
+    """(key, vector) of each text: counts of its UTF-16 units modulo `size`, divided by their norm (1 for an empty text), as 32-bit floats or (`double`) unrounded."""
     import numpy as np
     import pyarrow as pa
     import pyarrow.compute as pc
 
     def run(batches):
         for batch in batches:
-            out = np.zeros((batch.num_rows, size), np.float32)
+            out = np.zeros((batch.num_rows, size), np.float32 if kind == "float" else np.float64)
             for i, value in enumerate(pc.fill_null(batch.column(1), "").to_pylist()):
                 units = np.frombuffer(value.encode("utf-16-le", "surrogatepass"), "<u2")
                 counts = np.bincount(units % size, minlength=size).astype(float)
@@ -153,4 +153,4 @@ def hash_embeddings(docs: DataFrame, key: str, text: str, size: int = 32) -> Dat
             vectors = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * size, pa.int32()), pa.array(out.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column(0), vectors], names=[key, "vector"])
 
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {dict(docs.dtypes)[key]}, vector array<float>")
+    return docs.select(key, text).mapInArrow(run, f"`{key}` {dict(docs.dtypes)[key]}, vector array<{kind}>")

@@ -268,3 +268,18 @@ def test_names_told_apart_equal_one_after_the_other(spark):
     assert sorted(map(tuple, curation.told_apart(frame, ["path"], "name", "position").collect()), key=lambda r: r[1]) == expected
     many = curation.told_apart(spark.range(100_000).selectExpr("'k' AS k", "id", "'n' AS n"), ["k"], "n", "id")
     assert many.agg(F.count_distinct("name"), F.max("name")).first() == (100_000, "n_99999")
+
+
+def test_hash_embeddings_unrounded(spark):
+    """Shares whose fifth place is another as a 32-bit float."""
+    import math
+
+    import numpy as np
+
+    text = {(a, b): "a" * a + "b" * b for a, b in [(23, 39), (26, 53), (26, 399)]}
+    rows = spark.createDataFrame(list(enumerate(text.values())), "id int, t string")
+    wide = {r.id: r.vector for r in retrieval.hash_embeddings(rows, "id", "t", kind="double").collect()}
+    for i, (a, b) in enumerate(text):
+        x = a / math.sqrt(a * a + b * b)
+        assert wide[i][1] == x and round(wide[i][1], 5) != round(float(np.float32(x)), 5)
+    assert dict(retrieval.hash_embeddings(rows, "id", "t").dtypes)["vector"] == "array<float>"
