@@ -30,8 +30,8 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from civicspark.llm.tokens import prefix_counts
 
-    counts = prefix_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), keep=False)
-    return counts.withColumn("over_limit", F.col("n_tokens") > 512)
+    counts = prefix_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), keep=False, budget=512)
+    return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"), "fits")
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -76,7 +76,7 @@ class Recent(dict):
 
 
 class PrefixCounter:
-    """Counts of tokens at every prefix: `pieces` has the change at each character of a piece, `totals` a piece's tokens."""
+    """Counts of tokens at every prefix: `pieces` has the change at each character of a piece."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -98,7 +98,6 @@ class PrefixCounter:
         self.steps = dict[int, int]()
         self.heads = Recent(self.head)
         self.pieces = Recent(self.piece)
-        self.totals = Recent(self.piece_total)
 
     def state(self, name: bytes) -> int:
         if name not in self.states:
@@ -161,15 +160,6 @@ class PrefixCounter:
             counts = self.general(piece)
         return bytes([(n - before) & 255 for before, n in pairwise([0, *counts])])
 
-    def piece_total(self, piece: str) -> int:
-        if PLAIN.fullmatch(piece):
-            if not piece[-1].isalpha():
-                return self.totals[piece[:-1]] + 1
-            if piece[0] == "\n":
-                return self.totals[piece[1:]] + 1
-            return self.counts(piece.encode())[-1]
-        return self.general(piece)[-1]
-
     def general(self, piece: str) -> list[int]:
         """Counts at each character of any piece: the parts before a prefix's last one stay, the last one is cut."""
         solid = len(piece) - len(piece.lstrip())
@@ -205,17 +195,10 @@ class PrefixCounter:
         out = bytearray()
         for own, token in zip(pairs[::2], pairs[1::2], strict=True):
             with_token = bytearray(self._spelt(own + token))
-            with_token[-1] = (self.total(own) + 1 - total(bytes(with_token[:-1]))) & 255
+            with_token[-1] = (total(self._spelt(own)) + 1 - total(bytes(with_token[:-1]))) & 255
             out += with_token
         return bytes(out + self._spelt(rest))
 
-    def total(self, text: str) -> int:
-        """A text's tokens."""
-        if self.special is None or not self.special.search(text):
-            return sum(sum(map(self.totals.__getitem__, PIECE.findall(x))) for x in parts(text))
-        *pairs, rest = self.special.split(text)
-        return sum(map(self.total, pairs[::2])) + len(pairs) // 2 + self.total(rest)
-
 
 def parts(text: str) -> Iterator[str]:
     """A text in parts of about PART characters, between pieces."""
@@ -240,41 +223,42 @@ def counter(path: str) -> PrefixCounter:
     return _COUNTERS[path]
 
 
-def _counted(path: str, keep: bool, schema: pa.Schema):
+def _counted(path: str, keep: bool, budget: int | None, schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = counter(path)
         for batch, _, offsets in tx.blocks(batches):
-            texts = pc.fill_null(batch.column(1), "").to_pylist()
-            if keep:
-                found = [own.changes(x) for x in texts]
-                columns = [[total(x) for x in found], found]
-            else:
-                columns = [[own.total(x) for x in texts]]
-            yield tx.record(schema, batch.column(0), np.diff(offsets), *columns)
+            found = [own.changes(x) for x in pc.fill_null(batch.column(1), "").to_pylist()]
+            columns = [[total(x) for x in found]]
+            if budget is not None:
+                columns.append([len(x) if n <= budget else longest(x, budget) for x, n in zip(found, columns[0], strict=True)])
+            yield tx.record(schema, batch.column(0), np.diff(offsets), *columns, *([found] if keep else []))
 
     return run
 
 
-def prefix_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", keep: bool = True) -> DataFrame:
-    """Per row: its id, n_bytes, n_tokens, and with keep `changes`, the change of the count at each code point.
+def prefix_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", keep: bool = True, budget: int | None = None) -> DataFrame:
+    """Per row: its id, n_bytes, n_tokens, with a budget `fits`, the characters of the longest prefix of at most so many tokens, and with keep `changes`, the change of the count at each code point.
 
     path: a byte-level BPE file of `tokenizers`, there on every executor.
     """
-    schema = pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), *([("changes", pa.binary())] if keep else [])])
+    more = [("fits", pa.int64())] * (budget is not None) + [("changes", pa.binary())] * keep
+    schema = pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), *more])
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    out = rows.mapInArrow(_counted(path, keep, schema), "id long, n_bytes long, n_tokens long" + ", changes binary" * keep)
+    out = rows.mapInArrow(_counted(path, keep, budget, schema), "id long, n_bytes long, n_tokens long" + ", fits long" * (budget is not None) + ", changes binary" * keep)
     return out.withColumnRenamed("id", id_col)
 
 
+def longest(changes: bytes, budget: int) -> int:
+    """Characters of the longest prefix of at most `budget` tokens."""
+    fits = np.flatnonzero(np.cumsum(np.frombuffer(changes, np.int8), dtype=np.int64) <= budget)
+    return int(fits[-1]) + 1 if len(fits) else 0
+
+
 def _count_at(changes, chars):
     return changes.combine(chars, lambda c, n: int(np.frombuffer(c, np.int8)[: max(0, n)].sum(dtype=np.int64)))
 
 
 def _cut_at(changes, budget):
-    def longest(c: bytes, most: int) -> int:
-        fits = np.flatnonzero(np.cumsum(np.frombuffer(c, np.int8), dtype=np.int64) <= most)
-        return int(fits[-1]) + 1 if len(fits) else 0
-
     return changes.combine(budget, longest)
 
 

@@ -331,6 +331,20 @@ def test_token_counts(docs, empty, spark):
     assert row.cut == max(k for k in range(len(text) + 1) if of(text[:k]) <= 3)
 
 
+def test_token_counts_query_gives_the_longest_prefix_within_the_limit(spark, tmp_path):
+    """The query's rows come from the counts at every prefix: beside each number stands where 512 tokens end."""
+    tokenizer, rng = Tokenizer.from_file(BYTES), random.Random(6)
+    texts = [None, "", "a b", "x <|endoftext|> y " * 200, "日本語 🙂 word, " * 150, " ".join(rng.choice(["the", "don't", "zyx1", "\n", "é"]) for _ in range(900)), "a" * 5000]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    rows = queries.op10_token_counts(spark, str(tmp_path))
+    assert rows.columns[:4] == ["doc_id", "n_bytes", "n_tokens", "over_limit"]
+    of = lambda x: len(tokenizer.encode(x, add_special_tokens=False).ids)
+    for r in rows.collect():
+        text = texts[r.doc_id] or ""
+        assert (r.n_tokens, r.over_limit) == (of(text), of(text) > 512)
+        assert of(text[: r.fits]) <= 512 and all(of(text[:k]) > 512 for k in range(r.fits + 1, min(len(text), r.fits + 40) + 1))
+
+
 def test_chunk_ids_equal_the_library():
     coder, rng = ChunkIds(CHUNKS), random.Random(3)
     alphabet = " \n\t'abreTs1.!é日🙂\xa0<|>-_ÀßΣ́²"
