@@ -31,6 +31,8 @@ from civicspark.operators.retrieval import ranked, split_terms, terms
 
 #: Number of the layout, for folders that outlive a session.
 LAYOUT = 2
+#: Words of the texts that a task takes apart at once, and postings of a range.
+WORDS, RANGE = 1 << 19, 2_000_000
 _DELETED = "origin int, chunk long, bits binary"
 
 
@@ -48,9 +50,20 @@ def _schema(kind: str) -> str:
     return f"term string, key {kind}, origin int, doc long, length int, tf int, gaps array<int>"
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents of at most WORDS words together, or one."""
+    for batch in batches:
+        ends = np.cumsum(pc.list_value_length(batch.column(2)).to_numpy(zero_copy_only=False).astype(np.int64))
+        lo = 0
+        while lo < batch.num_rows:
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + WORDS, "right")))
+            yield batch.slice(lo, hi - lo)
+            lo = hi
+
+
 def _postings(origin: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From (key, doc, words) a row for each document and term, with the gaps between its places, and one of the empty term for each document."""
-    for batch in batches:
+    for batch in _slices(batches):
         sizes = pc.list_value_length(batch.column(2)).to_numpy(zero_copy_only=False).astype(np.int64)
         coded = pc.dictionary_encode(pc.list_flatten(batch.column(2)))
         row = np.repeat(np.arange(batch.num_rows), sizes)
@@ -70,9 +83,9 @@ def _postings(origin: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Rec
         yield pa.RecordBatch.from_pydict(columns)
 
 
-def _ranged(rows: DataFrame, ranges: int) -> DataFrame:
-    """In order of term and key; a frequent term is spread over ranges of its keys."""
-    return rows.repartitionByRange(ranges, "term", "key").sortWithinPartitions("term", "key")
+def _ranged(rows: DataFrame, ranges: int, count: int) -> DataFrame:
+    """In order of term and key, in at least so many ranges, of about RANGE postings at most; a frequent term is spread over ranges of its keys."""
+    return rows.repartitionByRange(max(ranges, -(-count // RANGE)), "term", "key").sortWithinPartitions("term", "key")
 
 
 def _deleted(spark: SparkSession, path: str, state: dict) -> DataFrame | None:
@@ -118,7 +131,7 @@ def write_batch(docs: DataFrame, path: str, batch: int, key: str, text: str, gon
     n, some, keys, length = new.agg(F.count("*"), F.count("key"), F.countDistinct("key"), F.coalesce(F.sum("length"), F.lit(0))).first()
     if some < n or keys < n:
         raise ValueError(f"of {n} documents {n - some} have no key and {some - keys} repeat one")
-    levels.write(_ranged(staged, ranges), path, "postings", number)
+    levels.write(_ranged(staged, ranges, staged.count()), path, "postings", number)
     out = new.select("key") if gone is None else new.select("key").unionByName(gone.select(F.col(key).alias("key"))).distinct()
     old = levels.read(spark, path, "postings", state, schema).where("term = ''").select("key", "origin", "doc", "length")
     bits = _alive(old, _deleted(spark, path, state)).join(out, "key", "left_semi").groupBy("origin", F.expr("bitmap_bucket_number(doc)").alias("chunk"))
@@ -138,7 +151,8 @@ def _merge(spark: SparkSession, path: str, state: dict, level: int, numbers: lis
     """One folder in place of `numbers`, without what is deleted; their deletions from other folders stay."""
     schema, number = _schema(state["own"]["key"]), state["next"]
     rows = _alive(levels.read(spark, path, "postings", state, schema, numbers), _deleted(spark, path, state))
-    levels.write(_ranged(rows, ranges), path, "postings", number)
+    count = levels.read(spark, path, "postings", state, schema, numbers).count()
+    levels.write(_ranged(rows, ranges, count), path, "postings", number)
     inside = levels.read(spark, path, "postings", state, schema, numbers).where("term = ''").select("origin").distinct()
     others = levels.read(spark, path, "deleted", state, _DELETED, numbers).join(F.broadcast(inside), "origin", "left_anti")  # a row a batch
     levels.write(others.groupBy("origin", "chunk").agg(F.expr("bitmap_or_agg(bits)").alias("bits")), path, "deleted", number)
@@ -154,7 +168,8 @@ def rebuild(spark: SparkSession, path: str, to: str, key: str, ranges: int = 64)
     if not state["own"]:
         raise ValueError(f"no index by {key} in {path}")
     schema = _schema(state["own"]["key"])
-    levels.write(_ranged(_alive(levels.read(spark, path, "postings", state, schema), _deleted(spark, path, state)), ranges), to, "postings", 0)
+    rows = levels.read(spark, path, "postings", state, schema)
+    levels.write(_ranged(_alive(rows, _deleted(spark, path, state)), ranges, rows.count()), to, "postings", 0)
     levels.write(spark.createDataFrame([], _DELETED).coalesce(1), to, "deleted", 0)
     levels.commit(spark, to, levels.added({**levels.manifest(spark, to), "folders": []}, 0, {**state["own"], "deleted": 0}))
 

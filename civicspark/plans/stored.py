@@ -6,7 +6,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from civicspark.operators import keyword_index, levels
-from civicspark.session import shared_folder
+from civicspark.session import shared_folder, small_batches
 
 
 def stamp(spark: SparkSession, path: str) -> str:
@@ -18,6 +18,7 @@ def stamp(spark: SparkSession, path: str) -> str:
 
 def documents_index(spark: SparkSession, sf_dir: str) -> str:
     """The folder of the keyword index of the documents, made at the first call."""
+    small_batches(spark)
     source = f"{sf_dir}/documents.parquet"
     path = f"{shared_folder(spark)}/keyword-index/v{keyword_index.LAYOUT}/{stamp(spark, source)}"
     if levels.manifest(spark, path)["version"] < 0:

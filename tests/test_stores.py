@@ -117,3 +117,30 @@ def test_blobs_are_written_once(spark, tmp_path):
     assert len(before) == 2 and {r.path: r.bytes for r in out} == {"a": 1, "b": 1, "c": 0}
     curated.write_blobs(rows, str(tmp_path))
     assert {f: os.stat(tmp_path / f).st_mtime_ns for f in before} == before and os.listdir(tmp_path / "aside") == []
+
+
+def test_what_a_task_takes_at_once_does_not_grow(spark, tmp_path, monkeypatch):
+    """Postings by blocks of words, ranges by their number, links by parts of a bucket."""
+    import numpy as np
+    import pyarrow as pa
+
+    from civicspark.operators import keyword_index, relinking
+
+    monkeypatch.setattr(keyword_index, "WORDS", 10)
+    monkeypatch.setattr(keyword_index, "RANGE", 50)
+    texts = [" ".join(f"w{(i * j) % 7}" for j in range(i % 25)) for i in range(60)]
+    words = pa.array([x.split() for x in texts], pa.list_(pa.string()))
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(60)), pa.array(np.arange(60)), words], names=["key", "doc", "words"])
+    out = list(keyword_index._postings(0, iter([batch])))
+    assert max(b.column("tf").to_numpy().sum() for b in out) <= 24 and len(out) > 30
+    found = {(r["key"], r["term"]): np.cumsum(r["gaps"]).tolist() for b in out for r in b.to_pylist() if r["term"]}
+    assert found == {(i, w): [k for k, x in enumerate(t.split()) if x == w] for i, t in enumerate(texts) for w in set(t.split())}
+    docs = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    keyword_index.write_batch(docs, str(tmp_path / "index"), 0, "id", "text", ranges=2)
+    assert len(list((tmp_path / "index" / "postings" / "folder=0").glob("part-*.parquet"))) > 4
+    assert keyword_index.search(spark, str(tmp_path / "index"), "id", "w1").count() == min(50, sum("w1" in t.split() for t in texts))
+    monkeypatch.setattr(relinking, "PART", 20)
+    rows = spark.range(300).selectExpr("id AS dataset", "concat('e', id % 60) AS entity", "'tag' AS kind", "true AS present")
+    relinking.apply_changes(rows, str(tmp_path / "links"), 0, buckets=2)
+    assert relinking.current_links(spark, str(tmp_path / "links")).count() == 60 * 10
+    assert max(len(list(b.glob("part-*.parquet"))) for b in (tmp_path / "links" / "links" / "folder=0").glob("bucket=*")) > 4
