@@ -16,6 +16,7 @@ from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +28,8 @@ CP1251 = {
     0x8B: 0x2039, 0x8C: 0x40A, 0x8D: 0x40C, 0x8E: 0x40B, 0x8F: 0x40F, 0xA1: 0x40E, 0xA2: 0x45E, 0xA3: 0x408, 0xA5: 0x490, 0xA8: 0x401, 0xB8: 0x451,
 }
 _TABLE = "".join(chr(b) if b < 0x80 else chr(0x410 + b - 0xC0) if b >= 0xC0 else chr(CP1251.get(b, 0xFFFD)) for b in range(256))
+#: Cells, and characters of cells, that a task gives on at once.
+CELLS_AT_ONCE, CHARS_AT_ONCE = 20_000, 1 << 22
 CELLS = "path string, sheet string, row_no long, position int, cell string"
 
 
@@ -209,22 +212,30 @@ def header_of(rows: list[list[str]]) -> tuple[list[str], int]:
     return [" ".join(x for x in pair if x) for pair in zip(spread, below, strict=True)], 2
 
 
-def _cells(read: Callable[[str, bytes, str], Iterator[tuple[str, Iterator[list[str]]]]], batch: int = 50_000):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for path, content, text in zip(frame["path"], frame["content"], frame["text"], strict=True):
-                out = []
+def _cells(read: Callable[[str, bytes, str], Iterator[tuple[str, Iterator[list[str]]]]]):
+    schema = pa.schema([("path", pa.string()), ("sheet", pa.string()), ("row_no", pa.int64()), ("position", pa.int32()), ("cell", pa.string())])
+
+    def held(out: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # cells of many small files go on together, those of a large one in parts
+        out, size = [], 0
+        for batch in batches:
+            for i in range(batch.num_rows):
+                path, content, text = (c[i].as_py() for c in batch.columns)
                 try:
-                    for sheet, rows in read(path, bytes(content), text):
+                    for sheet, rows in read(path, content, text):
                         for n, row in enumerate(rows):
                             out += [(path, sheet, n, i, cell) for i, cell in enumerate(row)]
-                            if len(out) >= batch:
-                                yield pd.DataFrame(out, columns=["path", "sheet", "row_no", "position", "cell"])
-                                out = []
+                            size += sum(map(len, row))
+                            if len(out) >= CELLS_AT_ONCE or size >= CHARS_AT_ONCE:
+                                yield held(out)
+                                out, size = [], 0
                 except (ValueError, KeyError, zipfile.BadZipFile, ElementTree.ParseError) as error:
                     out.append((path, "", -1, -1, str(error)[:500]))  # an uncurated file is a row, not the job's end
-                if out:
-                    yield pd.DataFrame(out, columns=["path", "sheet", "row_no", "position", "cell"])
+        if out:
+            yield held(out)
 
     return run
 
@@ -235,11 +246,11 @@ def _texts(files: DataFrame) -> DataFrame:
 
 def read_csv(files: DataFrame) -> DataFrame:
     """Cells of delimited files, the header being row 0; row -1 holds the error of a file that cannot be read."""
-    return _texts(files).mapInPandas(_cells(lambda path, content, text: iter([("", delimited(text))])), CELLS)
+    return _texts(files).mapInArrow(_cells(lambda path, content, text: iter([("", delimited(text))])), CELLS)
 
 
 def read_xlsx(files: DataFrame) -> DataFrame:
-    return files.select("path", "content", F.lit("").alias("text")).mapInPandas(_cells(lambda path, content, text: workbook(content)), CELLS)
+    return files.select("path", "content", F.lit("").alias("text")).mapInArrow(_cells(lambda path, content, text: workbook(content)), CELLS)
 
 
 def _answer(text: str):
@@ -296,12 +307,12 @@ def _envelope(path: str, content: bytes, text: str) -> Iterator[tuple[str, Itera
 
 def read_envelope(files: DataFrame) -> DataFrame:
     """Cells of portal answers {success, data: rows}, headers of two rows joined; answers of another shape have none (see read_answers)."""
-    return _texts(files).mapInPandas(_cells(_envelope), CELLS)
+    return _texts(files).mapInArrow(_cells(_envelope), CELLS)
 
 
 def _shapes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
-        out = []
+        out, size = [], 0
         for path, text in zip(frame["path"], frame["text"], strict=True):
             try:
                 data = _answer(text)
@@ -314,7 +325,12 @@ def _shapes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 out.append((path, "tabular", None, None))
             else:
                 out.append((path, "json", json.dumps(_plain(data), ensure_ascii=False, indent=2) + "\n", "array" if isinstance(data, list) else "object"))
-        yield pd.DataFrame(out, columns=["path", "kind", "body", "root"])
+            size += len(out[-1][2] or "")
+            if size >= CHARS_AT_ONCE:
+                yield pd.DataFrame(out, columns=["path", "kind", "body", "root"])
+                out, size = [], 0
+        if out:
+            yield pd.DataFrame(out, columns=["path", "kind", "body", "root"])
 
 
 def read_answers(files: DataFrame) -> DataFrame:

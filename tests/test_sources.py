@@ -128,3 +128,14 @@ def test_answers_of_all_shapes(spark):
     _, states = curation.run_curation(files.read_envelope(answers), files.read_answers(answers))
     state = {r.path: (r.state, r.kind) for r in states.collect()}
     assert state == {k: ("curated", v[1]) for k, v in shapes.items()} | {"broken": ("uncurated", None), "nothing": ("uncurated", None)}
+
+
+def test_cells_of_many_files_go_on_together_and_of_a_large_one_in_parts():
+    import pyarrow as pa
+
+    bodies = [f"a;b\n{i};{i + 1}" for i in range(500)] + ["x\n" + "\n".join(map(str, range(50_000))), "c;d\n" + "y" * (1 << 22) + ";z"]
+    batch = pa.RecordBatch.from_arrays([pa.array([f"f{i}" for i in range(502)]), pa.array([b""] * 502), pa.array(bodies)], names=["path", "content", "text"])
+    out = list(files._cells(lambda path, content, text: iter([("", files.delimited(text))]))(iter([batch])))
+    assert 3 <= len(out) <= 6 and max(b.num_rows for b in out) <= files.CELLS_AT_ONCE
+    cells = [r for b in out for r in b.to_pylist()]
+    assert len(cells) == 500 * 4 + 50_001 + 4 and [r["cell"] for r in cells[:4]] == ["a", "b", "0", "1"] and cells[-1]["cell"] == "z"
