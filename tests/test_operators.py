@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from random import Random
 
 from pyspark.sql import functions as F
 
@@ -283,3 +284,17 @@ def test_hash_embeddings_unrounded(spark):
         x = a / math.sqrt(a * a + b * b)
         assert wide[i][1] == x and round(wide[i][1], 5) != round(float(np.float32(x)), 5)
     assert dict(retrieval.hash_embeddings(rows, "id", "t").dtypes)["vector"] == "array<float>"
+
+
+def test_links_are_counted_without_being_made(spark):
+    """Datasets that share several entities, small and large sets, copies and a hub, against the links themselves."""
+    random = Random(5)
+    rows = [(d, f"tag:{random.randrange(60)}", "tag") for d in range(150) for _ in range(random.choice([1, 2, 3, 5, 9]))]
+    rows += [(d, f"tag:{e}", "tag") for d in range(200, 206) for e in range(100, 108)] + [(d, "org:1", "organization") for d in range(0, 150, 2)] + [(900, "tag:alone", "tag"), (None, "tag:5", "tag"), (3, None, "tag")]
+    frame = spark.createDataFrame(rows, "dataset long, entity string, kind string")
+    links = linking.either_side(linking.links(frame, 20)).groupBy("dataset").agg(F.count("*").alias("links"), F.countDistinct("other").alias("neighbours"))
+    expected = {tuple(r) for r in links.collect()}
+    assert any(n < k for _, k, n in expected)
+    for paired in (16, 4, 1, 0):
+        out = linking.link_counts(frame, 20, paired)
+        assert {tuple(r) for r in out.select("dataset", "links", "neighbours").collect()} == expected
