@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.errors import AnalysisException
@@ -17,7 +18,9 @@ CYRILLIC = "[абвгдежзийклмнопрстуфхцчшщъьюяѣАБ
 
 
 def has_cyrillic(text: Column) -> Column:
-    return text.rlike(CYRILLIC)
+    """Whether a text has a letter of CYRILLIC: looked for only in texts with a byte that all of them begin with in UTF-8, and no other character has."""
+    some = [F.contains(text.cast("binary"), F.lit(bytearray([first]))) for first in sorted({c.encode()[0] for c in CYRILLIC.strip("[]")})]
+    return reduce(Column.__or__, some) & text.rlike(CYRILLIC)
 
 
 def extension(declared: Column) -> Column:

@@ -146,3 +146,13 @@ def test_index_refuses_keys_that_are_none_or_twice(spark, tmp_path):
     # a writer that died left no trace in what is read
     keyword_index.write_batch(spark.createDataFrame([(1, "a")], "id long, body string"), str(tmp_path / "i"), 0, "id", "body")
     assert [r.id for r in keyword_index.search(spark, str(tmp_path / "i"), "id", "a").collect()] == [1]
+
+
+def test_cyrillic_letters_are_looked_for_where_their_bytes_are(spark):
+    texts = ["plain", "straße, señor, Ωmega", "еxample", "ѣ", "Ѣ", "Я", "ы э ѐ і", "ѿ Ҁ", "日本", "", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    out = rows.select("i", serving.has_cyrillic(F.col("t")).alias("c"))
+    wanted = [None if t is None else any(c in serving.CYRILLIC.strip("[]") for c in t) for t in texts]
+    assert [r.c for r in out.orderBy("i").collect()] == wanted and True in wanted
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert -1 < plan.lower().find("contains(") < plan.lower().find("rlike")
