@@ -31,6 +31,8 @@ from civicspark.functions import text as fx
 from civicspark.operators import levels
 
 PART_ROWS = 20_000
+#: Parts that a task holds before it writes them to its list.
+LISTED = 4096
 #: Rows of a page at most, and where none are asked for.
 MOST, PAGE = 1000, 100
 #: File endings of whole documents by kind.
@@ -57,17 +59,23 @@ class CuratedWriter(DataSourceArrowWriter):
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         system, root = opened(self.path)
-        attempt, parts, stream, now = uuid.uuid4().hex, [], None, None
+        attempt, stream, now = uuid.uuid4().hex, None, None
+        parts, done = [], 0  # those of which the list is not written yet, and how many are in it
+        index, listed = f"{root}/pending/{attempt}.parquet", None
         try:
             for batch in iterator:
                 for resource, sheet, kind, row_no, value in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                     if now != (resource, sheet, kind) or parts[-1][5] >= self.rows or row_no < 0:
                         if stream is not None:
                             stream.close()
+                        if len(parts) >= LISTED:
+                            listed = listed or _list(system, root, index)
+                            listed.write_batch(_part_rows(parts))
+                            done, parts = done + len(parts), []
                         folder = "/".join(x for x in (root, "data", resource, sheet) if x)
                         name = "schema" if kind == "schema" else "document" if row_no < 0 else f"part-{row_no:012d}"
                         ending = "ndjson" if row_no >= 0 else ENDINGS.get(kind, "json")
-                        file = f"{folder}/{name}-{len(parts)}-{attempt}.{ending}"
+                        file = f"{folder}/{name}-{done + len(parts)}-{attempt}.{ending}"
                         system.create_dir(folder, recursive=True)
                         stream, now = system.open_output_stream(file), (resource, sheet, kind)
                         parts.append([resource, sheet, kind, file, row_no, 0])
@@ -77,16 +85,18 @@ class CuratedWriter(DataSourceArrowWriter):
                 stream.close()
             if not parts:
                 return Written(None)
-            index = f"{root}/pending/{attempt}.parquet"
-            system.create_dir(f"{root}/pending", recursive=True)
-            with system.open_output_stream(index) as out:
-                pq.write_table(pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*parts, strict=True), _PART_ARROW, strict=True)], schema=_PART_ARROW), out)
+            listed = listed or _list(system, root, index)
+            listed.write_batch(_part_rows(parts))
+            listed.close()
             return Written(index)
         except BaseException:
             if stream is not None and not stream.closed:
                 stream.close()
             for part in parts:
                 _remove(system, part[3])
+            if listed is not None:
+                listed.close()
+                _remove_listed(system, index)
             raise
 
     def commit(self, messages: list[Written | None]) -> None:
@@ -100,9 +110,25 @@ class CuratedWriter(DataSourceArrowWriter):
     def abort(self, messages: list[Written | None]) -> None:
         system, _ = opened(self.path)
         for index in (m.index for m in messages if m is not None and m.index):
-            for file in pq.read_table(index, filesystem=system).column("file").to_pylist():
+            _remove_listed(system, index)
+
+
+def _list(system: fs.FileSystem, root: str, index: str) -> pq.ParquetWriter:
+    system.create_dir(f"{root}/pending", recursive=True)
+    return pq.ParquetWriter(index, _PART_ARROW, filesystem=system)
+
+
+def _part_rows(parts: list[list]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*parts, strict=True), _PART_ARROW, strict=True)], schema=_PART_ARROW)
+
+
+def _remove_listed(system: fs.FileSystem, index: str) -> None:
+    """Delete the files of a task's list, some at a time, and the list."""
+    with system.open_input_file(index) as held:
+        for batch in pq.ParquetFile(held).iter_batches(LISTED, columns=["file"]):
+            for file in batch.column(0).to_pylist():
                 _remove(system, file)
-            _remove(system, index)
+    _remove(system, index)
 
 
 def _remove(system: fs.FileSystem, file: str) -> None:

@@ -4,10 +4,14 @@ import io
 import json
 import zipfile
 
+import pyarrow as pa
+import pyarrow.parquet as pq
+import pytest
 from pyspark.sql import functions as F
 
 from civicspark.operators import curation
-from civicspark.sources import files, portal
+from civicspark.session import small_batches
+from civicspark.sources import curated, files, portal
 
 
 def held(spark, content: bytes, path="f"):
@@ -139,3 +143,31 @@ def test_cells_of_many_files_go_on_together_and_of_a_large_one_in_parts():
     assert 3 <= len(out) <= 6 and max(b.num_rows for b in out) <= files.CELLS_AT_ONCE
     cells = [r for b in out for r in b.to_pylist()]
     assert len(cells) == 500 * 4 + 50_001 + 4 and [r["cell"] for r in cells[:4]] == ["a", "b", "0", "1"] and cells[-1]["cell"] == "z"
+
+
+def test_batches_of_long_texts_are_small(spark):
+    small_batches(spark)
+    sizes = spark.range(200).selectExpr("repeat(cast(id % 10 as string), 200000) as t").coalesce(1).mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"]) for b in batches), "n long")
+    assert max(r.n for r in sizes.collect()) < 10_000_000
+
+
+def test_a_task_lists_its_curated_parts_some_at_a_time(tmp_path, monkeypatch):
+    monkeypatch.setattr(curated, "LISTED", 3)
+    held, names = [], ["resource", "sheet", "kind", "row_no", "value"]
+    monkeypatch.setattr(curated, "_part_rows", lambda parts, rows=curated._part_rows: held.append(len(parts)) or rows(parts))
+    rows = [(f"r{i // 4}", "", "tabular", i % 4, f'"{i}"') for i in range(40)]
+    batches = [pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows[lo : lo + 7]]) for lo in range(0, 40, 7)]
+    written = curated.CuratedWriter({"path": str(tmp_path), "partrows": "2"}).write(iter(batches))
+    parts = pq.read_table(written.index).to_pylist()
+    assert max(held) == 3 and sum(held) == len(parts) == 20
+    assert [(p["resource"], line) for p in parts for line in open(p["file"]).read().split()] == [(r[0], r[4]) for r in rows]
+
+    def broken():
+        yield from batches[:4]
+        raise OSError("lost")
+
+    for path in tmp_path.rglob("*.*"):
+        path.unlink()
+    with pytest.raises(OSError, match="lost"):
+        curated.CuratedWriter({"path": str(tmp_path), "partrows": "2"}).write(broken())
+    assert not [p for p in tmp_path.rglob("*") if p.is_file()]
