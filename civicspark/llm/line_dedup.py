@@ -7,7 +7,8 @@ document id, then text hash, then line number) has a Jaccard similarity of at le
 1. Words are ordered by rarity: counts over all documents, in BUCKETS hashed
    buckets, at most 12 MB at the driver (any one order gives exact results; the
    finer the counts, the fewer the candidates).
-2. Equal sets become one, with its first place; later ones are removed.
+2. Equal sets become one, with its first place; later ones are removed.  Rows that
+   repeat id and text have a number each, so one row of the first place is left.
 3. The words of a set's prefix are its keys; of a word that comes more than
    FREQUENT times in the documents, each pair with the next words is a key instead
    (similar sets that differ share four words at least, so if the first they share
@@ -19,10 +20,11 @@ document id, then text hash, then line number) has a Jaccard similarity of at le
    the CENTRES earliest and as many others, and those with a match are done with.  What is left is probed by its full
    prefix against the shorter prefixes that an index of no longer sets needs (and
    against full ones of sets that are done with, which do not probe).  The join
-   applies the length filter, the positional one (what can still be common after the
-   word), and one by 64 parity bits: each word flips one, so sets cannot
-   differ in fewer words than in bits.
-5. Candidates' words are read again from the texts, with 512 parity bits of each set,
+   applies, most telling first, a filter by 64 parity bits (each word flips one, so
+   sets cannot differ in fewer words than in bits), the length filter, the
+   positional one (what can still be common after the word), and one by 128 parity
+   bits for sets of over WIDE words, of which 64 bits part too few.
+5. The words of candidates' lines, and of no others, are read again from the texts, with 512 parity bits of each set,
    which part nearly all pairs that are not similar before their words meet; of the
    others the Jaccard similarity is taken exactly.
 
@@ -45,10 +47,14 @@ from civicspark.llm.rows import KEY, keyed
 from civicspark.llm.scratch import drop, save, sent
 
 BUCKETS = 1 << 21
+#: Buckets whose counts are a row on their way.
+CHUNK = 1 << 12
 #: A word of more occurrences is a key only together with another.
 FREQUENT = 1024
 #: Sets of more words keep single frequent words as keys, apart from those of shorter ones, as their pairs would be too many.
 LONG = 128
+#: Sets of more words have 128 parity bits.
+WIDE = 64
 #: The sets of keys of more sets are compared with so many earliest ones and as many others first; so many of a set's keys take part.
 HOT, CENTRES, STARS = 256, 32, 3
 #: A column's name while lines are removed; no table should have it.
@@ -56,9 +62,10 @@ GONE = "_civicspark_gone_lines"
 #: What names a line.
 PLACE = ["id", "key", "line"]
 
-_COUNTS = pa.schema([("bucket", pa.int32()), ("n", pa.int64())])
-_LINES = "a long, parity long, id long, key long, line int, n int, keys array<long>, stars array<long>"
-_LINES_ARROW = pa.schema([("a", pa.int64()), ("parity", pa.int64()), ("id", pa.int64()), ("key", pa.int64()), ("line", pa.int32()), ("n", pa.int32()), ("keys", pa.list_(pa.int64())), ("stars", pa.list_(pa.int64()))])
+_COUNTS = pa.schema([("chunk", pa.int32()), ("buckets", pa.binary()), ("n", pa.binary())])
+_RANKS = pa.schema([("chunk", pa.int32()), ("ranks", pa.binary())])
+_LINES = "a long, parity long, wide long, id long, key long, line int, copy long, n int, keys array<long>, stars array<long>"
+_LINES_ARROW = pa.schema([("a", pa.int64()), ("parity", pa.int64()), ("wide", pa.int64()), ("id", pa.int64()), ("key", pa.int64()), ("line", pa.int32()), ("copy", pa.int64()), ("n", pa.int32()), ("keys", pa.list_(pa.int64())), ("stars", pa.list_(pa.int64()))])
 #: Longs of the parity bits that candidates are compared by.
 FLIPS = [f"f{i}" for i in range(8)]
 _SETS_ARROW = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("line", pa.int32()), ("words", pa.binary()), ("n", pa.int32()), *[(f, pa.int64()) for f in FLIPS]])
@@ -84,8 +91,19 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held, size = [], 0
     if held:
         n += np.bincount(np.concatenate(held), minlength=BUCKETS)
-    some = np.flatnonzero(n)
-    yield tx.record(_COUNTS, some.astype(np.int32), n[some])
+    some = [np.flatnonzero(x) for x in n.reshape(-1, CHUNK)]
+    chunks = [i for i, x in enumerate(some) if len(x)]
+    yield tx.record(_COUNTS, chunks, [some[i].astype(np.uint16).tobytes() for i in chunks], [n[i * CHUNK + some[i]].tobytes() for i in chunks])
+
+
+def _ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The ranks of the buckets of each chunk, by the sums of its counts; a chunk's rows are in one task."""
+    sums = {}
+    for batch in batches:
+        for chunk, buckets, n in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+            total = sums.setdefault(chunk, np.zeros(CHUNK, np.int64))
+            total[np.frombuffer(buckets, np.uint16)] += np.frombuffer(n, np.int64)
+    yield tx.record(_RANKS, list(sums), [_rank(n).tobytes() for n in sums.values()])
 
 
 def _line_of(w: tx.Words, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -96,24 +114,22 @@ def _line_of(w: tx.Words, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return inner + text, np.searchsorted(breaks, offsets[:-1]) + np.arange(len(offsets) - 1)
 
 
-def _sets(w: tx.Words, offsets: np.ndarray, rank: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct words by line, rarest first (by hash without ranks): hashes, edges of lines, the lines' numbers in their texts, their texts."""
-    line, first = _line_of(w, offsets)
-    key = w.hashes if rank is None else (rank[_bucket(w.hashes)].astype(np.uint64) << np.uint64(52)) | (w.hashes >> np.uint64(12))
+def _sets(hashes: np.ndarray, line: np.ndarray, rank: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct words by line, rarest first (by hash without ranks): hashes, edges of lines, the lines."""
+    key = hashes if rank is None else (rank[_bucket(hashes)].astype(np.uint64) << np.uint64(52)) | (hashes >> np.uint64(12))
     order = np.argsort(key)
     order = order[np.argsort((line[order] if line[-1:].sum() > 65535 else line[order].astype(np.uint16)), kind="stable")]
-    line, hashes = line[order], w.hashes[order]
+    line, hashes = line[order], hashes[order]
     new = np.ones(len(line), bool)
     new[1:] = (line[1:] != line[:-1]) | (hashes[1:] != hashes[:-1])
     line, hashes = line[new], hashes[new]
     begins = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]])) if len(line) else np.zeros(0, np.int64)
-    text = np.searchsorted(first, line[begins], "right") - 1
-    return hashes, np.append(begins, len(line)), line[begins] - first[text], text
+    return hashes, np.append(begins, len(line)), line[begins]
 
 
-def _names(batch: pa.RecordBatch, rows: np.ndarray) -> list[pa.Array]:
-    """Ids and keys of rows of a batch."""
-    return [batch.column(i).take(pa.array(rows)) for i in (0, 1)]
+def _names(batch: pa.RecordBatch, rows: np.ndarray, *columns: str) -> list[pa.Array]:
+    """Ids and keys of rows of a batch, and more columns."""
+    return [batch.column(c).take(pa.array(rows)) for c in ("id", "key", *columns)]
 
 
 def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -166,48 +182,61 @@ def _lines(shared, percent: int, frequent: int, long: int):
             w = tx.words(data, offsets)
             if not len(w.hashes):
                 continue
-            hashes, edges, number, text = _sets(w, offsets, rank)
+            line, first = _line_of(w, offsets)
+            hashes, edges, line = _sets(w.hashes, line, rank)
+            text = np.searchsorted(first, line, "right") - 1
             one = np.add.reduceat(tx.mix(hashes), edges[:-1])
-            bit = tx.mix(hashes ^ np.uint64(0x5851F42D4C957F2D)) >> np.uint64(58)
-            parity = np.bitwise_xor.reduceat(np.uint64(1) << bit, edges[:-1])
+            bit = tx.mix(hashes ^ np.uint64(0x5851F42D4C957F2D))
+            flip = np.uint64(1) << (bit >> np.uint64(58))
+            parity = np.bitwise_xor.reduceat(flip, edges[:-1])
+            # of 128 bits, those of the upper half; the lower half are parity ^ wide
+            wide = np.bitwise_xor.reduceat(np.where(bit & np.uint64(1), flip, np.uint64(0)), edges[:-1])
+            wide[np.diff(edges) <= WIDE] = 0
             keys, sizes, stars, few = _keys(hashes, edges, rank[_bucket(hashes)], percent, frequent, long)
-            yield tx.record(_LINES_ARROW, tx.signed(one), tx.signed(parity), *_names(batch, text), number.astype(np.int32), np.diff(edges).astype(np.int32), _lists(keys, sizes), _lists(stars, few))
+            own, key, copy = _names(batch, text, "copy")
+            yield tx.record(_LINES_ARROW, tx.signed(one), tx.signed(parity), tx.signed(wide), own, key, (line - first[text]).astype(np.int32), copy, np.diff(edges).astype(np.int32), _lists(keys, sizes), _lists(stars, few))
 
     return run
 
 
 def _words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The words of the lines that `lines` names, by hash, their number and parity bits: each word flips one."""
+    """The words of the lines that `lines` names, by hash, their number and parity bits: each word flips one.  No such line is blank."""
     for batch, data, offsets in tx.blocks(batches):
-        w = tx.words(data, offsets)
-        if not len(w.hashes):
-            continue
-        hashes, edges, number, text = _sets(w, offsets, None)
         asked, of = tx.lists(batch, "lines")
+        if not len(asked):
+            continue
         owner = np.repeat(np.arange(batch.num_rows), np.diff(of))
-        i = np.searchsorted((text.astype(np.int64) << 32) + number, (owner.astype(np.int64) << 32) + asked)
-        sizes = np.diff(edges)[i]
-        words = np.ascontiguousarray(hashes[_ranges(edges[i], sizes)])
-        ends = np.append(0, np.cumsum(8 * sizes)).astype(np.int32)
-        binary = pa.Array.from_buffers(pa.binary(), len(i), [None, pa.py_buffer(ends), pa.py_buffer(words)])
+        # the asked lines' bytes, each as a text; texts begin lines, too
+        breaks = np.flatnonzero(data == 10)
+        first = np.searchsorted(breaks, offsets[:-1])
+        begins = np.sort(np.concatenate([offsets[:-1], breaks + 1]), kind="stable")
+        at = first[owner] + owner + asked
+        lo, hi = begins[at], np.append(begins[1:], len(data))[at]
+        edges = np.append(0, np.cumsum(hi - lo))
+        w = tx.words(data[_ranges(lo, hi - lo)], edges)
+        hashes, edges, _ = _sets(w.hashes, w.text_of(), None)
+        sizes = np.diff(edges)
+        words = np.ascontiguousarray(hashes)
+        ends = (8 * edges).astype(np.int32)
+        binary = pa.Array.from_buffers(pa.binary(), len(asked), [None, pa.py_buffer(ends), pa.py_buffer(words)])
         bit = tx.mix(hashes ^ np.uint64(0x2545F4914F6CDD1D)) >> np.uint64(55)
         flip = np.uint64(1) << (bit & np.uint64(63))
-        flips = [np.bitwise_xor.reduceat(np.where(bit >> np.uint64(6) == k, flip, np.uint64(0)), edges[:-1])[i] for k in range(len(FLIPS))]
+        flips = [np.bitwise_xor.reduceat(np.where(bit >> np.uint64(6) == k, flip, np.uint64(0)), edges[:-1]) for k in range(len(FLIPS))]
         yield tx.record(_SETS_ARROW, *_names(batch, owner), asked.astype(np.int32), binary, sizes.astype(np.int32), *map(tx.signed, flips))
 
 
 def _similar(percent: int):
-    """Of rows (id, key, line, one, two) those whose sorted sets of hashes, one and two, are similar."""
+    """Of rows (id, key, line, x_words, y_words) those whose sorted sets of hashes are similar."""
 
-    def sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        sizes = np.fromiter((len(x) // 8 for x in column.to_pylist()), np.int64, len(column))
-        return np.frombuffer(b"".join(column.to_pylist()), np.uint64), sizes
+    def sets(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
+        data, offsets = tx.texts(batch, name)
+        return data[offsets[0] : offsets[-1]].view(np.uint64), np.diff(offsets) // 8
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for lo in range(0, whole.num_rows, 4096):
                 batch = whole.slice(lo, 4096)
-                (x, nx), (y, ny) = sets(batch.column(3)), sets(batch.column(4))
+                (x, nx), (y, ny) = sets(batch, "x_words"), sets(batch, "y_words")
                 # rows one after the other, and hashes in order: one search finds what is common
                 row = lambda n: np.repeat(np.arange(len(n), dtype=np.uint64), n) << np.uint64(50)
                 own, other = row(nx) | (x >> np.uint64(14)), row(ny) | (y >> np.uint64(14))
@@ -230,31 +259,37 @@ def _same(x: str, y: str) -> str:
 
 
 def _exploded(sets: DataFrame) -> DataFrame:
-    """A row (word, pos, indexed, ...) for each key of a set."""
-    packed = sets.select(F.explode("keys").alias("k"), *[c for c in sets.columns if c not in ("keys", "stars", "a")])
-    bits = [F.shiftright("k", 20).alias("word"), F.shiftright("k", 1).bitwiseAND(F.lit((1 << 19) - 1)).cast("int").alias("pos")]
-    return packed.select(*bits, (F.col("k").bitwiseAND(F.lit(1)) > 0).alias("indexed"), *[c for c in packed.columns if c != "k"])
+    """A row (word, at, ...) for each key of a set; at, as the rows are many: n << 21 | place << 2 | in the index << 1 | open."""
+    packed = sets.select(F.explode("keys").alias("k"), "n", "open", *[c for c in sets.columns if c not in ("keys", "n", "open")])
+    at = F.expr("shiftleft(n::long, 21) | shiftleft(k & 1048575L, 1) | if(open, 1L, 0L)")
+    return packed.select(F.shiftright("k", 20).alias("word"), at.alias("at"), *packed.columns[3:])
 
 
 def removed(docs: DataFrame, percent: int, frequent: int = FREQUENT, hot: int = HOT, long: int = LONG) -> DataFrame:
     """(id, key, line) of the lines to remove, for docs (id, key, text)."""
     spark = docs.sparkSession
-    counts = docs.mapInArrow(_counted, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # BUCKETS rows at most
-    n = np.zeros(BUCKETS, np.int64)
-    n[counts.column("bucket").to_numpy()] = counts.column("n").to_numpy()
-    shared = spark.sparkContext.broadcast(_rank(n))
-    lines = save(docs.mapInArrow(_lines(shared, percent, frequent, long), _LINES))
-    # equal sets: rows of the first place stay, once
-    first = lines.groupBy("a", "parity").agg(F.min(F.struct(*PLACE)).alias("f"), F.count("*").alias("k")).where("k > 1").drop("k")
+    counts = docs.select("text").mapInArrow(_counted, "chunk int, buckets binary, n binary").repartition("chunk")
+    ranks = counts.mapInArrow(_ranked, "chunk int, ranks binary").toArrow()  # BUCKETS numbers of 16 bits at most
+    rank = np.zeros((BUCKETS // CHUNK, CHUNK), np.uint16)
+    for chunk, own in zip(*(x.to_pylist() for x in ranks.columns), strict=True):
+        rank[chunk] = np.frombuffer(own, np.uint16)
+    shared = spark.sparkContext.broadcast(rank.reshape(-1))
+    # copy: tells rows apart that repeat id and text
+    copies = docs.withColumn("copy", F.monotonically_increasing_id())
+    lines = save(copies.mapInArrow(_lines(shared, percent, frequent, long), _LINES))
+    # equal sets: the row of the first place stays
+    first = lines.groupBy("a", "parity").agg(F.min(F.struct(*PLACE, "copy")).alias("f"), F.count("*").alias("k")).where("k > 1").drop("k")
     first = save(first.withColumnsRenamed({"a": "f_a", "parity": "f_parity"}))
-    marked = lines.join(sent(first), F.expr("a = f_a and parity = f_parity"), "left")
-    marked = save(marked.select(*lines.columns, F.col("f").isNotNull().alias("several"), (F.col("f").isNull() | F.col("f").eqNullSafe(F.struct(*PLACE))).alias("first")))
+    marked = lines.join(sent(first), F.expr("a = f_a and parity = f_parity"), "left").withColumn("first", F.expr("f is null or f <=> struct(id, key, line, copy)"))
+    later = save(marked.where("not first").select(*PLACE, F.expr("f.id <=> id and f.key = key and f.line = line").alias("same")))
+    again, repeats = later.where("not same").select(*PLACE), not later.where("same").isEmpty()
+    sets = save(marked.where("first").select("id", "key", "line", "n", "parity", "wide", "keys", "stars"))
     drop(lines, first)
-    again = save(marked.where("not first").select(*PLACE))
-    sets = marked.where("not several").unionByName(marked.where("several and first").dropDuplicates(["a", "parity"])).drop("several", "first")
 
-    close = f"""100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) and bit_count(x.parity ^ y.parity) * {100 + percent} <= {100 - percent} * (x.n + y.n)"""
-    fits = f"{close} and least(x.n - x.pos, y.n - y.pos) * {100 + percent} >= {percent} * (x.n + y.n)"
+    def close(x_n: str, y_n: str) -> str:
+        """Whether the lengths and the parity bits, which part most, let x and y be similar."""
+        bits = f"bit_count(x.parity ^ y.parity) * {100 + percent} <= {100 - percent} * ({x_n} + {y_n})"
+        return f"{bits} and 100 * least({x_n}, {y_n}) >= {percent} * greatest({x_n}, {y_n})"
 
     def paired(rows: DataFrame) -> DataFrame:
         """(x_id, ..., y_id, ...) once for each pair of rows (x, y)."""
@@ -267,7 +302,7 @@ def removed(docs: DataFrame, percent: int, frequent: int = FREQUENT, hot: int =
         asked = save(asked)
         columns = f"id long, key long, line int, words binary, n int, {', '.join(f'{f} long' for f in FLIPS)}"
         words = docs.join(sent(asked, "lines"), F.expr("id <=> own and key = own_key")).select("id", "key", "text", "lines").mapInArrow(_words_of, columns)
-        words = save(words.dropDuplicates(PLACE))
+        words = save(words.dropDuplicates(PLACE) if repeats else words)
         drop(asked)
 
         def beside(some: DataFrame, side: str, *columns: str) -> DataFrame:
@@ -284,26 +319,30 @@ def removed(docs: DataFrame, percent: int, frequent: int = FREQUENT, hot: int =
         return found
 
     stars = sets.select(F.explode("stars").alias("word"), *PLACE, "n", "parity")
-    many = stars.groupBy("word").agg(F.count("*").alias("k")).where(F.col("k") > hot).select("word")
-    stars = save(stars.join(many, "word", "left_semi"))
+    many = save(stars.groupBy("word").agg(F.count("*").alias("k")).where(F.col("k") > hot).select("word"))
+    stars = save(stars.join(sent(many), "word", "left_semi"))
     first_by = lambda *order: stars.withColumn("turn", F.row_number().over(Window.partitionBy("word").orderBy(*order))).where(F.col("turn") <= CENTRES).drop("turn")
     centres = save(first_by(*PLACE).unionByName(first_by(F.xxhash64("word", *PLACE), *PLACE)))
-    done = check(paired(stars.alias("x").join(centres.alias("y"), F.expr(f"x.word = y.word and {_earlier('y', 'x')} and {close}"))))
-    drop(stars, centres)
+    done = check(paired(stars.alias("x").join(centres.alias("y"), F.expr(f"x.word = y.word and {close('x.n', 'y.n')} and {_earlier('y', 'x')}"))))
+    drop(many, stars, centres)
 
-    marks = sets.drop("a", "stars").alias("s").join(sent(done).withColumn("done", F.lit(True)).alias("d"), F.expr(_same("s", "d")), "left")
-    marks = save(marks.select("s.*", F.col("done").isNull().alias("open")))
-    drop(marked)
-    every = _exploded(marks)
+    marks = sets.drop("stars").alias("s").join(sent(done).withColumn("done", F.lit(True)).alias("d"), F.expr(_same("s", "d")), "left")
+    every = _exploded(marks.select("s.*", F.col("done").isNull().alias("open")))
     # the longer set, or of equal ones the later, probes; of a pair the later one must be open, and only open ones probe
     before = _earlier("y", "x")
-    longer = f"y.indexed and (x.n > y.n and ({before} or y.open) or x.n = y.n and {before})"
-    shorter = f"x.indexed and x.n < y.n and not y.open and {before}"
-    met = every.where("open").alias("x").join(every.where("indexed or not open").alias("y"), F.expr(f"x.word = y.word and {fits} and ({longer} or {shorter})"))
+    x_n, y_n = (f"shiftright({side}.at, 21)" for side in "xy")
+    left = [f"{n} - (shiftright({side}.at, 2) & {(1 << 19) - 1})" for side, n in (("x", x_n), ("y", y_n))]
+    fits = f"{close(x_n, y_n)} and least({', '.join(left)}) * {100 + percent} >= {percent} * ({x_n} + {y_n})"
+    wide = "bit_count(x.wide ^ y.wide) + bit_count(x.parity ^ x.wide ^ y.parity ^ y.wide)"
+    fits = f"{fits} and (least({x_n}, {y_n}) <= {WIDE} or ({wide}) * {100 + percent} <= {100 - percent} * ({x_n} + {y_n}))"
+    longer = f"y.at & 2 > 0 and ({x_n} > {y_n} and ({before} or y.at & 1 > 0) or {x_n} = {y_n} and {before})"
+    shorter = f"x.at & 2 > 0 and {x_n} < {y_n} and y.at & 1 = 0 and {before}"
+    # open ones against those of the index or done with
+    met = every.where("at & 1 > 0").alias("x").join(every.where("at & 3 != 1").alias("y"), F.expr(f"x.word = y.word and {fits} and ({longer} or {shorter})"))
     rows = F.struct(*[F.struct(*[F.col(f"{side}.{c}").alias(c) for c in PLACE]).alias(side) for side in "xy"])
     met = met.select(rows.alias("r"), F.expr(before).alias("before"))
     pairs = paired(met.select(F.expr("if(before, r.x, r.y)").alias("x"), F.expr("if(before, r.y, r.x)").alias("y")))
-    drop(marks)
+    drop(sets)
     return again.unionByName(done).unionByName(check(pairs)).distinct()
 
 
