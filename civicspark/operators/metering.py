@@ -24,6 +24,16 @@ def totals_since_reset(users: DataFrame, events: DataFrame, key: str, at: str, r
     return rows.groupBy(key).agg(F.coalesce(F.sum("_value"), F.lit(0)).alias("total"), F.count("_key").alias("events"), F.max("_at").alias("last_at"))
 
 
+def summed_in_order(events: DataFrame, by: Sequence[str], order: Sequence[str], value: str) -> DataFrame:
+    """With each event the sum of the key's values up to it, added one by one in order, and its place.
+
+    A sum of doubles hangs on the order of addition, and partial sums on how rows are
+    dealt to tasks; the sum at a key's last place does not.
+    """
+    at = Window.partitionBy(*by).orderBy(*order)
+    return events.withColumns({"summed": F.sum(value).over(at.rowsBetween(Window.unboundedPreceding, Window.currentRow)), "place": F.row_number().over(at)})
+
+
 def usage_within(members: DataFrame, events: DataFrame, keys: Sequence[str], total: str, cached: str) -> DataFrame:
     """Each member's use within their tenant, of all time: no reset counts there; numbers that are missing or negative are 0."""
     clean = lambda c: F.greatest(F.floor(F.coalesce(F.col(c), F.lit(0))), F.lit(0))

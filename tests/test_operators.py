@@ -54,6 +54,20 @@ def test_billable_and_quota(spark):
     assert row.b == 6 and row.q.exceeded and row.q.remaining == 0 and not row.f.exceeded and row.f.remaining is None
 
 
+def test_a_floored_sum_is_added_in_order(spark, tmp_path):
+    """Ten times 0.1, one by one, is below 1; as two sums of five it is 1."""
+    import duckdb
+    from conftest import same
+
+    from civicspark.plans.entries import QUERIES, SQL
+
+    rows = spark.range(0, 30, 1, 3).selectExpr("id AS event_id", "id % 3 AS user_id", "0.1D AS value", "'{\"k\": 7}' AS props")
+    rows.repartitionByRange(6, "event_id").write.parquet(str(tmp_path / "events.parquet"))
+    con = duckdb.connect(config={"threads": 1})
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet') ORDER BY event_id")
+    same(QUERIES["billable_quota_view"](spark, str(tmp_path)), con, SQL["billable_quota_view"])
+
+
 def test_bm25_needs_every_token_and_phrases(spark):
     docs = spark.createDataFrame([(1, "alpha beta"), (2, "alpha"), (3, "beta-alpha gamma"), (4, None)], "id int, t string")
     assert sorted(r.id for r in retrieval.bm25(docs, "id", "t", "alpha beta").collect()) == [1, 3]
