@@ -58,6 +58,20 @@ def test_a_change_reads_its_buckets_alone(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(bucket" in plan and one.select(F.input_file_name()).distinct().count() == 1
 
 
+def test_links_are_kept_in_rows_of_datasets(spark, tmp_path):
+    """What a batch writes grows with what is attached, not with its square, and hubs cost a row."""
+    path, schema = str(tmp_path / "links"), "dataset long, entity string, kind string, present boolean"
+    rows = [(d, e, kind, True) for e, n, kind in (("many", 40, "tag"), ("hub", 60, "tag"), ("one", 1, "tag")) for d in range(n)] + [(0, "two", "tag", True), (7, "two", "group", True)]
+    relinking.apply_changes(spark.createDataFrame(rows, schema), path, 0, buckets=4)
+    state = levels.manifest(spark, path)
+    assert levels.read(spark, path, "links", state, relinking._LINKS.format("long")).count() == 40 + 1 + 1 + 2
+    out = relinking.current_links(spark, path).collect()
+    assert len(out) == 40 * 39 // 2 + 1 and [(r.a, r.b, r.heuristic, r.confidence) for r in out if r.via == "two"] == [(0, 7, "shared_tag", 0.5)]
+    with pytest.raises(ValueError, match="layout"):
+        levels.commit(spark, path, {**state, "own": {k: v for k, v in state["own"].items() if k != "layout"}})
+        relinking.current_links(spark, path)
+
+
 def test_pages_of_written_files_equal_slices(spark, tmp_path):
     path = str(tmp_path / "store")
     sizes = {"a": 25, "b": 3, "c/d": 7}
