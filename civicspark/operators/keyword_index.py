@@ -28,11 +28,16 @@ from pyspark.sql import functions as F
 
 from civicspark.operators import levels
 from civicspark.operators.retrieval import ranked, split_terms, terms
+from civicspark.session import shuffles_dropped
 
 #: Number of the layout, for folders that outlive a session.
 LAYOUT = 2
 #: Words of the texts that a task takes apart at once, and postings of a range.
 WORDS, RANGE = 1 << 19, 2_000_000
+#: Postings that are shuffled at once, about, and into how many passes they are dealt for that at most.
+PASS, PASSES = 25_000_000, 8
+#: How postings lie on disk.
+CODEC = "zstd"
 _DELETED = "origin int, chunk long, bits binary"
 
 
@@ -83,9 +88,23 @@ def _postings(origin: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Rec
         yield pa.RecordBatch.from_pydict(columns)
 
 
-def _ranged(rows: DataFrame, ranges: int, count: int) -> DataFrame:
-    """In order of term and key, in at least so many ranges, of about RANGE postings at most; a frequent term is spread over ranges of its keys."""
-    return rows.repartitionByRange(max(ranges, -(-count // RANGE)), "term", "key").sortWithinPartitions("term", "key")
+def _write_ranged(rows: DataFrame, path: str, number: int, ranges: int, count: int) -> None:
+    """In order of term and key, in at least so many ranges, of about RANGE postings at most; a frequent term is spread over ranges of its keys.
+
+    What is shuffled lies on disk beside what is read and what is written, so it goes
+    in passes by beginnings of the terms' order, each ended before the next.
+    """
+    passes, bounds = max(1, min(PASSES, -(-count // PASS))), []
+    if passes > 1:  # terms that part the postings about evenly, from some of them
+        some = sorted(term for (term,) in rows.select("term").sample(min(1.0, 20_000 / count), seed=1).collect())
+        bounds = sorted({some[len(some) * i // passes] for i in range(1, passes)} - {""}) if some else []
+    for i, (lo, hi) in enumerate(zip([None, *bounds], [*bounds, None], strict=True)):
+        own = rows if lo is None else rows.where(F.col("term") >= lo)
+        own = own if hi is None else own.where(F.col("term") < hi)
+        parts = -(-max(ranges, -(-count // RANGE)) // (len(bounds) + 1))
+        # the number of places is that of the gaps
+        dealt = own.drop("tf").repartitionByRange(parts, "term", "key").sortWithinPartitions("term", "key")
+        levels.write(dealt.withColumn("tf", F.size("gaps")), path, "postings", number, more=i > 0, codec=CODEC)
 
 
 def _deleted(spark: SparkSession, path: str, state: dict) -> DataFrame | None:
@@ -116,6 +135,11 @@ def write_batch(docs: DataFrame, path: str, batch: int, key: str, text: str, gon
     Batches come in rising order; one that is committed already is left alone, so a
     writer may repeat its last batch after a failure.
     """
+    with shuffles_dropped(docs.sparkSession):
+        _write_batch(docs, path, batch, key, text, gone, ranges, fan)
+
+
+def _write_batch(docs: DataFrame, path: str, batch: int, key: str, text: str, gone: DataFrame | None, ranges: int, fan: int) -> None:
     spark = docs.sparkSession
     state = levels.manifest(spark, path)
     if state["own"] and batch <= state["own"]["batch"]:
@@ -125,13 +149,13 @@ def write_batch(docs: DataFrame, path: str, batch: int, key: str, text: str, gon
     state = levels.emptied(spark, state, lambda old: _empty(spark, path, schema, old))
     words = docs.select(F.col(key).alias("key"), F.monotonically_increasing_id().alias("doc"), terms(F.coalesce(F.col(text), F.lit(""))).alias("words"))
     # once written, documents keep their numbers, and the texts are not read again to find ranges of terms
-    words.mapInArrow(lambda batches: _postings(number, batches), schema).write.mode("overwrite").parquet(f"{path}/staged")
+    words.mapInArrow(lambda batches: _postings(number, batches), schema).write.mode("overwrite").option("compression", CODEC).parquet(f"{path}/staged")
     staged = spark.read.schema(schema).parquet(f"{path}/staged")
     new = staged.where("term = ''").select("key", "length")
     n, some, keys, length = new.agg(F.count("*"), F.count("key"), F.countDistinct("key"), F.coalesce(F.sum("length"), F.lit(0))).first()
     if some < n or keys < n:
         raise ValueError(f"of {n} documents {n - some} have no key and {some - keys} repeat one")
-    levels.write(_ranged(staged, ranges, staged.count()), path, "postings", number)
+    _write_ranged(staged, path, number, ranges, staged.count())
     out = new.select("key") if gone is None else new.select("key").unionByName(gone.select(F.col(key).alias("key"))).distinct()
     old = levels.read(spark, path, "postings", state, schema).where("term = ''").select("key", "origin", "doc", "length")
     bits = _alive(old, _deleted(spark, path, state)).join(out, "key", "left_semi").groupBy("origin", F.expr("bitmap_bucket_number(doc)").alias("chunk"))
@@ -152,7 +176,7 @@ def _merge(spark: SparkSession, path: str, state: dict, level: int, numbers: lis
     schema, number = _schema(state["own"]["key"]), state["next"]
     rows = _alive(levels.read(spark, path, "postings", state, schema, numbers), _deleted(spark, path, state))
     count = levels.read(spark, path, "postings", state, schema, numbers).count()
-    levels.write(_ranged(rows, ranges, count), path, "postings", number)
+    _write_ranged(rows, path, number, ranges, count)
     inside = levels.read(spark, path, "postings", state, schema, numbers).where("term = ''").select("origin").distinct()
     others = levels.read(spark, path, "deleted", state, _DELETED, numbers).join(F.broadcast(inside), "origin", "left_anti")  # a row a batch
     levels.write(others.groupBy("origin", "chunk").agg(F.expr("bitmap_or_agg(bits)").alias("bits")), path, "deleted", number)
@@ -169,7 +193,8 @@ def rebuild(spark: SparkSession, path: str, to: str, key: str, ranges: int = 64)
         raise ValueError(f"no index by {key} in {path}")
     schema = _schema(state["own"]["key"])
     rows = levels.read(spark, path, "postings", state, schema)
-    levels.write(_ranged(_alive(rows, _deleted(spark, path, state)), ranges, rows.count()), to, "postings", 0)
+    with shuffles_dropped(spark):
+        _write_ranged(_alive(rows, _deleted(spark, path, state)), to, 0, ranges, rows.count())
     levels.write(spark.createDataFrame([], _DELETED).coalesce(1), to, "deleted", 0)
     levels.commit(spark, to, levels.added({**levels.manifest(spark, to), "folders": []}, 0, {**state["own"], "deleted": 0}))
 

@@ -158,3 +158,27 @@ def test_what_a_task_takes_at_once_does_not_grow(spark, tmp_path, monkeypatch):
     relinking.apply_changes(rows, str(tmp_path / "links"), 0, buckets=2)
     assert relinking.current_links(spark, str(tmp_path / "links")).count() == 60 * 10
     assert max(len(list(b.glob("part-*.parquet"))) for b in (tmp_path / "links" / "links" / "folder=0").glob("bucket=*")) > 4
+
+
+def test_an_index_is_shuffled_in_passes_that_leave_nothing(spark, tmp_path, monkeypatch):
+    """Passes hold all postings once, by beginnings of the terms' order, and no shuffle stays on disk after its pass."""
+    from civicspark.operators import keyword_index
+
+    def shuffled():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {files.apply(i).getName() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_")}
+
+    texts = {i: " ".join(f"w{(i * j) % 23}" for j in range(i % 40)) for i in range(90)}
+    path, before = str(tmp_path / "index"), shuffled()
+    setting = spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    monkeypatch.setattr(keyword_index, "PASS", 100)
+    for batch in range(2):  # two folders, merged
+        docs = spark.createDataFrame([(i, t) for i, t in texts.items() if i % 2 == batch], "id int, text string")
+        keyword_index.write_batch(docs, path, batch, "id", "text", ranges=2, fan=2)
+    assert not shuffled() - before and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == setting
+    (number, level), = levels.manifest(spark, path)["folders"]
+    rows = spark.read.parquet(f"{path}/postings/folder={number}").withColumn("file", F.input_file_name())
+    assert level == 1 and sorted((r.term, r.key, r.tf) for r in rows.collect()) == sorted([("", i, 0) for i in texts] + [(w, i, t.split().count(w)) for i, t in texts.items() for w in set(t.split())])
+    files = sorted((r.lo, r.hi) for r in rows.groupBy("file").agg(F.min("term").alias("lo"), F.max("term").alias("hi")).collect())
+    assert len(files) >= 5 and all(x[1] <= y[0] for x, y in itertools.pairwise(files))
+    assert keyword_index.search(spark, path, "id", "w1").count() == min(50, sum("w1" in t.split() for t in texts.values()))
